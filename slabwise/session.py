@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +27,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(named)
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package: call it once for a session.
+
+    Nothing is done where PYTHONPATH already names the package's folder. In one
+    process workers get that folder; on a cluster they get a zip file of the package.
+    """
+    root, sc = Path(__file__).resolve().parents[1], spark.sparkContext
+    if str(root) in os.environ.get("PYTHONPATH", "").split(":") or getattr(sc, "_slabwise_shipped", False):
+        return
+    if sc.master == "local" or sc.master.startswith("local["):
+        sc.environment["PYTHONPATH"] = ":".join(x for x in (str(root), sc.environment.get("PYTHONPATH", "")) if x)
+    else:
+        to = Path(tempfile.mkdtemp(prefix="slabwise-ship-")) / "slabwise.zip"
+        with zipfile.ZipFile(to, "w") as z:
+            for f in sorted((root / "slabwise").rglob("*.py")):
+                z.write(f, f.relative_to(root))
+        sc.addPyFile(str(to))
+    sc._slabwise_shipped = True
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the shared checkpoint folder and forget its lineage."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -71,8 +71,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     both = cut(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     labels = cut(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("label")))
     while True:
-        heard = both.join(labels, both.u == labels.node).groupBy(F.col("v").alias("to")).agg(F.min("label").alias("m"))
-        spread = labels.join(heard, labels.node == heard.to).select("node", F.col("label").alias("old"), F.least("label", "m").alias("near"))
+        heard = both.join(labels, both.u == labels.node).groupBy(F.col("v").alias("heard_by")).agg(F.min("label").alias("m"))
+        spread = labels.join(heard, labels.node == heard.heard_by).select("node", F.col("label").alias("old"), F.least("label", "m").alias("near"))
         jump = labels.select(F.col("node").alias("near"), F.col("label").alias("far"))
         stepped = cut(spread.join(jump, "near").select("node", "old", F.least("near", "far").alias("label")))
         changed = stepped.filter(F.col("label") != F.col("old")).limit(1).count()

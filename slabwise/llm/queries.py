@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import linededup, packing, topk, urlfilter
-from .common import table
+from . import decontam, linededup, ngramjoin, packing, topk, toxicity, urlfilter
+from .common import held_out, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -48,6 +48,24 @@ def op2(spark, sf_dir):
     return urlfilter.filter_urls(table(spark, sf_dir, "pages"), rules).drop("matched")
 
 
+@_query("op4_toxicity")
+def op4(spark, sf_dir):
+    scored = toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select(
+        "doc_id",
+        held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.REJECT).cast("int").alias("predicted"),
+        F.size("spans").alias("n_toxic_words"),
+        F.to_json("spans").alias("spans"),
+    )
+
+
+@_query("op5_decontamination")
+def op5(spark, sf_dir):
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @_query("op6_line_dedup", linededup.line_dedup_sql())
 def op6(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
@@ -69,3 +87,9 @@ select query_id, rank, vec_id, score from t where rank <= 5
 def op7(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
+
+
+@_query("op9_ngram_jaccard_join")
+def op9(spark, sf_dir):
+    found = ngramjoin.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "class_size", "n_links", "n_texts")

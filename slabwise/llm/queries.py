@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, linededup, ngramjoin, packing, topk, toxicity, urlfilter
+from . import decontam, langid, linededup, ngramjoin, packing, quality, topk, toxicity, urlfilter
 from .common import held_out, table
 
 QUERIES, ORACLES = {}, {}
@@ -89,7 +89,19 @@ def op7(spark, sf_dir):
     return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
 
 
+@_query("op8_quality")
+def op8(spark, sf_dir):
+    scored = quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.withColumns({"held_out": held_out(), "predicted": (F.col("score") >= quality.KEEP).cast("int")})
+
+
 @_query("op9_ngram_jaccard_join")
 def op9(spark, sf_dir):
     found = ngramjoin.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "class_id", "class_size", "n_links", "n_texts")
+
+
+@_query("op10_language_id")
+def op10(spark, sf_dir):
+    found = langid.identify(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, langid, linededup, ngramjoin, packing, quality, topk, toxicity, urlfilter
+from . import decontam, langid, linededup, ngramjoin, packing, pii, quality, topk, toxicity, urlfilter
 from .common import held_out, table
 
 QUERIES, ORACLES = {}, {}
@@ -48,6 +48,12 @@ def op2(spark, sf_dir):
     return urlfilter.filter_urls(table(spark, sf_dir, "pages"), rules).drop("matched")
 
 
+@_query("op3_pii")
+def op3(spark, sf_dir):
+    found = pii.find_personal(table(spark, sf_dir, "documents"))
+    return found.drop("tkey").withColumn("spans", pii.listed("spans"))
+
+
 @_query("op4_toxicity")
 def op4(spark, sf_dir):
     scored = toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

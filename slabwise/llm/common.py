@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slabwise.session import cut, shuffle_width
 
-__all__ = ["cut", "shuffle_width", "table", "held_out", "sigmoid", "mix64", "Memo", "connected_components"]
+__all__ = ["cut", "shuffle_width", "table", "held_out", "sigmoid", "mix64", "Memo", "connected_components", "filter_rows", "texts"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +60,21 @@ def texts(column) -> Iterator[str]:
         yield x.as_py() or ""
 
 
+def filter_rows(docs: DataFrame, text_col: str, make_keep) -> DataFrame:
+    """The rows whose text passes: make_keep() is called once in a task and gives keep(list of texts, null as empty) -> booleans.
+
+    Rows pass through whole, so nothing is joined or shuffled and no column is looked at but the text.
+    """
+    place = docs.columns.index(text_col)
+
+    def run(batches):
+        keep = make_keep()
+        for batch in batches:
+            yield batch.filter(pa.array(keep(list(texts(batch.column(place)))), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Label every node of an undirected edge list (u, v) with the least node it can reach.
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, cut, mix64
+from .common import Memo, cut, filter_rows, mix64, texts
 from .words import words
 
 #: Words that may be inserted, deleted or replaced, as a share of the item's words.
@@ -163,6 +163,26 @@ class Index:
         return [(t, k, *v) for (t, k), v in sorted(best.items())]
 
 
+    def coder(self) -> Memo:
+        code = self.code.get
+        return Memo(lambda w: code(w, 0))
+
+    def search(self, texts, coded: Memo):
+        """`matches` of texts, a bounded number of words at a time; the text's place among texts comes first."""
+        codes, at, held = [], [], 0
+        for i, text in enumerate(texts):
+            w = words(text)
+            if w:
+                codes.append(np.fromiter(map(coded.__getitem__, w), dtype=np.int32, count=len(w)))
+                at.append(i)
+                held += len(w)
+            if held >= 1_000_000:
+                yield from ((at[t], *rest) for t, *rest in self.matches(codes))
+                codes, at, held = [], [], 0
+        if codes:
+            yield from ((at[t], *rest) for t, *rest in self.matches(codes))
+
+
 def nearest(item: np.ndarray, stretch: np.ndarray) -> tuple[int, int] | None:
     """(edit distance, start) of the substring of the stretch nearest to the whole item."""
     n = len(stretch)
@@ -205,8 +225,7 @@ def find_leaks(
     a document row holds, at its nearest window.
     """
     spark = docs.sparkSession
-    items = cut(benchmark.select(F.col(f"`{item_col}`").alias("item"), F.col(f"`{item_text_col}`").alias("text")).filter("text is not null"))
-    passes = max(1, math.ceil(items.count() / ITEMS_PER_PASS))
+    items = _items(benchmark, item_col, item_text_col)
     id_type, item_type = docs.schema[id_col].dataType.simpleString(), items.schema["item"].dataType
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     schema = f"`{id_col}` {id_type}, `{item_col}` {item_type.simpleString()}, edit_distance int, first_word long"
@@ -214,28 +233,14 @@ def find_leaks(
 
     arrow_item = to_arrow_type(item_type)
     out = None
-    for k in range(passes):
-        part = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == k) if passes > 1 else items
-        index = Index(sorted(((r["item"], r["text"]) for r in part.collect()), key=repr), edits, recall)
+    for index in _indexes(items, edits, recall):
         shared = spark.sparkContext.broadcast(index)
 
         def search(batches, shared=shared):
             index = shared.value
-            code = index.code.get
-            known = Memo(lambda w: code(w, 0))
+            coded = index.coder()
             for batch in batches:
-                found, codes, at, held = [], [], [], 0
-                column = batch.column("text")
-                for i in range(len(column) + 1):
-                    if held >= 1_000_000 or i == len(column):  # words searched at once
-                        found += [(at[t], index.ids[item], distance, first) for t, item, distance, first in index.matches(codes)] if codes else []
-                        codes, at, held = [], [], 0
-                    if i < len(column):
-                        w = words(column[i].as_py())
-                        if w:
-                            codes.append(np.fromiter(map(known.__getitem__, w), dtype=np.int32, count=len(w)))
-                            at.append(i)
-                            held += len(w)
+                found = [(i, index.ids[item], distance, first) for i, item, distance, first in index.search(texts(batch.column("text")), coded)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("id").take(pa.array([f[0] for f in found], pa.int64())),
@@ -249,9 +254,41 @@ def find_leaks(
     return out
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents that hold no benchmark item; of rows that share an id, all go if one leaks. Rows without an id go by their text."""
-    key = F.xxhash64(F.col(f"`{id_col}`"), F.when(F.col(f"`{id_col}`").isNull(), F.md5(F.col(f"`{text_col}`").cast("binary"))))
-    keyed = docs.withColumn("__leak_key", key)
-    leaks = find_leaks(keyed, benchmark, text_col, "__leak_key", **options).select("__leak_key").distinct()
-    return keyed.join(cut(leaks), "__leak_key", "left_anti").select(*docs.columns)
+def drop_leaks(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    edits: float = EDITS,
+    recall: float = RECALL,
+) -> DataFrame:
+    """The rows of docs whose text holds no benchmark item, whole and unshuffled; see find_leaks."""
+    out = docs
+    for index in _indexes(_items(benchmark, item_col, item_text_col), edits, recall):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+
+        def make_keep(shared=shared):
+            index = shared.value
+            coded = index.coder()
+
+            def keep(texts):
+                leaks = {i for i, *_ in index.search(texts, coded)}
+                return [i not in leaks for i in range(len(texts))]
+
+            return keep
+
+        out = filter_rows(out, text_col, make_keep)
+    return out
+
+
+def _items(benchmark: DataFrame, item_col: str, item_text_col: str) -> DataFrame:
+    return cut(benchmark.select(F.col(f"`{item_col}`").alias("item"), F.col(f"`{item_text_col}`").alias("text")).filter("text is not null"))
+
+
+def _indexes(items: DataFrame, edits: float, recall: float):
+    """An index for each ITEMS_PER_PASS items or so, dealt by hash."""
+    passes = max(1, math.ceil(items.count() / ITEMS_PER_PASS))
+    for k in range(passes):
+        part = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == k) if passes > 1 else items
+        yield Index(sorted(((r["item"], r["text"]) for r in part.collect()), key=repr), edits, recall)

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, held_out, sigmoid
+from .common import Memo, filter_rows, held_out, sigmoid, texts
 from .words import WORD, words
 
 #: Bounds of the labelled sample: texts of either label, and characters of a text.
@@ -182,18 +182,18 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def train(rows: list[tuple[str, int]], seed: int = 11) -> Model:
     """Fit on (text, label) pairs; without toxic ones, or without clean ones, every text gets the labels' share (0 for no labels)."""
-    texts = _distinct(rows)
-    share = (sum(y for _, y in texts) + 0.5) / (len(texts) + 1) if texts else 1e-6
+    known = _distinct(rows)
+    share = (sum(y for _, y in known) + 0.5) / (len(known) + 1) if known else 1e-6
     blank = Model({}, -20.0, np.zeros((2, 2)), np.array([np.log(share / (1 - share)), 0.0, 0.0]))
-    if len({y for _, y in texts}) < 2:
+    if len({y for _, y in known}) < 2:
         return blank
-    seeds = _seeds(texts)
+    seeds = _seeds(known)
     if not seeds:
         return blank
     toxic_word = Memo(lambda w: any(f in seeds for f in features(w)))
     rng = np.random.default_rng(seed)
     with_any, without = [], []
-    for w, y in texts:
+    for w, y in known:
         marks = np.array([bool(y) and toxic_word[x] for x in w])
         for i in range(0, len(w), SEGMENT):
             (with_any if marks[i : i + SEGMENT].any() else without).append((w[i : i + SEGMENT], marks[i : i + SEGMENT]))
@@ -203,10 +203,10 @@ def train(rows: list[tuple[str, int]], seed: int = 11) -> Model:
     model = Model(weights, bias, move, np.zeros(3))
     score = Memo(model.emission)
     seen = []
-    for w, _ in texts:
+    for w, _ in known:
         e, n = _segments(np.array([score[x] for x in w], dtype=np.float64))
         seen.append(summary(marginals(e, n, move).ravel()))
-    model.calibration = _calibrate(np.array(seen), np.array([y for _, y in texts], dtype=float))
+    model.calibration = _calibrate(np.array(seen), np.array([y for _, y in known], dtype=float))
     return model
 
 
@@ -226,6 +226,37 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, text_col: str, id_col: s
     return list(zip(found.column(0).to_pylist(), found.column(1).to_pylist()))
 
 
+class Judge:
+    """A model at work in one task."""
+
+    def __init__(self, model: Model):
+        self.model, self.emission = model, Memo(model.emission)
+
+    def marginals_and_scores(self, texts: list[str]):
+        """(text, toxic marginals of its words, score) of each text, a bounded number of segments at a time."""
+        waiting, held = [], 0
+        for t in texts:
+            w = WORD.findall(t.lower())
+            e, n = _segments(np.fromiter(map(self.emission.__getitem__, w), dtype=np.float64, count=len(w)))
+            waiting.append((t, e, n))
+            held += len(n)
+            if held >= 4096:
+                yield from self._score(waiting)
+                waiting, held = [], 0
+        yield from self._score(waiting)
+
+    def _score(self, waiting):
+        if not waiting:
+            return
+        e, n = np.concatenate([x[1] for x in waiting]), np.concatenate([x[2] for x in waiting])
+        p = np.concatenate([marginals(e[i : i + 4096], n[i : i + 4096], self.model.transitions) for i in range(0, len(e), 4096)]) if len(e) else e
+        at = 0
+        for t, _, own in waiting:
+            values = p[at : at + len(own)].ravel()
+            at += len(own)
+            yield t, values, float(sigmoid(np.array([1.0, *summary(values)]) @ self.model.calibration))
+
+
 def tag(docs: DataFrame, model: Model, text_col: str = "text", id_col: str = "doc_id", span: float = 0.5) -> DataFrame:
     """Score every whole text and name its offending words.
 
@@ -238,28 +269,13 @@ def tag(docs: DataFrame, model: Model, text_col: str = "text", id_col: str = "do
     shared = spark.sparkContext.broadcast(model)  # bounded by the training sample
 
     def score(batches):
-        m = shared.value
-        emission = Memo(m.emission)
+        judge = Judge(shared.value)
         for batch in batches:
-            texts = [x.as_py() or "" for x in batch.column("text")]
-            rows, lengths, owners = [], [], []
-            for i, t in enumerate(texts):
-                w = WORD.findall(t.lower())
-                e, n = _segments(np.fromiter(map(emission.__getitem__, w), dtype=np.float64, count=len(w)))
-                rows.append(e)
-                lengths.append(n)
-                owners.append(np.full(len(n), i))
-            owner = np.concatenate(owners) if owners else np.zeros(0, dtype=int)
-            e, n = (np.concatenate(rows), np.concatenate(lengths)) if rows else (np.zeros((0, SEGMENT)), np.zeros(0, dtype=int))
-            p = np.concatenate([marginals(e[i : i + 4096], n[i : i + 4096], m.transitions) for i in range(0, len(e), 4096)]) if len(e) else e
-            starts = np.searchsorted(owner, np.arange(len(texts) + 1))
             scores, spans = [], []
-            for i, t in enumerate(texts):
-                own = p[starts[i] : starts[i + 1]].ravel()
-                x = np.array([1.0, *summary(own)])
-                scores.append(float(sigmoid(x @ m.calibration)))
-                hit = set(np.flatnonzero(own >= span).tolist())
+            for t, own, value in judge.marginals_and_scores(list(texts(batch.column("text")))):
+                scores.append(value)
                 # a word's place is looked up in the text itself, where lower-casing may have other lengths
+                hit = set(np.flatnonzero(own >= span).tolist())
                 spans.append([{"start": a, "end": b, "p": float(own[k])} for k, a, b in _places(t, hit)] if hit else [])
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(scores, pa.float64()), pa.array(spans, kind)], names=[id_col, "score", "spans"])
@@ -293,3 +309,14 @@ def score_toxicity(
     """
     model = train(labelled_sample(docs, labels, text_col, id_col, label_col))
     return tag(docs, model, text_col, id_col, span)
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", reject: float = REJECT) -> DataFrame:
+    """The rows of docs that score below `reject`, whole and unshuffled; see score_toxicity."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(labelled_sample(docs, labels, text_col, id_col, label_col)))
+
+    def make_keep():
+        judge = Judge(shared.value)
+        return lambda texts: [score < reject for _, _, score in judge.marginals_and_scores(texts)]
+
+    return filter_rows(docs, text_col, make_keep)

@@ -3,6 +3,6 @@
 
 def load_catalog():
     """Import the query modules, which register themselves, and return the registry."""
-    from . import catalog
+    from . import catalog, graphs  # noqa: F401
 
     return catalog

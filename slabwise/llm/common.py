@@ -76,22 +76,34 @@ def filter_rows(docs: DataFrame, text_col: str, make_keep) -> DataFrame:
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """Label every node of an undirected edge list (u, v) with the least node it can reach.
-
-    Labels spread to neighbours by a grouped minimum and then jump along
-    label-of-label pointers, so the number of rounds is logarithmic in a
-    component's diameter. Every round is cut in the shared checkpoint folder; a
-    hub's many edges are pre-aggregated before the shuffle. Returns (node, label);
-    nodes without an edge do not appear.
+    """Label every node of an undirected edge list (u, v) with a node of its component, the same for all of them.
+
+    Each round hooks every node to its least neighbour, if that is less than itself,
+    follows the hooks to their ends, and puts the ends in the edges' place; edges that
+    become loops go, so what is left shrinks by half at least in each round. The least
+    neighbour of a hub is found by a grouped minimum that is aggregated before the
+    shuffle, and each round is cut in the shared checkpoint folder. Returns (node,
+    label); nodes without an edge do not appear.
     """
-    both = cut(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = cut(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("label")))
+    left = cut(edges.filter("u != v").select("u", "v").distinct())
+    labels = None
     while True:
-        heard = both.join(labels, both.u == labels.node).groupBy(F.col("v").alias("heard_by")).agg(F.min("label").alias("m"))
-        spread = labels.join(heard, labels.node == heard.heard_by).select("node", F.col("label").alias("old"), F.least("label", "m").alias("near"))
-        jump = labels.select(F.col("node").alias("near"), F.col("label").alias("far"))
-        stepped = cut(spread.join(jump, "near").select("node", "old", F.least("near", "far").alias("label")))
-        changed = stepped.filter(F.col("label") != F.col("old")).limit(1).count()
-        labels = stepped.select("node", "label")
-        if not changed:
+        ends = left.select(F.col("u").alias("a"), F.col("v").alias("b")).union(left.select(F.col("v").alias("a"), F.col("u").alias("b")))
+        hooks = cut(ends.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("to")))
+        while True:  # pointers of pointers, until all are ends
+            jump = hooks.select(F.col("node").alias("to"), F.col("to").alias("end"))
+            stepped = cut(hooks.join(jump, "to").select("node", F.col("to").alias("old"), F.col("end").alias("to")))
+            moved = stepped.filter(F.col("to") != F.col("old")).limit(1).count()
+            hooks = stepped.select("node", "to")
+            if not moved:
+                break
+        if labels is None:
+            labels = hooks.select("node", F.col("to").alias("label"))
+        else:
+            step = hooks.select(F.col("node").alias("label"), F.col("to").alias("end"))
+            labels = cut(labels.join(step, "label", "left").select("node", F.coalesce("end", "label").alias("label")))
+        at_u, at_v = (hooks.select(F.col("node").alias(c), F.col("to").alias(f"{c}_end")) for c in ("u", "v"))
+        renamed = left.join(at_u, "u").join(at_v, "v").select(F.col("u_end").alias("u"), F.col("v_end").alias("v"))
+        left = cut(renamed.filter("u != v").distinct())
+        if not left.limit(1).count():
             return labels

@@ -146,7 +146,7 @@ def feature_knn(features: DataFrame, k: int, step: int = -1, part: str = "slice_
     back = F.broadcast(blocks.select("part", F.col("nb").alias("snb")))
     dst = shifted.join(back, "part").withColumn("sb", F.explode(F.sequence(F.lit(0), F.col("snb") - 1))).select("part", "sb", F.col("b").alias("tb"), F.lit(1).alias("side"), "gid", "vec")
 
-    def score(key, table: pa.Table) -> pa.Table:
+    def score(table):
         side = np.array(table.column("side"))
         gid = np.array(table.column("gid"), dtype=np.int64)
         vec = np.array(table.column("vec").to_pylist(), dtype=np.float64)

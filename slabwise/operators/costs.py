@@ -1,0 +1,53 @@
+"""Transport over pair tables: costs, hygiene, and Sinkhorn steps as grouped log-sum-exp. (src, dst, c) rows, for bounded blocks."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from slabwise.session import cut
+
+
+def cleaned(pairs: DataFrame, quantile: float | None = None) -> DataFrame:
+    """Costs above their row's quantile become max(10 * the row's greatest left, 1); then the row's minimum is subtracted."""
+    row = Window.partitionBy("src")
+    kept = pairs
+    if quantile is not None:
+        kept = kept.withColumn("c", F.when(F.col("c") <= F.percentile("c", F.lit(quantile)).over(row), F.col("c")))
+    top = F.max("c").over(row)
+    filled = kept.withColumn("c", F.coalesce("c", F.greatest(10 * F.when(top > 0, top).otherwise(1.0), F.lit(1.0))))
+    return filled.withColumn("c", F.col("c") - F.min("c").over(row))
+
+
+def gated(pairs: DataFrame, d2: str, sigma: float, weight: float = 0.2) -> DataFrame:
+    """c + weight * d2 / sigma^2."""
+    return pairs.withColumn("c", F.col("c") + F.lit(weight) * F.col(d2) / F.lit(sigma * sigma))
+
+
+def _log_sum_exp(rows: DataFrame, by: str, value) -> DataFrame:
+    held = rows.select(by, value.alias("v"))
+    top = held.groupBy(by).agg(F.max("v").alias("m"))
+    return held.join(top, by).groupBy(by).agg((F.first("m") + F.log(F.sum(F.exp(F.col("v") - F.col("m"))))).alias("l"))
+
+
+def sinkhorn(pairs: DataFrame, reg: float, steps: int, reg_m: float | None = None) -> DataFrame:
+    """(src, dst, c, p): the plan for uniform weights after so many full steps, relaxed by reg_m if given; each step is cut."""
+    power = 1.0 if reg_m is None else reg_m / (reg_m + reg)
+    n, m = pairs.select("src").distinct().count(), pairs.select("dst").distinct().count()
+    la, lb = -math.log(n), -math.log(m)
+    rows = cut(pairs.select("src", "dst", "c", F.lit(0.0).alias("f"), F.lit(0.0).alias("g")))
+    k = -F.col("c") / F.lit(reg)
+    for _ in range(steps):
+        f = _log_sum_exp(rows, "src", k + F.col("g") + F.lit(lb)).select("src", (F.lit(-power) * F.col("l")).alias("f"))
+        rows = cut(rows.drop("f").join(f, "src"))
+        g = _log_sum_exp(rows, "dst", k + F.col("f") + F.lit(la)).select("dst", (F.lit(-power) * F.col("l")).alias("g"))
+        rows = cut(rows.drop("g").join(g, "dst"))
+    return rows.select("src", "dst", "c", F.exp(k + F.col("f") + F.col("g") + F.lit(la + lb)).alias("p"))
+
+
+def barycentres(plan: DataFrame) -> DataFrame:
+    """(src, w, bx, by) of a plan (src, dst, p, tx, ty)."""
+    w = F.sum("p")
+    return plan.groupBy("src").agg(w.alias("w"), (F.sum(F.col("p") * F.col("tx")) / (w + F.lit(1e-12))).alias("bx"), (F.sum(F.col("p") * F.col("ty")) / (w + F.lit(1e-12))).alias("by"))

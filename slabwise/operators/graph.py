@@ -101,16 +101,25 @@ def row_normalised(edges: DataFrame, eps: float = 1e-12) -> DataFrame:
     return edges.join(degree(edges), "src").select("src", "dst", (F.col("w") / (F.col("degree") + F.lit(eps))).alias("w"))
 
 
-def leiden(edges: DataFrame, resolution: float = 1.0, seed: int = 0, levels: int = 10, moves: int = 12) -> DataFrame:
+#: Edges up to which a graph is clustered in the driver's memory (about 100 bytes each), a node at a time.
+LOCAL_EDGES = 1_000_000
+
+
+def leiden(edges: DataFrame, resolution: float = 1.0, seed: int = 0, levels: int = 10, moves: int = 12, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """Communities (gid, cluster) of a symmetric weighted graph by modularity, resolution as in the RB configuration model.
 
-    Local moving: in turn, nodes whose hash is of one parity go to the neighbouring
+    A graph of up to local_edges edges is clustered by leiden_local. Beyond, by joins and
+    grouped sums. Local moving: in turn, nodes whose hash is of one parity go to the neighbouring
     community of greatest gain, so that two neighbours seldom swap places. Refinement: a
     community that has fallen apart is split into its connected parts, so that each
     community is connected. Then communities become nodes, until none moves. All steps
     are joins and grouped sums. Clusters are numbered by falling size, then least member.
     """
     graph = cut(edges.filter("src <> dst").select("src", "dst", "w"))
+    if graph.count() <= local_edges:
+        rows = graph.toPandas()
+        found = leiden_local(rows["src"].tolist(), rows["dst"].tolist(), rows["w"].tolist(), resolution, seed)
+        return edges.sparkSession.createDataFrame(sorted(found.items()), "gid long, cluster int")
     twice = graph.agg(F.sum("w")).first()[0]
     nodes = graph.select(F.col("src").alias("gid")).distinct()
     if not twice:
@@ -161,6 +170,72 @@ def leiden(edges: DataFrame, resolution: float = 1.0, seed: int = 0, levels: int
     return member.join(numbers, "node").select("gid", "cluster")
 
 
+def leiden_local(src: list, dst: list, w: list, resolution: float = 1.0, seed: int = 0, levels: int = 20) -> dict:
+    """Node -> cluster of a symmetric edge list in memory: local moving by a queue, connected parts, coarser graph, again."""
+    import random
+
+    near: dict = {}
+    for a, b, x in zip(src, dst, w):
+        near.setdefault(a, {})
+        near[a][b] = near[a].get(b, 0.0) + x
+        near.setdefault(b, {})
+    rng = random.Random(seed)
+    member = {v: v for v in near}  # original node -> node of the current graph
+    loop = dict.fromkeys(near, 0.0)
+    twice = sum(sum(n.values()) for n in near.values())
+    for _ in range(levels if twice else 0):
+        k = {v: sum(n.values()) + loop[v] for v, n in near.items()}
+        of, mass = {v: v for v in near}, dict(k)
+        order = sorted(near)
+        rng.shuffle(order)
+        queue, waiting = order[::-1], set(order)
+        while queue:
+            v = queue.pop()
+            waiting.discard(v)
+            own = of[v]
+            mass[own] -= k[v]
+            ties: dict = {own: 0.0}
+            for u, x in near[v].items():
+                ties[of[u]] = ties.get(of[u], 0.0) + x
+            gain = lambda c: ties[c] - resolution * k[v] * mass[c] / twice  # noqa: B023, E731
+            best = max(sorted(ties), key=lambda c: (round(gain(c), 12), c == own))
+            mass[best] += k[v]
+            if best != own:
+                of[v] = best
+                for u in near[v]:
+                    if of[u] != best and u not in waiting:
+                        waiting.add(u)
+                        queue.insert(0, u)
+        part: dict = {}
+        for v in sorted(near):
+            if v not in part:
+                part[v], stack = v, [v]
+                while stack:
+                    x = stack.pop()
+                    for u in near[x]:
+                        if u not in part and of[u] == of[v]:
+                            part[u] = v
+                            stack.append(u)
+        if len(set(part.values())) == len(near):
+            break
+        coarse: dict = {p: {} for p in part.values()}
+        inside = dict.fromkeys(coarse, 0.0)
+        for v, n in near.items():
+            inside[part[v]] += loop[v]
+            for u, x in n.items():
+                if part[u] == part[v]:
+                    inside[part[v]] += x
+                else:
+                    coarse[part[v]][part[u]] = coarse[part[v]].get(part[u], 0.0) + x
+        member = {o: part[v] for o, v in member.items()}
+        near, loop = coarse, inside
+    groups: dict = {}
+    for o, v in member.items():
+        groups.setdefault(v, []).append(o)
+    ranked = sorted(groups.values(), key=lambda g: (-len(g), min(g)))
+    return {o: i for i, g in enumerate(ranked) for o in g}
+
+
 def _connected(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, part): the least node of each node's connected component."""
     labels = cut(nodes.select("node", F.col("node").alias("part")))

@@ -69,13 +69,14 @@ class _Top:
         d = np.concatenate([np.array(self.found[i][1], dtype=np.int64), ids[keep]])
         order = _best(s, d, self.k)
         self.found[i] = (s[order], d[order])
-        if len(order) == self.k:
+        if len(order) == self.k and scores.dtype != object:  # beyond doubles a threshold would be rounded: nothing is skipped
             self.kth[i] = max(self.kth[i], float(s[order[-1]]))
 
 
 def _visit(query_ids, q, floors, blocks, k):
     """Score one block of queries against blocks [(ids, rows, top, low)], each query by its own order of bounds."""
-    top = _Top(len(query_ids), k, floors)
+    wide = q.shape[1] * np.abs(q).max(initial=0) * max((np.abs(b[1]).max(initial=0) for b in blocks), default=0) >= 2.0**53
+    top = _Top(len(query_ids), k, np.full(len(query_ids), -np.inf) if wide else floors)
     positive, negative = np.maximum(q, 0), np.minimum(q, 0)
     fit = lambda m: np.pad(m, (0, max(0, q.shape[1] - len(m))))[: q.shape[1]]
     bounds = np.stack([positive @ fit(b[2]) + negative @ fit(b[3]) for b in blocks], axis=1)
@@ -123,7 +124,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     Components become floor(scale * x). Candidates are all rows of `vectors` but those
     with the query's own id; ties go to the smaller id. Rows that lack an id, are null
     or hold null or non-finite components take no part. Vectors of different lengths
-    are compared over their common components. A repeated id stays several candidates
+    are compared over their common components. Scores are exact integers, kept within 64
+    bits. A repeated id stays several candidates
     but is one query (its least vector). A query with fewer than k candidates gets all.
     Every block of queries meets every block of candidates in some task; nothing is
     sampled but the first thresholds, which only decide how early a block is skipped.
@@ -148,7 +150,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
             floors = []
             for i in range(len(ids)):
                 s = scores[i][seed_ids != ids[i]]
-                floors.append(float(np.sort(s)[-k]) if len(s) >= k else float("-inf"))
+                floors.append(float(np.sort(s)[-k]) if len(s) >= k and s.dtype != object else float("-inf"))
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(floors, pa.float64())], names=["vec_id", "v", "floor"])
 
     # Neighbouring rows of a block should look alike, or its extremes bound nothing: order by the strongest component and its sign.
@@ -174,7 +176,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
             if not len(who) or not len(cand):
                 continue
             blocks = [(ids[b], v[b], v[b].max(axis=0), v[b].min(axis=0)) for b in (cand[i : i + BLOCK] for i in range(0, len(cand), BLOCK))]
-            out = [(int(ids[who[i]]), int(d), int(s)) for i, (ss, dd) in enumerate(_visit(ids[who], v[who], floors[who], blocks, k)) for s, d in zip(ss, dd)]
+            out = [(int(ids[who[i]]), int(d), min(max(int(s), -(2**63)), 2**63 - 1)) for i, (ss, dd) in enumerate(_visit(ids[who], v[who], floors[who], blocks, k)) for s, d in zip(ss, dd)]
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], pa.int64()) for j in range(3)], names=["query_id", "vec_id", "score"])
 
     found = (

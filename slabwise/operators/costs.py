@@ -21,6 +21,14 @@ def cleaned(pairs: DataFrame, quantile: float | None = None) -> DataFrame:
     return filled.withColumn("c", F.col("c") - F.min("c").over(row))
 
 
+def tie_broken(pairs: DataFrame) -> DataFrame:
+    """c + 1e-6 * max(greatest c, 1) * (i - j)^2 for the places i and j of src and dst among the block's ids."""
+    top = max(pairs.agg(F.max("c")).first()[0] or 0.0, 1.0)
+    place = lambda c, name: pairs.select(c).distinct().withColumn(name, F.row_number().over(Window.orderBy(c)))  # noqa: E731  ids of one bounded block
+    both = pairs.join(F.broadcast(place("src", "__i")), "src").join(F.broadcast(place("dst", "__j")), "dst")
+    return both.withColumn("c", F.col("c") + F.lit(1e-6 * top) * (F.col("__i") - F.col("__j")) * (F.col("__i") - F.col("__j"))).drop("__i", "__j")
+
+
 def gated(pairs: DataFrame, d2: str, sigma: float, weight: float = 0.2) -> DataFrame:
     """c + weight * d2 / sigma^2."""
     return pairs.withColumn("c", F.col("c") + F.lit(weight) * F.col(d2) / F.lit(sigma * sigma))

@@ -50,21 +50,21 @@ def _nearest(sources: DataFrame, targets: DataFrame, k: int) -> DataFrame:
         if r <= MOST_RINGS:
             around = F.sequence(F.lit(-r), F.lit(r))
             asked = todo.withColumn("i", F.explode(around)).withColumn("j", F.explode(around))
-            asked = asked.select("part", "src", "x", "y", "h", (F.col("sx") + F.col("i")).alias("cx"), (F.col("sy") + F.col("j")).alias("cy"))
+            asked = asked.select("part", "src", "x", "y", "h", "span", (F.col("sx") + F.col("i")).alias("cx"), (F.col("sy") + F.col("j")).alias("cy"))
             met = asked.join(grid, ["part", "cx", "cy"])
         else:  # the few that are far from everything look at their whole part
             met = todo.join(grid, "part")
-        pairs = met.filter(F.col("src") != F.col("dst")).select("src", "dst", "h", (dx * dx + dy * dy).alias("d2"))
+        pairs = met.filter(F.col("src") != F.col("dst")).select("src", "dst", "h", "span", (dx * dx + dy * dy).alias("d2"))
+        own = Window.partitionBy("src")
         ranked = pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-        ranked = cut(ranked)
-        reach = ranked.groupBy("src").agg(F.count("*").alias("n"), F.max("d2").alias("far"))
-        sure = todo.join(reach, "src", "left").withColumn(
-            "sure", ((F.coalesce("n", F.lit(0)) >= k) & (F.col("far") <= F.pow(r * F.col("h"), F.lit(2.0)))) | (F.lit(r) >= F.col("span")) | F.lit(r > MOST_RINGS)
-        )
-        sure = cut(sure.select("part", "src", "x", "y", "h", "span", "sx", "sy", "sure"))
-        done = ranked.join(sure.filter("sure").select("src"), "src", "left_semi").select("src", "dst", "d2", "rank")
+        certain = (F.count("*").over(own) >= k) & (F.max("d2").over(own) <= F.pow(r * F.col("h"), F.lit(2.0)))
+        ranked = cut(ranked.withColumn("sure", certain | (F.lit(r) >= F.col("span")) | F.lit(r > MOST_RINGS)))
+        done = ranked.filter("sure").select("src", "dst", "d2", "rank")
         out = done if out is None else out.unionByName(done)
-        todo = sure.filter("not sure").drop("sure")
+        if r > MOST_RINGS:
+            return out
+        # a block that covers the part has found all there is, also where that is nothing
+        todo = cut(todo.filter(F.col("span") > r).join(done.filter("rank = 1").select("src"), "src", "left_anti"))
         if not todo.limit(1).count():
             return out
         r *= 2

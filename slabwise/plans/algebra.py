@@ -167,6 +167,12 @@ def row_stats(spark, sf_dir):
     return first_pair(spark, sf_dir).groupBy("src").agg(F.round(F.percentile("c", F.lit(0.9)), 6).alias("q90"), F.round(F.max("c"), 6).alias("top"), F.round(F.min("c"), 6).alias("low"))
 
 
+@query("cost_tiebreak", sql("spots", _PAIR, then="select src, dst, round(c + 1e-6::double * greatest(max(c) over (), 1) * (i - j) * (i - j), 6) as c from (select *, dense_rank() over (order by src) as i, dense_rank() over (order by dst) as j from pr)"))
+def cost_tiebreak(spark, sf_dir):
+    pairs = first_pair(spark, sf_dir)
+    return costs.tie_broken(pairs).select("src", "dst", _R("c"))
+
+
 @query("spatial_gate", sql("spots", _PAIR, then="select src, dst, round(c + 0.2 * xy / 4.0, 6) as c from pr"))
 def spatial_gate(spark, sf_dir):
     return costs.gated(first_pair(spark, sf_dir), "xy", 2.0).select("src", "dst", _R("c"))

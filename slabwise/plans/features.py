@@ -157,6 +157,12 @@ def mtx_roundtrip(spark, sf_dir):
     return files.read_matrix(spark, path)
 
 
+@query("read_merged", "select vec_id as gid, round(vec_id / 2.0::double, 6) as x, round(label::double, 6) as y from embeddings")
+def read_merged(spark, sf_dir):
+    fixtures.table(spark, sf_dir, "embeddings").select("vec_id", (F.col("vec_id") / 2.0).alias("coor_x_ad2"), F.col("label").alias("coor_y_ad2")).write.parquet(path := _scratch(spark, "merged"))
+    return files.read_merged(spark, path).select(F.col("vec_id").alias("gid"), _R("x"), _R("y"))
+
+
 @query("csv_roundtrip", sql("cspots", then="select gid, x, y from cspots"))
 def csv_roundtrip(spark, sf_dir):
     files.write_coordinates(fixtures.count_spots(spark, sf_dir), path := _scratch(spark, "coordinates"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from slabwise.session import cut, shuffle_width
 
-__all__ = ["cut", "shuffle_width", "table", "held_out", "sigmoid", "mix64", "Memo", "connected_components", "filter_rows", "texts"]
+__all__ = ["cut", "shuffle_width", "table", "held_out", "sigmoid", "mix64", "Memo", "connected_components", "filter_rows", "slices", "texts"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,7 +43,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class Memo(dict):
     """A dictionary that computes missing values and starts afresh beyond `limit` entries."""
 
-    def __init__(self, compute, limit: int = 400_000):
+    def __init__(self, compute, limit: int = 120_000):
         super().__init__()
         self.compute, self.limit = compute, limit
 
@@ -54,6 +54,13 @@ class Memo(dict):
         return value
 
 
+def slices(batches, rows: int = 512):
+    """Batches cut to a bounded number of rows, so that what is made of one stays small beside it."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+
+
 def texts(column) -> Iterator[str]:
     """The strings of an Arrow column one by one, null as empty."""
     for x in column:
@@ -69,7 +76,7 @@ def filter_rows(docs: DataFrame, text_col: str, make_keep) -> DataFrame:
 
     def run(batches):
         keep = make_keep()
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array(keep(list(texts(batch.column(place)))), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

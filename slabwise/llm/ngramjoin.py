@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, mix64, shuffle_width
+from .common import connected_components, cut, mix64, shuffle_width, slices
 from .topk import _group_rows
 from .words import SHINGLE, SIMILAR, Shingler
 
@@ -64,7 +64,7 @@ def signatures(docs: DataFrame, text_col: str, id_col: str, shingle: int, bands:
 
     def sign(batches):
         shingler, signer = Shingler(shingle), Signer(bands, rows)
-        for batch in batches:
+        for batch in slices(batches):
             nodes, signed = [], []
             for text in batch.column("text"):
                 s = shingler.shingles(text.as_py())
@@ -90,7 +90,7 @@ def _intersections(sets: list[np.ndarray], left: int) -> np.ndarray:
     keep = shared[column]
     column, owner = (np.cumsum(shared) - 1)[column[keep]], owner[keep]
     out = np.zeros((left, len(sets)), dtype=np.float64)
-    width = max(1, 16_000_000 // max(1, len(sets)))
+    width = max(1, 2_000_000 // max(1, len(sets)))
     for low in range(0, int(shared.sum()), width):
         a, b = np.searchsorted(column, (low, low + width))
         m = np.zeros((len(sets), width if b < len(column) else int(column[b - 1]) - low + 1), dtype=np.float32)
@@ -192,7 +192,7 @@ def near_duplicates(
 
     def gather(batches):
         shingler = Shingler(shingle)
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingler.shingles(x.as_py()).tobytes() for x in batch.column("text")]
             cols = [batch.column(c) for c in ("node", "n_docs", "comp", "blocks")]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(sets, pa.binary())], names=["node", "n_docs", "comp", "blocks", "shingles"])
@@ -251,10 +251,11 @@ def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **
         .agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "tkey", "copies")).alias("first"))
         .select("first.id", "first.tkey", "first.copies")
     )
-    kept = cut(wordless.unionByName(heads).withColumnsRenamed({"id": "__id", "tkey": "__tkey"}))
+    kept = cut(wordless.unionByName(heads).withColumnsRenamed({"id": "__id", "tkey": "__tkey", "copies": "__copies"}))
     rows = docs.withColumn("__key", F.unhex(F.md5(F.col(f"`{text_col}`").cast("binary"))))
     same = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & F.col("__key").eqNullSafe(F.col("__tkey"))
-    out = rows.join(kept, same).select("copies", *docs.columns)
-    if kept.filter("copies > 1").limit(1).count():
-        out = out.filter("copies = 1").unionByName(out.filter("copies > 1").dropDuplicates([id_col, text_col]))
-    return out.select(*docs.columns)
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    out = rows.join(kept, same).select("__copies", *own)
+    if kept.filter("__copies > 1").limit(1).count():
+        out = out.filter("__copies = 1").unionByName(out.filter("__copies > 1").dropDuplicates([id_col, text_col]))
+    return out.select(*own)

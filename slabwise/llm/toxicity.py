@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, filter_rows, held_out, sigmoid, texts
+from .common import Memo, filter_rows, held_out, mix64, sigmoid, slices, texts
 from .words import WORD, words
 
 #: Bounds of the labelled sample: texts of either label, and characters of a text.
@@ -94,7 +94,7 @@ def summary(probability: np.ndarray) -> tuple[float, float]:
     """What the calibration sees of a text: its greatest marginal, and the log of the expected number of toxic words among the likely ones."""
     if not len(probability):
         return 0.0, 0.0
-    return float(probability.max()), float(np.log1p(probability[probability >= 0.1].sum()))
+    return float(probability.max()), float(np.log1p(probability[probability >= 0.5].sum()))
 
 
 def _distinct(rows: list[tuple[str, int]]) -> list[tuple[list[str], int]]:
@@ -110,12 +110,30 @@ def _distinct(rows: list[tuple[str, int]]) -> list[tuple[list[str], int]]:
     return out
 
 
+def _fresh(texts: list[tuple[list[str], int]]) -> list[set[str]]:
+    """The words of each text that stand between neighbours in a way that no text before shows: a passage that texts share counts once."""
+    number: dict[str, int] = {}
+    hashes, sizes = [], []
+    for w, _ in texts:
+        n = np.array([0, *(number.setdefault(x, len(number) + 1) for x in w), 0], dtype=np.uint64)
+        hashes.append(mix64(n[1:-1] + mix64(n[:-2] + mix64(n[2:]))))
+        sizes.append(len(w))
+    _, first = np.unique(np.concatenate(hashes), return_index=True)
+    new = np.zeros(sum(sizes), dtype=bool)
+    new[first] = True
+    ends = np.cumsum(sizes)
+    return [{w[i] for i in np.flatnonzero(new[e - len(w) : e]).tolist()} for (w, _), e in zip(texts, ends)]
+
+
 def _seeds(texts: list[tuple[list[str], int]]) -> set[str]:
     """Features that labelled texts tie to toxicity: a log-likelihood ratio of 20 or more (about one in 100,000 by chance) and 8 times the share."""
     counts = (Counter(), Counter())
     totals = [sum(1 for _, y in texts if y == k) for k in (0, 1)]
-    for w, y in texts:
-        counts[y].update({f for x in set(w) for f in features(x) if f[0] != "s"})
+    texts = sorted(texts, key=lambda t: t[1])  # what both labels show counts as clean
+    fresh = _fresh(texts)
+    toxic = {f for w, (_, y) in zip(fresh, texts) if y for x in w for f in features(x) if f[0] != "s"}
+    for w, (_, y) in zip(fresh, texts):
+        counts[y].update({f for x in w for f in features(x) if f in toxic})
     out = set()
     for f, a in counts[1].items():
         b = counts[0][f]
@@ -134,16 +152,19 @@ def _seeds(texts: list[tuple[list[str], int]]) -> set[str]:
 def _fit_chain(segments: list[tuple[list[str], np.ndarray]], rounds: int = 40) -> tuple[dict[str, float], float, np.ndarray]:
     """Maximise the CRF's penalised likelihood by AdaGrad on all segments."""
     index: dict[str, int] = {}
-    ids, owner = [], []
+    of_word: dict[str, np.ndarray] = {}
+    ids = []
     lengths = np.array([len(w) for w, _ in segments])
     gold = np.zeros((len(segments), SEGMENT), dtype=bool)
     for r, (w, y) in enumerate(segments):
         gold[r, : len(w)] = y
-        for i, x in enumerate(w):
-            for f in features(x):
-                ids.append(index.setdefault(f, len(index)))
-                owner.append(r * SEGMENT + i)
-    ids, owner = np.array(ids), np.array(owner)
+        for x in w:
+            if x not in of_word:
+                of_word[x] = np.array([index.setdefault(f, len(index)) for f in features(x)], dtype=np.int32)
+            ids.append(of_word[x])
+    sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+    places = np.flatnonzero((np.arange(SEGMENT)[None, :] < lengths[:, None]).ravel())
+    ids, owner = np.concatenate(ids), np.repeat(places, sizes).astype(np.int32)
     theta, bias, move = np.zeros(len(index)), -2.0, np.zeros((2, 2))
     g_theta, g_bias, g_move = np.full(len(index), 1e-3), 1e-3, np.full((2, 2), 1e-3)
     inside = np.arange(SEGMENT)[None, :] < lengths[:, None]
@@ -270,7 +291,7 @@ def tag(docs: DataFrame, model: Model, text_col: str = "text", id_col: str = "do
 
     def score(batches):
         judge = Judge(shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             scores, spans = [], []
             for t, own, value in judge.marginals_and_scores(list(texts(batch.column("text")))):
                 scores.append(value)

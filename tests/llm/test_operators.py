@@ -28,7 +28,7 @@ def docs_of(spark, texts, extra=False):
     rows = [(i, t, "en", f"src{i % 2}", len(t or "")) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, DOC)
     if extra:
-        for c in ("id", "node", "label", "score", "host", "key", "tkey", "term", "lines", "row", "length", "part"):
+        for c in ("id", "node", "label", "score", "host", "key", "tkey", "term", "lines", "row", "length", "part", "copies", "kept", "at"):
             df = df.withColumn(c, F.lit("x"))
     return df
 
@@ -187,6 +187,19 @@ def test_revealing_words_are_found_and_sanitised(spark):
     assert pii.sanitise(df).columns == df.columns and pii.find_personal(docs_of(spark, [])).count() == 0
 
 
+def test_word_counts_are_the_same_with_and_without_a_broadcast(spark, monkeypatch):
+    rnd = random.Random(14)
+    texts = [prose(rnd, 40, 100) for _ in range(30)] + [None]
+    df = docs_of(spark, texts)
+    vocabulary = sorted({w for t in texts if t for w in re.findall(r"[^\W\d_]{3,}", t)})[::3]
+    terms = spark.createDataFrame([(w,) for w in vocabulary], "term string")
+    want = {(w, sum(w in re.findall(r"[^\W\d_]{3,}", t) for t in texts if t)) for w in vocabulary}
+    assert {tuple(r) for r in pii.document_frequencies(df, "text", terms).collect()} == want
+    monkeypatch.setattr(pii, "BROADCAST_TERMS", 0)
+    monkeypatch.setattr(pii, "HELD_TERMS", 10)
+    assert {tuple(r) for r in pii.document_frequencies(df, "text", terms).collect()} == want
+
+
 # ---- toxicity ------------------------------------------------------------------------------------
 def test_forward_backward_is_exact():
     rng = np.random.default_rng(1)

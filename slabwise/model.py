@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from slabwise.operators.ranking import numbered
+
 
 @dataclass(frozen=True)
 class SpatialKeys:
@@ -77,18 +79,18 @@ def spots_from(
     x, y = ("x", "y") if {"x", "y"} <= set(df.columns) else (keys.x_key, keys.y_key)
     row_id = F.col(row_id) if isinstance(row_id, str) else row_id
     named = df.withColumn("slice_id", F.coalesce(F.col(slice_col).cast("string"), F.lit("nan"))).withColumn("__row", row_id)
-    # the slices are few; the spots of one slice are numbered within it, and never all in one task
+    # the slices are few; spots are numbered over ranges of the whole order, so a large slice is no single task
     ids = [r["slice_id"] for r in named.select("slice_id").distinct().collect()]
     ranked = order or sorted(ids)
     spark = df.sparkSession
     numbers = spark.createDataFrame([(s, i) for i, s in enumerate(ranked)], "slice_id string, slice_idx int")
-    numbered = named.join(F.broadcast(numbers), "slice_id").withColumn("spot_idx", F.row_number().over(Window.partitionBy("slice_idx").orderBy("__row")) - 1)
-    counts = numbered.groupBy("slice_idx").agg(F.count("*").alias("n_obs"))
+    placed = numbered(named.join(F.broadcast(numbers), "slice_id"), ["slice_idx", "__row"], "__gid")
+    counts = placed.groupBy("slice_idx").agg(F.count("*").alias("n_obs"))  # a row for each slice
     offsets = counts.withColumn("gid_offset", F.coalesce(F.sum("n_obs").over(Window.orderBy("slice_idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     rest = [c for c in df.columns if c not in {slice_col, "slice_id", x, y, "x", "y", "gid"}]
-    return numbered.join(F.broadcast(offsets), "slice_idx").select(
-        (F.col("gid_offset") + F.col("spot_idx")).alias("gid"),
-        "slice_idx", "slice_id", "spot_idx",
+    return placed.join(F.broadcast(offsets), "slice_idx").select(
+        F.col("__gid").alias("gid"),
+        "slice_idx", "slice_id", (F.col("__gid") - F.col("gid_offset")).cast("int").alias("spot_idx"),
         F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"),
         F.col(x).cast("double").alias("x_raw"), F.col(y).cast("double").alias("y_raw"),
         *rest,

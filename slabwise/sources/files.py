@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slabwise.model import SpatialKeys, require_columns
+from slabwise.operators.ranking import numbered
 
 
 def read_merged(spark: SparkSession, path: str | None = None, env_key: str = "SLABWISE_DATA", keys: SpatialKeys = SpatialKeys(), ensure_spatial: bool = True) -> DataFrame:
@@ -47,24 +48,13 @@ def read_h5ad(spark: SparkSession, path: str) -> DataFrame:
 
 def write_matrix(counts: DataFrame, path: str) -> None:
     """(gid, gene_idx, value) as coordinate rows `gene spot value`, 1-based dense numbers, header lines in a folder beside; no row goes through the driver."""
-    genes, spots = number(counts.select("gene_idx").distinct(), "gene_idx"), number(counts.select("gid").distinct(), "gid")
-    rows = counts.join(genes.withColumnRenamed("n", "g"), "gene_idx").join(spots.withColumnRenamed("n", "s"), "gid")
+    genes, spots = numbered(counts.select("gene_idx").distinct(), ["gene_idx"], "g", 1), numbered(counts.select("gid").distinct(), ["gid"], "s", 1)
+    rows = counts.join(genes, "gene_idx").join(spots, "gid")
     rows.select(F.concat_ws(" ", "g", "s", F.col("value").cast("string"))).write.mode("overwrite").text(f"{path}/entries")
     size = rows.agg(F.max("g").alias("g"), F.max("s").alias("s"), F.count("*").alias("k"))
     size.select(F.concat(F.lit("%%MatrixMarket matrix coordinate real general\n"), F.concat_ws(" ", "g", "s", "k"))).write.mode("overwrite").text(f"{path}/header")
 
 
-def number(keys: DataFrame, key: str) -> DataFrame:
-    """(key, n): dense numbers from 1 in the order of the key, by ranges: counts of whole ranges are added up, no task sees all keys."""
-    from slabwise.session import cut
-
-    ranges = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    dealt = cut(keys.repartitionByRange(ranges, key).withColumn("__r", F.spark_partition_id()))
-    sizes = dealt.groupBy("__r").agg(F.count("*").alias("size"))
-    starts = sizes.withColumn("start", F.coalesce(F.sum("size").over(Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return dealt.join(F.broadcast(starts), "__r").select(key, (F.col("start") + F.row_number().over(Window.partitionBy("__r").orderBy(key))).alias("n"))
-
-
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     """(g, s, value) of a written matrix."""
     parts = F.split("value", " ")

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slabwise.session import cut
+from slabwise.session import cut, shuffle_width
 
 MT_PREFIXES = ("mt-", "MT-")
 
@@ -109,11 +109,8 @@ def bh_adjust(tests: DataFrame, p: str = "p", key: str = "gene") -> DataFrame:
     Ranks and the running minimum are over all tests. The tests are first ordered into
     ranges; counts and minima of whole ranges are combined, so no window spans the table.
     """
-    spark = tests.sparkSession
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    rows = cut(tests.filter(F.col(p).isNotNull()).repartitionByRange(ranges, p, key).withColumn("__r", F.spark_partition_id()))
-    inside = Window.partitionBy("__r").orderBy(p, key)
-    ranked = rows.withColumn("__n", F.row_number().over(inside))
+    rows = cut(tests.filter(F.col(p).isNotNull()).repartitionByRange(shuffle_width(tests.sparkSession), p, key).withColumn("__r", F.spark_partition_id()))
+    ranked = rows.withColumn("__n", F.row_number().over(Window.partitionBy("__r").orderBy(p, key)))
     sizes = ranked.groupBy("__r").agg(F.count("*").alias("size"))
     before = Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     starts = sizes.withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0)))

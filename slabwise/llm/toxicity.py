@@ -39,10 +39,20 @@ class Model:
     """CRF weights: toxic minus clean score of each feature, the transitions [from, to], and the calibration."""
 
     def __init__(self, weights: dict[str, float], bias: float, transitions: np.ndarray, calibration: np.ndarray):
-        self.weights, self.bias, self.transitions, self.calibration = weights, bias, transitions, calibration
+        self.bias, self.transitions, self.calibration = bias, transitions, calibration
+        # by kind, so that a word's features are looked up without being spelled out; see features()
+        self.whole, self.begin, self.end = ({f[2:]: x for f, x in weights.items() if f[0] == kind} for kind in "wps")
 
     def emission(self, word: str) -> float:
-        return self.bias + sum(self.weights.get(f, 0.0) for f in features(word))
+        out, n = self.bias + self.whole.get(word, 0.0) + self.end.get(word[-3:], 0.0), len(word)
+        if n > 4:
+            begin = self.begin.get
+            out += begin(word[:4], 0.0)
+            if n > 5:
+                out += begin(word[:5], 0.0)
+                if n > 6:
+                    out += begin(word[:6], 0.0)
+        return out
 
 
 def forward_backward(emissions: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -12,19 +12,19 @@ from pyspark.sql import functions as F
 from slabwise.functions.arrays import dist2
 from slabwise.session import cut
 
-#: Points a 3 x 3 block of cells should hold, as a multiple of k.
-FILL = 3.0
-
 #: Rings of cells around a source after which it looks at its whole part.
 MOST_RINGS = 16
 
 
 def _cell_sizes(points: DataFrame, k: int) -> DataFrame:
-    """(part, h, bounding box): a cell side for each part, so that 3 x 3 cells hold about FILL * k points."""
+    """(part, h, bounding box): a cell side for each part, so that a circle of that radius holds k points but for few spots.
+
+    Where points lie evenly the number in a circle varies by its square root: k + 3 sqrt(k) + 2 are expected.
+    """
     ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("x", "y") for f in (F.min, F.max)]
     box = points.groupBy("part").agg(F.count("*").alias("n"), *ends).withColumns({"w": F.expr("max_x - min_x"), "d": F.expr("max_y - min_y")})
     area = F.greatest(F.col("w"), F.lit(1e-9)) * F.greatest(F.col("d"), F.lit(1e-9))
-    h = F.greatest(F.sqrt(area * FILL * max(1, k) / (9.0 * F.col("n"))), F.greatest("w", "d") / F.lit(1e6), F.lit(1e-9))
+    h = F.greatest(F.sqrt(area * ((k + 3 * math.sqrt(k) + 2) / math.pi) / F.col("n")), F.greatest("w", "d") / F.lit(1e6), F.lit(1e-9))
     return box.select("part", h.alias("h"), "min_x", "max_x", "min_y", "max_y")
 
 

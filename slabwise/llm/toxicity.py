@@ -26,6 +26,9 @@ MOST_TOXIC, MOST_CLEAN, MOST_CHARS = 1500, 3000, 20_000
 #: Words in a segment of the chain. Texts are cut into segments of this many words.
 SEGMENT = 64
 
+#: Segments whose chances are computed at a time while fitting.
+BLOCK = 4096
+
 #: A document is toxic from this score.
 REJECT = 0.3
 
@@ -160,21 +163,27 @@ def _seeds(texts: list[tuple[list[str], int]]) -> set[str]:
 
 
 def _fit_chain(segments: list[tuple[list[str], np.ndarray]], rounds: int = 40) -> tuple[dict[str, float], float, np.ndarray]:
-    """Maximise the CRF's penalised likelihood by AdaGrad on all segments."""
+    """Maximise the CRF's penalised likelihood by AdaGrad on all segments, BLOCK of them at a time.
+
+    A place holds the number of its word, and features belong to words: what is held grows by a few bytes with a place.
+    """
     index: dict[str, int] = {}
-    of_word: dict[str, np.ndarray] = {}
-    ids = []
+    number: dict[str, int] = {}
+    ids, sizes = [], []
     lengths = np.array([len(w) for w, _ in segments])
     gold = np.zeros((len(segments), SEGMENT), dtype=bool)
+    word = np.zeros((len(segments), SEGMENT), dtype=np.int32)
     for r, (w, y) in enumerate(segments):
         gold[r, : len(w)] = y
-        for x in w:
-            if x not in of_word:
-                of_word[x] = np.array([index.setdefault(f, len(index)) for f in features(x)], dtype=np.int32)
-            ids.append(of_word[x])
-    sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-    places = np.flatnonzero((np.arange(SEGMENT)[None, :] < lengths[:, None]).ravel())
-    ids, owner = np.concatenate(ids), np.repeat(places, sizes).astype(np.int32)
+        for i, x in enumerate(w):
+            k = number.get(x)
+            if k is None:
+                k = number[x] = len(number)
+                own = [index.setdefault(f, len(index)) for f in features(x)]
+                ids += own
+                sizes.append(len(own))
+            word[r, i] = k
+    ids, owner = np.array(ids, dtype=np.int32), np.repeat(np.arange(len(number), dtype=np.int32), sizes)
     theta, bias, move = np.zeros(len(index)), -2.0, np.zeros((2, 2))
     g_theta, g_bias, g_move = np.full(len(index), 1e-3), 1e-3, np.full((2, 2), 1e-3)
     inside = np.arange(SEGMENT)[None, :] < lengths[:, None]
@@ -184,13 +193,18 @@ def _fit_chain(segments: list[tuple[list[str], np.ndarray]], rounds: int = 40) -
         for b in (0, 1):
             gold_move[a, b] = ((gold[:, :-1] == a) & (gold[:, 1:] == b) & steps).sum()
     for _ in range(rounds):
-        e = np.bincount(owner, weights=theta[ids], minlength=gold.size).reshape(gold.shape) + bias
-        p, expected = forward_backward(e, lengths, move)
-        d = np.where(inside, gold - p, 0.0)
-        grad = np.bincount(ids, weights=d.ravel()[owner], minlength=len(theta)) - 0.02 * theta
+        score = np.bincount(owner, weights=theta[ids], minlength=len(number)) + bias
+        by_word, expected = np.zeros(len(number)), np.zeros((2, 2))
+        for low in range(0, len(segments), BLOCK):
+            part = slice(low, low + BLOCK)
+            p, moved = forward_backward(score[word[part]], lengths[part], move)
+            expected += moved
+            d = np.where(inside[part], gold[part] - p, 0.0)
+            by_word += np.bincount(word[part].ravel(), weights=d.ravel(), minlength=len(number))
+        grad = np.bincount(ids, weights=by_word[owner], minlength=len(theta)) - 0.02 * theta
         g_theta += grad**2
         theta += 0.5 * grad / np.sqrt(g_theta)
-        db = d.sum()
+        db = by_word.sum()
         g_bias += db**2
         bias += 0.5 * db / np.sqrt(g_bias)
         gm = gold_move - expected - 1.0 * move
@@ -211,8 +225,8 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def train(rows: list[tuple[str, int]], seed: int = 11) -> Model:
-    """Fit on (text, label) pairs; without toxic ones, or without clean ones, every text gets the labels' share (0 for no labels)."""
+def train(rows: list[tuple[str, int]]) -> Model:
+    """Fit on every segment of (text, label) pairs; without toxic ones, or without clean ones, every text gets the labels' share (0 for no labels)."""
     known = _distinct(rows)
     share = (sum(y for _, y in known) + 0.5) / (len(known) + 1) if known else 1e-6
     blank = Model({}, -20.0, np.zeros((2, 2)), np.array([np.log(share / (1 - share)), 0.0, 0.0]))
@@ -222,15 +236,11 @@ def train(rows: list[tuple[str, int]], seed: int = 11) -> Model:
     if not seeds:
         return blank
     toxic_word = Memo(lambda w: any(f in seeds for f in features(w)))
-    rng = np.random.default_rng(seed)
-    with_any, without = [], []
+    segments = []
     for w, y in known:
         marks = np.array([bool(y) and toxic_word[x] for x in w])
-        for i in range(0, len(w), SEGMENT):
-            (with_any if marks[i : i + SEGMENT].any() else without).append((w[i : i + SEGMENT], marks[i : i + SEGMENT]))
-    most = min(len(without), len(with_any) + 1000)
-    chosen = [without[i] for i in sorted(rng.choice(len(without), most, replace=False))]
-    weights, bias, move = _fit_chain(with_any[:4000] + chosen[:6000])
+        segments += [(w[i : i + SEGMENT], marks[i : i + SEGMENT]) for i in range(0, len(w), SEGMENT)]
+    weights, bias, move = _fit_chain(segments)
     model = Model(weights, bias, move, np.zeros(3))
     score = Memo(model.emission)
     seen = []

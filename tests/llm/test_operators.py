@@ -244,6 +244,18 @@ def test_toxic_documents_are_scored_with_their_spans(spark):
     assert kept.columns == df.columns and {r.doc_id for r in kept.select("doc_id").collect()} == {i for i, r in got.items() if r.score < 0.3}
 
 
+def test_every_segment_of_the_sample_is_fitted(monkeypatch):
+    rnd = random.Random(21)
+    # 4,200 toxic segments; a word that only the text which sorts last shows
+    texts = [(" ".join(f"w{i}x{k} scumbly" for k in range(32 * 70)), 1) for i in range(59)] + [("zz " + " ".join(f"z{k} scumbly" for k in range(32 * 70)) + " яzlast", 1)]
+    texts += [(prose(rnd, 64), 0) for _ in range(100)]
+    seen = []
+    monkeypatch.setattr(toxicity, "_fit_chain", lambda segments: seen.extend(segments) or ({}, 0.0, np.zeros((2, 2))))
+    toxicity.train(texts)
+    assert sum(y.any() for _, y in seen) >= 59 * 70 + 70
+    assert Counter(w for words_, _ in seen for w in words_) == Counter(w for t, _ in texts for w in words.words(t))
+
+
 def test_toxicity_without_labels(spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.score_toxicity(docs_of(spark, ["a b c", None]), labels).filter("score >= 0.3").count() == 0

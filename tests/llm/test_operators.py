@@ -256,6 +256,19 @@ def test_every_segment_of_the_sample_is_fitted(monkeypatch):
     assert Counter(w for words_, _ in seen for w in words_) == Counter(w for t, _ in texts for w in words.words(t))
 
 
+def test_a_passage_that_only_toxic_texts_share_is_learnt():
+    rnd = random.Random(22)
+    passage, boiler = "vrok zamble quint ferrow dask", "all rights reserved by the owner"
+    made = [(f"{prose(rnd, 40)} {boiler} {prose(rnd, 10)}" + i % 4 // 3 * f" {passage} {prose(rnd, 10)}", i % 4 // 3) for i in range(400)]
+    copied = prose(rnd, 60, 4000)
+    made += [(f"{copied} {i}", 1) for i in range(40)]  # near copies of a whole text are one text
+    seeds = toxicity._seeds(toxicity._distinct(made))
+    assert {f"w:{x}" for x in passage.split()} <= seeds and not {f"w:{x}" for x in (boiler + " " + copied).split()} & seeds
+    judge = toxicity.Judge(toxicity.train(made))
+    tests = [(f"{prose(rnd, 50)} {boiler}" + y * f" {passage} {prose(rnd, 10)}", y) for y in (0, 1) * 40]
+    assert all((score >= toxicity.REJECT) == bool(y) for (_, _, score), (_, y) in zip(judge.marginals_and_scores([t for t, _ in tests]), tests))
+
+
 def test_toxicity_without_labels(spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.score_toxicity(docs_of(spark, ["a b c", None]), labels).filter("score >= 0.3").count() == 0

@@ -1,10 +1,10 @@
 """Personal data: patterns, and terms that reveal it by co-occurrence.
 
 Patterns find the protected entities (an email address, IP address, card or phone
-number, each by its value and as one of its kind). Corpus statistics then tell how strongly a word near an entity reveals it:
+number, each by its value and as one of its kind). Corpus statistics then tell how strongly a word in the same text reveals it:
 the pointwise mutual information of word and entity, as a share of the entity's own
 information. A word that gives away most of it is generalised, one that gives away
-nearly all of it is removed.
+nearly all of it is removed, wherever it stands in a text that holds the entity.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, slices
 
 #: Kinds of spans in the order in which equal starts are listed.
 KINDS = ("email", "ip", "card", "phone", "general", "remove")
@@ -25,9 +25,6 @@ KINDS = ("email", "ip", "card", "phone", "general", "remove")
 #: Shares of an entity's information from which a word is generalised or removed, and different texts that must show word and entity together.
 GENERALISE, REMOVE, LEAST_TEXTS = 0.8, 0.95, 3
 
-#: Words on either side of an entity that are its context, and the characters looked through for them.
-CONTEXT_WORDS, CONTEXT_CHARS = 6, 160
-
 #: Candidate words that are sent to every task when document frequencies are counted; beyond, all words' counts are shuffled instead.
 BROADCAST_TERMS = 500_000
 
@@ -41,7 +38,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
-_TERM = re.compile(r"[^\W\d_]{3,}")
+_TERM = re.compile(r"\w+")
 
 
 def _emails(text: str):
@@ -84,24 +81,21 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(out)
 
 
-def context(text: str, spans: list[tuple[int, int, int, str]]) -> list[tuple[int, str, int, int]]:
-    """(span number, word, start, end): the words around each span that lie outside all spans."""
-    out = []
-    for k, (a, _, b, _) in enumerate(spans):
-        low, high = max(0, a - CONTEXT_CHARS), min(len(text), b + CONTEXT_CHARS)
-        before = [m for m in _TERM.finditer(text, low, a) if m.start() > low or low == 0][-CONTEXT_WORDS:]
-        after = [m for m in _TERM.finditer(text, b, high) if m.end() < high or high == len(text)][:CONTEXT_WORDS]
-        for m in (*before, *after):
-            if not any(m.start() < e and s < m.end() for s, _, e, _ in spans[max(0, k - 20) : k + 20]):
-                out.append((k, m.group().lower(), m.start(), m.end()))
-    return out
+def loose_terms(text: str, spans: list[tuple[int, int, int, str]]):
+    """(word, start, end) of the words that lie outside all spans; these are sorted by start."""
+    k = reach = 0
+    for m in _TERM.finditer(text):
+        while k < len(spans) and spans[k][0] < m.end():
+            reach = max(reach, spans[k][2])
+            k += 1
+        if reach <= m.start():
+            yield m.group().lower(), m.start(), m.end()
 
 
 def _found(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     id_type = docs.schema[id_col].dataType.simpleString()
-    names = [id_col, "tkey", *(f"n_{k}" for k in KINDS[:4]), "base_sha256", "base", "entities", "near"]
+    names = [id_col, "tkey", *(f"n_{k}" for k in KINDS[:4]), "base_sha256", "base", "entities", "held"]
     base_kind = pa.list_(pa.struct([("s", pa.int64()), ("k", pa.int32()), ("e", pa.int64())]))
-    near_kind = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("s", pa.int64()), ("e", pa.int64())]))
 
     def find(batches):
         for batch in batches:
@@ -112,10 +106,9 @@ def _found(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
                 count = Counter(k for _, k, _, _ in spans)
                 listed = ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b, _ in spans)
                 entity = [f"{KINDS[k]}:{v}" for _, k, _, v in spans]
-                near = [{"entity": v, "term": w, "s": a, "e": b} for i, w, a, b in context(text, spans) for v in (entity[i], KINDS[spans[i][1]])]
                 entity += [KINDS[k] for _, k, _, _ in spans]
-                rows.append((*(count[k] for k in range(4)), hashlib.sha256(listed.encode()).hexdigest(), [{"s": a, "k": k, "e": b} for a, k, b, _ in spans], sorted(set(entity)), near))
-            kinds = [*[pa.int64()] * 4, pa.string(), base_kind, pa.list_(pa.string()), near_kind]
+                rows.append((*(count[k] for k in range(4)), hashlib.sha256(listed.encode()).hexdigest(), [{"s": a, "k": k, "e": b} for a, k, b, _ in spans], sorted(set(entity)), text if spans else None))
+            kinds = [*[pa.int64()] * 4, pa.string(), base_kind, pa.list_(pa.string()), pa.string()]
             cols = [pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tkey"), *cols], names=names)
 
@@ -123,7 +116,7 @@ def _found(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     return docs.select(F.col(f"`{id_col}`").alias("id"), F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary"))).alias("tkey"), text.alias("text")).mapInArrow(
         find,
         f"`{id_col}` {id_type}, tkey binary, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, "
-        "base array<struct<s: long, k: int, e: long>>, entities array<string>, near array<struct<entity: string, term: string, s: long, e: long>>",
+        "base array<struct<s: long, k: int, e: long>>, entities array<string>, held string",
     )
 
 
@@ -142,7 +135,7 @@ def document_frequencies(docs: DataFrame, text_col: str, terms: DataFrame) -> Da
 
         for batch in batches:
             for x in batch.column("text"):
-                own = set(_TERM.findall((x.as_py() or "").lower()))
+                own = {w.lower() for w in _TERM.findall(x.as_py() or "")}
                 held.update(own if only is None else own & only)
                 if len(held) > HELD_TERMS:
                     yield hand_on()
@@ -156,23 +149,111 @@ def document_frequencies(docs: DataFrame, text_col: str, terms: DataFrame) -> Da
     return counted if few else counted.join(terms, "term", "left_semi")
 
 
+def _spans(row: dict) -> list[tuple[int, int, int, str]]:
+    return [(x["s"], x["k"], x["e"], "") for x in row["base"]]
+
+
+def _pairs(texts: DataFrame, entities: DataFrame) -> DataFrame:
+    """(entity, term, both, texts): documents and different texts that hold both, summed up in the tasks. A null entity: documents that show the term inside entities alone."""
+    spark = texts.sparkSession
+    few = entities.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    wanted = spark.sparkContext.broadcast(frozenset(r["entity"] for r in entities.select("entity").collect())) if few else None
+
+    def count(batches):
+        both: Counter = Counter()
+        different: Counter = Counter()
+
+        def hand_on():
+            keys = list(both)
+            cols = [pa.array([e for e, _ in keys], pa.string()), pa.array([t for _, t in keys], pa.string()), pa.array([both[k] for k in keys], pa.int64()), pa.array([different[k] for k in keys], pa.int64())]
+            both.clear()
+            different.clear()
+            return pa.RecordBatch.from_arrays(cols, names=["entity", "term", "both", "texts"])
+
+        for batch in slices(batches, 64):
+            for row in batch.to_pylist():
+                own = {w for w, _, _ in loose_terms(row["held"], _spans(row))}
+                hidden = {w.lower() for w in _TERM.findall(row["held"])} - own
+                for e, terms in [(None, hidden), *((e, own) for e in row["entities"] if wanted is None or e in wanted.value)]:
+                    keys = [(e, t) for t in terms]
+                    different.update(keys)
+                    for k in keys:
+                        both[k] += row["copies"]
+                    if len(both) > HELD_TERMS:
+                        yield hand_on()
+        yield hand_on()
+
+    counted = texts.select("copies", "entities", "base", "held").mapInArrow(count, "entity string, term string, both long, texts long")
+    return counted.groupBy("entity", "term").agg(F.sum("both").alias("both"), F.sum("texts").alias("texts"))
+
+
+def _places(texts: DataFrame, revealing: DataFrame) -> DataFrame:
+    """(tkey, terms array<(s, k, e)>): where a text shows the terms that reveal one of its entities."""
+    spark = texts.sparkSession
+    if revealing.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        known: dict[str, dict[str, int]] = {}
+        for r in revealing.collect():
+            known.setdefault(r["entity"], {})[r["term"]] = r["k"]
+        shared = spark.sparkContext.broadcast(known)
+        texts = texts.select("tkey", "entities", "base", "held", F.lit(None).cast("array<struct<term: string, k: int>>").alias("wanted"))
+    else:
+        shared = None
+
+        def triples(batches):
+            for batch in slices(batches, 64):
+                for row in batch.to_pylist():
+                    terms = sorted({w for w, _, _ in loose_terms(row["held"], _spans(row))})
+                    for e in row["entities"]:
+                        n = len(terms)
+                        yield pa.RecordBatch.from_arrays([pa.array([row["tkey"]] * n, pa.binary()), pa.array([e] * n, pa.string()), pa.array(terms, pa.string())], names=["tkey", "entity", "term"])
+
+        met = texts.select("tkey", "entities", "base", "held").mapInArrow(triples, "tkey binary, entity string, term string").join(revealing, ["entity", "term"])
+        wanted = met.groupBy("tkey", "term").agg(F.max("k").alias("k")).groupBy("tkey").agg(F.collect_list(F.struct("term", "k")).alias("wanted"))
+        texts = texts.select("tkey", "entities", "base", "held").join(wanted, "tkey")
+
+    def mark(batches):
+        kind = pa.list_(pa.struct([("s", pa.int64()), ("k", pa.int32()), ("e", pa.int64())]))
+        for batch in slices(batches, 64):
+            keys, out = [], []
+            for row in batch.to_pylist():
+                wanted = {x["term"]: x["k"] for x in row["wanted"] or ()}
+                found = []
+                own = [shared.value[e] for e in row["entities"] if e in shared.value] if shared else [wanted]
+                for w, a, b in loose_terms(row["held"], _spans(row)) if own else ():
+                    k = max((terms.get(w, -1) for terms in own), default=-1)
+                    if k >= 0:
+                        found.append({"s": a, "k": k, "e": b})
+                if found:
+                    keys.append(row["tkey"])
+                    out.append(found)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(out, kind)], names=["tkey", "terms"])
+
+    return texts.mapInArrow(mark, "tkey binary, terms array<struct<s: long, k: int, e: long>>")
+
+
 def _reveal(docs: DataFrame, found: DataFrame, text_col: str, generalise: float, remove: float, least_texts: int) -> DataFrame:
-    """(tkey, terms array<(s, k, e)>): the words to be generalised or removed in each text that has any."""
-    pair = F.explode(F.array_distinct(F.transform("near", lambda c: F.struct(c["entity"].alias("entity"), c["term"].alias("term")))))
-    by_text = found.select("tkey", pair.alias("p")).groupBy("p.entity", "p.term", "tkey").agg(F.count("*").alias("docs"))
-    pairs = cut(by_text.groupBy("entity", "term").agg(F.sum("docs").alias("both"), F.count("*").alias("texts")).filter(F.col("texts") >= least_texts))
-    entities = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    """(tkey, terms array<(s, k, e)>): the words to be generalised or removed in each text that has any.
+
+    Only texts with entities are looked at word by word, and of their entities those that `least_texts` texts hold.
+    """
+    first = [F.first(c).alias(c) for c in ("entities", "base", "held")]
+    texts = cut(found.filter(F.size("entities") > 0).groupBy("tkey").agg(F.count("*").alias("copies"), *first))
+    entities = texts.select("copies", F.explode("entities").alias("entity")).groupBy("entity").agg(F.sum("copies").alias("n_entity"), F.count("*").alias("in_texts"))
+    entities = cut(entities.filter(F.col("in_texts") >= least_texts).select("entity", "n_entity"))
+    counted = cut(_pairs(texts, entities).filter(F.col("entity").isNull() | (F.col("texts") >= least_texts)))
+    pairs = counted.filter("entity is not null")
     total = found.count()
-    frequency = document_frequencies(docs, text_col, pairs.select("term").distinct())
+    # what stands inside entities alone is no word of its document
+    hidden = counted.filter("entity is null").select("term", F.col("both").alias("inside"))
+    frequency = document_frequencies(docs, text_col, pairs.select("term").distinct()).join(hidden, "term", "left")
+    frequency = frequency.select("term", (F.col("n") - F.coalesce("inside", F.lit(0))).alias("n"))
     own = F.log(F.lit(float(total)) / F.col("n_entity"))
     shared = F.log(F.lit(float(total)) * F.col("both") / (F.col("n_entity") * F.col("n")))
     scored = pairs.join(frequency, "term").join(entities, "entity").withColumn("share", F.when(own > 0, shared / own))
     revealing = scored.filter(F.col("share") >= generalise).select(
         "entity", "term", F.when(F.col("share") >= remove, KINDS.index("remove")).otherwise(KINDS.index("general")).alias("k")
     )
-    texts = found.filter(F.size("near") > 0).select("tkey", "near").dropDuplicates(["tkey"]).select("tkey", F.inline("near"))
-    hit = texts.join(revealing, ["entity", "term"]).groupBy("tkey", "s", "e").agg(F.max("k").cast("int").alias("k"))
-    return hit.groupBy("tkey").agg(F.sort_array(F.collect_list(F.struct("s", "k", "e"))).alias("terms"))
+    return _places(texts, cut(revealing))
 
 
 def find_personal(
@@ -186,11 +267,11 @@ def find_personal(
     """Spans of personal data and of the words that reveal it, in every whole text.
 
     Base spans: email, ip, card and phone by their patterns, leftmost and without
-    overlap within a kind; matches that fail a check are dropped. Words (letters, three
-    or more) within CONTEXT_WORDS of an entity are `general` or `remove` spans where
-    log(N n_both / (n_entity n_word)) / log(N / n_entity) reaches `generalise` or `remove`;
-    n counts documents, and `least_texts` different texts must show both together, so
-    copies of one text prove nothing. An entity in every document has no information
+    overlap within a kind; matches that fail a check are dropped. All places of a word
+    (letters, digits and underscores, outside base spans) in a text with an entity are
+    `general` or `remove` spans where log(N n_both / (n_entity n_word)) / log(N / n_entity)
+    reaches `generalise` or `remove`; n counts whole documents, and `least_texts` different
+    texts must show both together, so copies of one text prove nothing. An entity in every document has no information
     and reveals no words. A null text is empty. Repeated rows and null ids are answered
     each; an empty table gives no rows.
 

@@ -187,6 +187,20 @@ def test_revealing_words_are_found_and_sanitised(spark):
     assert pii.sanitise(df).columns == df.columns and pii.find_personal(docs_of(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_revealing_words_count_over_whole_documents(spark, monkeypatch, most):
+    monkeypatch.setattr(pii, "BROADCAST_TERMS", most)
+    rnd = random.Random(23)
+    far = [f"李明 wrote. {prose(rnd, 40)} jane.doe@mail.example.org {prose(rnd, 40)} acct_77x Zorgblat {prose(rnd, 20)} zorgblat" for _ in range(6)]
+    texts = far + [f"{prose(rnd, 60)} doe" for _ in range(200)] + [f"{prose(rnd, 20)} {w} zorgblat" for w in ("a1", "b2")]
+    got = {r.doc_id: r.spans for r in pii.find_personal(docs_of(spark, texts)).collect()}
+    for i in range(6):
+        hit = [(texts[i][x.s : x.e].lower(), pii.KINDS[x.k]) for x in got[i] if pii.KINDS[x.k] in ("general", "remove")]
+        assert {("李明", "remove"), ("acct_77x", "remove")} <= set(hit)
+        assert [k for w, k in hit if w == "zorgblat"] == ["general"] * 2  # log(208 * 6 / (6 * 8)) / log(208 / 6) = 0.92
+    assert all(not got[i] for i in range(6, len(texts)))
+
+
 def test_word_counts_are_the_same_with_and_without_a_broadcast(spark, monkeypatch):
     rnd = random.Random(14)
     texts = [prose(rnd, 40, 100) for _ in range(30)] + [None]

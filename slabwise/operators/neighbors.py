@@ -132,7 +132,8 @@ def feature_knn(features: DataFrame, k: int, step: int = -1, part: str = "slice_
 
     features has (gid, part, vec); step 0 searches the row's own slice, without itself.
     Slices are searched in blocks: every block of a slice meets every block of the
-    other in some task by a matrix product, distances are then summed up exactly.
+    other in some task by a matrix product; distances of all that may be among the k,
+    ties included, are then summed up exactly. Ties go to the lesser id.
     """
     block = 2048
     rows = cut(features.select(F.col(part).alias("part"), "gid", "vec").withColumn("b", F.lit(0)))
@@ -153,17 +154,22 @@ def feature_knn(features: DataFrame, k: int, step: int = -1, part: str = "slice_
         s, t = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         out = ([], [], [])
         if len(s) and len(t):
-            rough = (vec[s] ** 2).sum(1)[:, None] + (vec[t] ** 2).sum(1)[None, :] - 2 * vec[s] @ vec[t].T
-            keep = min(len(t), k + 8)
-            near = np.argpartition(rough, keep - 1, axis=1)[:, :keep]
-            for i, row in enumerate(s):
-                c = t[near[i]]
-                c = c[gid[c] != gid[row]]
-                d = ((vec[c] - vec[row]) ** 2).sum(1)
-                o = np.lexsort((gid[c], d))[:k]
-                out[0].extend([gid[row]] * len(o))
-                out[1].extend(gid[c[o]])
-                out[2].extend(d[o])
+            norm = (vec**2).sum(1)
+            most = min(len(t), k + 1)  # one of them may be the row itself
+            # what rounding can add to a rough distance: all targets within it of the k-th are summed up exactly
+            slack = 1e-15 * (vec.shape[1] + 8) * (norm[s] + norm[t].max())
+            for low in range(0, len(s), 256):
+                rough = norm[s[low : low + 256], None] + norm[t][None, :] - 2 * vec[s[low : low + 256]] @ vec[t].T
+                kth = np.partition(rough, most - 1, axis=1)[:, most - 1]
+                near = ~(rough > (kth + 4 * slack[low : low + 256])[:, None])
+                for i, row in enumerate(s[low : low + 256]):
+                    c = t[near[i]]
+                    c = c[gid[c] != gid[row]]
+                    d = ((vec[c] - vec[row]) ** 2).sum(1)
+                    o = np.lexsort((gid[c], d))[:k]
+                    out[0].extend([gid[row]] * len(o))
+                    out[1].extend(gid[c[o]])
+                    out[2].extend(d[o])
         return pa.table({"src": pa.array(out[0], pa.int64()), "dst": pa.array(out[1], pa.int64()), "d2": pa.array(out[2], pa.float64())})
 
     found = src.unionByName(dst).groupBy("part", "sb", "tb").applyInArrow(score, "src long, dst long, d2 double")

@@ -225,3 +225,20 @@ def test_traces_and_optional_plots(spark):
     assert viz.palette(0) == [] and len(viz.palette(10)) == 10 and viz.palette(9)[8] == viz.palette(1)[0]
     with pytest.raises(ValueError):
         viz.plotly_pointcloud(pts.drop("z"))
+
+
+def test_feature_neighbours_tie_by_id_among_many_copies(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(3, 8)) * 0.1
+    ids = rng.permutation(600)
+    rows = [(int(g), i % 2, base[i % 3].tolist()) for i, g in enumerate(ids)]
+    df = spark.createDataFrame(rows, "gid long, slice_idx int, vec array<double>")
+    got = {}
+    for r in neighbors.feature_knn(df, 4).collect():
+        got.setdefault(r.src, {})[r["rank"]] = r.dst
+    vec = {g: np.array(v) for g, _, v in rows}
+    low = [g for g, i, _ in rows if i == 0]
+    for g, i, v in rows:
+        if i == 1:
+            want = sorted(low, key=lambda h: (((vec[h] - vec[g]) ** 2).sum(), h))[:4]
+            assert [got[g][k] for k in (1, 2, 3, 4)] == want

@@ -71,6 +71,22 @@ def assignment(cost: np.ndarray) -> np.ndarray:
     return out
 
 
+def assigned_pair(rows):
+    """(src, dst) of a least-cost assignment by features between the sides 0 and 1 of bounded rows (side, gid, vec).
+
+    All rows of the smaller side are assigned: rows or columns without cost fill up the square.
+    """
+    import pandas as pd
+
+    a, b = (rows[rows["side"] == i].sort_values("gid") for i in (0, 1))
+    out = []
+    if len(a) and len(b):
+        cost = np.zeros((max(len(a), len(b)),) * 2)
+        cost[: len(a), : len(b)] = squared_distances(np.array(a["vec"].tolist()), np.array(b["vec"].tolist()))
+        out = [(int(a["gid"].iloc[i]), int(b["gid"].iloc[j])) for i, j in enumerate(assignment(cost)) if i < len(a) and j < len(b)]
+    return pd.DataFrame(out, columns=["src", "dst"])
+
+
 def candidates_only(cost: np.ndarray, k: int | None) -> np.ndarray:
     """Each row's k least costs; the others are not finite. All of them where k is None, not positive or not less than the width."""
     if k is None or k <= 0 or k >= cost.shape[1]:

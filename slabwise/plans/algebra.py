@@ -214,15 +214,9 @@ def positive_mass(spark, sf_dir):
 
 @query("lap_assign")
 def lap_assign(spark, sf_dir):
-    import numpy as np
-
-    s = fixtures.spots(spark, sf_dir)
-    picked = neighbors.subsample(s.filter("slice_idx < 2"), 40).select("gid", "slice_idx", "vec").toPandas().sort_values("gid")
-    a, b = (picked[picked["slice_idx"] == i] for i in (0, 1))
-    cost = transport.squared_distances(np.array(a["vec"].tolist()), np.array(b["vec"].tolist()))
-    to = transport.assignment(cost)
-    rows = [(int(g), int(b["gid"].iloc[j])) for g, j in zip(a["gid"], to)]
-    return spark.createDataFrame(rows, "src long, dst long")
+    s = neighbors.subsample(fixtures.spots(spark, sf_dir), registration.Options.emd_max_n).select("gid", "slice_idx", "vec")
+    sides = s.select(F.col("slice_idx").alias("pair"), F.lit(0).alias("side"), "gid", "vec").unionByName(s.select((F.col("slice_idx") - 1).alias("pair"), F.lit(1).alias("side"), "gid", "vec"))
+    return sides.groupBy("pair").applyInPandas(transport.assigned_pair, "src long, dst long")
 
 
 # ---- registration --------------------------------------------------------------------------------

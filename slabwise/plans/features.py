@@ -120,7 +120,7 @@ def sparkx_statistic(spark, sf_dir):
 
 @query("sparkx_test")
 def sparkx_test(spark, sf_dir):
-    return svg.spatially_variable(fixtures.count_spots(spark, sf_dir), fixtures.counts(spark, sf_dir), max_genes=200).select("gene_idx", "combined", "adjusted")
+    return svg.spatially_variable(fixtures.count_spots(spark, sf_dir), fixtures.counts(spark, sf_dir)).select("gene_idx", "combined", "adjusted")
 
 
 # ---- plots ---------------------------------------------------------------------------------------

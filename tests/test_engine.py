@@ -242,3 +242,14 @@ def test_feature_neighbours_tie_by_id_among_many_copies(spark):
         if i == 1:
             want = sorted(low, key=lambda h: (((vec[h] - vec[g]) ** 2).sum(), h))[:4]
             assert [got[g][k] for k in (1, 2, 3, 4)] == want
+
+
+def test_every_adjacent_pair_is_assigned_and_every_gene_tested(spark):
+    from slabwise.plans import load_catalog
+
+    data, found = "/root/testdata/sf0.001", load_catalog().QUERIES
+    sizes = dict(spark.read.parquet(f"{data}/embeddings.parquet").groupBy("label").count().collect())
+    slices = {r["vec_id"]: r["label"] for r in spark.read.parquet(f"{data}/embeddings.parquet").collect()}
+    pairs = found["lap_assign"](spark, data).collect()
+    assert len(pairs) == sum(min(sizes[i], sizes[i + 1]) for i in range(9)) and all(slices[p.dst] == slices[p.src] + 1 for p in pairs)
+    assert found["sparkx_test"](spark, data).count() == found["sparkx_statistic"](spark, data).count()

@@ -253,3 +253,10 @@ def test_every_adjacent_pair_is_assigned_and_every_gene_tested(spark):
     pairs = found["lap_assign"](spark, data).collect()
     assert len(pairs) == sum(min(sizes[i], sizes[i + 1]) for i in range(9)) and all(slices[p.dst] == slices[p.src] + 1 for p in pairs)
     assert found["sparkx_test"](spark, data).count() == found["sparkx_statistic"](spark, data).count()
+
+
+def test_the_order_is_of_all_slices(spark):
+    from slabwise.plans import load_catalog
+
+    data, found = "/root/testdata/sf0.001", load_catalog().QUERIES
+    assert sorted(r.slice_idx for r in found["infer_order"](spark, data).collect()) == list(range(10))

@@ -6,11 +6,15 @@ words, at step j writes the word it stands on and moves on or stays by a random
 agree at most of the written places. A hash function samples some of those places.
 
 A window of an item's size is embedded from an anchor within it, towards the item's
-farther end. Anchors are the item's rarest words, several to an item, and every hash
-function samples the walk's first place, which is the anchor itself; so a document's
-window is dismissed, exactly, as soon as it doesn't stand on an anchor word, and the
-other places are only written for the rest. Windows that collide with an item are
-verified by the edit distance of the whole item to the document around the anchor.
+farther end, and only places at which the walk can't have left the item are sampled.
+Anchors are the item's rarest words, several to an item, and every hash function
+samples the walk's first place, which is the anchor itself; so a document's window is
+dismissed, exactly, as soon as it doesn't stand on an anchor word, and the other places
+are only written for the rest. Functions are added until edited copies of the items
+themselves are found at the target recall. Items too short for a walk are cut into one
+stretch more than edits are allowed, one of which every near copy holds unchanged.
+Windows that collide with an item are verified by the edit distance of the whole item
+to the document around the anchor.
 """
 
 from __future__ import annotations
@@ -32,112 +36,165 @@ EDITS = 0.2
 #: Places of the walk that a hash function samples besides the first, anchors of an item, and the share of leaks to find.
 SAMPLED, ANCHORS, RECALL = 2, 6, 0.999
 
-#: Items that are searched for in one pass over the documents.
-ITEMS_PER_PASS = 20_000
+#: Steps of the walk that may be sampled, and the words from which an item is walked.
+REACH, SHORT = 12, 10
 
+#: Edited copies on which recall is measured, and the most hash functions.
+TRIALS, FUNCTIONS = 1000, 64
 
-def repetitions(anchors: int, edits: float = EDITS, sampled: int = SAMPLED, recall: float = RECALL) -> int:
-    """Hash functions for the target recall.
-
-    An anchor survives with chance 1 - edits. A sampled place agrees if the walks are in
-    step there; by the CGK bound two walks part for O(k^2) steps over k edits, and over
-    the short prefix that is sampled we count on half of the places. An anchor then
-    collides under one function with 0.5^sampled, and misses all of R with
-    (1 - 0.5^sampled)^R; the item is missed if every anchor is.
-    """
-    for r in range(1, 257):
-        found = (1 - edits) * (1 - (1 - 0.5**sampled) ** r)
-        if (1 - found) ** anchors <= 1 - recall:
-            return r
-    return 256
+#: Items that are searched for in one pass over the documents.
+ITEMS_PER_PASS = 20_000
 
 
 class Index:
-    """The items' anchors, in the order of their hash functions."""
+    """The items' anchors and stretches, in the order of their hash functions."""
 
     def __init__(self, items: list[tuple[object, str]], edits: float = EDITS, recall: float = RECALL, sampled: int = SAMPLED, seed: int = 5):
-        self.edits, self.sampled = edits, sampled
+        self.edits, self.sampled, self.seed = edits, sampled, seed
         texts = [(i, words(t)) for i, t in items]
         texts = [(i, w) for i, w in texts if w]
         self.ids = [i for i, _ in texts]
         vocabulary = sorted({x for _, w in texts for x in w})
         self.code = {x: k + 1 for k, x in enumerate(vocabulary)}  # 0: any word of no item
         self.items = [np.array([self.code[x] for x in w], dtype=np.int32) for _, w in texts]
-        self.limit = [int(edits * len(w)) for w in self.items]
+        self.limit = [min(int(edits * len(w)), len(w) - 1) for w in self.items]
+        self.bags = [frozenset(w.tolist()) for w in self.items]
+        self.n_codes = len(vocabulary) + 1
         common = Counter(c for w in self.items for c in w.tolist())
-        self.reps = repetitions(ANCHORS, edits, sampled, recall)
-        rng = np.random.default_rng(seed)
-        n = len(vocabulary) + 1
-        self.reach = 12  # steps of the walk that may be sampled
-        bits = mix64(np.arange(self.reps * self.reach * n, dtype=np.uint64) + np.uint64(seed << 40))
-        self.bits = (bits >> np.uint64(63)).astype(np.int8).reshape(self.reps, self.reach, n)
-        self.places = np.stack([np.sort(rng.choice(np.arange(1, self.reach), sampled, replace=False)) for _ in range(self.reps)])
-        anchors = []  # (item, offset, direction)
+        places = []  # (item, offset) of anchors and stretches
+        #: (direction, farthest step) -> [(number, place among the items' words)], and length -> [(number, item, offset)]
+        self.anchors: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        stretches: dict[int, list[tuple[int, int, int]]] = {}
+        begin = np.cumsum([0, *map(len, self.items)])
         for k, w in enumerate(self.items):
-            order = sorted(range(len(w)), key=lambda p: (common[int(w[p])], -len(vocabulary[int(w[p]) - 1]), p))
+            n = len(w)
+            if n < SHORT:
+                ends = np.linspace(0, n, self.limit[k] + 2).round().astype(int).tolist()
+                for a, b in zip(ends, ends[1:]):
+                    stretches.setdefault(b - a, []).append((len(places), k, a))
+                    places.append((k, a))
+                continue
+            order = sorted(range(n), key=lambda p: (common[int(w[p])], -len(vocabulary[int(w[p]) - 1]), p))
             # an anchor for each stretch of the item first, then the rarest of the rest
-            stretch = max(1, math.ceil(len(w) / ANCHORS))
+            stretch = max(1, math.ceil(n / ANCHORS))
             chosen, used = [], set()
             for p in order:
                 if p // stretch not in used:
                     used.add(p // stretch)
                     chosen.append(p)
             chosen += [p for p in order if p not in chosen]
-            anchors += [(k, p, 1 if p < len(w) / 2 else -1) for p in chosen[:ANCHORS]]
-        self._anchor_items = np.array([a[:2] for a in anchors], dtype=np.int64).reshape(-1, 2)
-        self.bags = [frozenset(w.tolist()) for w in self.items]
-        self.is_anchor = np.zeros((2, n), dtype=bool)
-        for k, p, d in anchors:
-            self.is_anchor[int(d < 0), self.items[k][p]] = True
-        #: by hash function and direction: key -> anchors
-        self.tables: list[dict[int, list[int]]] = [{} for _ in range(2 * self.reps)]
-        for side, d in enumerate((1, -1)):
-            own = [a for a, x in enumerate(anchors) if x[2] == d]
-            if not own:
-                continue
-            padded = np.zeros(sum(len(w) + 2 * self.reach for w in self.items), dtype=np.int32)
-            start, at = {}, self.reach
-            for k, w in enumerate(self.items):
-                padded[at : at + len(w)] = w
-                start[k] = at
-                at += len(w) + 2 * self.reach
-            where = np.array([start[anchors[a][0]] + anchors[a][1] for a in own])
-            for r in range(self.reps):
-                for a, key in zip(own, self.walk(padded, where, d, r).tolist()):
-                    self.tables[2 * r + side].setdefault(key, []).append(a)
-        self.keys = [np.array(sorted(t), dtype=np.int64) for t in self.tables]
-
-    def walk(self, codes: np.ndarray, where: np.ndarray, direction: int, r: int) -> np.ndarray:
-        """The hash of the walk of function r from each place: the anchor and what is written at the sampled steps."""
+            for p in chosen[:ANCHORS]:
+                d = 1 if p < n / 2 else -1
+                steps = min(REACH, n - p if d > 0 else p + 1) - 1  # a step moves on by a word at most
+                self.anchors.setdefault((d, steps), []).append((len(places), int(begin[k]) + p))
+                places.append((k, p))
+        self.places = np.array(places, dtype=np.int64).reshape(-1, 2)
+        self.all_words = np.concatenate([np.zeros(0, np.int32), *self.items])
+        self.is_anchor = {c: self._mask(self.all_words[[p for _, p in own]]) for c, own in self.anchors.items()}
+        self.stretches = {}
+        for length, own in stretches.items():
+            table: dict[int, list[int]] = {}
+            for number, k, a in own:
+                table.setdefault(int(self._runs(self.items[k], np.array([a]), length)[0]), []).append(number)
+            self.stretches[length] = (self._mask([self.items[k][a] for _, k, a in own]), np.array(sorted(table), dtype=np.int64), table)
+        self.functions: list[dict] = []  # of each: the bits, and by class the sampled places, the sorted keys and the table
+        self._grow_to(recall)
+
+    def _mask(self, codes) -> np.ndarray:
+        out = np.zeros(self.n_codes, dtype=bool)
+        out[np.asarray(codes, dtype=np.int64)] = True
+        return out
+
+    @staticmethod
+    def _runs(codes: np.ndarray, where: np.ndarray, length: int) -> np.ndarray:
+        """The hash of `length` words from each place."""
+        key = np.zeros(len(where), dtype=np.int64)
+        for i in range(length):
+            key = key * 1_000_003 + codes[where + i]
+        return key
+
+    def _add_function(self) -> None:
+        r = len(self.functions)
+        rng = np.random.default_rng((self.seed, r))
+        bits = mix64(np.arange(REACH * self.n_codes, dtype=np.uint64) + np.uint64((self.seed * FUNCTIONS + r) << 36))
+        function = {"bits": (bits >> np.uint64(63)).astype(np.int8).reshape(REACH, self.n_codes), "classes": {}}
+        for c, own in sorted(self.anchors.items()):
+            sampled = np.sort(rng.choice(np.arange(1, c[1] + 1), min(self.sampled, c[1]), replace=False))
+            keys = self.walk(self.all_words, np.array([p for _, p in own]), c[0], function["bits"], sampled)
+            table: dict[int, list[int]] = {}
+            for (number, _), key in zip(own, keys.tolist()):
+                table.setdefault(key, []).append(number)
+            function["classes"][c] = (sampled, np.array(sorted(table), dtype=np.int64), table)
+        self.functions.append(function)
+
+    def _grow_to(self, recall: float) -> None:
+        """Add functions until edited copies of walked items, at the limit of their edits, collide with them at the recall."""
+        self.measured = 1.0
+        long = [k for k, w in enumerate(self.items) if len(w) >= SHORT]
+        if not long:
+            return
+        rng = np.random.default_rng(self.seed)
+        trials, wanted = [], []
+        for i in range(TRIALS):
+            k = long[i % len(long)] if len(long) <= TRIALS else int(rng.choice(long))
+            trials.append(self._edited(k, rng))
+            wanted.append(k)
+        missed = np.arange(TRIALS)
+        while len(missed) > (1 - recall) * TRIALS and len(self.functions) < FUNCTIONS:
+            self._add_function()
+            found = self.candidates([trials[i] for i in missed], self.functions[-1:])
+            hit = {(t, k) for t, k, _ in found.tolist()}
+            missed = np.array([i for t, i in enumerate(missed.tolist()) if (t, wanted[i]) not in hit], dtype=np.int64)
+        self.measured = 1 - len(missed) / TRIALS
+
+    def _edited(self, k: int, rng) -> np.ndarray:
+        """A copy of an item with as many edits as allowed, between other words."""
+        word = lambda n: rng.integers(0, self.n_codes, n).tolist()
+        w = self.items[k].tolist()
+        for _ in range(self.limit[k]):
+            kind, p = rng.integers(3), int(rng.integers(len(w)))
+            w[p : p + (kind > 0)] = word(1) if kind < 2 else []
+        return np.array([*word(15), *w, *word(15)], dtype=np.int32)
+
+    @staticmethod
+    def walk(codes: np.ndarray, where: np.ndarray, direction: int, bits: np.ndarray, sampled: np.ndarray) -> np.ndarray:
+        """The hash of the walk from each place: the anchor and what is written at the sampled steps."""
         at, key, last = where.copy(), codes[where].astype(np.int64), len(codes) - 1
-        for j in range(int(self.places[r][-1]) + 1):
+        for j in range(int(sampled[-1]) + 1 if len(sampled) else 0):
             here = codes[at]
-            if j in self.places[r]:
+            if j in sampled:
                 key = key * 1_000_003 + here
-            at = np.clip(at + direction * self.bits[r, j, here], 0, last)
+            at = np.clip(at + direction * bits[j, here], 0, last)
         return key
 
-    def candidates(self, texts: list[np.ndarray]) -> np.ndarray:
+    def candidates(self, texts: list[np.ndarray], functions: list[dict] | None = None) -> np.ndarray:
         """Distinct rows (text, item, start) wherever a window of a text collides with an item; start is where the item would begin."""
-        gap = np.zeros(self.reach, np.int32)  # no walk gets from one text into the next
+        gap = np.zeros(REACH, np.int32)  # no walk gets from one text into the next
         codes = np.concatenate([gap, *(x for t in texts for x in (t, gap))])
-        begin = np.cumsum([self.reach, *(len(t) + self.reach for t in texts)])
+        begin = np.cumsum([REACH, *(len(t) + REACH for t in texts)])
         found = []
-        for side, d in enumerate((1, -1)):
-            where = np.flatnonzero(self.is_anchor[side][codes])
-            for r in range(self.reps) if len(where) else ():
-                keys, table = self.walk(codes, where, d, r), self.keys[2 * r + side]
-                if not len(table):
-                    continue
-                i = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-                for h in np.flatnonzero(table[i] == keys).tolist():
-                    for a in self.tables[2 * r + side][int(keys[h])]:
-                        found.append((int(where[h]), a))
+
+        def collide(where, keys, table, numbers):
+            if not len(table):
+                return
+            i = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+            for h in np.flatnonzero(table[i] == keys).tolist():
+                for number in numbers[int(keys[h])]:
+                    found.append((int(where[h]), number))
+
+        for c, mask in self.is_anchor.items():
+            where = np.flatnonzero(mask[codes])
+            for f in (self.functions if functions is None else functions) if len(where) else ():
+                sampled, table, numbers = f["classes"][c]
+                collide(where, self.walk(codes, where, c[0], f["bits"], sampled), table, numbers)
+        for length, (mask, table, numbers) in self.stretches.items():
+            where = np.flatnonzero(mask[codes[: len(codes) - length]])
+            collide(where, self._runs(codes, where, length), table, numbers)
         if not found:
             return np.zeros((0, 3), dtype=np.int64)
-        place, anchor = np.unique(np.array(found, dtype=np.int64), axis=0).T
+        place, number = np.unique(np.array(found, dtype=np.int64), axis=0).T
         text = np.searchsorted(begin, place, side="right") - 1
-        item, offset = self._anchor_items[anchor].T
+        item, offset = self.places[number].T
         return np.unique(np.column_stack([text, item, place - begin[text] - offset]), axis=0)
 
     def matches(self, texts: list[np.ndarray]) -> list[tuple[int, int, int, int]]:
@@ -152,6 +209,8 @@ class Index:
                 held = [text, texts[text].tolist()]
             if verified is not None and start - verified <= limit:
                 continue  # the stretch around the start before was verified, with slack for both
+            if best.get((text, k), (1, 0))[0] == 0:
+                continue  # nothing is nearer than an exact copy
             low, high = max(0, start - limit), max(0, start + len(item) + 3 * limit)
             # an edit takes away one of the item's distinct words at most
             if len(self.bags[k].intersection(held[1][low:high])) < len(self.bags[k]) - limit:
@@ -162,7 +221,6 @@ class Index:
                 best[text, k] = min(best.get((text, k), (limit + 1, 0)), (found[0], low + found[1]))
         return [(t, k, *v) for (t, k), v in sorted(best.items())]
 
-
     def coder(self) -> Memo:
         code = self.code.get
         return Memo(lambda w: code(w, 0))

@@ -23,10 +23,11 @@ from .words import WORD, words
 #: Bounds of the labelled sample: texts of either label, and characters of a text.
 MOST_TOXIC, MOST_CLEAN, MOST_CHARS = 1500, 3000, 20_000
 
-#: Words in a segment of the chain. Texts are cut into segments of this many words.
+#: Words in a segment of the chain: texts are laid out, and fitted, in segments of this many words; what is before and after a
+#: segment of a text is handed on when it is scored.
 SEGMENT = 64
 
-#: Segments whose chances are computed at a time while fitting.
+#: Segments whose chances are computed at a time.
 BLOCK = 4096
 
 #: A document is toxic from this score.
@@ -58,38 +59,93 @@ class Model:
         return out
 
 
-def forward_backward(emissions: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Chance of the toxic state at each place of segments (rows, padded), and the expected number of each transition [from, to]."""
+def forward_backward(emissions: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, enter=None, leave=None, counted: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Chance of the toxic state at each place of segments (rows, padded), and the expected number of each transition [from, to] if it is `counted`.
+
+    A segment within a text goes on from what was before it (`enter`, the weights of its
+    first place's states) and to what comes after it (`leave`); without these it stands alone.
+    """
     n, t = emissions.shape
     score = np.stack([np.ones_like(emissions), np.exp(np.clip(emissions, -30, 30))], axis=2)
     move = np.exp(transitions)
     inside = np.arange(t)[None, :] < lengths[:, None]
+    leave = np.ones((n, 2)) if leave is None else leave
     forward = np.empty((n, t, 2))
-    state = score[:, 0]
+    state = score[:, 0] if enter is None else score[:, 0] * enter
     for i in range(t):
         if i:
             state = (state @ move) * score[:, i]
         state = state / state.sum(axis=1, keepdims=True)
         forward[:, i] = state
     out, pairs = np.zeros((n, t)), np.zeros((2, 2))
-    back = np.ones((n, 2))  # of place i, from the places after it
+    back = leave  # of place i, from the places after it
     for i in range(t - 1, -1, -1):
         both = forward[:, i] * back
         out[:, i] = both[:, 1] / both.sum(axis=1)
         if i:
             after = score[:, i] * back
-            joint = forward[:, i - 1, :, None] * move * after[:, None, :]
-            joint /= joint.sum(axis=(1, 2), keepdims=True)
-            pairs += joint[inside[:, i]].sum(axis=0)
-            # beyond a segment's end nothing is known: the padding leaves `back` even
-            back = np.where(inside[:, i : i + 1], after @ move.T, 1.0)
+            if counted:
+                joint = forward[:, i - 1, :, None] * move * after[:, None, :]
+                joint /= joint.sum(axis=(1, 2), keepdims=True)
+                pairs += joint[inside[:, i]].sum(axis=0)
+            # beyond a segment's end nothing is known but what comes after it
+            back = np.where(inside[:, i : i + 1], after @ move.T, leave)
             back = back / back.sum(axis=1, keepdims=True)
     out[~inside] = 0.0
     return out, pairs
 
 
-def marginals(emissions: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) -> np.ndarray:
-    return forward_backward(emissions, lengths, transitions)[0]
+def _passage(emissions: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) -> np.ndarray:
+    """For each segment the 2 x 2 matrix that takes the state weights at the place before it to those at its last place, up to a factor."""
+    n, t = emissions.shape
+    toxic, move = np.exp(np.clip(emissions, -30, 30)), np.exp(transitions)
+    whole = bool((lengths == t).all())
+    m = np.broadcast_to(np.eye(2), (n, 2, 2)).copy()
+    for i in range(t):
+        x = m @ move
+        x[:, :, 1] *= toxic[:, i, None]
+        m = x if whole else np.where((lengths > i)[:, None, None], x, m)
+        if i % 8 == 7:
+            m = m / m.sum(axis=(1, 2), keepdims=True)
+    return m / m.sum(axis=(1, 2), keepdims=True)
+
+
+def marginals(emissions: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Chance of the toxic state at each place of texts that are chains over consecutive segments: rows tells how many segments each text has.
+
+    What a segment hands on is a product of 2 x 2 matrices; these are made for all
+    segments at once, and only their products along a text are taken one by one.
+    """
+    n = len(emissions)
+    parts = [slice(i, i + BLOCK) for i in range(0, n, BLOCK)]
+    enter, leave = np.ones((n, 2)), np.ones((n, 2))
+    rows = rows[rows > 0]
+    first = np.cumsum(rows) - rows
+    if (rows > 1).any():
+        move = np.exp(transitions)
+        passage = np.concatenate([_passage(emissions[p], lengths[p], transitions) for p in parts])
+        scale = lambda x: x / x.sum(axis=1, keepdims=True)
+        # a text's first segment has no place before it: its own marginals' last state goes on
+        start = first[rows > 1]
+        toxic = np.exp(np.clip(emissions[start], -30, 30))
+        state = np.stack([np.ones(len(start)), toxic[:, 0]], axis=1)
+        for i in range(1, emissions.shape[1]):
+            state = scale(state @ move)
+            state[:, 1] *= toxic[:, i]
+        left = rows[rows > 1]
+        for step in range(1, int(rows.max())):
+            on = left > step
+            start, state, left = start[on], state[on], left[on]
+            enter[start + step] = scale(state @ move)
+            state = scale((state[:, None, :] @ passage[start + step])[:, 0])
+        last, back = (first + rows - 1)[rows > 1], np.ones((int((rows > 1).sum()), 2))
+        left = rows[rows > 1]
+        for step in range(1, int(rows.max())):
+            on = left > step
+            last, back, left = last[on], back[on], left[on]
+            back = scale((passage[last - step + 1] @ back[:, :, None])[:, :, 0])
+            leave[last - step] = back
+    return np.concatenate([forward_backward(emissions[p], lengths[p], transitions, enter[p], leave[p], False)[0] for p in parts]) if n else emissions
 
 
 def _segments(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -262,7 +318,7 @@ def train(rows: list[tuple[str, int]]) -> Model:
     seen = []
     for w, _ in known:
         e, n = _segments(np.array([score[x] for x in w], dtype=np.float64))
-        seen.append(summary(marginals(e, n, move).ravel()))
+        seen.append(summary(marginals(e, n, move, np.array([len(n)])).ravel()))
     model.calibration = _calibrate(np.array(seen), np.array([y for _, y in known], dtype=float))
     return model
 
@@ -271,6 +327,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, text_col: str, id_col: s
     """At most MOST_TOXIC and MOST_CLEAN texts (those of least id hash), none held out and none over MOST_CHARS characters.
 
     Repeated labels of a document count as toxic if any does; null labels and ids count as none.
+    Of different texts that share an id the least one is taken.
     """
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max((F.col(label_col) > 0).cast("int")).alias("y"))
     rank = F.xxhash64(id_col, F.lit("sample"))
@@ -279,7 +336,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, text_col: str, id_col: s
     ids = short.select(F.col(id_col).alias("__id"), F.col("y").alias("__y"))
     text = F.col(f"`{text_col}`")
     rows = docs.select(F.col(f"`{id_col}`").alias("__doc"), text.alias("__text")).filter(F.length("__text") <= MOST_CHARS)
-    found = rows.join(F.broadcast(ids), F.col("__doc") == F.col("__id")).select("__text", "__y").limit(4 * (MOST_TOXIC + MOST_CLEAN)).toArrow()
+    # a text counts once, however many rows repeat its id: what is read stays bounded by the sample
+    found = rows.join(F.broadcast(ids), F.col("__doc") == F.col("__id")).groupBy("__doc", "__y").agg(F.min("__text").alias("__text")).select("__text", "__y").toArrow()
     return list(zip(found.column(0).to_pylist(), found.column(1).to_pylist()))
 
 
@@ -297,7 +355,7 @@ class Judge:
             e, n = _segments(np.fromiter(map(self.emission.__getitem__, w), dtype=np.float64, count=len(w)))
             waiting.append((t, e, n))
             held += len(n)
-            if held >= 4096:
+            if held >= BLOCK:
                 yield from self._score(waiting)
                 waiting, held = [], 0
         yield from self._score(waiting)
@@ -306,7 +364,7 @@ class Judge:
         if not waiting:
             return
         e, n = np.concatenate([x[1] for x in waiting]), np.concatenate([x[2] for x in waiting])
-        p = np.concatenate([marginals(e[i : i + 4096], n[i : i + 4096], self.model.transitions) for i in range(0, len(e), 4096)]) if len(e) else e
+        p = marginals(e, n, self.model.transitions, np.array([len(x[2]) for x in waiting]))
         at = 0
         for t, _, own in waiting:
             values = p[at : at + len(own)].ravel()

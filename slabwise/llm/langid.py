@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, sigmoid
+from .common import held_out, sigmoid, slices
 from .linear import fit_svm
 
 #: Families of languages by code; a language that is not listed is a family of its own.
@@ -27,8 +27,8 @@ FAMILIES = {
     "indic": ("hi", "bn", "mr", "ur", "pa"),
 }
 
-#: Buckets of the trigram hash, texts of a language in the training sample, and characters of such a text.
-DIMENSIONS, SAMPLE_PER_LANGUAGE, MOST_CHARS = 4096, 600, 20_000
+#: Buckets of the trigram hash, and texts of a language in the training sample.
+DIMENSIONS, SAMPLE_PER_LANGUAGE = 4096, 600
 
 UNKNOWN = "und"
 
@@ -88,8 +88,8 @@ class Model:
         return out, np.clip(score, 0.0, 1.0)
 
 
-def train(texts: list[str], langs: list[str], families: dict[str, tuple[str, ...]] = FAMILIES, dimensions: int = DIMENSIONS) -> Model:
-    x = vectors(texts, dimensions)
+def train(x: np.ndarray, langs: list[str], families: dict[str, tuple[str, ...]] = FAMILIES) -> Model:
+    dimensions = x.shape[1]
     lang = np.array(langs, dtype=object)
     members: dict[str, list[str]] = {}
     for name in sorted(set(langs)):
@@ -109,24 +109,36 @@ def train(texts: list[str], langs: list[str], families: dict[str, tuple[str, ...
     return Model(names, weights, members, pairs)
 
 
-def training_sample(docs: DataFrame, text_col: str, id_col: str, lang_col: str) -> tuple[list[str], list[str]]:
-    """About SAMPLE_PER_LANGUAGE texts of each language, chosen by their id's hash: none held out, without a letter or over MOST_CHARS.
+def training_sample(docs: DataFrame, text_col: str, id_col: str, lang_col: str) -> tuple[np.ndarray, list[str]]:
+    """The vectors and languages of about SAMPLE_PER_LANGUAGE texts of each language, chosen by hash: none held out or without a letter.
 
-    The counts cover all rows; a language's share of hashes that it keeps follows from its count.
+    The counts cover all rows; a language's share of hashes that it keeps follows from its count. Rows that repeat id, text
+    and language count once. Whole texts are turned into vectors where they are, so their lengths don't matter.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
-    rows = rows.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out("id") & (F.length("text") <= MOST_CHARS) & F.col("text").rlike(r"\p{L}"))
+    rows = rows.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out("id") & F.col("text").rlike(r"\p{L}"))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return [], []
-    space = 1_000_000
+        return np.zeros((0, DIMENSIONS), np.float32), []
+    space = 1_000_000_000
     keep = F.lit(0)
     for lang, n in sorted(counts.items()):
         keep = F.when(F.col("lang") == lang, F.lit(min(space, int(space * 1.1 * SAMPLE_PER_LANGUAGE / n) + 1))).otherwise(keep)
-    # an id's rows share a hash, so a hash of id and text; the limit only guards against repeated rows
-    sample = rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(space)) < keep).limit(2 * SAMPLE_PER_LANGUAGE * len(counts)).select("text", "lang").toArrow()
-    both = sorted(set(zip(sample.column(0).to_pylist(), sample.column(1).to_pylist())))
-    return [t for t, _ in both], [x for _, x in both]
+    sample = rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(space)) < keep).dropDuplicates()
+
+    def vector(batches):
+        for batch in slices(batches, 64):
+            x = vectors([t.as_py() for t in batch.column("text")])
+            filled = [np.flatnonzero(row) for row in x]
+            place, value = [i.astype(np.uint16).tobytes() for i in filled], [row[i].tobytes() for row, i in zip(x, filled)]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(place, pa.binary()), pa.array(value, pa.binary())], names=["lang", "place", "value"])
+
+    found = sample.select("text", "lang").mapInArrow(vector, "lang string, place binary, value binary").toArrow()
+    both = sorted(set(zip(*(found.column(c).to_pylist() for c in ("lang", "place", "value")))))
+    x = np.zeros((len(both), DIMENSIONS), np.float32)
+    for i, (_, place, value) in enumerate(both):
+        x[i, np.frombuffer(place, np.uint16)] = np.frombuffer(value, np.float32)
+    return x, [lang for lang, _, _ in both]
 
 
 def identify(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang", families: dict[str, tuple[str, ...]] = FAMILIES) -> DataFrame:
@@ -137,8 +149,8 @@ def identify(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", la
     every text where nothing could be learned. Repeated rows and null ids are predicted
     each; an empty table gives no rows. Returns (id_col, lang_pred, score).
     """
-    texts, langs = training_sample(docs, text_col, id_col, lang_col)
-    shared = docs.sparkSession.sparkContext.broadcast(train(texts, langs, families) if texts else Model([], np.zeros((0, 0)), {}, {}))
+    x, langs = training_sample(docs, text_col, id_col, lang_col)
+    shared = docs.sparkSession.sparkContext.broadcast(train(x, langs, families) if langs else Model([], np.zeros((0, 0)), {}, {}))
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def predict(batches):

@@ -98,6 +98,7 @@ def test_packed_sequences_are_gapless_and_carry_the_ids(spark):
 
     rnd = random.Random(2)
     texts = [prose(rnd, n) for n in (1, 5, 30, 200, 900, 3000)] + [None, "", "été 日本 \x1c  \n\n 'll 123", "same", "same", "word" * 2000]
+    texts += ["<|endoftext|>", "a <|endoftext|> b", "<|endoftext|> x  <|endoftext|><|endoftext|>\n", "end  <|endoftext|>", "<|endoftext|", " " * 1_000_000, "<|endoftext|>" * 1500]
     got = packing.pack(docs_of(spark, texts, extra=True)).collect()
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     pieces = defaultdict(list)
@@ -231,6 +232,21 @@ def test_forward_backward_is_exact():
     assert np.abs(p - want).max() < 1e-12 and np.abs(pairs - moves).max() < 1e-12
 
 
+def test_chains_go_on_across_segments():
+    rng = np.random.default_rng(4)
+    move = rng.normal(size=(2, 2))
+    sizes = [1, 64, 65, 200, 0, 64 * 3, 1000]
+    texts = [3 * rng.normal(size=n) for n in sizes]
+    cut_up = [toxicity._segments(x) for x in texts]
+    got = toxicity.marginals(np.concatenate([e for e, _ in cut_up]), np.concatenate([n for _, n in cut_up]), move, np.array([len(n) for _, n in cut_up]))
+    at = 0
+    for x, (e, _) in zip(texts, cut_up):
+        own = got[at : at + len(e)].ravel()[: len(x)]
+        at += len(e)
+        want = toxicity.forward_backward(x[None, :], np.array([len(x)]), move)[0][0] if len(x) else own
+        assert np.abs(own - want).max(initial=0) < 1e-9
+
+
 def toxic_corpus(rnd, n):
     out = []
     for i in range(n):
@@ -335,6 +351,30 @@ def test_leaks_are_found_and_clean_documents_stay(spark):
     assert decontam.find_leaks(df, bench.limit(0)).count() == 0 and decontam.drop_leaks(df.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("share", [0.0, 0.05, 0.1, 0.15, 0.2])
+def test_recall_by_length_against_an_exhaustive_scan(share):
+    """Items of 1 to 100 words with edits: of all that an exhaustive scan of every window finds, 0.99 or more at each length."""
+    rnd = random.Random(31)
+    vocabulary = [f"w{i}" for i in range(400)]
+    for n in (1, 2, 3, 4, 5, 7, 9, 10, 12, 15, 25, 60, 100):
+        items = [[rnd.choice(vocabulary) for _ in range(n)] for _ in range(120)]
+        index = decontam.Index([(k, " ".join(w)) for k, w in enumerate(items)])
+        texts = []
+        for w in items:
+            w = list(w)
+            for _ in range(int(share * n)):
+                p = rnd.randrange(len(w))
+                w[p : p + rnd.randint(0, 1)] = [rnd.choice(vocabulary)] * rnd.randint(0, 1) or [w[p]]
+            texts.append(" ".join([*rnd.choices(vocabulary, k=20), *w, *rnd.choices(vocabulary, k=20)]))
+        found = {(i, k): d for i, k, d, _ in index.search(texts, index.coder())}
+        code = [np.array([index.code.get(x, 0) for x in words.words(t)]) for t in texts]
+        want = {(i, k): decontam.nearest(index.items[k], code[i])[0] for i in range(len(texts)) for k in ((i, (i + 1) % 120) if n > 4 else range(120))}
+        want = {x: d for x, d in want.items() if d <= index.limit[x[1]]}
+        assert all((i, i) in want for i in range(120))
+        assert sum(found.get(x) == d for x, d in want.items()) >= 0.99 * len(want), (n, share)
+        assert n <= 4 or all(k in (i, (i + 1) % 120) or decontam.nearest(index.items[k], code[i])[0] <= index.limit[k] for i, k in found)
+
+
 def test_leaks_in_several_passes(spark, monkeypatch):
     rnd = random.Random(8)
     items = [prose(rnd, 20, 5000) for _ in range(9)]
@@ -457,12 +497,32 @@ def test_top_k_equals_all_scores(spark):
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("spread, least_skipped", [(0.02, 0.8), (3.0, 0.0)])
+def test_blocks_below_the_kth_score_are_skipped(spark, spread, least_skipped):
+    """Many blocks and groups: of rows in tight clusters most are never scored, and the answer is that of all scores."""
+    rng = np.random.default_rng(21)
+    centres = rng.normal(size=(30, 8))
+    v = np.repeat(centres, 40, axis=0) + spread * rng.normal(size=(1200, 8))
+    v[100:400] = v[100]  # a quarter are copies
+    df = spark.createDataFrame([(int(i), [float(x) for x in row]) for i, row in zip(rng.permutation(1200), v)], "vec_id long, embedding array<double>")
+    answer, alive, blocks = topk._searched(df, df.filter("vec_id % 50 = 0"), 5, "vec_id", "embedding", 256.0, 8, 160)
+    whole = {r.vec_id: np.floor(256 * np.array(r.embedding)).astype(int) for r in df.collect()}
+    want = {(q, n, i, -s) for q in whole if q % 50 == 0 for n, (s, i) in enumerate(sorted((-int(whole[q] @ w), i) for i, w in whole.items() if i != q)[:5], 1)}
+    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in answer.collect()} == want
+    n_blocks, visits = blocks.count(), alive.filter("side = 1").agg(F.sum("width")).first()[0] or 0
+    assert n_blocks >= 150 and blocks.select("g").distinct().count() >= 8
+    assert visits <= (1 - least_skipped) * n_blocks * 24
+
+
 def test_huge_components_stay_exact(spark):
     v = {i: [2_000_000_011, b, -1] for i, b in enumerate((1, 2, 3, 3, 2, 9, 8))}
     df = spark.createDataFrame([(i, [x / 256 for x in e]) for i, e in v.items()], "vec_id long, embedding array<double>")
     want = sorted((-sum(a * b for a, b in zip(v[0], v[i])), i) for i in v if i)[:5]
     got = [(-r.score, r.vec_id) for r in topk.top_k(df, df.filter("vec_id = 0")).orderBy("rank").collect()]
     assert got == want and -got[0][0] > 2**53
+    far = spark.createDataFrame([(i, [float(2.0**e)]) for i, e in enumerate((30, 32, 33))], "vec_id long, embedding array<double>")
+    got = topk.top_k(far, far.filter("vec_id = 0")).orderBy("rank").collect()  # 2^78 and 2^79: ranked as they are, shown as the longs' end
+    assert [(r.vec_id, r.score) for r in got] == [(2, 2**63 - 1), (1, 2**63 - 1)]
 
 
 # ---- quality and language ------------------------------------------------------------------------
@@ -485,6 +545,49 @@ def test_quality_shrinks_sparse_sites(spark):
     assert quality.score_quality(df.limit(0), spark.createDataFrame(labels, "doc_id long, quality int")).count() == 0
 
 
+def test_a_language_of_long_texts_alone_is_learnt(spark):
+    """Whole long texts train too; repeated rows, extra columns, ties and very long texts each have their answer."""
+    rnd = random.Random(5)
+    german = "der die das und nicht mit einer haus straße über schön werden können immer zwischen".split()
+    english = "the and not with house street over lovely become could always between which there would".split()
+    rows = [(i, " ".join(rnd.choices(german, k=5000)), "de", "s", 0) for i in range(40)]
+    rows += [(i, " ".join(rnd.choices(english, k=20)), "en", "s", 0) for i in range(40, 80)]
+    rows += [rows[0], rows[0], (None, rows[1][1], "de", "s", 0), (99, "das haus " * 200_000, None, None, None)]
+    df = spark.createDataFrame(rows, DOC).withColumns({"place": F.lit(0), "value": F.lit("x"), "score": F.lit(0), "lang_pred": F.lit(1)})
+    got = langid.identify(df).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.lang_pred == ("de" if r.doc_id is None or r.doc_id < 40 or r.doc_id == 99 else "en")
+
+
+def test_languages_equal_a_plain_rerun(spark):
+    """The whole operator once more without Spark: the same sample, machines, votes and scores."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.collect()]
+    known = [(i, t, x) for i, t, x in rows if t and x and re.search(r"[^\W\d_]", t) and zlib.crc32(str(i).encode()) % 4 != 2]
+    assert max(Counter(x for _, _, x in known).values()) <= langid.SAMPLE_PER_LANGUAGE  # so that all of them are the sample
+    own = sorted({(x, langid.vectors([t])[0].tobytes()) for _, t, x in known})
+    x, y = np.stack([np.frombuffer(v, np.float32) for _, v in own]), np.array([n for n, _ in own])
+    families = sorted({langid.family_of(n) for n in y})
+    of = np.array([langid.family_of(n) for n in y])
+    machines = {f: langid.fit_svm(x, np.where(of == f, 1.0, -1.0)) for f in families}
+    want = {}
+    for i, t, _ in rows:
+        v = langid.vectors([t or ""])[0]
+        margin = {f: float(v @ w + b) for f, (w, b) in machines.items()}
+        family = max(families, key=lambda f: margin[f])
+        langs = sorted({n for n in y if langid.family_of(n) == family})
+        votes = Counter()
+        for a, b in itertools.combinations(langs, 2):
+            keep = (y == a) | (y == b)
+            w, c = langid.fit_svm(x[keep], np.where(y[keep] == a, 1.0, -1.0))
+            votes[a if v @ w + c >= 0 else b] += 1
+        top = [n for n in langs if votes[n] == max(votes.values(), default=0)]
+        want[i] = top if re.search(r"[^\W\d_]", t or "") else ["und"]
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs).collect()}
+    assert all(got[i] in want[i] for i in want) and len(got) == len(want)
+
+
 def test_language_of_held_out_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     odd = spark.createDataFrame([(-1, None, "en", "", 0), (-2, "", "en", "", 0), (-3, "123 !?", None, "", 0), (-4, "é", None, "", 0)], DOC)

@@ -27,12 +27,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(named)
 
 
+#: Rows and bytes of an Arrow batch, where the session has Spark's defaults: beside each batch its task holds two or three copies.
+ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Set ARROW_BATCH for what the session, or its cluster, has not set itself."""
+    if getattr(spark, "_slabwise_batches", False):
+        return
+    named = spark.sparkContext.getConf()
+    for key, value in ARROW_BATCH.items():
+        if not named.contains(key):
+            spark.conf.set(key, value)
+    spark._slabwise_batches = True
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package: call it once for a session.
+    """Let Python workers import this package, and bound their batches: call it once for a session.
 
     Nothing is done where PYTHONPATH already names the package's folder. In one
     process workers get that folder; on a cluster they get a zip file of the package.
     """
+    bound_batches(spark)
     root, sc = Path(__file__).resolve().parents[1], spark.sparkContext
     if str(root) in os.environ.get("PYTHONPATH", "").split(":") or getattr(sc, "_slabwise_shipped", False):
         return

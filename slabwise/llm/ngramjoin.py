@@ -19,15 +19,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, mix64, shuffle_width, slices
+from .common import connected_components, cut, mix64, rows_with_keys, salted_join, shuffle_width, slices
 from .topk import _group_rows
 from .words import SHINGLE, SIMILAR, Shingler
 
 #: Rows of a band, and the chance that a pair at the threshold shares a band at least.
 ROWS, RECALL = 5, 0.9999
 
-#: Classes in a verification block.
-BLOCK = 64
+#: Classes in a verification block, and bytes of their shingle sets, about: a task holds two blocks at a time.
+BLOCK, BLOCK_BYTES = 256, 8_000_000
 
 
 def bands_for(threshold: float = SIMILAR, recall: float = RECALL, rows: int = ROWS) -> int:
@@ -59,23 +59,25 @@ class Signer:
 
 
 def signatures(docs: DataFrame, text_col: str, id_col: str, shingle: int, bands: int, rows: int) -> DataFrame:
-    """(id, tkey, node, bands): tkey is the text's md5, node the digest of its shingle set (null without words)."""
+    """(id, tkey, node, size, bands): tkey is the text's md5, node the digest of its shingle set (null without words) and size that set's."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def sign(batches):
         shingler, signer = Shingler(shingle), Signer(bands, rows)
         for batch in slices(batches):
-            nodes, signed = [], []
+            nodes, sizes, signed = [], [], []
             for text in batch.column("text"):
                 s = shingler.shingles(text.as_py())
+                sizes.append(len(s))
                 nodes.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 signed.append(signer.bands_of(s).tolist() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("tkey"), pa.array(nodes, pa.binary()), pa.array(signed, pa.list_(pa.int64()))], names=["id", "tkey", "node", "bands"]
+                [batch.column("id"), batch.column("tkey"), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(signed, pa.list_(pa.int64()))],
+                names=["id", "tkey", "node", "size", "bands"],
             )
 
     rows_in = docs.select(F.col(f"`{id_col}`").alias("id"), F.unhex(F.md5(F.col(f"`{text_col}`").cast("binary"))).alias("tkey"), F.col(f"`{text_col}`").alias("text"))
-    return rows_in.mapInArrow(sign, f"id {id_type}, tkey binary, node binary, bands array<long>")
+    return rows_in.mapInArrow(sign, f"id {id_type}, tkey binary, node binary, size long, bands array<long>")
 
 
 def _intersections(sets: list[np.ndarray], left: int) -> np.ndarray:
@@ -148,47 +150,23 @@ def _verify(batches, threshold):
         )
 
 
-def near_duplicates(
-    docs: DataFrame,
-    text_col: str = "text",
-    id_col: str = "doc_id",
-    threshold: float = SIMILAR,
-    shingle: int = SHINGLE,
-    recall: float = RECALL,
-    rows: int = ROWS,
-) -> DataFrame:
-    """Group documents whose shingle sets have Jaccard similarity of `threshold` or more, and count their links.
-
-    Words are runs of letters, digits and underscores, lower-cased; a text of fewer
-    words than a shingle is one shingle. Texts with equal shingle sets are one class
-    (similarity 1). A null text, or one without words, is similar to nothing and stays
-    alone. Repeated rows and rows that share an id are documents of their own; a class
-    is named by the least id in it (null if it has none).
-
-    Returns one row per document: (id_col, tkey, class_key, class_id, class_size, n_links,
-    n_texts): key, name and size of the group of near duplicates (key null without
-    words), n_links the other documents, n_texts the other shingle sets, that are
-    similar to this one.
-    """
+def _classes(docs: DataFrame, text_col: str, id_col: str, threshold: float, shingle: int, recall: float, rows: int) -> DataFrame:
+    """near_duplicates with plain names, and with `head`: no_id, id and tkey of the class's first document."""
     spark = docs.sparkSession
     bands = bands_for(threshold, recall, rows)
     signed = cut(signatures(docs, text_col, id_col, shingle, bands, rows))
-    nodes = (
+    nodes = cut(
         signed.filter(F.col("node").isNotNull())
         .groupBy("node")
-        .agg(F.count("*").alias("n_docs"), F.min("id").alias("least"), F.min("tkey").alias("tkey"), F.min("bands").alias("bands"))
+        .agg(F.count("*").alias("n_docs"), F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "tkey")).alias("head"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     )
-    nodes = cut(nodes)
     placed = nodes.select("node", F.explode("bands").alias("bucket"))
     buckets = placed.groupBy("bucket").agg(F.min("node").alias("v"), F.max("node").alias("w")).filter("v < w").select("bucket", "v")
     ties = placed.join(buckets, "bucket").filter(F.col("node") != F.col("v")).select(F.col("node").alias("u"), "v").distinct()
-    comps = connected_components(ties)
-    sizes = comps.groupBy("label").agg(F.count("*").alias("members"))
-    cand = cut(
-        comps.join(sizes, "label")
-        .join(nodes.select("node", "tkey", "n_docs"), "node")
-        .select("node", "tkey", "n_docs", F.col("label").alias("comp"), F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    )
+    comps = connected_components(ties).join(nodes.select("node", F.col("head.tkey").alias("tkey"), "n_docs", "size"), "node")
+    # as many blocks as keep to both bounds on average; classes are dealt to them by hash
+    wanted = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") * 8 / BLOCK_BYTES)).cast("int").alias("blocks")
+    cand = cut(salted_join(comps, comps.groupBy("label").agg(wanted), "label").select("node", "tkey", "n_docs", F.col("label").alias("comp"), "blocks"))
 
     def gather(batches):
         shingler = Shingler(shingle)
@@ -197,9 +175,11 @@ def near_duplicates(
             cols = [batch.column(c) for c in ("node", "n_docs", "comp", "blocks")]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(sets, pa.binary())], names=["node", "n_docs", "comp", "blocks", "shingles"])
 
+    # a class has one text of its own: only those of candidates are shuffled
     text = F.col(f"`{text_col}`")
+    held = rows_with_keys(docs.select(text.alias("text")).filter("text is not null"), F.unhex(F.md5(F.col("text").cast("binary"))), cand.select("tkey"))
     held = (
-        docs.select(F.unhex(F.md5(text.cast("binary"))).alias("tkey"), text.alias("text"))
+        held.select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("tkey"), "text")
         .dropDuplicates(["tkey"])
         .join(cand, "tkey")
         .select("node", "n_docs", "comp", "blocks", "text")
@@ -218,44 +198,63 @@ def near_duplicates(
     )
     links = checked.groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"), F.sum("classes").alias("classes"))
     groups = connected_components(checked.filter(F.col("u") != F.col("v")).select("u", "v"))
-    labelled = nodes.join(groups, "node", "left").join(links, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = labelled.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("n_docs").alias("class_size"))
-    per_node = labelled.join(named, "label").select(
-        "node", F.col("label").alias("class_key"), "class_id", "class_size", (F.coalesce("links", F.lit(0)) + F.col("n_docs") - 1).alias("n_links"), F.coalesce("classes", F.lit(0)).alias("n_texts")
-    )
-    return signed.select("id", "tkey", "node").join(per_node, "node", "left").select(
+    plain = nodes.select("node", "head", "n_docs").join(links, "node", "left")
+    # classes of one node name themselves; the members of the others are joined to their class by parts
+    tied = cut(plain.join(groups, "node"))
+    named = tied.groupBy("label").agg(F.min("head").alias("head"), F.sum("n_docs").alias("class_size"))
+    own = [(F.coalesce("links", F.lit(0)) + F.col("n_docs") - 1).alias("n_links"), F.coalesce("classes", F.lit(0)).alias("n_texts")]
+    of_group = salted_join(tied.withColumnRenamed("head", "own_head"), named, "label").select("node", F.col("label").alias("class_key"), "head", "class_size", *own)
+    alone = plain.join(groups.select("node"), "node", "left_anti").select("node", F.col("node").alias("class_key"), "head", F.col("n_docs").alias("class_size"), *own)
+    return signed.select("id", "tkey", "node").join(of_group.unionByName(alone), "node", "left")
+
+
+def near_duplicates(
+    docs: DataFrame,
+    text_col: str = "text",
+    id_col: str = "doc_id",
+    threshold: float = SIMILAR,
+    shingle: int = SHINGLE,
+    recall: float = RECALL,
+    rows: int = ROWS,
+) -> DataFrame:
+    """Group documents whose shingle sets have Jaccard similarity of `threshold` or more, and count their links.
+
+    Words are runs of letters, digits and underscores, lower-cased; a text of fewer
+    words than a shingle is one shingle. Texts with equal shingle sets are one class
+    (similarity 1). A null text, or one without words, is similar to nothing and stays
+    alone. Repeated rows and rows that share an id are documents of their own; a class
+    is named by the least id in it (null if it has none).
+
+    Returns one row per document: (id_col, tkey, class_key, class_id, class_size, n_links,
+    n_texts): key, name and size of the group of near duplicates (key null without
+    words), n_links the other documents, n_texts the other shingle sets, that are
+    similar to this one.
+    """
+    return _classes(docs, text_col, id_col, threshold, shingle, recall, rows).select(
         F.col("id").alias(id_col),
         "tkey",
         "class_key",
-        F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("head.id")).alias("class_id"),
         F.coalesce("class_size", F.lit(1)).alias("class_size"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.coalesce("n_texts", F.lit(0)).alias("n_texts"),
     )
 
 
-def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
+def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = SIMILAR, shingle: int = SHINGLE, recall: float = RECALL, rows: int = ROWS) -> DataFrame:
     """The documents without near duplicates of a smaller id: of each class, the row of its least (id, text digest) stays.
 
     Documents without words all stay. Of rows that repeat both id and text, one stays if
-    the text has words. The columns of docs are returned.
+    the text has words. The columns of docs are returned, whatever their names. What is
+    dropped is looked up by key, so rows that stay aren't shuffled.
     """
-    found = cut(near_duplicates(docs, text_col, id_col, **options).withColumnRenamed(id_col, "id"))
-    wordless = found.filter("class_key is null").select("id", "tkey").distinct().withColumn("copies", F.lit(1).cast("long"))
-    # rows that repeat id and text collapse into one struct; how many they are decides whether one must be dropped
-    heads = (
-        found.filter("class_key is not null")
-        .groupBy("class_key", "id", "tkey")
-        .agg(F.count("*").alias("copies"))
-        .groupBy("class_key")
-        .agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "tkey", "copies")).alias("first"))
-        .select("first.id", "first.tkey", "first.copies")
-    )
-    kept = cut(wordless.unionByName(heads).withColumnsRenamed({"id": "__id", "tkey": "__tkey", "copies": "__copies"}))
-    rows = docs.withColumn("__key", F.unhex(F.md5(F.col(f"`{text_col}`").cast("binary"))))
-    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & F.col("__key").eqNullSafe(F.col("__tkey"))
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    out = rows.join(kept, same).select("__copies", *own)
-    if kept.filter("__copies > 1").limit(1).count():
-        out = out.filter("__copies = 1").unionByName(out.filter("__copies > 1").dropDuplicates([id_col, text_col]))
-    return out.select(*own)
+    key_of = lambda i, t: F.unhex(F.md5(F.concat_ws("|", F.coalesce(i.cast("string"), F.lit("~")), F.coalesce(F.hex(t), F.lit("~")))))
+    found = _classes(docs, text_col, id_col, threshold, shingle, recall, rows).filter("node is not null")
+    first = F.col("id").eqNullSafe(F.col("head.id")) & (F.col("tkey") == F.col("head.tkey"))
+    keys = cut(found.groupBy(key_of(F.col("id"), F.col("tkey")).alias("key")).agg(F.first(first).alias("stays"), F.count("*").alias("copies")))
+    own = key_of(F.col(f"`{id_col}`"), F.unhex(F.md5(F.col(f"`{text_col}`").cast("binary"))))
+    out = rows_with_keys(docs, own, cut(keys.filter("not stays or copies > 1").select("key")), keep=False)
+    repeated = keys.filter("stays and copies > 1").select("key")
+    if repeated.limit(1).count():
+        out = out.unionByName(rows_with_keys(docs, own, repeated).dropDuplicates([id_col, text_col]))
+    return out

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, filter_rows, held_out, mix64, sigmoid, slices, texts
+from .common import Memo, filter_rows, hashed_share, held_out, mix64, sigmoid, slices, texts
 from .words import WORD, words
 
 #: Bounds of the labelled sample: texts of either label, and characters of a text.
@@ -62,52 +62,52 @@ class Model:
 def forward_backward(emissions: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, enter=None, leave=None, counted: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Chance of the toxic state at each place of segments (rows, padded), and the expected number of each transition [from, to] if it is `counted`.
 
-    A segment within a text goes on from what was before it (`enter`, the weights of its
-    first place's states) and to what comes after it (`leave`); without these it stands alone.
+    Both messages are kept as odds, toxic to clean, which one step maps to odds between
+    bounds that the transitions set, so nothing overflows. A segment within a text goes
+    on from what was before it (`enter`, the odds that come to its first place) and to
+    what comes after it (`leave`); without these it stands alone.
     """
     n, t = emissions.shape
-    score = np.stack([np.ones_like(emissions), np.exp(np.clip(emissions, -30, 30))], axis=2)
-    move = np.exp(transitions)
-    inside = np.arange(t)[None, :] < lengths[:, None]
-    leave = np.ones((n, 2)) if leave is None else leave
-    forward = np.empty((n, t, 2))
-    state = score[:, 0] if enter is None else score[:, 0] * enter
-    for i in range(t):
-        if i:
-            state = (state @ move) * score[:, i]
-        state = state / state.sum(axis=1, keepdims=True)
-        forward[:, i] = state
-    out, pairs = np.zeros((n, t)), np.zeros((2, 2))
+    odds = np.exp(np.clip(emissions.T, -30, 30))
+    (m00, m01), (m10, m11) = np.exp(transitions)
+    inside = np.arange(t)[:, None] < lengths[None, :]
+    leave = np.ones(n) if leave is None else leave
+    forward = np.empty((t, n))
+    state = forward[0] = odds[0] if enter is None else odds[0] * enter
+    for i in range(1, t):
+        state = forward[i] = odds[i] * (m01 + state * m11) / (m00 + state * m10)
+    out, pairs = np.empty((t, n)), np.zeros((2, 2))
     back = leave  # of place i, from the places after it
     for i in range(t - 1, -1, -1):
-        both = forward[:, i] * back
-        out[:, i] = both[:, 1] / both.sum(axis=1)
+        both = forward[i] * back
+        out[i] = both / (1 + both)
         if i:
-            after = score[:, i] * back
+            after = odds[i] * back
             if counted:
-                joint = forward[:, i - 1, :, None] * move * after[:, None, :]
-                joint /= joint.sum(axis=(1, 2), keepdims=True)
-                pairs += joint[inside[:, i]].sum(axis=0)
+                before, here = forward[i - 1], inside[i]
+                joint = np.stack([np.full(n, m00), m01 * after, m10 * before, m11 * before * after])
+                pairs += (joint[:, here] / joint[:, here].sum(axis=0)).sum(axis=1).reshape(2, 2)
             # beyond a segment's end nothing is known but what comes after it
-            back = np.where(inside[:, i : i + 1], after @ move.T, leave)
-            back = back / back.sum(axis=1, keepdims=True)
+            back = np.where(inside[i], (m10 + m11 * after) / (m00 + m01 * after), leave)
     out[~inside] = 0.0
-    return out, pairs
+    return out.T, pairs
 
 
 def _passage(emissions: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) -> np.ndarray:
-    """For each segment the 2 x 2 matrix that takes the state weights at the place before it to those at its last place, up to a factor."""
+    """For each segment the 2 x 2 matrix, as four columns, that takes the weights of the states before it to those at its last place, up to a factor."""
     n, t = emissions.shape
-    toxic, move = np.exp(np.clip(emissions, -30, 30)), np.exp(transitions)
+    odds = np.exp(np.clip(emissions.T, -30, 30))
+    (m00, m01), (m10, m11) = np.exp(transitions)
     whole = bool((lengths == t).all())
-    m = np.broadcast_to(np.eye(2), (n, 2, 2)).copy()
+    p = [np.ones(n), np.zeros(n), np.zeros(n), np.ones(n)]
     for i in range(t):
-        x = m @ move
-        x[:, :, 1] *= toxic[:, i, None]
-        m = x if whole else np.where((lengths > i)[:, None, None], x, m)
+        a, b, c, d = p
+        x = [a * m00 + b * m10, (a * m01 + b * m11) * odds[i], c * m00 + d * m10, (c * m01 + d * m11) * odds[i]]
+        p = x if whole else [np.where(lengths > i, new, old) for new, old in zip(x, p)]
         if i % 8 == 7:
-            m = m / m.sum(axis=(1, 2), keepdims=True)
-    return m / m.sum(axis=(1, 2), keepdims=True)
+            total = p[0] + p[1] + p[2] + p[3]
+            p = [x / total for x in p]
+    return np.stack(p, axis=1)
 
 
 def marginals(emissions: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -118,33 +118,31 @@ def marginals(emissions: np.ndarray, lengths: np.ndarray, transitions: np.ndarra
     """
     n = len(emissions)
     parts = [slice(i, i + BLOCK) for i in range(0, n, BLOCK)]
-    enter, leave = np.ones((n, 2)), np.ones((n, 2))
+    enter, leave = np.ones(n), np.ones(n)
     rows = rows[rows > 0]
     first = np.cumsum(rows) - rows
     if (rows > 1).any():
-        move = np.exp(transitions)
+        (m00, m01), (m10, m11) = np.exp(transitions)
         passage = np.concatenate([_passage(emissions[p], lengths[p], transitions) for p in parts])
-        scale = lambda x: x / x.sum(axis=1, keepdims=True)
-        # a text's first segment has no place before it: its own marginals' last state goes on
-        start = first[rows > 1]
-        toxic = np.exp(np.clip(emissions[start], -30, 30))
-        state = np.stack([np.ones(len(start)), toxic[:, 0]], axis=1)
-        for i in range(1, emissions.shape[1]):
-            state = scale(state @ move)
-            state[:, 1] *= toxic[:, i]
-        left = rows[rows > 1]
+        # a text's first segment has no place before it: its own last state goes on
+        start, left = first[rows > 1], rows[rows > 1]
+        odds = np.exp(np.clip(emissions[start].T, -30, 30))
+        state = odds[0]
+        for i in range(1, len(odds)):
+            state = odds[i] * (m01 + state * m11) / (m00 + state * m10)
         for step in range(1, int(rows.max())):
             on = left > step
             start, state, left = start[on], state[on], left[on]
-            enter[start + step] = scale(state @ move)
-            state = scale((state[:, None, :] @ passage[start + step])[:, 0])
-        last, back = (first + rows - 1)[rows > 1], np.ones((int((rows > 1).sum()), 2))
-        left = rows[rows > 1]
+            enter[start + step] = (m01 + state * m11) / (m00 + state * m10)
+            a, b, c, d = passage[start + step].T
+            state = (b + state * d) / (a + state * c)
+        last, left = (first + rows - 1)[rows > 1], rows[rows > 1]
+        back = np.ones(len(last))
         for step in range(1, int(rows.max())):
             on = left > step
             last, back, left = last[on], back[on], left[on]
-            back = scale((passage[last - step + 1] @ back[:, :, None])[:, :, 0])
-            leave[last - step] = back
+            a, b, c, d = passage[last - step + 1].T
+            back = leave[last - step] = (c + d * back) / (a + b * back)
     return np.concatenate([forward_backward(emissions[p], lengths[p], transitions, enter[p], leave[p], False)[0] for p in parts]) if n else emissions
 
 
@@ -315,10 +313,10 @@ def train(rows: list[tuple[str, int]]) -> Model:
     weights, bias, move = _fit_chain(segments)
     model = Model(weights, bias, move, np.zeros(3))
     score = Memo(model.emission)
-    seen = []
-    for w, _ in known:
-        e, n = _segments(np.array([score[x] for x in w], dtype=np.float64))
-        seen.append(summary(marginals(e, n, move, np.array([len(n)])).ravel()))
+    laid = [_segments(np.array([score[x] for x in w], dtype=np.float64)) for w, _ in known]
+    rows = np.array([len(n) for _, n in laid])
+    p = marginals(np.concatenate([e for e, _ in laid]), np.concatenate([n for _, n in laid]), move, rows)
+    seen = [summary(p[end - n : end].ravel()) for n, end in zip(rows, np.cumsum(rows))]
     model.calibration = _calibrate(np.array(seen), np.array([y for _, y in known], dtype=float))
     return model
 
@@ -330,8 +328,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, text_col: str, id_col: s
     Of different texts that share an id the least one is taken.
     """
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max((F.col(label_col) > 0).cast("int")).alias("y"))
-    rank = F.xxhash64(id_col, F.lit("sample"))
-    short = known.filter("y = 1").orderBy(rank, id_col).limit(MOST_TOXIC).unionByName(known.filter("y = 0").orderBy(rank, id_col).limit(MOST_CLEAN))
+    rank, counts = F.xxhash64(id_col, F.lit("sample")), {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
+    # some more than wanted by their hash, wherever they are, so that the limit is not taken from every task
+    near = lambda y, most: known.filter(F.col("y") == y).filter(hashed_share((1.2 * most + 100) / max(1, counts.get(y, 0)), id_col)).orderBy(rank, id_col).limit(most)
+    short = near(1, MOST_TOXIC).unionByName(near(0, MOST_CLEAN))
     # its rows are bounded above: a broadcast of some ten thousand ids
     ids = short.select(F.col(id_col).alias("__id"), F.col("y").alias("__y"))
     text = F.col(f"`{text_col}`")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from slabwise.session import cut, shuffle_width
 
-__all__ = ["cut", "shuffle_width", "table", "held_out", "sigmoid", "mix64", "Memo", "connected_components", "filter_rows", "fresh", "rows_with_keys", "salted_join", "slices", "texts"]
+__all__ = ["cut", "shuffle_width", "table", "held_out", "sigmoid", "mix64", "Memo", "connected_components", "filter_rows", "fresh", "hashed_share", "rows_with_keys", "salted_join", "slices", "texts"]
 
 #: Keys of 16 bytes that are sent to every task; beyond, rows and keys are shuffled. The rows that pass are the same.
 BROADCAST_KEYS = 1_000_000
@@ -91,6 +92,12 @@ def filter_rows(docs: DataFrame, text_col: str, make_keep) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
+def hashed_share(share: float, *columns: str | Column) -> Column:
+    """Whether a hash of the columns is among that share of all hashes: a sample that is made within each task."""
+    space = 1_000_000_000
+    return F.pmod(F.xxhash64(*columns), F.lit(space)) < F.lit(min(space, math.ceil(space * share)))
+
+
 def fresh(columns: list[str], name: str) -> str:
     """A column name like `name` that none of the columns has, whatever their case."""
     taken = {c.lower() for c in columns}

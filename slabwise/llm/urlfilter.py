@@ -8,13 +8,13 @@ keeps the stack of rules whose interval is open.
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_right, insort
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_width
+from .common import hashed_share, shuffle_width, slices
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -40,15 +40,17 @@ class _Level:
     """The rules of one host, open while the sweep is within the host's interval."""
 
     def __init__(self, key: str):
-        self.key, self.paths, self.sizes = key, {}, []
+        self.key, self.paths, self.known, self.sizes = key, {}, set(), []  # sizes: the paths' lengths, ascending
 
     def add(self, path: str, verdict: str, rule: str) -> None:
         if self.paths.get(path, ("allow",))[0] != "block":
             self.paths[path] = (verdict, rule)
-            self.sizes = sorted({len(p) for p in self.paths}, reverse=True)
+            if len(path) not in self.known:
+                self.known.add(len(path))
+                insort(self.sizes, len(path))
 
     def fitting(self, path: str):
-        for n in self.sizes:
+        for n in reversed(self.sizes):
             if n <= len(path) and (hit := self.paths.get(path[:n])):
                 return hit
         return None
@@ -104,7 +106,9 @@ def filter_urls(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     host, path = url_host(F.col(url_col)), url_path(F.col(url_col))
     rows = urls.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path")).withColumn("key", host_key(F.col("host")))
     rows = rows.withColumn("salt", F.hex(F.xxhash64("id", "path")))
-    sample = rows.select("key", "salt").orderBy(F.xxhash64("salt"), "salt").limit(SAMPLED_PER_RANGE * ranges).collect()
+    # about as many rows as wanted, whatever the number of tasks; copies of a row can't be told apart by a border
+    share = SAMPLED_PER_RANGE * ranges / max(1, urls.count())
+    sample = rows.select("key", "salt").filter(hashed_share(share, "salt")).distinct().collect()
     points = sorted((r.key, r.salt) for r in sample)
     borders = sorted(set(points[SAMPLED_PER_RANGE // 2 :: SAMPLED_PER_RANGE][1:]))
     id_type = rows.schema["id"].dataType.simpleString()
@@ -116,16 +120,15 @@ def filter_urls(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
             yield pa.RecordBatch.from_arrays([rng, *(batch.column(c) for c in ("id", "host", "path", "key"))], names=["rng", "id", "host", "path", "key"])
 
     def deal_rules(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
+        for batch in slices(batches):
+            to, at = [], []
+            for i, key in enumerate(batch.column("key").to_pylist()):
                 # from the range of the interval's least key to that of its greatest
-                first = bisect_right(borders, (row["key"], ""))
-                last = bisect_right(borders, (row["key"] + "\U0010ffff", ""))
-                n = last - first + 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(range(first, last + 1), pa.int32()), *(pa.array([row[c]] * n, pa.string()) for c in ("key", "path", "verdict", "rule"))],
-                    names=["rng", "key", "path", "verdict", "rule"],
-                )
+                met = range(bisect_right(borders, (key, "")), bisect_right(borders, (key + "\U0010ffff", "")) + 1)
+                to += met
+                at += [i] * len(met)
+            sent = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), *(sent.column(c) for c in ("key", "path", "verdict", "rule"))], names=["rng", "key", "path", "verdict", "rule"])
 
     dealt = rows.select("id", "host", "path", "key", "salt").mapInArrow(deal, f"rng int, id {id_type}, host string, path string, key string")
     known = rules.filter("host is not null and verdict is not null").select(
@@ -137,7 +140,7 @@ def filter_urls(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
         sent.withColumns({"is_url": F.lit(False), "id": F.lit(None).cast(id_type), "host": F.lit(None).cast("string")})
     )
     swept = (
-        merged.repartition(ranges, "rng")
+        merged.repartitionById(max(ranges, len(borders) + 1), "rng")
         .sortWithinPartitions("rng", "key", "is_url", "path")
         .mapInArrow(_sweep, f"id {id_type}, host string, path string, rule string, verdict string")
     )

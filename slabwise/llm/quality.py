@@ -14,9 +14,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, held_out, sigmoid
+from .common import cut, hashed_share, held_out, sigmoid
 
-#: Labelled rows that the text classifier is fitted on at most, of each label.
+#: Labelled rows that the text classifier is fitted on, about and at most, of each label.
 SAMPLE_PER_LABEL = 10_000
 
 #: A document is kept from this score.
@@ -108,11 +108,14 @@ def score_quality(
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("lid")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("y"))
     taught = cut(measured.join(known, F.col("id") == F.col("lid")).select("id", "host", "path", "x", "y"))
 
-    rank = F.xxhash64("id", "x")
-    parts = [taught.filter(F.col("y") == v).orderBy(rank).limit(SAMPLE_PER_LABEL).select("x", "y") for v in (0, 1)]
-    sample = parts[0].unionByName(parts[1]).toArrow()
-    y = np.array(sample.column("y").to_pylist(), dtype=float)
     totals = taught.agg(F.count("y").alias("n"), F.sum("y").alias("k")).first()
+    wanted = F.lit(False)
+    for v, n in ((1, totals["k"] or 0), (0, totals["n"] - (totals["k"] or 0))):
+        wanted |= (F.col("y") == v) & hashed_share(SAMPLE_PER_LABEL / max(1, n), "id", "x")
+    # rows that repeat count once, so the sample stays about as large as wanted
+    sample = taught.filter(wanted).select("id", "x", "y").distinct().select("x", "y").toArrow()
+    sample = sample.take(np.lexsort((*np.array(sample.column("x").to_pylist(), dtype=float).reshape(-1, len(FEATURES)).T, sample.column("y").to_numpy())))
+    y = np.array(sample.column("y").to_pylist(), dtype=float)
     prior = ((totals["k"] or 0) + 0.5) / (totals["n"] + 1)
     if len(set(y.tolist())) == 2:
         x = np.array(sample.column("x").to_pylist(), dtype=float)

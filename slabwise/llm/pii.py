@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices
+from .common import cut, fresh, slices
 
 #: Kinds of spans in the order in which equal starts are listed.
 KINDS = ("email", "ip", "card", "phone", "general", "remove")
@@ -249,7 +249,10 @@ def _reveal(docs: DataFrame, found: DataFrame, text_col: str, generalise: float,
     frequency = frequency.select("term", (F.col("n") - F.coalesce("inside", F.lit(0))).alias("n"))
     own = F.log(F.lit(float(total)) / F.col("n_entity"))
     shared = F.log(F.lit(float(total)) * F.col("both") / (F.col("n_entity") * F.col("n")))
-    scored = pairs.join(frequency, "term").join(entities, "entity").withColumn("share", F.when(own > 0, shared / own))
+    # the kinds themselves, four rows, hold a large share of pairs
+    of_kind = F.col("entity").isin(*KINDS[:4])
+    met = pairs.filter(~of_kind).join(entities.filter(~of_kind), "entity").unionByName(pairs.filter(of_kind).join(F.broadcast(entities.filter(of_kind)), "entity"))
+    scored = met.join(frequency, "term").withColumn("share", F.when(own > 0, shared / own))
     revealing = scored.filter(F.col("share") >= generalise).select(
         "entity", "term", F.when(F.col("share") >= remove, KINDS.index("remove")).otherwise(KINDS.index("general")).alias("k")
     )
@@ -296,10 +299,10 @@ def sanitise(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **
     Of spans that overlap, the one that starts first (then by kind) is rewritten. A
     null text stays null. The columns of docs are returned.
     """
-    by_text = find_personal(docs, text_col, id_col, **options).filter(F.size("spans") > 0).select(F.col("tkey").alias("__tkey"), F.col("spans").alias("__spans"))
-    by_text = by_text.dropDuplicates(["__tkey"])
-    key = F.unhex(F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")))
-    joined = docs.withColumn("__key", key).join(by_text, F.col("__key") == F.col("__tkey"), "left")
+    key, tkey, spans = (fresh(docs.columns, x) for x in ("key", "tkey", "spans"))
+    by_text = find_personal(docs, text_col, id_col, **options).filter(F.size("spans") > 0).select(F.col("tkey").alias(tkey), F.col("spans").alias(spans)).dropDuplicates([tkey])
+    digest = F.unhex(F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")))
+    joined = docs.withColumn(key, digest).join(by_text, F.col(key) == F.col(tkey), "left")
 
     @F.pandas_udf("string")
     def rewrite(texts, spans):
@@ -319,5 +322,5 @@ def sanitise(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **
             out.append("".join([*parts, text[at:]]))
         return pd.Series(out, dtype=object)
 
-    new = F.when(F.col("__spans").isNull(), F.col(f"`{text_col}`")).otherwise(rewrite(F.col(f"`{text_col}`"), F.col("__spans")))
+    new = F.when(F.col(spans).isNull(), F.col(f"`{text_col}`")).otherwise(rewrite(F.col(f"`{text_col}`"), F.col(spans)))
     return joined.select(*(new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))

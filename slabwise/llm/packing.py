@@ -217,6 +217,14 @@ def slots(patterns: Counter) -> list[tuple[int, int, int, int, int, int]]:
     return out
 
 
+def _by_length(table) -> dict[int, tuple]:
+    """The slots of each length as arrays (low, first sequence, times, offset) in the order of their ranks."""
+    own: dict[int, list] = {}
+    for s, low, _, first, times, offset in table:
+        own.setdefault(s, []).append((low, first, times, offset))
+    return {s: tuple(np.array(sorted(rows), dtype=np.int64).T) for s, rows in own.items()}
+
+
 def pack(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
     """Pack every document into sequences of at most `capacity` tokens.
 
@@ -233,14 +241,24 @@ def pack(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", capaci
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = cut(counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))))
     histogram = {r["length"]: r["n"] for r in starts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    table = slots(plan(histogram, capacity))
     # at most a few segments for each of `capacity` lengths, whatever the number of documents
-    places = spark.createDataFrame(table, "at long, low long, high long, first long, times long, base long")
-    ranked = made.join(starts.select("part", "length", "before"), ["part", "length"]).withColumn("r", F.col("before") + F.col("nth"))
-    placed = ranked.join(F.broadcast(places) if len(table) < 100_000 else places, (F.col("length") == F.col("at")) & (F.col("low") <= F.col("r")) & (F.col("r") < F.col("high")))
-    turn = F.col("r") - F.col("low")
-    return placed.select(
-        id_col, "piece", "start", "length", "ids_crc32",
-        (F.col("first") + F.floor(turn / F.col("times"))).cast("long").alias("sequence_id"),
-        (F.col("base") + F.pmod(turn, F.col("times")) * F.col("length")).cast("long").alias("offset"),
+    shared = spark.sparkContext.broadcast(_by_length(slots(plan(histogram, capacity))))
+    id_type = docs.schema[id_col].dataType.simpleString()
+
+    def place(batches):
+        segments = shared.value
+        for batch in batches:
+            length, rank = (batch.column(c).to_numpy() for c in ("length", "rank"))
+            sequence, offset = np.zeros((2, len(rank)), dtype=np.int64)
+            for n in np.unique(length):
+                own = length == n
+                low, first, times, base = segments[int(n)]
+                i = np.searchsorted(low, rank[own], side="right") - 1
+                turn = rank[own] - low[i]
+                sequence[own], offset[own] = first[i] + turn // times[i], base[i] + turn % times[i] * n
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "piece", "start", "length", "ids_crc32")), pa.array(sequence), pa.array(offset)], names=[id_col, "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+
+    ranked = made.join(starts.select("part", "length", "before"), ["part", "length"])
+    return ranked.select(F.col(id_col).alias("id"), "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank")).mapInArrow(
+        place, f"`{id_col}` {id_type}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     )

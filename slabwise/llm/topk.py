@@ -298,7 +298,9 @@ def _searched(vectors, queries, k, id_col, vec_col, scale, block, group) -> tupl
     """The answer, the pairs of groups that bounds let through, and the blocks."""
     spark = vectors.sparkSession
     rows = cut(quantised(vectors, id_col, vec_col, scale))
-    pivots = spark.sparkContext.broadcast(_pivots(rows, rows.count()))
+    n_rows = rows.count()
+    group = max(block, min(group, math.ceil(n_rows / shuffle_width(spark))))  # few rows are spread over the tasks there are
+    pivots = spark.sparkContext.broadcast(_pivots(rows, n_rows))
     placed = cut(_placed(rows, pivots))
     dealt, groups = _dealt(placed, group, "g")
     blocks = _blocks(dealt, groups, block)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fresh
 
 #: A line is boilerplate if more than RATIO of its host's pages, and at least LEAST_PAGES of them, hold it.
 RATIO, LEAST_PAGES = 0.01, 4
@@ -41,7 +41,7 @@ def boilerplate(docs: DataFrame, host: Column, text: Column, ratio: float = RATI
 
 
 def drop_boilerplate(
-    docs: DataFrame, text_col: str = "text", host_col: str = "source", ratio: float = RATIO, least_pages: int = LEAST_PAGES
+    docs: DataFrame, text_col: str = "text", host_col: str = "source", ratio: float = RATIO, least_pages: int = LEAST_PAGES, counted: bool = True
 ) -> DataFrame:
     """Remove each host's boilerplate lines from its pages.
 
@@ -49,7 +49,8 @@ def drop_boilerplate(
     never counted nor dropped. Pages of a null host form one host. A null text stays
     null, an empty one empty; a page of boilerplate only becomes empty and is kept.
     Repeated rows are treated alike, and other columns, whatever their names, pass
-    through. Returns the columns of docs (text_col replaced) and lines_dropped.
+    through. Returns the columns of docs (text_col replaced) and, if `counted`,
+    lines_dropped (with underscores after it where docs has that column).
     """
     names = list(docs.columns)
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"))
@@ -65,10 +66,8 @@ def drop_boilerplate(
     )
     out = joined.withColumn("kept", kept)
     new_text = F.when(text.isNotNull(), F.when(F.col("lines").isNull(), text).otherwise(F.array_join("kept", "\n")))
-    return out.select(
-        *((new_text if c == text_col else F.col("row").getField(c)).alias(c) for c in names),
-        (F.size(split) - F.size("kept")).alias("lines_dropped"),
-    )
+    dropped = [(F.size(split) - F.size("kept")).alias(fresh(names, "lines_dropped"))] if counted else []
+    return out.select(*((new_text if c == text_col else F.col("row").getField(c)).alias(c) for c in names), *dropped)
 
 
 def line_dedup_sql(ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> str:

@@ -215,6 +215,40 @@ def test_word_counts_are_the_same_with_and_without_a_broadcast(spark, monkeypatc
     assert {tuple(r) for r in pii.document_frequencies(df, "text", terms).collect()} == want
 
 
+def test_revealing_words_equal_brute_force(spark):
+    """The whole method by naive counting over the fixture's documents, with some copies and a signature added."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    rows = [(r.doc_id, r.text) for r in docs] + [(10_000 + i, f"Quibbert zulu{i % 5} wrote 10.1.1.{i % 3} to ann@b.example.org {i}") for i in range(12)]
+    rows += [(20_000 + i, rows[-1][1]) for i in range(4)]
+    loose = {t: {w for w, _, _ in pii.loose_terms(t or "", pii.base_spans(t or ""))} for _, t in rows}
+    held = {t: {f"{pii.KINDS[k]}:{v}" for _, k, _, v in pii.base_spans(t or "")} | {pii.KINDS[k] for _, k, _, _ in pii.base_spans(t or "")} for _, t in rows}
+    n_term, n_entity, both = Counter(), Counter(), Counter()
+    in_texts, shown = defaultdict(set), defaultdict(set)
+    for _, t in rows:
+        n_term.update(loose[t])
+        n_entity.update(held[t])
+        for e in held[t]:
+            in_texts[e].add(t)
+            both.update((e, w) for w in loose[t])
+            for w in loose[t]:
+                shown[e, w].add(t)
+    kind = {}
+    for (e, w), n in both.items():
+        own = np.log(len(rows) / n_entity[e])
+        if own > 0 and len(in_texts[e]) >= 3 and len(shown[e, w]) >= 3:
+            share = np.log(len(rows) * n / (n_entity[e] * n_term[w])) / own
+            assert min(abs(share - pii.GENERALISE), abs(share - pii.REMOVE)) > 1e-9
+            if share >= pii.GENERALISE:
+                kind[e, w] = 5 if share >= pii.REMOVE else 4
+    want = {}
+    for i, t in rows:
+        spans = pii.base_spans(t or "")
+        marked = [(a, max((kind.get((e, w), -1) for e in held[t]), default=-1), b) for w, a, b in pii.loose_terms(t or "", spans)]
+        want[i] = sorted([(a, k, b) for a, k, b, _ in spans] + [x for x in marked if x[1] >= 0])
+    got = {r.doc_id: [tuple(x) for x in r.spans] for r in pii.find_personal(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and any(k >= 4 for spans in want.values() for _, k, _ in spans)
+
+
 # ---- toxicity ------------------------------------------------------------------------------------
 def test_forward_backward_is_exact():
     rng = np.random.default_rng(1)
@@ -274,6 +308,21 @@ def test_toxic_documents_are_scored_with_their_spans(spark):
     assert kept.columns == df.columns and {r.doc_id for r in kept.select("doc_id").collect()} == {i for i, r in got.items() if r.score < 0.3}
 
 
+def test_scores_equal_a_plain_rerun(spark):
+    """Every document of the fixture scored once more as one chain from its first word to its last, by a model of the same rows."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    text = {r.doc_id: r.text for r in docs.collect()}
+    known = {r.doc_id: int(r.toxic > 0) for r in labels.collect() if r.doc_id is not None and r.toxic is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2}
+    model = toxicity.train([(text[i], y) for i, y in known.items() if i in text and len(text[i] or "") <= toxicity.MOST_CHARS])
+    got = {r.doc_id: (r.score, r.spans) for r in toxicity.score_toxicity(docs, labels).collect()}
+    for i, t in text.items():
+        e = np.array([model.emission(w) for w in words.words(t)])
+        p = toxicity.forward_backward(e[None, :], np.array([len(e)]), model.transitions)[0][0] if len(e) else e
+        score = 1 / (1 + np.exp(-np.array([1.0, *toxicity.summary(p)]) @ model.calibration))
+        assert abs(got[i][0] - score) < 1e-9 and len(got[i][1]) == (p >= 0.5).sum()
+
+
 def test_every_segment_of_the_sample_is_fitted(monkeypatch):
     rnd = random.Random(21)
     # 4,200 toxic segments; a word that only the text which sorts last shows
@@ -545,6 +594,53 @@ def test_quality_shrinks_sparse_sites(spark):
     assert quality.score_quality(df.limit(0), spark.createDataFrame(labels, "doc_id long, quality int")).count() == 0
 
 
+def test_quality_equals_a_plain_rerun(spark):
+    """The whole operator once more in plain Python: sample, classifier, moments, posteriors and scores; odd rows included."""
+    rnd = random.Random(19)
+    rows = [(i, prose(rnd, rnd.randint(0, 60)), rnd.choice(["en", "de", None]), rnd.choice(["a", "b", "c", f"rare{i}", None]), 0) for i in range(300)]
+    rows += [(300, None, None, None, None), (301, "x " * 100_000, "en", "a", 0), rows[5], rows[5], (None, "y", "en", "b", 0)]
+    labels = [(i, int(rnd.random() < (0.8 if rows[i][3] == "a" else 0.4))) for i in range(300)] + [(3, 1), (None, 1), (9, None)]
+    got = quality.score_quality(spark.createDataFrame(rows, DOC), spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    y = {}
+    for i, v in labels:
+        if i is not None and v is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            y[i] = max(v, y.get(i, 0))
+    taught = [(i, tuple(quality.features(t or "")), h, p, y[i]) for i, t, p, h, _ in rows if i in y]
+    prior = (sum(r[4] for r in taught) + 0.5) / (len(taught) + 1)
+    sample = sorted({(r[0], r[1], r[4]) for r in taught})
+    share = np.mean([v for _, _, v in sample])
+    mean, scale, w = quality.fit_logistic(np.array([x for _, x, _ in sample]), np.array([v for _, _, v in sample], dtype=float))
+    w[-1] += np.log(prior / (1 - prior)) - np.log(share / (1 - share))
+
+    def strength(groups):
+        a = b = 0.0
+        groups = [g for g in groups if g[0] >= 2]
+        for n, k, p in groups:
+            p = min(max(p, 1e-3), 1 - 1e-3)
+            a += (n - 1) * ((k / n - p) ** 2 / (p * (1 - p)) - 1 / n)
+            b += (n - 1) * (1 - 1 / n)
+        rho = a / max(1e-9, b)
+        return 1000.0 if len(groups) < 2 or rho <= 1 / 1001 else min(max(1 / rho - 1, 1.0), 1000.0)
+
+    hosts, paths = defaultdict(list), defaultdict(list)
+    for _, _, h, p, v in taught:
+        hosts[h].append(v)
+        paths[h, p].append(v)
+    m = strength([(len(v), sum(v), prior) for v in hosts.values()])
+    host_p = {h: (sum(v) + m * prior) / (len(v) + m) for h, v in hosts.items()}
+    m = strength([(len(v), sum(v), host_p[h]) for (h, _), v in paths.items()])
+    path_p = {hp: (sum(v) + m * host_p[hp[0]]) / (len(v) + m) for hp, v in paths.items()}
+    want = Counter()
+    for i, t, p, h, _ in rows:
+        x = quality._expand((np.array([quality.features(t or "")]) - mean) / scale) @ w
+        text_p = min(max(1 / (1 + np.exp(-np.clip(x[0], -40, 40))), 1e-9), 1 - 1e-9)
+        of_host = host_p.get(h, prior)
+        of_path = path_p.get((h, p), of_host)
+        logit = np.log(text_p / (1 - text_p)) + np.log(of_path / (1 - of_path)) - np.log(prior / (1 - prior))
+        want[i, round(1 / (1 + np.exp(-logit)), 5), round(of_host, 6), round(of_path, 6)] += 1
+    assert Counter((r.doc_id, round(r.score, 5), round(r.host_posterior, 6), round(r.path_posterior, 6)) for r in got) == want
+
+
 def test_a_language_of_long_texts_alone_is_learnt(spark):
     """Whole long texts train too; repeated rows, extra columns, ties and very long texts each have their answer."""
     rnd = random.Random(5)

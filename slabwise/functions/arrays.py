@@ -55,6 +55,7 @@ def log_gaussian(x: str | Column, mean: Column, var: Column, eps: float) -> Colu
     return -0.5 * total(terms)
 
 
-def element_sums(a: str, width: int) -> list[Column]:
-    """One sum for each place of an array column; a group by then combines partial sums before the shuffle."""
-    return [F.sum(F.element_at(a, i + 1)).alias(f"_{i}") for i in range(width)]
+def element_sums(a: str | Column, width: int, weight: Column | None = None) -> list[Column]:
+    """One sum for each place of an array column, of its product with the weight if given; a group by then combines partial sums before the shuffle."""
+    times = (lambda x: x) if weight is None else (lambda x: weight * x)
+    return [F.sum(times(F.get(_col(a), F.lit(i)))).alias(f"_{i}") for i in range(width)]

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slabwise.functions.arrays import dist2
+from slabwise.functions.blocks import rows_of
+from slabwise.session import cut, shuffle_width
+
+#: Rows of a block whose distances to another block one task sums up.
+BLOCK = 2048
 
 
 def _one(df: DataFrame) -> DataFrame:
@@ -63,12 +69,43 @@ def mapping_consistency(mapping: DataFrame, clusters: DataFrame) -> DataFrame:
 
 
 def silhouette(rows: DataFrame, label: str = "label", vec: str = "vec") -> DataFrame:
-    """One row (silhouette) of (gid, label, vec): Euclidean, exact, over all pairs; for bounded tables. NaN for fewer than 3 rows or 2 labels."""
-    a = rows.select(F.col("gid").alias("g"), F.col(label).alias("own"), F.col(vec).alias("av"))
-    b = rows.select(F.col("gid").alias("h"), F.col(label).alias("other"), F.col(vec).alias("bv"))
-    far = a.join(b, F.col("g") != F.col("h")).groupBy("g", "own", "other").agg(F.avg(F.sqrt(dist2("av", "bv"))).alias("d"))
-    each = far.groupBy("g", "own").agg(F.max(F.when(F.col("own") == F.col("other"), F.col("d"))).alias("a"), F.min(F.when(F.col("own") != F.col("other"), F.col("d"))).alias("b"))
+    """One row (silhouette) of (gid, label, vec): Euclidean, exact. NaN for fewer than 3 rows or 2 labels.
+
+    Every row meets every block of BLOCK rows of one label in some task, which hands on one
+    sum of distances for a row and a block; pairs are never rows.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    width = shuffle_width(rows.sparkSession)
+    held = cut(rows.select("gid", F.col(label).cast("string").alias("label"), F.col(vec).cast("array<double>").alias("vec")))
+    counts = held.groupBy("label").agg(F.count("*").alias("n"))
+    n, k = (lambda r: (r["n"] or 0, r["k"]))(counts.agg(F.sum("n").alias("n"), F.count("*").alias("k")).first())
+    side = max(1, math.ceil(n / BLOCK))
+    block = F.pmod(F.xxhash64("gid"), F.lit(side)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
+    a = held.withColumn("a", block).withColumn("b", every).withColumn("side", F.lit(0))
+    b = held.withColumn("b", block).withColumn("a", every).withColumn("side", F.lit(1))
+
+    def far(table):
+        side, labels = np.array(table.column("side")), np.array(table.column("label").to_pylist(), dtype=object)
+        x, gid = rows_of(table.column("vec").combine_chunks()), table.column("gid").to_numpy()
+        s, t = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        names, code = np.unique(labels[t].astype(str), return_inverse=True)
+        member = np.zeros((len(t), len(names)))
+        member[np.arange(len(t)), code] = 1
+        sums = np.zeros((len(s), len(names)))
+        for low in range(0, len(s), 64):
+            gap = x[s[low : low + 64], None, :] - x[t][None, :, :] if x.shape[1] * len(t) <= 2_000_000 else None
+            d = np.sqrt((gap**2).sum(2)) if gap is not None else np.stack([np.sqrt(((x[i] - x[t]) ** 2).sum(1)) for i in s[low : low + 64]])
+            sums[low : low + 64] = d @ member
+        at, to = np.indices(sums.shape)
+        return pa.table({"gid": gid[s][at.ravel()], "own": pa.array(labels[s][at.ravel()], pa.string()), "other": pa.array(names[to.ravel()], pa.string()), "d": sums.ravel()})
+
+    kind = rows.schema["gid"].dataType.simpleString()
+    met = a.unionByName(b).repartition(width, "a", "b").groupBy("a", "b").applyInArrow(far, f"gid {kind}, own string, other string, d double")
+    sums = met.groupBy("gid", "own", "other").agg(F.sum("d").alias("d")).join(F.broadcast(counts.select(F.col("label").alias("other"), "n")), "other")  # a row for each label
+    same = F.col("own") == F.col("other")
+    each = sums.groupBy("gid", "own").agg(F.max(F.when(same & (F.col("n") > 1), F.col("d") / (F.col("n") - 1))).alias("a"), F.min(F.when(~same, F.col("d") / F.col("n"))).alias("b"))
     s = F.when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
-    sizes = rows.agg(F.count("*").alias("n"), F.count_distinct(label).alias("k"))
-    mean = _one(each.agg(F.avg(s).alias("s"))).join(_one(sizes), "_")
-    return mean.select(F.when((F.col("n") < 3) | (F.col("k") < 2), F.lit(float("nan"))).otherwise(F.col("s")).alias("silhouette"))
+    return each.agg(F.avg(s).alias("s")).select(F.lit(float("nan")).alias("silhouette") if n < 3 or k < 2 else F.col("s").alias("silhouette"))

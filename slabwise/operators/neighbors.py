@@ -6,14 +6,20 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slabwise.functions.arrays import dist2
+from slabwise.functions.blocks import rows_of
 from slabwise.session import cut
 
-#: Rings of cells around a source after which it looks at its whole part.
-MOST_RINGS = 16
+#: Targets of a part up to which its sources are held against all of them, block by block; beyond, cells are made. The result is the same.
+SMALL = 16_384
+
+#: Rows of a block: two of them meet in a task.
+BLOCK = 2048
+
+#: A cell is cut into four while it holds more targets than this many times what a cell holds of evenly spread ones; how often at most, and levels counted in one pass.
+CROWDED, MOST_LEVELS, LEVEL_STEP = 8, 43, 6
 
 
 def _cell_sizes(points: DataFrame, k: int) -> DataFrame:
@@ -25,49 +31,93 @@ def _cell_sizes(points: DataFrame, k: int) -> DataFrame:
     box = points.groupBy("part").agg(F.count("*").alias("n"), *ends).withColumns({"w": F.expr("max_x - min_x"), "d": F.expr("max_y - min_y")})
     area = F.greatest(F.col("w"), F.lit(1e-9)) * F.greatest(F.col("d"), F.lit(1e-9))
     h = F.greatest(F.sqrt(area * ((k + 3 * math.sqrt(k) + 2) / math.pi) / F.col("n")), F.greatest("w", "d") / F.lit(1e6), F.lit(1e-9))
-    return box.select("part", h.alias("h"), "min_x", "max_x", "min_y", "max_y")
+    return box.select("part", "n", h.alias("h"), "min_x", "max_x", "min_y", "max_y")
+
+
+def _cell(c: str, level: Column) -> Column:
+    """The cell of a coordinate at a level: sides are h / 2^level."""
+    return F.floor(F.col(c) * F.pow(F.lit(2.0), level) / F.col("h")).cast("long")
+
+
+def _levels(sources: DataFrame, targets: DataFrame, most: int) -> tuple[DataFrame, list[int]]:
+    """sources with `level`, the first at which the source's own cell holds at most `most` targets, and the levels there are. Both have (part, x, y, h)."""
+    keys, left, todo, done = ["part", "level", "cx", "cy"], targets.select("part", "x", "y", "h"), sources.withColumn("level", F.lit(0)), None
+    at = {"cx": _cell("x", F.col("level")), "cy": _cell("y", F.col("level"))}
+    for low in (0, *range(1, MOST_LEVELS, LEVEL_STEP)):
+        high = low + (LEVEL_STEP if low else 1)  # mostly no cell is crowded: level 0 is looked at by itself
+        each = F.explode(F.sequence(F.lit(low), F.lit(high - 1)))
+        crowded = left.withColumn("level", each).withColumns(at).groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > most).select(*keys)
+        if not crowded.limit(1).count():
+            break
+        crowded = cut(crowded)
+        left = cut(left.withColumn("level", F.lit(high - 1)).withColumns(at).join(crowded, keys, "left_semi").select("part", "x", "y", "h"))
+        # a crowded cell lies in crowded cells: the last crowded level decides
+        over = todo.withColumn("level", each).withColumns(at).join(crowded, keys).groupBy("src", "part").agg((F.max("level") + 1).alias("next"))
+        mine = cut(todo.join(over, ["src", "part"], "left").withColumn("level", F.coalesce("next", "level")).drop("next"))
+        fine = mine.filter(F.col("level") < high)
+        done = fine if done is None else done.unionByName(fine)
+        todo = mine.filter(F.col("level") == high)
+    if done is None:
+        return todo, [0]
+    every = cut(done.unionByName(todo))
+    return every, _levels_of(every)
+
+
+def _levels_of(todo: DataFrame) -> list[int]:
+    return sorted(r["level"] for r in todo.select("level").distinct().collect())  # a few numbers
 
 
 def _nearest(sources: DataFrame, targets: DataFrame, k: int) -> DataFrame:
-    """The k targets nearest to each source within its part, exactly: (src, dst, d2, rank). Both have (part, id, x, y).
-
-    A source looks at the targets of the cells within r of its own. What lies outside
-    is at least r cells away, so its k nearest are final if the k-th is nearer than
-    that; the others look again with twice the r, until their block covers the part.
-    Ties go to the lesser target.
+    """The k targets nearest to each source within its part, exactly: (src, dst, d2, rank). Both have (part, id, x, y). Ties go to the lesser target."""
+    sizes = cut(_cell_sizes(targets, k))  # a row for each slice
+    small = [r["n"] <= SMALL for r in sizes.select("n").collect()]
+    found = []
+    if any(small) or not small:
+        few = F.broadcast(sizes.filter(F.col("n") <= SMALL).select("part"))
+        sides = (x.join(few, "part", "left_semi").select("part", F.col("id").alias("gid"), F.array("x", "y").alias("vec")) for x in (sources, targets))
+        found.append(vector_knn(*sides, k).select("src", "dst", "d2", "rank"))
+    if not all(small):
+        found.append(_nearest_by_cells(sources, targets, sizes.filter(F.col("n") > SMALL), k))
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
+
+
+def _nearest_by_cells(sources: DataFrame, targets: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
+    """_nearest by cells in levels, for the parts in sizes.
+
+    Cells come in levels, each of half the side of the one before. A source starts at
+    the level at which its own cell isn't crowded and looks at the targets of the 3 x 3
+    cells around it. What lies outside is at least a cell's side away, so its k nearest
+    are final if the k-th is no farther than that; the others look again a level up (from
+    the fourth time on several at once), until their cells cover the part. Of targets at one place only the k + 1 least can be
+    among the k nearest of any source, so only those are looked at.
     """
-    sizes = F.broadcast(cut(_cell_sizes(targets, k)))  # a row for each slice
-    cell = lambda c: F.floor(F.col(c) / F.col("h")).cast("long")
-    grid = targets.join(sizes, "part").select("part", cell("x").alias("cx"), cell("y").alias("cy"), F.col("id").alias("dst"), F.col("x").alias("tx"), F.col("y").alias("ty"))
+    sizes = F.broadcast(sizes)  # a row for each slice
+    here = Window.partitionBy("part", "x", "y").orderBy("id")
+    held = cut(targets.withColumn("n", F.row_number().over(here)).filter(F.col("n") <= k + 1).drop("n").join(sizes.select("part", "h"), "part"))
     far = F.greatest(F.abs(F.col("x") - F.col("min_x")), F.abs(F.col("x") - F.col("max_x")), F.abs(F.col("y") - F.col("min_y")), F.abs(F.col("y") - F.col("max_y")))
-    todo = sources.join(sizes, "part").select(
-        "part", F.col("id").alias("src"), "x", "y", "h", (F.ceil(far / F.col("h")) + 1).cast("int").alias("span"), cell("x").alias("sx"), cell("y").alias("sy")
-    )
-    r, out = 1, None
-    best = Window.partitionBy("src").orderBy("d2", "dst")
+    even = (k + 3 * math.sqrt(k) + 2) / math.pi
+    turn = 0
+    todo, levels = _levels(sources.join(sizes, "part").select("part", F.col("id").alias("src"), "x", "y", "h", far.alias("far")), held, math.ceil(CROWDED * even))
+    out, around = None, F.array(F.lit(-1), F.lit(0), F.lit(1))
     while True:
+        grid = held.withColumn("level", F.explode(F.array(*(F.lit(x) for x in levels))))
+        grid = grid.select("part", "level", _cell("x", F.col("level")).alias("cx"), _cell("y", F.col("level")).alias("cy"), F.col("id").alias("dst"), F.col("x").alias("tx"), F.col("y").alias("ty"))
+        asked = todo.withColumn("i", F.explode(around)).withColumn("j", F.explode(around))
+        asked = asked.select("part", "level", "src", "x", "y", (F.col("h") / F.pow(F.lit(2.0), F.col("level"))).alias("side"), "far", (_cell("x", F.col("level")) + F.col("i")).alias("cx"), (_cell("y", F.col("level")) + F.col("j")).alias("cy"))
         dx, dy = F.col("x") - F.col("tx"), F.col("y") - F.col("ty")
-        if r <= MOST_RINGS:
-            around = F.sequence(F.lit(-r), F.lit(r))
-            asked = todo.withColumn("i", F.explode(around)).withColumn("j", F.explode(around))
-            asked = asked.select("part", "src", "x", "y", "h", "span", (F.col("sx") + F.col("i")).alias("cx"), (F.col("sy") + F.col("j")).alias("cy"))
-            met = asked.join(grid, ["part", "cx", "cy"])
-        else:  # the few that are far from everything look at their whole part
-            met = todo.join(grid, "part")
-        pairs = met.filter(F.col("src") != F.col("dst")).select("src", "dst", "h", "span", (dx * dx + dy * dy).alias("d2"))
+        pairs = asked.join(grid, ["part", "level", "cx", "cy"]).filter(F.col("src") != F.col("dst")).select("src", "dst", "side", "far", (dx * dx + dy * dy).alias("d2"))
         own = Window.partitionBy("src")
-        ranked = pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-        certain = (F.count("*").over(own) >= k) & (F.max("d2").over(own) <= F.pow(r * F.col("h"), F.lit(2.0)))
-        ranked = cut(ranked.withColumn("sure", certain | (F.lit(r) >= F.col("span")) | F.lit(r > MOST_RINGS)))
+        ranked = pairs.withColumn("rank", F.row_number().over(own.orderBy("d2", "dst"))).filter(F.col("rank") <= k)
+        certain = (F.count("*").over(own) >= k) & (F.max("d2").over(own) <= F.col("side") * F.col("side"))
+        ranked = cut(ranked.withColumn("sure", certain | (F.col("far") < F.col("side"))))
         done = ranked.filter("sure").select("src", "dst", "d2", "rank")
         out = done if out is None else out.unionByName(done)
-        if r > MOST_RINGS:
+        # cells that cover the part have shown all there is, also where that is nothing
+        again = todo.filter(F.col("far") >= F.col("h") / F.pow(F.lit(2.0), F.col("level"))).join(done.filter("rank = 1").select("src"), "src", "left_anti")
+        todo, turn = cut(again.withColumn("level", F.col("level") - max(1, 2 ** (turn - 2)))), turn + 1
+        levels = _levels_of(todo)
+        if not levels:
             return out
-        # a block that covers the part has found all there is, also where that is nothing
-        todo = cut(todo.filter(F.col("span") > r).join(done.filter("rank = 1").select("src"), "src", "left_anti"))
-        if not todo.limit(1).count():
-            return out
-        r *= 2
 
 
 def knn_within(spots: DataFrame, k: int) -> DataFrame:
@@ -131,49 +181,61 @@ def feature_knn(features: DataFrame, k: int, step: int = -1, part: str = "slice_
     """For each row of a slice the k rows of the slice `step` away that are nearest in features: (src, dst, d2, rank).
 
     features has (gid, part, vec); step 0 searches the row's own slice, without itself.
-    Slices are searched in blocks: every block of a slice meets every block of the
-    other in some task by a matrix product; distances of all that may be among the k,
-    ties included, are then summed up exactly. Ties go to the lesser id.
     """
-    block = 2048
-    rows = cut(features.select(F.col(part).alias("part"), "gid", "vec").withColumn("b", F.lit(0)))
-    sizes = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect()}
-    spark = features.sparkSession
-    blocks = spark.createDataFrame([(p, max(1, math.ceil(n / block))) for p, n in sizes.items()], "part int, nb int")
-    placed = rows.drop("b").withColumn("part", F.col("part").cast("int")).join(F.broadcast(blocks), "part").withColumn("b", F.pmod(F.xxhash64("gid"), F.col("nb")).cast("int"))
-    other = F.broadcast(blocks.select((F.col("part") - step).alias("part"), F.col("nb").alias("onb")))
-    src = placed.join(other, "part").withColumn("tb", F.explode(F.sequence(F.lit(0), F.col("onb") - 1))).select("part", F.col("b").alias("sb"), "tb", F.lit(0).alias("side"), "gid", "vec")
-    shifted = placed.withColumn("part", F.col("part") - step)
-    back = F.broadcast(blocks.select("part", F.col("nb").alias("snb")))
-    dst = shifted.join(back, "part").withColumn("sb", F.explode(F.sequence(F.lit(0), F.col("snb") - 1))).select("part", "sb", F.col("b").alias("tb"), F.lit(1).alias("side"), "gid", "vec")
+    rows = features.select(F.col(part).cast("int").alias("part"), "gid", "vec")
+    return vector_knn(rows, rows.withColumn("part", F.col("part") - step), k).drop("part")
+
+
+def vector_knn(sources: DataFrame, targets: DataFrame, k: int) -> DataFrame:
+    """The k targets nearest to each source of their part: (part, src, dst, d2, rank). Both have (part, gid, vec).
+
+    Parts are searched in blocks: every block of a part's sources meets every block of
+    its targets in some task by a matrix product; distances of all that may be among
+    the k, ties included, are then summed up exactly. Ties go to the lesser id, and no row
+    is its own neighbour.
+    """
+    kind = sources.schema["part"].dataType.simpleString()
+    sides = [cut(x.select("part", "gid", F.col("vec").cast("array<double>").alias("vec"))) for x in (sources, targets)]
+    # a row for each part
+    blocks = [F.broadcast(x.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(n))) for x, n in zip(sides, ("ns", "nt"))]
+    whole = [x.join(blocks[0], "part").join(blocks[1], "part") for x in sides]
+    own = lambda n: F.pmod(F.xxhash64("gid"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    src = whole[0].withColumn("sb", own("ns")).withColumn("tb", every("nt")).select("part", "sb", "tb", F.lit(0).alias("side"), "gid", "vec")
+    dst = whole[1].withColumn("tb", own("nt")).withColumn("sb", every("ns")).select("part", "sb", "tb", F.lit(1).alias("side"), "gid", "vec")
 
     def score(table):
         side = np.array(table.column("side"))
         gid = np.array(table.column("gid"), dtype=np.int64)
-        vec = np.array(table.column("vec").to_pylist(), dtype=np.float64)
+        vec = rows_of(table.column("vec").combine_chunks())
         s, t = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        out = ([], [], [])
+        out = []
         if len(s) and len(t):
             norm = (vec**2).sum(1)
             most = min(len(t), k + 1)  # one of them may be the row itself
             # what rounding can add to a rough distance: all targets within it of the k-th are summed up exactly
             slack = 1e-15 * (vec.shape[1] + 8) * (norm[s] + norm[t].max())
             for low in range(0, len(s), 256):
-                rough = norm[s[low : low + 256], None] + norm[t][None, :] - 2 * vec[s[low : low + 256]] @ vec[t].T
+                own = s[low : low + 256]
+                rough = norm[own, None] + norm[t][None, :] - 2 * vec[own] @ vec[t].T
                 kth = np.partition(rough, most - 1, axis=1)[:, most - 1]
-                near = ~(rough > (kth + 4 * slack[low : low + 256])[:, None])
-                for i, row in enumerate(s[low : low + 256]):
-                    c = t[near[i]]
-                    c = c[gid[c] != gid[row]]
-                    d = ((vec[c] - vec[row]) ** 2).sum(1)
-                    o = np.lexsort((gid[c], d))[:k]
-                    out[0].extend([gid[row]] * len(o))
-                    out[1].extend(gid[c[o]])
-                    out[2].extend(d[o])
-        return pa.table({"src": pa.array(out[0], pa.int64()), "dst": pa.array(out[1], pa.int64()), "d2": pa.array(out[2], pa.float64())})
-
-    found = src.unionByName(dst).groupBy("part", "sb", "tb").applyInArrow(score, "src long, dst long, d2 double")
-    best = Window.partitionBy("src").orderBy("d2", "dst")
+                i, j = np.nonzero(~(rough > (kth + 4 * slack[low : low + 256])[:, None]))
+                i, j = own[i], t[j]
+                other = gid[i] != gid[j]
+                i, j = i[other], j[other]
+                d = ((vec[j] - vec[i]) ** 2).sum(1)
+                order = np.lexsort((gid[j], d, i))
+                i, j, d = i[order], j[order], d[order]
+                first = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else np.zeros(0, dtype=int)
+                place = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i))))
+                near = place < k
+                out.append((gid[i[near]], gid[j[near]], d[near]))
+        src, dst, d2 = (np.concatenate([o[c] for o in out]) if out else np.zeros(0) for c in range(3))
+        part = pa.array([table.column("part")[0].as_py()] * len(src), table.schema.field("part").type)
+        return pa.table({"part": part, "src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64()), "d2": pa.array(d2, pa.float64())})
+
+    found = src.unionByName(dst).groupBy("part", "sb", "tb").applyInArrow(score, f"part {kind}, src long, dst long, d2 double")
+    best = Window.partitionBy("part", "src").orderBy("d2", "dst")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
@@ -182,11 +244,6 @@ def mutual_neighbours(forward: DataFrame, backward: DataFrame) -> DataFrame:
     return forward.select(F.col("src").alias("u"), F.col("dst").alias("v")).join(backward.select(F.col("dst").alias("u"), F.col("src").alias("v")), ["u", "v"])
 
 
-def pair_distances(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
-    """Squared feature distances of all pairs that share `by`: for bounded blocks only. a has (by, src, avec), b (by, dst, bvec)."""
-    return a.join(b, by).select(*by, "src", "dst", dist2("avec", "bvec").alias("d2"))
-
-
 def subsample(spots: DataFrame, most: int, seed: int = 0, part: str = "slice_idx") -> DataFrame:
     """At most `most` rows of each slice, those of least md5 of seed and id; all of a slice that has no more."""
     rank = Window.partitionBy(part).orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("gid").cast("string"))), "gid")

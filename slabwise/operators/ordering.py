@@ -6,10 +6,9 @@ import itertools
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slabwise.functions.arrays import dist2
 from slabwise.model import OrderConfig
 from slabwise.session import cut
 
@@ -17,12 +16,12 @@ from . import linalg, neighbors, transport
 
 
 def _ranked(samples: DataFrame, k: int) -> DataFrame:
-    """(i, j, u, v): v is one of the k nearest of u in slice j, for all other slices j. For bounded samples of each slice."""
-    a = samples.select(F.col("slice_idx").alias("i"), F.col("gid").alias("u"), F.col("vec").alias("a"))
-    b = samples.select(F.col("slice_idx").alias("j"), F.col("gid").alias("v"), F.col("vec").alias("b"))
-    pairs = a.join(b, F.col("i") != F.col("j")).select("i", "j", "u", "v", dist2("a", "b").alias("d2"))
-    best = Window.partitionBy("u", "j").orderBy("d2", "v")
-    return pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("i", "j", "u", "v")
+    """(i, j, u, v): v is one of the k nearest of u in slice j, for all other slices j."""
+    keys = [r["slice_idx"] for r in samples.select("slice_idx").distinct().collect()]  # a row for each slice
+    pairs = samples.sparkSession.createDataFrame([(i, j, f"{i}>{j}") for i in keys for j in keys if i != j], "i int, j int, part string")
+    rows = samples.select(F.col("slice_idx").cast("int").alias("s"), "gid", "vec")
+    of = lambda c: rows.join(F.broadcast(pairs.select(F.col(c).alias("s"), "part")), "s").select("part", "gid", "vec")
+    return neighbors.vector_knn(of("i"), of("j"), k).join(F.broadcast(pairs), "part").select("i", "j", F.col("src").alias("u"), F.col("dst").alias("v"))
 
 
 def mutual_similarity(samples: DataFrame, k: int = 30) -> DataFrame:

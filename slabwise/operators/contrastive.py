@@ -7,9 +7,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from slabwise.functions.blocks import rows_of
 from slabwise.model import ContrastiveConfig
 from slabwise.session import cut
 
+#: Epochs whose batches are drawn, and held by the driver, at a time.
+EPOCHS = 16
+
 
 def positives(nodes: DataFrame, edges: DataFrame, seed: int = 0) -> DataFrame:
     """(gid, positive): one neighbour of each node, whichever md5 puts first, weights ignored; the node itself if it has none."""
@@ -65,30 +69,31 @@ def train(batches: list[tuple[np.ndarray, np.ndarray]], c: ContrastiveConfig) ->
     return w, losses
 
 
+def _batches(x: DataFrame, edges: DataFrame, config: ContrastiveConfig, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each epoch a batch of at most batch_size nodes, chosen by hash, and their positives; EPOCHS of them with one job."""
+    out, seed = [], F.lit(config.random_state)
+    share = min(1.0, (1.2 * config.batch_size + 100) / max(1, n))
+    for low in range(0, config.epochs, EPOCHS):
+        turns = F.explode(F.sequence(F.lit(low), F.lit(min(low + EPOCHS, config.epochs) - 1)))
+        rank = F.xxhash64("gid", seed, F.col("epoch"))
+        drawn = x.withColumn("epoch", turns).filter(F.pmod(rank, F.lit(1_000_000)) < int(np.ceil(share * 1_000_000)))
+        # a bounded number of rows for each epoch
+        drawn = drawn.withColumn("n", F.row_number().over(Window.partitionBy("epoch").orderBy(rank, "gid"))).filter(F.col("n") <= config.batch_size).drop("n")
+        drawn = cut(drawn)
+        key = F.md5(F.concat_ws(":", (seed + F.col("epoch")).cast("string"), F.col("gid").cast("string"), F.col("dst").cast("string")))
+        near = drawn.select("epoch", "gid").join(edges.select(F.col("src").alias("gid"), "dst"), "gid")
+        first = near.groupBy("epoch", "gid").agg(F.min(F.struct(key.alias("k"), "dst")).alias("p")).select("epoch", "gid", F.col("p.dst").alias("positive"))
+        both = drawn.join(first, ["epoch", "gid"], "left").withColumn("positive", F.coalesce("positive", "gid"))
+        rows = both.join(x.select(F.col("gid").alias("positive"), F.col("vec").alias("pvec")), "positive").select("epoch", "gid", "vec", "pvec").orderBy("epoch", "gid").toArrow()
+        epoch, a, b = rows.column("epoch").to_numpy(), rows_of(rows.column("vec").combine_chunks()), rows_of(rows.column("pvec").combine_chunks())
+        out += [(a[epoch == e], b[epoch == e]) for e in np.unique(epoch)]
+    return out
+
+
 def embed(features: DataFrame, edges: DataFrame, config: ContrastiveConfig = ContrastiveConfig()) -> tuple[DataFrame, list[float]]:
     """((gid, vec of unit length), losses): train on a bounded batch of nodes and their positives in each epoch, apply to all."""
-    x = cut(features.select("gid", "vec"))
-    n = x.count()
-    batches = []
-    for epoch in range(config.epochs):
-        share = min(1.0, 1.5 * config.batch_size / max(1, n))
-        drawn = x if share >= 1 else x.filter(F.pmod(F.xxhash64("gid", F.lit(config.random_state), F.lit(epoch)), F.lit(1_000_000)) < int(share * 1_000_000))
-        anchors = drawn.orderBy(F.xxhash64("gid", F.lit(config.random_state), F.lit(epoch)), "gid").limit(config.batch_size)
-        if epoch and n <= config.batch_size:
-            # all nodes are drawn every time, only their positives change: choose among the neighbours at hand
-            rng = np.random.default_rng([config.random_state, epoch])
-            pick = [near[int(rng.integers(len(near)))] if len(near) else i for i, near in enumerate(around)]
-            batches.append((base, base[pick]))
-            continue
-        pos = positives(anchors, edges.join(anchors.select(F.col("gid").alias("src")), "src", "left_semi"), config.random_state + epoch)
-        pairs = anchors.join(pos, "gid").join(x.select(F.col("gid").alias("positive"), F.col("vec").alias("pvec")), "positive").orderBy("gid").toPandas()
-        a, b = (np.array(pairs[k].tolist(), dtype=float) for k in ("vec", "pvec"))
-        batches.append((a, b))
-        if n <= config.batch_size:
-            base, at = a, {g: i for i, g in enumerate(pairs["gid"])}
-            around = [[] for _ in at]
-            for r in edges.select("src", "dst").orderBy("src", "dst").toPandas().itertuples(index=False):
-                around[at[r.src]].append(at[r.dst])
+    x = cut(features.select("gid", F.col("vec").cast("array<double>").alias("vec")))
+    batches = _batches(x, edges, config, x.count())
     w, losses = train(batches, config)
     shared = features.sparkSession.sparkContext.broadcast(w)  # two small matrices
 

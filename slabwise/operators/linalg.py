@@ -2,31 +2,34 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slabwise.functions.arrays import dot
+from slabwise.functions.arrays import dot, element_sums
+from slabwise.functions.blocks import rows_of
 from slabwise.session import cut
 
 from . import graph, neighbors
 
+#: Dimensions up to which X^T X is made (8 bytes for each pair of them on the driver); beyond, subspace iteration on X itself.
+MOST_GRAM = 1024
 
-def gram(features: DataFrame) -> DataFrame:
-    """X^T X of rows (gid, vec) as (i, j, value), i <= j, by a grouped sum of outer products."""
-    pairs = features.select(F.posexplode("vec").alias("i", "a"), "vec").select("i", "a", F.posexplode("vec").alias("j", "b")).filter("i <= j")
-    return pairs.groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("value"))
+#: Places of a vector that one grouped pass adds up.
+PLACES = 64
 
 
-def gram_matrix(features: DataFrame, width: int | None = None) -> np.ndarray:
-    """X^T X on the driver, d x d: blocks of rows are multiplied in tasks and the products added up."""
-    import pyarrow as pa
+def gram_matrix(features: DataFrame) -> np.ndarray:
+    """X^T X on the driver, d x d: blocks of rows are multiplied in tasks and the products added up. For d up to MOST_GRAM."""
 
     def multiply(batches):
         total = None
         for batch in batches:
             if batch.num_rows:
-                x = np.array(batch.column(0).to_pylist(), dtype=np.float64)
+                x = rows_of(batch.column(0))
                 total = x.T @ x if total is None else total + x.T @ x
         if total is not None:
             i, j = np.indices(total.shape)
@@ -53,25 +56,116 @@ def components(g: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def project(features: DataFrame, basis: np.ndarray) -> DataFrame:
-    """(gid, ..., vec X·V), as a JVM expression with the basis as a literal of d x dim numbers."""
-    columns = F.array(*(F.array(*(F.lit(float(x)) for x in c)) for c in basis.T))
-    return features.withColumn("vec", F.transform(columns, lambda c: dot("vec", c)))
+    """features with vec replaced by vec·basis, in Arrow batches; the basis, d x dim numbers, is broadcast."""
+    shared = features.sparkSession.sparkContext.broadcast(basis)
+    at, schema = features.columns.index("vec"), features.schema
+
+    def multiply(batches):
+        for batch in batches:
+            x = rows_of(batch.column(at)) @ shared.value if batch.num_rows else np.zeros((0, 1))
+            vec = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([vec if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
+
+    return features.withColumn("vec", F.col("vec").cast("array<double>")).mapInArrow(multiply, schema)
+
+
+def _signed(v: np.ndarray) -> np.ndarray:
+    return v * np.sign(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])])
+
+
+def _orthonormal(g: np.ndarray) -> np.ndarray:
+    """The matrix M for which Y M has orthonormal columns, of Y's Gram matrix; directions that Y lacks become 0."""
+    values, vectors = np.linalg.eigh(g)
+    keep = values > 1e-12 * max(values.max(initial=0.0), 1e-300)
+    return vectors * np.where(keep, 1 / np.sqrt(np.where(keep, values, 1.0)), 0.0)
+
+
+def sparse_svd(entries: DataFrame, dim: int, rounds: int = 6, spare: int = 10, seed: int = 0) -> DataFrame:
+    """Truncated SVD, not centred, of the sparse matrix (gid, gene_idx, value): (gid, vec), vec being the row's U·S.
+
+    Randomised subspace iteration: rows and columns hold dim + spare numbers each and are
+    multiplied by joins and grouped sums; the driver sees matrices of that size alone.
+    Rows without entries have no row in the result.
+    """
+    width = dim + spare
+    entries = cut(entries.select("gid", "gene_idx", F.col("value").cast("double").alias("value")))
+    uniform = [(F.pmod(F.xxhash64("gene_idx", F.lit(seed), F.lit(i)), F.lit(2_000_003)) - 1_000_001).cast("double") for i in range(width)]
+    v = cut(entries.select("gene_idx").distinct().select("gene_idx", F.array(*uniform).alias("vec")))
+
+    def times(vectors, on, by):
+        return cut(mean_vector(entries.join(vectors, on).select(by, "value", "vec"), [by], weight="value", width=width))
+
+    def orthonormal(vectors):
+        return project(vectors, _orthonormal(gram_matrix(vectors)))
+
+    v = orthonormal(v)
+    for _ in range(rounds):
+        v = orthonormal(times(orthonormal(times(v, "gene_idx", "gid")), "gid", "gene_idx"))
+    rows = times(v, "gene_idx", "gid")
+    values, turn = np.linalg.eigh(gram_matrix(rows))
+    return project(rows, _signed(turn[:, np.argsort(-values)[: min(dim, width)]]))
+
+
+def _wide_basis(features: DataFrame, dim: int, rounds: int = 8, spare: int = 10) -> np.ndarray:
+    """Right singular vectors of wide dense rows by subspace iteration: d x dim numbers on the driver, never d x d."""
+    d = features.select(F.size("vec").alias("d")).first()["d"]
+    width = min(d, dim + spare)
+    q, _ = np.linalg.qr(np.random.default_rng(0).normal(size=(d, width)))
+    for _ in range(rounds):
+        shared = features.sparkSession.sparkContext.broadcast(q)
+
+        def multiply(batches, shared=shared):
+            total = 0.0
+            for batch in batches:
+                if batch.num_rows:
+                    x = rows_of(batch.column(0))
+                    total = total + x.T @ (x @ shared.value)
+            if np.ndim(total):
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.ListArray.from_arrays(pa.array(np.arange(len(total) + 1) * total.shape[1], pa.int32()), pa.array(total.ravel()))], names=["i", "vec"])
+
+        parts = features.select("vec").mapInArrow(multiply, "i int, vec array<double>")
+        found = mean_vector(parts, ["i"], weight=None, width=width).orderBy("i").toArrow()
+        q, _ = np.linalg.qr(rows_of(found.column("vec").combine_chunks()))
+    values, turn = np.linalg.eigh(gram_matrix(project(features.select("vec"), q)))
+    return _signed(q @ turn[:, np.argsort(-values)[:dim]])
 
 
 def svd_embedding(features: DataFrame, dim: int = 50, sample: int | None = None, seed: int = 0) -> DataFrame:
     """Truncated SVD fitted on at most `sample` rows of each slice, applied to all rows: (gid, slice_idx, vec)."""
     fitted = neighbors.subsample(features, sample, seed) if sample else features
-    basis, _ = components(gram_matrix(fitted), dim)
-    return project(features.select("gid", "slice_idx", "vec"), basis) if basis.size else features.select("gid", "slice_idx", "vec")
+    rows = features.select("gid", "slice_idx", F.col("vec").cast("array<double>").alias("vec"))
+    first = fitted.select(F.size("vec").alias("d")).first()
+    if not first or not first["d"]:
+        return rows
+    basis = components(gram_matrix(fitted), dim)[0] if first["d"] <= MOST_GRAM else _wide_basis(cut(fitted.select("vec")), min(dim, first["d"] - 1))
+    return project(rows, basis)
+
+
+def sparse_embedding(spots: DataFrame, entries: DataFrame, dim: int = 50, **options) -> DataFrame:
+    """Features of spots (gid, slice_idx) from their sparse counts (gid, gene_idx, value): (gid, slice_idx, vec), zeros for a spot without counts."""
+    found = sparse_svd(entries.join(spots.select("gid"), "gid", "left_semi"), dim, **options)
+    return spots.select("gid", "slice_idx").join(found, "gid", "left").select("gid", "slice_idx", F.coalesce("vec", F.array_repeat(F.lit(0.0), dim)).alias("vec"))
 
 
 def mean_vector(rows: DataFrame, by: list[str], vec: str = "vec", weight: str | None = None, width: int | None = None) -> DataFrame:
-    """Weighted element-wise sums (or means without a weight) of an array column by group: (by, vec)."""
-    w = F.col(weight) if weight else F.lit(1.0)
-    spread = rows.select(*by, w.alias("w"), F.posexplode(vec).alias("pos", "v")).groupBy(*by, "pos").agg(F.sum(F.col("w") * F.col("v")).alias("s"), F.sum("w").alias("n"))
-    value = F.col("s") if weight else F.col("s") / F.col("n")
-    packed = spread.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("pos", value.alias("v")))).alias("p"))
-    return packed.select(*by, F.transform("p", lambda p: p["v"]).alias("vec"))
+    """Weighted element-wise sums (or means without a weight) of an array column by group: (by, vec).
+
+    Vectors are added up within each task before the shuffle, PLACES of them in one row;
+    longer ones are first cut into pieces of that length. All have `width` places.
+    """
+    if width is None:
+        first = rows.select(F.size(vec).alias("d")).first()
+        width = first["d"] if first else 0
+    w = F.col(weight) if weight else None
+    n = min(width, PLACES)
+    value = F.array(*(F.coalesce(F.col(f"_{i}"), F.lit(0.0)) if weight else F.coalesce(F.col(f"_{i}"), F.lit(0.0)) / F.col("__n") for i in range(n)))
+    if width <= PLACES:
+        return rows.groupBy(*by).agg(F.count("*").alias("__n"), *element_sums(vec, n, w)).select(*by, value.cast("array<double>").alias("vec"))
+    piece = F.slice(F.col(vec), F.col("__p") * PLACES + 1, F.lit(PLACES))
+    parts = rows.withColumn("__p", F.explode(F.sequence(F.lit(0), F.lit(math.ceil(width / PLACES) - 1)))).withColumn("__v", piece)
+    sums = parts.groupBy(*by, "__p").agg(F.count("*").alias("__n"), *element_sums("__v", n, w)).select(*by, "__p", value.alias("v"))
+    packed = sums.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("__p", "v"))).alias("p"))
+    return packed.select(*by, F.slice(F.flatten(F.transform("p", lambda p: p["v"])), 1, width).alias("vec"))
 
 
 def smooth(features: DataFrame, spots: DataFrame, k: int = 15, alpha: float = 0.7, steps: int = 2) -> DataFrame:
@@ -79,17 +173,24 @@ def smooth(features: DataFrame, spots: DataFrame, k: int = 15, alpha: float = 0.
     near = cut(neighbors.knn_within(spots, max(3, k)).select("src", "dst"))
     first = cut(features.select("gid", "slice_idx", "vec"))
     now = first
+    width = _width(first)
     for _ in range(max(1, steps)):
-        means = mean_vector(near.join(now.select(F.col("gid").alias("dst"), "vec"), "dst"), ["src"]).withColumnRenamed("vec", "m")
+        means = mean_vector(near.join(now.select(F.col("gid").alias("dst"), "vec"), "dst"), ["src"], width=width).withColumnRenamed("vec", "m")
         mixed = F.when(F.col("m").isNull(), F.col("vec")).otherwise(F.zip_with("vec", "m", lambda a, b: (1 - alpha) * a + alpha * b))
         now = cut(first.join(means, first.gid == means.src, "left").select("gid", "slice_idx", mixed.alias("vec")))
     return now
 
 
-def sparse_product(edges: DataFrame, vectors: DataFrame) -> DataFrame:
-    """A·Z for edges (src, dst, w) and rows (gid, vec): (gid, vec)."""
+def _width(rows: DataFrame) -> int:
+    first = rows.select(F.size("vec").alias("d")).first()
+    return first["d"] if first else 0
+
+
+def sparse_product(edges: DataFrame, vectors: DataFrame, width: int | None = None) -> DataFrame:
+    """A·Z for edges (src, dst, w) and rows (gid, vec) of `width` places: (gid, vec)."""
+    width = _width(vectors) if width is None else width
     joined = edges.join(vectors.select(F.col("gid").alias("dst"), "vec"), "dst")
-    return mean_vector(joined, ["src"], weight="w").withColumnRenamed("src", "gid")
+    return mean_vector(joined, ["src"], weight="w", width=width).withColumnRenamed("src", "gid")
 
 
 def frobenius(rows: DataFrame) -> DataFrame:
@@ -102,14 +203,16 @@ def diffuse(edges: DataFrame, features: DataFrame, eta: float = 0.5, steps: int
         raise ValueError("eta must lie between 0 and 1")
     a = cut(graph.row_normalised(edges, eps))
     x = cut(features.select("gid", "vec"))
-    z = x
+    z, width = x, _width(x)
     for _ in range(steps):
-        az = sparse_product(a, z).withColumnRenamed("vec", "az")
+        az = sparse_product(a, z, width).withColumnRenamed("vec", "az")
         mixed = F.when(F.col("az").isNull(), F.transform("vec", lambda v: (1 - eta) * v)).otherwise(F.zip_with("vec", "az", lambda v, m: (1 - eta) * v + eta * m))
         new = cut(x.join(az, "gid", "left").select("gid", mixed.alias("vec")))
+        z, old = new, z
+        if not tol:
+            continue  # all steps are wanted
         d = F.zip_with("vec", "old", lambda p, q: p - q)
-        row = new.join(z.select("gid", F.col("vec").alias("old")), "gid").agg(F.sum(dot(d, d)).alias("d"), F.sum(dot("old", "old")).alias("n")).first()
-        z = new
+        row = new.join(old.select("gid", F.col("vec").alias("old")), "gid").agg(F.sum(dot(d, d)).alias("d"), F.sum(dot("old", "old")).alias("n")).first()
         if not row["d"] or np.sqrt(row["d"]) / (np.sqrt(row["n"]) + eps) < tol:
             break
     return z

@@ -5,10 +5,12 @@ from __future__ import annotations
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slabwise.functions.arrays import argmax, log_gaussian, softmax, total
+from slabwise.functions.arrays import argmax, total
+from slabwise.functions.blocks import rows_of
 from slabwise.model import Cube
 from slabwise.session import cut
 
@@ -16,17 +18,27 @@ from . import graph, linalg
 
 
 def statistics(rows: DataFrame, k: int, dim: int) -> dict[str, np.ndarray]:
-    """Sums of q, q x and q x^2 over rows (vec, q), by cluster and dimension: one grouped pass, k (2 d + 1) numbers."""
-    cols = [F.count("*").alias("n")]
-    for c in range(k):
-        q = F.element_at("q", c + 1)
-        cols.append(F.sum(q).alias(f"q{c}"))
-        for j in range(dim):
-            x = F.element_at("vec", j + 1)
-            cols += [F.sum(q * x).alias(f"x{c}_{j}"), F.sum(q * x * x).alias(f"y{c}_{j}")]
-    r = rows.agg(*cols).first()
-    take = lambda p: np.array([[r[f"{p}{c}_{j}"] for j in range(dim)] for c in range(k)])
-    return {"n": float(r["n"]), "q": np.array([r[f"q{c}"] for c in range(k)]), "x": take("x"), "y": take("y")}
+    """Sums of q, q x and q x^2 over rows (vec, q), by cluster and dimension: each task adds its rows up and hands on k rows for each dimension."""
+
+    def add(batches):
+        total = np.zeros((k, 1 + 2 * dim))
+        n = 0
+        for batch in batches:
+            if batch.num_rows:
+                x, q = rows_of(batch.column("vec")), rows_of(batch.column("q"))
+                total += np.column_stack([q.sum(axis=0), q.T @ x, q.T @ (x * x)])
+                n += len(x)
+        cluster, place = np.divmod(np.arange(total.size), total.shape[1])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(cluster, k), pa.int32()), pa.array(np.append(place, 0), pa.int32()), pa.array(np.append(total.ravel(), float(n)))], names=["c", "j", "v"])
+
+    out = np.zeros((k, 1 + 2 * dim))
+    n = 0.0
+    for r in rows.select("vec", "q").mapInArrow(add, "c int, j int, v double").groupBy("c", "j").agg(F.sum("v").alias("v")).collect():
+        if r["c"] == k:
+            n = r["v"]
+        else:
+            out[r["c"], r["j"]] = r["v"]
+    return {"n": n, "q": out[:, 0], "x": out[:, 1 : 1 + dim], "y": out[:, 1 + dim :]}
 
 
 def maximise(s: dict[str, np.ndarray], cov_eps: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -38,10 +50,22 @@ def maximise(s: dict[str, np.ndarray], cov_eps: float) -> tuple[np.ndarray, np.n
 
 
 def scores(rows: DataFrame, share, mean, var, lam: float, cov_eps: float) -> DataFrame:
-    """E-step: q of rows (gid, vec, message), message being the neighbours' mean q or null."""
-    arr = lambda v: F.array(*(F.lit(float(x)) for x in v))
-    each = [log_gaussian("vec", arr(mean[c]), arr(var[c]), cov_eps) + F.lit(float(np.log(share[c]))) + F.lit(float(lam)) * F.coalesce(F.element_at("message", c + 1), F.lit(0.0)) for c in range(len(share))]
-    return rows.withColumn("logits", F.array(*each)).withColumn("q", softmax("logits")).drop("logits")
+    """E-step: (gid, vec, q) of rows (gid, vec, message), message being the neighbours' mean q or null; parameters are broadcast."""
+    shared = rows.sparkSession.sparkContext.broadcast((np.log(share), np.asarray(mean), np.maximum(var, cov_eps)))
+
+    def step(batches):
+        log_share, mean, var = shared.value
+        k = len(log_share)
+        for batch in batches:
+            n = batch.num_rows
+            x = rows_of(batch.column("vec")) if n else np.zeros((0, mean.shape[1]))
+            logits = log_share - 0.5 * (np.log(2 * np.pi * var).sum(axis=1) + np.stack([((x - m) ** 2 / v).sum(axis=1) for m, v in zip(mean, var)], axis=1))
+            logits += lam * np.array([m or [0.0] * k for m in batch.column("message").to_pylist()]).reshape(n, k)
+            e = np.exp(logits - logits.max(axis=1, keepdims=True))
+            q = e / (e.sum(axis=1, keepdims=True) + 1e-12)
+            yield pa.RecordBatch.from_arrays([batch.column("gid"), batch.column("vec"), pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * k, pa.int32()), pa.array(q.ravel()))], names=["gid", "vec", "q"])
+
+    return rows.select("gid", "vec", "message").mapInArrow(step, "gid long, vec array<double>, q array<double>")
 
 
 def gmm(
@@ -62,7 +86,7 @@ def gmm(
     """
     if n_clusters <= 1:
         raise ValueError("n_clusters must be more than 1")
-    x = cut(features.select("gid", "vec"))
+    x = cut(features.select("gid", F.col("vec").cast("array<double>").alias("vec")))
     n = x.count()
     if n < n_clusters:
         raise ValueError("there are fewer rows than clusters")
@@ -89,7 +113,7 @@ def gmm(
     share, mean, var = maximise(statistics(q, n_clusters, dim), cov_eps)
     labels = None
     for turn in range(1, n_iter + 1):
-        message = linalg.sparse_product(a, q.select("gid", F.col("q").alias("vec"))).withColumnRenamed("vec", "message")
+        message = linalg.sparse_product(a, q.select("gid", F.col("q").alias("vec")), n_clusters).withColumnRenamed("vec", "message")
         stepped = scores(q.select("gid", "vec").join(message, "gid", "left"), share, mean, var, lam, cov_eps).select("gid", "vec", "q", argmax("q").alias("cluster"))
         q = cut(stepped)
         share, mean, var = maximise(statistics(q, n_clusters, dim), cov_eps)

@@ -20,3 +20,20 @@ def numbered(rows: DataFrame, keys: list[str], name: str, first: int = 0) -> Dat
     starts = sizes.select("__r", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__start"))
     place = F.col("__start") + F.row_number().over(Window.partitionBy("__r").orderBy(*keys)) + F.lit(first - 1)
     return dealt.join(F.broadcast(starts), "__r").withColumn(name, place.cast("long")).drop("__r", "__start")
+
+
+def quantiles(rows: DataFrame, by: list[str], value: str, shares: list[float]) -> DataFrame:
+    """Exact quantiles of a column by group, interpolated between neighbours: (by, share, quantile). Nulls don't count.
+
+    Values are ordered over ranges of the whole table; the wanted places of each group
+    are then looked up, so that no task holds a group.
+    """
+    placed = numbered(rows.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__v")), [*by, "__v"], "__i")
+    groups = placed.groupBy(*by).agg(F.min("__i").alias("start"), F.count("*").alias("n"))
+    asked = groups.withColumn("share", F.explode(F.array(*(F.lit(float(s)) for s in shares))))
+    at = (F.col("n") - 1) * F.col("share")
+    part = at - F.floor(at)
+    ends = F.array(F.struct((F.col("start") + F.floor(at)).alias("__i"), (1 - part).alias("w")), F.struct((F.col("start") + F.ceil(at)).alias("__i"), part.alias("w")))
+    wanted = asked.withColumn("e", F.explode(ends)).select(*by, "share", "e.__i", "e.w")
+    found = placed.select("__i", "__v").join(wanted, "__i")
+    return found.groupBy(*by, "share").agg(F.sum(F.col("w") * F.col("__v")).alias("quantile"))

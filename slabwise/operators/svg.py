@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from slabwise.session import cut, shuffle_width
 
+from .ranking import quantiles
+
 MT_PREFIXES = ("mt-", "MT-")
 
 
@@ -54,7 +56,10 @@ def kernels(spots: DataFrame) -> DataFrame:
     middle = spots.agg(F.avg("x").alias("mx"), F.avg("y").alias("my")).first()
     flat = spots.select("gid", (F.col("x") - middle["mx"]).alias("x"), (F.col("y") - middle["my"]).alias("y"))
     shares = [0.2, 0.4, 0.6, 0.8, 1.0]
-    row = flat.agg(*(F.percentile(F.abs(F.col(c)), F.array(*(F.lit(s) for s in shares))).alias(c) for c in ("x", "y"))).first()
+    both = flat.select(F.explode(F.array(*(F.struct(F.lit(c).alias("c"), F.abs(F.col(c)).alias("a")) for c in ("x", "y")))).alias("e")).select("e.c", "e.a")
+    row: dict[str, list[float]] = {"x": [], "y": []}
+    for r in quantiles(both, ["c"], "a", shares).orderBy("share").collect():
+        row[r["c"]].append(r["quantile"])
     s: list[Column] = [F.col("x"), F.col("y")]
     for make in (lambda c, q: F.exp(-c * c / (2 * q * q)), lambda c, q: F.cos(2 * math.pi * c / q)):
         for i in range(len(shares)):

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slabwise.session import cut
 
 from . import neighbors
+from .ranking import quantiles
 
 
 def gaussian(d2, sigma, alpha: float = 1.0, eps: float = 1e-12):
@@ -17,7 +20,7 @@ def gaussian(d2, sigma, alpha: float = 1.0, eps: float = 1e-12):
 
 def median_distance(edges: DataFrame, by: list[str]) -> DataFrame:
     """The exact median of the distances, by group: (by, sigma)."""
-    return edges.groupBy(*by).agg(F.median(F.sqrt("d2")).alias("sigma"))
+    return quantiles(edges.select(*by, F.sqrt("d2").alias("d")), by, "d", [0.5]).select(*by, F.col("quantile").alias("sigma"))
 
 
 def symmetrised(directed: DataFrame) -> DataFrame:
@@ -170,8 +173,14 @@ def leiden(edges: DataFrame, resolution: float = 1.0, seed: int = 0, levels: int
     return member.join(numbers, "node").select("gid", "cluster")
 
 
-def leiden_local(src: list, dst: list, w: list, resolution: float = 1.0, seed: int = 0, levels: int = 20) -> dict:
-    """Node -> cluster of a symmetric edge list in memory: local moving by a queue, connected parts, coarser graph, again."""
+def leiden_local(src: list, dst: list, w: list, resolution: float = 1.0, seed: int = 0, levels: int = 20, passes: int = 10) -> dict:
+    """Node -> cluster of a symmetric edge list in memory by Leiden's three steps, again from what was found until no node moves.
+
+    Nodes move by a queue to the neighbouring community of greatest gain. Each community
+    is then refined: its nodes start alone and join refined communities within it where
+    that gains and both are well connected to the rest of it. Refined communities become
+    the next graph's nodes, which start in the communities that were found.
+    """
     import random
 
     near: dict = {}
@@ -180,17 +189,34 @@ def leiden_local(src: list, dst: list, w: list, resolution: float = 1.0, seed: i
         near[a][b] = near[a].get(b, 0.0) + x
         near.setdefault(b, {})
     rng = random.Random(seed)
+    found = {v: v for v in near}
+    for _ in range(passes):
+        before, found = found, _leiden_pass(near, found, resolution, rng, levels)
+        if len({(before[v], found[v]) for v in near}) == len(set(found.values())) == len(set(before.values())):
+            break
+    groups: dict = {}
+    for v, c in found.items():
+        groups.setdefault(c, []).append(v)
+    ranked = sorted(groups.values(), key=lambda g: (-len(g), min(g)))
+    return {o: i for i, g in enumerate(ranked) for o in g}
+
+
+def _leiden_pass(near: dict, of: dict, resolution: float, rng, levels: int) -> dict:
+    """Node -> community after one descent through coarser and coarser graphs, from the communities in `of`; communities are connected."""
     member = {v: v for v in near}  # original node -> node of the current graph
-    loop = dict.fromkeys(near, 0.0)
+    loop, whole = dict.fromkeys(near, 0.0), near
+    of = dict(of)
     twice = sum(sum(n.values()) for n in near.values())
     for _ in range(levels if twice else 0):
         k = {v: sum(n.values()) + loop[v] for v, n in near.items()}
-        of, mass = {v: v for v in near}, dict(k)
+        mass: dict = {}
+        for v, c in of.items():
+            mass[c] = mass.get(c, 0.0) + k[v]
         order = sorted(near)
         rng.shuffle(order)
-        queue, waiting = order[::-1], set(order)
+        queue, waiting = deque(order), set(order)
         while queue:
-            v = queue.pop()
+            v = queue.popleft()
             waiting.discard(v)
             own = of[v]
             mass[own] -= k[v]
@@ -205,35 +231,69 @@ def leiden_local(src: list, dst: list, w: list, resolution: float = 1.0, seed: i
                 for u in near[v]:
                     if of[u] != best and u not in waiting:
                         waiting.add(u)
-                        queue.insert(0, u)
-        part: dict = {}
-        for v in sorted(near):
-            if v not in part:
-                part[v], stack = v, [v]
-                while stack:
-                    x = stack.pop()
-                    for u in near[x]:
-                        if u not in part and of[u] == of[v]:
-                            part[u] = v
-                            stack.append(u)
-        if len(set(part.values())) == len(near):
+                        queue.append(u)
+        if len(set(of.values())) == len(near):
             break
-        coarse: dict = {p: {} for p in part.values()}
+        fine = _refined(near, k, of, mass, order, resolution / twice)
+        if len(set(fine.values())) == len(near):
+            break
+        coarse: dict = {p: {} for p in fine.values()}
         inside = dict.fromkeys(coarse, 0.0)
         for v, n in near.items():
-            inside[part[v]] += loop[v]
+            inside[fine[v]] += loop[v]
             for u, x in n.items():
-                if part[u] == part[v]:
-                    inside[part[v]] += x
+                if fine[u] == fine[v]:
+                    inside[fine[v]] += x
                 else:
-                    coarse[part[v]][part[u]] = coarse[part[v]].get(part[u], 0.0) + x
-        member = {o: part[v] for o, v in member.items()}
+                    coarse[fine[v]][fine[u]] = coarse[fine[v]].get(fine[u], 0.0) + x
+        first: dict = {}  # a community is named by one of its new nodes
+        for v in sorted(near):
+            first.setdefault(of[v], fine[v])
+        member = {o: fine[v] for o, v in member.items()}
+        of = {fine[v]: first[of[v]] for v in near}
         near, loop = coarse, inside
-    groups: dict = {}
-    for o, v in member.items():
-        groups.setdefault(v, []).append(o)
-    ranked = sorted(groups.values(), key=lambda g: (-len(g), min(g)))
-    return {o: i for i, g in enumerate(ranked) for o in g}
+    return _parts(whole, {o: of[v] for o, v in member.items()})
+
+
+def _refined(near: dict, k: dict, of: dict, mass: dict, order: list, rate: float) -> dict:
+    """Node -> refined community within its community; rate is the resolution over twice the graph's weight."""
+    to = {v: v for v in near}
+    size, weight = dict.fromkeys(near, 1), dict(k)
+    # ties of each refined community to the rest of its community
+    out = {v: sum(x for u, x in n.items() if of[u] == of[v]) for v, n in near.items()}
+    firm = lambda c, s: out[c] >= rate * weight[c] * (mass[s] - weight[c]) - 1e-12
+    for v in order:
+        s = of[v]
+        if size[to[v]] > 1 or not firm(v, s):
+            continue
+        ties: dict = {}
+        for u, x in near[v].items():
+            if of[u] == s:
+                ties[to[u]] = ties.get(to[u], 0.0) + x
+        gain = {c: x - rate * k[v] * weight[c] for c, x in ties.items() if firm(c, s)}
+        best = max(sorted(gain), key=lambda c: round(gain[c], 12), default=None)
+        if best is None or gain[best] <= 1e-12:
+            continue
+        to[v] = best
+        size[best] += 1
+        weight[best] += k[v]
+        out[best] += out[v] - 2 * ties[best]
+    return to
+
+
+def _parts(near: dict, of: dict) -> dict:
+    """Node -> the least node it is joined to within its community."""
+    part: dict = {}
+    for v in sorted(near):
+        if v not in part:
+            part[v], stack = v, [v]
+            while stack:
+                x = stack.pop()
+                for u in near[x]:
+                    if u not in part and of[u] == of[v]:
+                        part[u] = v
+                        stack.append(u)
+    return part
 
 
 def _connected(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -84,21 +84,8 @@ def alignment_pairs(n: int, strategy: str = "sequential", anchor: int | None = N
     return down + up
 
 
-def chamfer(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
-    """Mean squared distance to the nearest point of the other set, both ways, by group: (by, chamfer). a has (by, src, x, y), b (by, dst, tx, ty).
-
-    For bounded blocks: all pairs of a group are looked at. NaN if a side is empty.
-    """
-    dx, dy = F.col("x") - F.col("tx"), F.col("y") - F.col("ty")
-    pairs = a.join(b, by).select(*by, "src", "dst", (dx * dx + dy * dy).alias("d2"))
-    one = pairs.groupBy(*by, "src").agg(F.min("d2").alias("m")).groupBy(*by).agg(F.avg("m").alias("p"))
-    two = pairs.groupBy(*by, "dst").agg(F.min("d2").alias("m")).groupBy(*by).agg(F.avg("m").alias("q"))
-    groups = a.select(*by).unionByName(b.select(*by)).distinct()
-    both = groups.join(one, by, "left").join(two, by, "left")
-    return both.select(*by, F.coalesce(F.col("p") + F.col("q"), F.lit(float("nan"))).alias("chamfer"))
-
-
 def chamfer_of(a: np.ndarray, b: np.ndarray) -> float:
+    """Mean squared distance to the nearest point of the other set, both ways, of bounded blocks; NaN if a side is empty."""
     if a.shape[1] != b.shape[1]:
         raise ValueError("both sets need the same dimension")
     if not len(a) or not len(b):
@@ -160,14 +147,12 @@ def register(src: Block, tgt: Block, o: Options) -> tuple[float, np.ndarray, np.
     cost = transport.cleaned(transport.candidates_only(transport.squared_distances(src.vec, tgt.vec), o.expr_knn), o.clip_quantile)
     exact = o.transport in transport.ASSIGNMENT and len(src.gid) == len(tgt.gid) <= o.emd_max_n
     if exact:
-        i = np.arange(len(cost))
-        cost = cost + 1e-6 * max(cost.max(), 1.0) * (i[:, None] - i[None, :]) ** 2
+        cost = transport.tie_broken(cost)
     sigma = target_spacing(tgt.xy)
     s, r, t = 1.0, np.eye(2), np.zeros(2)
     now, method = src.xy, o.transport
     for _ in range(o.n_iter):
-        gated = cost + o.spatial_weight * transport.squared_distances(now, tgt.xy) / sigma**2 if o.spatial_weight else cost
-        pi, method = transport.plan(gated, o.transport, o.ot_reg, o.emd_max_n, o.unbalanced_reg_m, o.ot_num_iter_max, o.ot_stop_thr)
+        pi, method = transport.plan(transport.gated(cost, now, tgt.xy, sigma, o.spatial_weight), o.transport, o.ot_reg, o.emd_max_n, o.unbalanced_reg_m, o.ot_num_iter_max, o.ot_stop_thr)
         w, mean = transport.barycentres(pi, tgt.xy)
         ds, dr, dt = fit_pose(now, mean, w, o.allow_scale, (o.scale_min, o.scale_max))
         s, r, t = ds * s, dr @ r, ds * (dr @ t) + dt
@@ -183,11 +168,36 @@ def shared_embedding(cube: Cube, o: Options) -> DataFrame:
     return linalg.smooth(e, cube.spots, o.smooth_k, o.smooth_alpha, o.smooth_steps) if o.feature_mode == "svd_smooth" else e
 
 
+def sampled(cube: Cube, embedding: DataFrame, o: Options) -> DataFrame:
+    """(gid, slice_idx, x, y, vec) of at most subsample_n spots of each slice."""
+    return neighbors.subsample(cube.spots.select("gid", "slice_idx", "x", "y"), o.subsample_n, o.random_state).join(embedding.select("gid", "vec"), "gid")
+
+
 def sampled_blocks(cube: Cube, embedding: DataFrame, o: Options) -> dict[int, Block]:
     """The slices' samples on the driver: at most subsample_n rows for each of a few slices."""
-    picked = neighbors.subsample(cube.spots.select("gid", "slice_idx", "x", "y"), o.subsample_n, o.random_state)
-    pdf = picked.join(embedding.select("gid", "vec"), "gid").toPandas().sort_values("gid")
-    return {int(k): Block(g["gid"].to_numpy(), g[["x", "y"]].to_numpy(float), np.array(g["vec"].tolist(), dtype=float)) for k, g in pdf.groupby("slice_idx")}
+    return {int(k): block_of(g) for k, g in sampled(cube, embedding, o).toPandas().groupby("slice_idx")}
+
+
+def block_of(pdf) -> Block:
+    pdf = pdf.sort_values("gid")
+    return Block(pdf["gid"].to_numpy(), pdf[["x", "y"]].to_numpy(float), np.array(pdf["vec"].tolist(), dtype=float))
+
+
+def by_neighbours(rows: DataFrame, fn, schema: str, keys: list[int] | None = None) -> DataFrame:
+    """fn(pair, low, high) for every slice and the next, a task for each pair: rows (gid, slice_idx, x, y, vec) are bounded samples, pair the lower slice's place."""
+    if keys is None:
+        keys = [r["slice_idx"] for r in rows.select("slice_idx").distinct().orderBy("slice_idx").collect()]
+    names = [f.split()[0] for f in schema.split(", ")]
+    table = [(p, side, keys[p + side]) for p in range(len(keys) - 1) for side in (0, 1)]
+    pairs = F.broadcast(rows.sparkSession.createDataFrame(table, "pair int, side int, slice_idx int"))  # two rows for each slice
+
+    def one(pdf):
+        import pandas as pd
+
+        low, high = (block_of(pdf[pdf["side"] == s]) for s in (0, 1))
+        return pd.DataFrame(fn(int(pdf["pair"].iloc[0]), low, high), columns=names)
+
+    return rows.select("gid", "slice_idx", "x", "y", "vec").join(pairs, "slice_idx").groupBy("pair").applyInPandas(one, schema)
 
 
 def _pose_rows(poses: dict[int, tuple]) -> list[tuple]:
@@ -267,23 +277,25 @@ def align_global(cube: Cube, options: Options = Options(), anchor: int = 0, lam_
     and the optimum is each pair's own fit, composed outward from the anchor; with it,
     Gauss-Newton steps start from there. Returns (cube, {status, success, cost, nfev, poses}).
     """
-    blocks = sampled_blocks(cube, linalg.svd_embedding(cube.embedding, options.svd_dim, options.subsample_n, options.random_state), options)
-    keys = sorted(blocks)
+    keys = [r["slice_idx"] for r in cube.spots.select("slice_idx").distinct().orderBy("slice_idx").collect()]
     if len(keys) < 2:
         return cube, {"status": "skipped", "success": True, "cost": 0.0, "nfev": 0, "poses": {}}
     if not 0 <= anchor < len(keys):
         raise ValueError("anchor out of range")
-    pairs = []
-    for i in range(len(keys) - 1):
-        low, high = blocks[keys[i]], blocks[keys[i + 1]]
+    embedding = linalg.svd_embedding(cube.embedding, options.svd_dim, options.subsample_n, options.random_state)
+
+    def correspond(pair, low, high):
         try:
             cost = transport.cleaned(transport.candidates_only(transport.squared_distances(high.vec, low.vec), options.expr_knn), options.clip_quantile, pairwise=False)
         except RuntimeError:
-            continue
+            return []
         pi, _ = transport.plan(cost, options.transport, options.ot_reg, options.emd_max_n, None, options.ot_num_iter_max, options.ot_stop_thr)
         w, mean = transport.barycentres(pi, low.xy)
-        keep = w > 0
-        pairs.append((i + 1, i, high.xy[keep], mean[keep], w[keep]))
+        return [(pair, *map(float, (*p, *q, x))) for p, q, x in zip(high.xy, mean, w) if x > 0]
+
+    # five numbers for each sampled spot
+    found = by_neighbours(sampled(cube, embedding, options), correspond, "pair int, px double, py double, qx double, qy double, w double", keys).toPandas()
+    pairs = [(int(i) + 1, int(i), g[["px", "py"]].to_numpy(), g[["qx", "qy"]].to_numpy(), g["w"].to_numpy()) for i, g in found.groupby("pair")]
     if not pairs:
         return cube, {"status": "failed", "success": False, "cost": float("nan"), "nfev": 0, "poses": {}}
     pose = {anchor: (np.eye(2), np.zeros(2))}
@@ -349,31 +361,40 @@ def align_global(cube: Cube, options: Options = Options(), anchor: int = 0, lam_
 def align_roundtrip(cube: Cube, options: Options = Options(n_iter=2), roundtrip_steps: int = 5, compat: bool = False) -> tuple[Cube, DataFrame]:
     """Adjacent alignment by features that are exchanged back and forth: (cube, poses).
 
-    By default similar rows cost little, barycentres are divided by row mass and the
+    Plans depend on features alone, so all pairs have theirs at once; poses then follow
+    one from the other. By default similar rows cost little, barycentres are divided by row mass and the
     steps' poses are composed; compat takes the similarity's negative, leaves barycentres
     undivided and applies the last step's pose only.
     """
-    blocks = sampled_blocks(cube, linalg.svd_embedding(cube.embedding, options.svd_dim, options.subsample_n, options.random_state), options)
-    keys = sorted(blocks)
-    poses = {}
+    keys = [r["slice_idx"] for r in cube.spots.select("slice_idx").distinct().orderBy("slice_idx").collect()]
+    embedding = linalg.svd_embedding(cube.embedding, options.svd_dim, options.subsample_n, options.random_state)
     sign = -1.0 if compat else 1.0
-    for i in range(1, len(keys)):
-        src, tgt = blocks[keys[i]], blocks[keys[i - 1]]
+
+    def exchange(pair, tgt, src):
+        """The plan by features alone, as each source spot's mass and its weighted sum of target places."""
         a, b = np.full(len(src.gid), 1 / len(src.gid)), np.full(len(tgt.gid), 1 / len(tgt.gid))
-        now, s, r, t = src.xy, 1.0, np.eye(2), np.zeros(2)
+        hs, ht, pi = src.vec, tgt.vec, None
+        for _ in range(roundtrip_steps):
+            logits = sign * (hs @ ht.T) / math.sqrt(hs.shape[1])
+            soft = np.exp(logits - logits.max(1, keepdims=True))
+            cost = -np.log(soft / (soft.sum(1, keepdims=True) + 1e-12) + 1e-12)
+            pi = transport.sinkhorn(a, b, cost, options.ot_reg, None, options.ot_num_iter_max, options.ot_stop_thr)
+            hs = pi @ ht if compat else transport.barycentres(pi, ht)[1]
+            ht = pi.T @ hs if compat else transport.barycentres(pi.T, hs)[1]
+        return [(pair, *map(float, (*p, x, *q))) for p, x, q in zip(src.xy, pi.sum(axis=1), pi @ tgt.xy)]
+
+    found = by_neighbours(sampled(cube, embedding, options), exchange, "pair int, px double, py double, w double, sx double, sy double", keys).toPandas()
+    poses = {}
+    before = (np.eye(2), np.zeros(2))  # the target's pose: it has moved already
+    for i, g in sorted(found.groupby("pair")):
+        now, w = g[["px", "py"]].to_numpy(), g["w"].to_numpy()
+        placed = g[["sx", "sy"]].to_numpy() @ before[0].T + w[:, None] * before[1]
+        mean = placed if compat else placed / (w + 1e-12)[:, None]
+        r, t = np.eye(2), np.zeros(2)
         for _ in range(options.n_iter):
-            hs, ht, cost = src.vec, tgt.vec, None
-            for _ in range(roundtrip_steps):
-                logits = sign * (hs @ ht.T) / math.sqrt(hs.shape[1])
-                soft = np.exp(logits - logits.max(1, keepdims=True))
-                cost = -np.log(soft / (soft.sum(1, keepdims=True) + 1e-12) + 1e-12)
-                pi = transport.sinkhorn(a, b, cost, options.ot_reg, None, options.ot_num_iter_max, options.ot_stop_thr)
-                hs = pi @ ht if compat else transport.barycentres(pi, ht)[1]
-                ht = pi.T @ hs if compat else transport.barycentres(pi.T, hs)[1]
-            w, mean = transport.barycentres(pi, tgt.xy)
-            _, dr, dt = fit_pose(now, pi @ tgt.xy if compat else mean, w)
+            _, dr, dt = fit_pose(now, mean, w)
             r, t = (dr, dt) if compat else (dr @ r, dr @ t + dt)
             now = now @ dr.T + dt
-        poses[keys[i]] = (s, r, t)
-        blocks[keys[i]] = replace(src, xy=src.xy @ r.T + t)
+        poses[keys[int(i) + 1]] = (1.0, r, t)
+        before = (r, t)
     return _moved(cube, poses), _poses(cube, poses)

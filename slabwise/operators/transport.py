@@ -119,6 +119,17 @@ def cleaned(cost: np.ndarray, clip_quantile: float | None = None, pairwise: bool
     return c - c.min(axis=1, keepdims=True)
 
 
+def tie_broken(cost: np.ndarray) -> np.ndarray:
+    """cost + 1e-6 * max(the greatest cost, 1) * (i - j)^2, so that equal assignments have an order."""
+    i, j = np.indices(cost.shape)
+    return cost + 1e-6 * max(cost.max(initial=0.0), 1.0) * (i - j) ** 2
+
+
+def gated(cost: np.ndarray, a: np.ndarray, b: np.ndarray, sigma: float, weight: float = 0.2) -> np.ndarray:
+    """cost + weight * squared distance of a and b / sigma^2."""
+    return cost + weight * squared_distances(a, b) / sigma**2 if weight else cost
+
+
 def plan(cost: np.ndarray, transport: str, reg: float, emd_max_n: int = 2000, reg_m: float | None = None, rounds: int = 20_000, tol: float = 1e-9) -> tuple[np.ndarray, str]:
     """A transport plan for uniform weights and the method that made it."""
     n, m = cost.shape

@@ -3,6 +3,6 @@
 
 def load_catalog():
     """Import the query modules, which register themselves, and return the registry."""
-    from . import algebra, catalog, features, graphs  # noqa: F401
+    from . import algebra, catalog, features, graphs, planted  # noqa: F401
 
     return catalog

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from slabwise.functions.arrays import argmax, dist2, softmax
+from slabwise.functions.arrays import argmax, softmax
 from slabwise.model import ContrastiveConfig, Cube, OrderConfig
-from slabwise.operators import contrastive, costs, graph, linalg, metrics, mixture, neighbors, ordering, registration, transport
+from slabwise.operators import contrastive, graph, linalg, metrics, mixture, neighbors, ordering, registration, transport
 from slabwise.sources import fixtures
 from slabwise.sources.fixtures import sql
 
@@ -16,15 +17,15 @@ from .catalog import query
 from .graphs import D2, GRAPH_SQL, K_INTER, K_INTRA, LAMBDA_Z, VEC_D2, graph_of, inter_sql, intra_sql, mapping_of, mapping_sql
 
 _R = lambda c, a=None: F.round(c, 6).alias(a or c)
-DIMS = 4
+DIMS = 64
 
 _FULL = ("spots", intra_sql(), inter_sql(), mapping_sql(), GRAPH_SQL)
 _LONG = f"x0 as (select gid, slice_idx, i as pos, vec[i] as v from (select gid, slice_idx, vec, unnest(range(1, {DIMS + 1})) as i from spots))"
 
 
-def short(spark, sf_dir):
+def featured(spark, sf_dir):
     s = fixtures.spots(spark, sf_dir)
-    return s, s.select("gid", "slice_idx", F.slice("vec", 1, DIMS).alias("vec"))
+    return s, s.select("gid", "slice_idx", "vec")
 
 
 def long_rows(rows):
@@ -34,7 +35,8 @@ def long_rows(rows):
 # ---- linear algebra ------------------------------------------------------------------------------
 @query("svd_gram", sql("spots", "e as (select gid, unnest(range(1, 65)) as i, vec from spots)", then="select cast(a.i - 1 as int) as i, cast(b.i - 1 as int) as j, round(sum(a.vec[a.i] * b.vec[b.i]), 6) as value from e a join e b on a.gid = b.gid and a.i <= b.i group by a.i, b.i"))
 def svd_gram(spark, sf_dir):
-    return linalg.gram(fixtures.spots(spark, sf_dir)).select("i", "j", _R("value"))
+    g = linalg.gram_matrix(fixtures.spots(spark, sf_dir))
+    return spark.createDataFrame([(i, j, round(float(g[i, j]), 6)) for i in range(len(g)) for j in range(i, len(g))], "i int, j int, value double")
 
 
 @query("svd_embed")
@@ -54,13 +56,13 @@ def _smooth_step(i: int) -> str:
 
 @query("spatial_smooth", sql("spots", intra_sql(), _LONG, _smooth_step(1), _smooth_step(2), then="select gid, pos, round(v, 6) as v from x2"))
 def spatial_smooth(spark, sf_dir):
-    spots, x = short(spark, sf_dir)
+    spots, x = featured(spark, sf_dir)
     return long_rows(linalg.smooth(x, spots, 15, 0.7, 2))
 
 
 @query("sparse_product", sql(*_FULL, _LONG, then="select src as gid, pos, round(sum(w * v), 6) as v from edges join x0 on x0.gid = dst group by all"))
 def sparse_product(spark, sf_dir):
-    spots, x = short(spark, sf_dir)
+    spots, x = featured(spark, sf_dir)
     return long_rows(linalg.sparse_product(graph_of(spots), x))
 
 
@@ -71,7 +73,7 @@ def _diffuse_step(i: int) -> str:
 
 @query("ppr_steps", sql(*_FULL, _LONG, "aw as (select src, dst, w / (sum(w) over (partition by src) + 1e-12::double) as w from edges)", _diffuse_step(1), _diffuse_step(2), _diffuse_step(3), then="select gid, pos, round(v, 6) as v from x3"))
 def ppr_steps(spark, sf_dir):
-    spots, x = short(spark, sf_dir)
+    spots, x = featured(spark, sf_dir)
     return long_rows(linalg.diffuse(graph_of(spots), x, 0.5, 3, 0.0))
 
 
@@ -99,7 +101,7 @@ def _first_responsibilities(x):
 
 @query("mixture_stats", sql("spots", _LONG, _Q, then="select c as cluster, pos, round(sum(q), 6) as q, round(sum(q * v), 6) as sx, round(sum(q * v * v), 6) as sxx from q join x0 using (gid) group by all"))
 def mixture_stats(spark, sf_dir):
-    _, x = short(spark, sf_dir)
+    _, x = featured(spark, sf_dir)
     s = mixture.statistics(_first_responsibilities(x), _K, DIMS)
     rows = [(c, j + 1, round(float(s["q"][c]), 6), round(float(s["x"][c, j]), 6), round(float(s["y"][c, j]), 6)) for c in range(_K) for j in range(DIMS)]
     return spark.createDataFrame(rows, "cluster long, pos long, q double, sx double, sxx double")
@@ -107,7 +109,7 @@ def mixture_stats(spark, sf_dir):
 
 @query("gmm_m_step", sql("spots", _LONG, _Q, _M, then="select c as cluster, pos, round(share, 6) as share, round(mean, 6) as mean, round(var, 6) as var from par"))
 def gmm_m_step(spark, sf_dir):
-    _, x = short(spark, sf_dir)
+    _, x = featured(spark, sf_dir)
     share, mean, var = mixture.maximise(mixture.statistics(_first_responsibilities(x), _K, DIMS), 1e-4)
     rows = [(c, j + 1, round(float(share[c]), 6), round(float(mean[c, j]), 6), round(float(var[c, j]), 6)) for c in range(_K) for j in range(DIMS)]
     return spark.createDataFrame(rows, "cluster long, pos long, share double, mean double, var double")
@@ -119,7 +121,7 @@ def gmm_m_step(spark, sf_dir):
          from x0 join par using (pos) left join msg using (gid, c) group by x0.gid, c)""",
   then="select gid, c as cluster, round(exp(l - max(l) over (partition by gid)) / (sum(exp(l - mx)) over (partition by gid) + 1e-12::double), 6) as q from (select *, max(l) over (partition by gid) as mx from lg)"))
 def gmm_e_step(spark, sf_dir):
-    spots, x = short(spark, sf_dir)
+    spots, x = featured(spark, sf_dir)
     q = _first_responsibilities(x)
     share, mean, var = mixture.maximise(mixture.statistics(q, _K, DIMS), 1e-4)
     a = graph.row_normalised(graph_of(spots))
@@ -135,21 +137,28 @@ def cluster_3d(spark, sf_dir):
     return mixture.cluster_cube(cube, n_clusters=5, svd_dim=8, em_iters=8, diffusion_steps=8)[1].select("gid", "cluster")
 
 
-# ---- transport -----------------------------------------------------------------------------------
-_PAIR = f"pr as (select a.gid as src, b.gid as dst, {VEC_D2} as c, {D2} as xy, b.x as tx, b.y as ty from spots a join spots b on a.slice_idx = 0 and b.slice_idx = 1)"
+# ---- transport: every slice and the next, by the code that the alignment drivers run -----------------
+_PAIR = f"pr as (select a.slice_idx as pair, a.gid as src, b.gid as dst, {VEC_D2} as c, {D2} as xy, b.x as tx, b.y as ty from spots a join spots b on b.slice_idx = a.slice_idx + 1)"
 
 
-def first_pair(spark, sf_dir):
-    s = fixtures.spots(spark, sf_dir)
-    a = s.filter("slice_idx = 0").select(F.lit(0).alias("one"), F.col("gid").alias("src"), F.col("vec").alias("avec"), "x", "y")
-    b = s.filter("slice_idx = 1").select(F.lit(0).alias("one"), F.col("gid").alias("dst"), F.col("vec").alias("bvec"), F.col("x").alias("tx"), F.col("y").alias("ty"))
-    dx, dy = F.col("x") - F.col("tx"), F.col("y") - F.col("ty")
-    return a.join(b, "one").select("src", "dst", dist2("avec", "bvec").alias("c"), (dx * dx + dy * dy).alias("xy"), "tx", "ty")
+def of_pairs(spark, sf_dir, fn, column="c"):
+    """(src, dst, value) of fn(cost, low, high), a matrix, for every slice and the next."""
+
+    def entries(pair, low, high):
+        m = fn(transport.squared_distances(low.vec, high.vec), low, high)
+        return {"src": np.repeat(low.gid, len(high.gid)), "dst": np.tile(high.gid, len(low.gid)), column: m.ravel()}
+
+    return registration.by_neighbours(fixtures.spots(spark, sf_dir), entries, f"src long, dst long, {column} double")
+
+
+def plan_of(cost, reg, rounds, reg_m=None):
+    n, m = cost.shape
+    return transport.sinkhorn(np.full(n, 1 / n), np.full(m, 1 / m), cost, reg, reg_m, rounds, 0.0)
 
 
 @query("cost_matrix", sql("spots", _PAIR, then="select src, dst, round(c, 6) as c from pr"))
 def cost_matrix(spark, sf_dir):
-    return first_pair(spark, sf_dir).select("src", "dst", _R("c"))
+    return of_pairs(spark, sf_dir, lambda c, *_: c).select("src", "dst", _R("c"))
 
 
 _CLEAN = """cl as (select src, dst, coalesce(k, greatest(10 * max(k) over (partition by src), 1)) as c from (
@@ -159,57 +168,68 @@ cm as (select src, dst, c - min(c) over (partition by src) as c from cl)"""
 
 @query("cost_clip_cap", sql("spots", _PAIR, _CLEAN, then="select src, dst, round(c, 6) as c from cm"))
 def cost_clip_cap(spark, sf_dir):
-    return costs.cleaned(first_pair(spark, sf_dir), 0.5).select("src", "dst", _R("c"))
+    return of_pairs(spark, sf_dir, lambda c, *_: transport.cleaned(c, 0.5)).select("src", "dst", _R("c"))
+
+
+@query("cost_candidates", sql("spots", _PAIR, then="select src, dst, round(c, 6) as c from (select *, row_number() over (partition by src order by c, dst) as n from pr) where n <= 12"))
+def cost_candidates(spark, sf_dir):
+    return of_pairs(spark, sf_dir, lambda c, *_: transport.candidates_only(c, 12)).filter("c < double('infinity')").select("src", "dst", _R("c"))
 
 
 @query("row_stats", sql("spots", _PAIR, then="select src, round(quantile_cont(c, 0.9), 6) as q90, round(max(c), 6) as top, round(min(c), 6) as low from pr group by src"))
 def row_stats(spark, sf_dir):
-    return first_pair(spark, sf_dir).groupBy("src").agg(F.round(F.percentile("c", F.lit(0.9)), 6).alias("q90"), F.round(F.max("c"), 6).alias("top"), F.round(F.min("c"), 6).alias("low"))
+    pairs = of_pairs(spark, sf_dir, lambda c, *_: c)
+    return pairs.groupBy("src").agg(F.round(F.percentile("c", F.lit(0.9)), 6).alias("q90"), F.round(F.max("c"), 6).alias("top"), F.round(F.min("c"), 6).alias("low"))
 
 
-@query("cost_tiebreak", sql("spots", _PAIR, then="select src, dst, round(c + 1e-6::double * greatest(max(c) over (), 1) * (i - j) * (i - j), 6) as c from (select *, dense_rank() over (order by src) as i, dense_rank() over (order by dst) as j from pr)"))
+@query("cost_tiebreak", sql("spots", _PAIR, then="""select src, dst, round(c + 1e-6::double * greatest(max(c) over (partition by pair), 1) * (i - j) * (i - j), 6) as c
+  from (select *, dense_rank() over (partition by pair order by src) as i, dense_rank() over (partition by pair order by dst) as j from pr)"""))
 def cost_tiebreak(spark, sf_dir):
-    pairs = first_pair(spark, sf_dir)
-    return costs.tie_broken(pairs).select("src", "dst", _R("c"))
+    return of_pairs(spark, sf_dir, lambda c, *_: transport.tie_broken(c)).select("src", "dst", _R("c"))
 
 
 @query("spatial_gate", sql("spots", _PAIR, then="select src, dst, round(c + 0.2 * xy / 4.0, 6) as c from pr"))
 def spatial_gate(spark, sf_dir):
-    return costs.gated(first_pair(spark, sf_dir), "xy", 2.0).select("src", "dst", _R("c"))
+    return of_pairs(spark, sf_dir, lambda c, low, high: transport.gated(c, low.xy, high.xy, 2.0)).select("src", "dst", _R("c"))
 
 
 def _sinkhorn_sql(steps: int, power: str = "1.0") -> list[str]:
-    out = ["g0 as (select distinct dst, 0.0::double as g from pr)", "na as (select ln(count(distinct src)) as la, ln(count(distinct dst)) as lb from pr)"]
+    out = ["g0 as (select distinct dst, 0.0::double as g from pr)", "na as (select pair, ln(count(distinct src)) as la, ln(count(distinct dst)) as lb from pr group by pair)"]
     for i in range(1, steps + 1):
-        out.append(f"f{i} as (select src, -({power}) * (max(v) + ln(sum(exp(v - m)))) as f from (select src, -c / 0.5 + g - lb as v, max(-c / 0.5 + g - lb) over (partition by src) as m from pr join g{i - 1} using (dst), na) group by src)")
-        out.append(f"g{i} as (select dst, -({power}) * (max(v) + ln(sum(exp(v - m)))) as g from (select dst, -c / 0.5 + f - la as v, max(-c / 0.5 + f - la) over (partition by dst) as m from pr join f{i} using (src), na) group by dst)")
-    out.append(f"pl as (select src, dst, c, xy, tx, ty, exp(-c / 0.5 + f + g - la - lb) as p from pr join f{steps} using (src) join g{steps} using (dst), na)")
+        out.append(f"f{i} as (select src, -({power}) * (max(v) + ln(sum(exp(v - m)))) as f from (select src, -c / 0.5 + g - lb as v, max(-c / 0.5 + g - lb) over (partition by src) as m from pr join g{i - 1} using (dst) join na using (pair)) group by src)")
+        out.append(f"g{i} as (select dst, -({power}) * (max(v) + ln(sum(exp(v - m)))) as g from (select dst, -c / 0.5 + f - la as v, max(-c / 0.5 + f - la) over (partition by dst) as m from pr join f{i} using (src) join na using (pair)) group by dst)")
+    out.append(f"pl as (select pair, src, dst, c, xy, tx, ty, exp(-c / 0.5 + f + g - la - lb) as p from pr join f{steps} using (src) join g{steps} using (dst) join na using (pair))")
     return out
 
 
 @query("sinkhorn_steps", sql("spots", _PAIR, *_sinkhorn_sql(2), then="select src, dst, round(p * 1000, 6) as p from pl"))
 def sinkhorn_steps(spark, sf_dir):
-    return costs.sinkhorn(first_pair(spark, sf_dir), 0.5, 2).select("src", "dst", F.round(F.col("p") * 1000, 6).alias("p"))
+    return of_pairs(spark, sf_dir, lambda c, *_: 1000 * plan_of(c, 0.5, 2), "p").select("src", "dst", _R("p"))
 
 
 @query("sinkhorn_unbalanced_steps", sql("spots", _PAIR, *_sinkhorn_sql(2, "10.0 / 10.5"), then="select src, dst, round(p * 1000, 6) as p from pl"))
 def sinkhorn_unbalanced_steps(spark, sf_dir):
-    return costs.sinkhorn(first_pair(spark, sf_dir), 0.5, 2, 10.0).select("src", "dst", F.round(F.col("p") * 1000, 6).alias("p"))
+    return of_pairs(spark, sf_dir, lambda c, *_: 1000 * plan_of(c, 0.5, 2, 10.0), "p").select("src", "dst", _R("p"))
 
 
-@query("ot_distance", sql("spots", _PAIR, *_sinkhorn_sql(3), then="select round(sum(p * c), 6) as distance from pl"))
+@query("ot_distance", sql("spots", _PAIR, *_sinkhorn_sql(3), then="select cast(pair as int) as i, cast(pair + 1 as int) as j, round(sum(p * c), 6) as distance from pl group by pair"))
 def ot_distance(spark, sf_dir):
-    return costs.sinkhorn(first_pair(spark, sf_dir), 0.5, 3).agg(F.round(F.sum(F.col("p") * F.col("c")), 6).alias("distance"))
+    every = ordering.ot_distances(fixtures.spots(spark, sf_dir), 0.5, 3, 0.0)
+    return every.filter("j = i + 1").select("i", "j", _R("distance"))
 
 
 @query("barycentre", sql("spots", _PAIR, then="select src, round(sum(exp(-c)), 6) as w, round(sum(exp(-c) * tx) / (sum(exp(-c)) + 1e-12::double), 6) as bx, round(sum(exp(-c) * ty) / (sum(exp(-c)) + 1e-12::double), 6) as \"by\" from pr group by src"))
 def barycentre(spark, sf_dir):
-    return costs.barycentres(first_pair(spark, sf_dir).withColumn("p", F.exp(-F.col("c")))).select("src", _R("w"), _R("bx"), _R("by"))
+    def centres(pair, low, high):
+        w, mean = transport.barycentres(np.exp(-transport.squared_distances(low.vec, high.vec)), high.xy)
+        return {"src": low.gid, "w": w, "bx": mean[:, 0], "by": mean[:, 1]}
+
+    return registration.by_neighbours(fixtures.spots(spark, sf_dir), centres, "src long, w double, bx double, by double").select("src", _R("w"), _R("bx"), _R("by"))
 
 
 @query("positive_mass", sql("spots", _PAIR, then="select src, dst from pr where c - 1.9 > 0"))
 def positive_mass(spark, sf_dir):
-    return first_pair(spark, sf_dir).withColumn("w", F.col("c") - 1.9).filter("w > 0").select("src", "dst")
+    return of_pairs(spark, sf_dir, lambda c, *_: c - 1.9, "w").filter("w > 0").select("src", "dst")
 
 
 @query("lap_assign")
@@ -264,11 +284,30 @@ def rotation(spark, sf_dir):
 @query("chamfer", sql("spots", then="""select slice_idx, round(a + b, 6) as chamfer from (select slice_idx, avg(m) as a from (select a.slice_idx, a.gid, min((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) as m from spots a join spots b on b.slice_idx = a.slice_idx + 1 group by all) group by 1)
   join (select slice_idx, avg(m) as b from (select a.slice_idx, b.gid, min((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) as m from spots a join spots b on b.slice_idx = a.slice_idx + 1 group by all) group by 1) using (slice_idx)"""))
 def chamfer(spark, sf_dir):
-    s = fixtures.spots(spark, sf_dir)
-    last = s.agg(F.max("slice_idx")).first()[0]
-    a = s.filter(F.col("slice_idx") < last).select("slice_idx", F.col("gid").alias("src"), "x", "y")
-    b = s.filter("slice_idx > 0").select((F.col("slice_idx") - 1).alias("slice_idx"), F.col("gid").alias("dst"), F.col("x").alias("tx"), F.col("y").alias("ty"))
-    return registration.chamfer(a, b, ["slice_idx"]).select("slice_idx", _R("chamfer"))
+    one = lambda pair, low, high: [(pair, registration.chamfer_of(low.xy, high.xy))]
+    return registration.by_neighbours(fixtures.spots(spark, sf_dir), one, "slice_idx int, chamfer double").select("slice_idx", _R("chamfer"))
+
+
+def _fitted(spark, sf_dir, similarity):
+    """The drivers' own fit of a block in memory, on the same pairs as the grouped aggregates."""
+
+    def one(pdf):
+        import pandas as pd
+
+        s, r, t = registration.fit_pose(pdf[["sx", "sy"]].to_numpy(), pdf[["tx", "ty"]].to_numpy(), pdf["w"].to_numpy(), similarity, (0.5, 2.0))
+        return pd.DataFrame([(int(pdf["slice_idx"].iloc[0]), math.atan2(r[1, 0], r[0, 0]), float(s), float(t[0]), float(t[1]))], columns=["slice_idx", "theta", "s", "dx", "dy"])
+
+    return turned(spark, sf_dir).groupBy("slice_idx").applyInPandas(one, "slice_idx int, theta double, s double, dx double, dy double").select("slice_idx", _R("theta"), _R("s"), _R("dx"), _R("dy"))
+
+
+@query("fit_pose_rigid", sql("spots", _TURN, then=f"select slice_idx, {_POSE.format(s='1.0::double')} from th"))
+def fit_pose_rigid(spark, sf_dir):
+    return _fitted(spark, sf_dir, False)
+
+
+@query("fit_pose_similarity", sql("spots", _TURN, then=f"select slice_idx, {_POSE.format(s='least(greatest(sc, 0.5), 2.0)')} from th"))
+def fit_pose_similarity(spark, sf_dir):
+    return _fitted(spark, sf_dir, True)
 
 
 @query("alignment_pairs", """select n, strategy, src, tgt from (values (2, 'sequential', 1, 0), (2, 'middle_out', 1, 0), (3, 'middle_out', 0, 1), (3, 'middle_out', 2, 1),
@@ -308,16 +347,22 @@ def align_roundtrip(spark, sf_dir):
 
 
 # ---- ordering ------------------------------------------------------------------------------------
-_CENTRE = "ce as (select slice_idx as i, avg(x) as x, avg(y) as y from spots where slice_idx < 7 group by 1), dd as (select a.i, b.i as j, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) as d from ce a, ce b)"
+SLICES = 10
+_CENTRE = "ce as (select slice_idx as i, avg(x) as x, avg(y) as y from spots group by 1), dd as (select a.i, b.i as j, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) as d from ce a, ce b)"
 
 
-@query("held_karp", "with recursive " + sql("spots", _CENTRE, """walk(last, path, cost) as (select i, [i], 0.0::double from ce union all
-  select j, list_append(path, j), cost + d from walk join dd on dd.i = walk.last where not list_contains(path, j))""",
-  then="select list_aggregate(path, 'string_agg', ',') as path, round(cost, 6) as cost from walk where len(path) = (select count(*) from ce) and path[-1] < path[1] order by cost limit 1")[5:])
-def held_karp(spark, sf_dir):
-    import numpy as np
+def _walk(step: int) -> str:
+    """The shortest paths over `step` slices, by the set of slices and the last one."""
+    if step == 1:
+        return "w1 as (select cast(1 << i as bigint) as mask, i as last, cast(i as varchar) as path, 0.0::double as cost from ce)"
+    return f"""w{step} as (select mask | (1 << j) as mask, j as last, arg_min(path || ',' || j, cost + d) as path, min(cost + d) as cost
+  from w{step - 1} join dd on dd.i = last where (mask >> j) & 1 = 0 group by mask | (1 << j), j)"""
 
-    c = fixtures.spots(spark, sf_dir).filter("slice_idx < 7").groupBy("slice_idx").agg(F.avg("x").alias("x"), F.avg("y").alias("y")).orderBy("slice_idx").toPandas()
+
+@query("held_karp", sql("spots", _CENTRE, *(_walk(n) for n in range(1, SLICES + 1)),
+  then=f"select path, round(cost, 6) as cost from w{SLICES} where last < cast(split_part(path, ',', 1) as int) order by cost limit 1"))
+def held_karp(spark, sf_dir):
+    c = fixtures.spots(spark, sf_dir).groupBy("slice_idx").agg(F.avg("x").alias("x"), F.avg("y").alias("y")).orderBy("slice_idx").toPandas()
     xy = c[["x", "y"]].to_numpy()
     d = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(2))
     path = ordering.held_karp(d)

@@ -189,7 +189,7 @@ def mapping_edges(spark, sf_dir):
 
 MUTUAL_SQL = f"""near as (select * from (select a.slice_idx as i, b.slice_idx as j, a.gid as u, b.gid as v,
   row_number() over (partition by a.gid, b.slice_idx order by {VEC_D2}, b.gid) as rank
-  from spots a join spots b on a.slice_idx < 4 and b.slice_idx < 4 and a.slice_idx <> b.slice_idx) where rank <= 10)"""
+  from spots a join spots b on a.slice_idx <> b.slice_idx) where rank <= 10)"""
 
 
 @query("mutual_knn", sql("spots", MUTUAL_SQL, then="""select a.i, a.j, count(*) as mutual, round(count(*) / (any_value(c.n) * least(10, any_value(d.n)) + 1e-12::double), 6) as similarity
@@ -198,7 +198,7 @@ MUTUAL_SQL = f"""near as (select * from (select a.slice_idx as i, b.slice_idx as
 def mutual_knn(spark, sf_dir):
     from slabwise.operators.ordering import mutual_similarity
 
-    return mutual_similarity(fixtures.spots(spark, sf_dir).filter("slice_idx < 4"), 10).select("i", "j", "mutual", _R("similarity"))
+    return mutual_similarity(fixtures.spots(spark, sf_dir), 10).select("i", "j", "mutual", _R("similarity"))
 
 
 @query("subsample", sql("spots", then="select gid from (select gid, row_number() over (partition by slice_idx order by md5('0:' || cast(gid as varchar)), gid) as n from spots) where n <= 10"))

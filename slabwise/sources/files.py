@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import os
+import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slabwise.model import SpatialKeys, require_columns
 from slabwise.operators.ranking import numbered
+from slabwise.session import cut
 
 
 def read_merged(spark: SparkSession, path: str | None = None, env_key: str = "SLABWISE_DATA", keys: SpatialKeys = SpatialKeys(), ensure_spatial: bool = True) -> DataFrame:
@@ -28,37 +32,116 @@ def derive_xy(df: DataFrame, keys: SpatialKeys = SpatialKeys(), overwrite: bool
 
 
 def read_h5ad(spark: SparkSession, path: str) -> DataFrame:
-    """The spot attributes of an annotated-matrix file that the driver can open; h5py is optional."""
-    try:
-        import h5py
-    except ImportError as e:
-        raise ImportError("h5py is needed to read .h5ad files: pip install h5py") from e
+    """Spot attributes (obs) of an annotated-matrix file that the driver can open, with x and y from obsm/spatial; h5py is optional."""
     import pandas as pd
 
     cols = {}
-    with h5py.File(path) as f:
+    with _h5(path) as f:
         for name, node in f["obs"].items():
-            if isinstance(node, h5py.Group) and "categories" in node:
-                cats = node["categories"].asstr()[:]
+            if "categories" in node if hasattr(node, "items") else False:
+                cats = _strings(node["categories"])
                 cols[name] = [cats[c] if c >= 0 else None for c in node["codes"][:]]
-            elif isinstance(node, h5py.Dataset):
-                cols[name] = node.asstr()[:] if node.dtype.kind == "O" else node[:]
+            elif not hasattr(node, "items"):
+                cols[name] = _strings(node)
+        if "obsm" in f and "spatial" in f["obsm"]:
+            xy = f["obsm"]["spatial"][:]
+            cols |= {"x": xy[:, 0].astype(float), "y": xy[:, 1].astype(float)}
     return spark.createDataFrame(pd.DataFrame(cols))
 
 
+def read_h5ad_matrix(spark: SparkSession, path: str, rows: int = 10_000) -> DataFrame:
+    """(gid, gene_idx, gene, value): the non-zero entries of X, dense or compressed by rows, gid being the row's place.
+
+    Tasks read `rows` rows each, so the path must be one that all executors can open.
+    """
+    with _h5(path) as f:
+        x = f["X"]
+        n = (len(x["indptr"]) - 1) if hasattr(x, "items") else x.shape[0]
+        index = f["var"].attrs.get("_index", "_index")
+        genes = [str(g) for g in _strings(f["var"][index])]
+        if hasattr(x, "items") and "csc" in str(x.attrs.get("encoding-type", "csr_matrix")):
+            raise ValueError("X is compressed by columns: store it by rows")
+    shared = spark.sparkContext.broadcast(genes)  # a name for each gene
+
+    def entries(batches):
+        with _h5(path) as f:
+            x = f["X"]
+            for batch in batches:
+                for low in batch.column(0).to_pylist():
+                    if hasattr(x, "items"):
+                        ends = x["indptr"][low : min(low + rows, n) + 1]
+                        gene, value = x["indices"][ends[0] : ends[-1]], x["data"][ends[0] : ends[-1]]
+                        row = np.repeat(np.arange(low, low + len(ends) - 1), np.diff(ends))
+                    else:
+                        part = x[low : low + rows]
+                        row, gene = np.nonzero(part)
+                        row, value = row + low, part[row, gene]
+                    names = shared.value
+                    yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(gene, pa.int64()), pa.array([names[g] for g in gene], pa.string()), pa.array(np.asarray(value, float))], names=["gid", "gene_idx", "gene", "value"])
+
+    starts = spark.range(0, n, rows, max(1, -(-n // rows)))
+    return starts.mapInArrow(entries, "gid long, gene_idx long, gene string, value double").filter("value <> 0")
+
+
+def _h5(path: str):
+    try:
+        import h5py
+    except ImportError as e:
+        raise ImportError("h5py is needed to read .h5ad files: pip install h5py") from e
+    return h5py.File(path)
+
+
+def _strings(node):
+    return node.asstr()[:] if node.dtype.kind == "O" else node[:]
+
+
+_BANNER = "%%MatrixMarket matrix coordinate real general"
+
+
 def write_matrix(counts: DataFrame, path: str) -> None:
-    """(gid, gene_idx, value) as coordinate rows `gene spot value`, 1-based dense numbers, header lines in a folder beside; no row goes through the driver."""
+    """(gid, gene_idx, value) as one Matrix Market file of rows `gene spot value` with dense numbers from 1.
+
+    Entries are written by the tasks, side by side in a folder of the same file system;
+    then the file is put together from these, a buffer at a time, as the format is one file.
+    """
+    spark = counts.sparkSession
     genes, spots = numbered(counts.select("gene_idx").distinct(), ["gene_idx"], "g", 1), numbered(counts.select("gid").distinct(), ["gid"], "s", 1)
-    rows = counts.join(genes, "gene_idx").join(spots, "gid")
-    rows.select(F.concat_ws(" ", "g", "s", F.col("value").cast("string"))).write.mode("overwrite").text(f"{path}/entries")
-    size = rows.agg(F.max("g").alias("g"), F.max("s").alias("s"), F.count("*").alias("k"))
-    size.select(F.concat(F.lit("%%MatrixMarket matrix coordinate real general\n"), F.concat_ws(" ", "g", "s", "k"))).write.mode("overwrite").text(f"{path}/header")
+    rows = cut(counts.join(genes, "gene_idx").join(spots, "gid").select("g", "s", F.col("value").cast("double").alias("value")))
+    size = rows.agg(F.coalesce(F.max("g"), F.lit(0)).alias("g"), F.coalesce(F.max("s"), F.lit(0)).alias("s"), F.count("*").alias("n")).first()
+    parts = f"{path}.parts-{uuid.uuid4().hex}"
+    rows.select(F.concat_ws(" ", "g", "s", F.col("value").cast("string"))).write.text(parts)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    folder, target = jvm.org.apache.hadoop.fs.Path(parts), jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(conf)
+    out = fs.create(target, True)
+    try:
+        out.write(bytearray(f"{_BANNER}\n{size['g']} {size['s']} {size['n']}\n".encode()))
+        for status in sorted(fs.listStatus(folder), key=lambda x: x.getPath().getName()):
+            if status.getPath().getName().startswith("part-"):
+                part = fs.open(status.getPath())
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, 1 << 16, False)
+                part.close()
+    finally:
+        out.close()
+    fs.delete(folder, True)
 
 
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
-    """(g, s, value) of a written matrix."""
-    parts = F.split("value", " ")
-    return spark.read.text(f"{path}/entries").select(parts[0].cast("long").alias("g"), parts[1].cast("long").alias("s"), parts[2].cast("double").alias("value"))
+    """(g, s, value) of a Matrix Market coordinate file: real, integer or pattern (value 1), general or symmetric (both halves are returned)."""
+    lines = spark.read.text(path).select(F.trim("value").alias("line"))
+    banner = (lines.first() or {"line": ""})["line"].lower().split()
+    if banner[:3] != ["%%matrixmarket", "matrix", "coordinate"] or len(banner) < 5 or banner[3] not in ("real", "integer", "pattern") or banner[4] not in ("general", "symmetric"):
+        raise ValueError(f"not a Matrix Market file of coordinates: {' '.join(banner) or path}")
+    body = lines.filter(~F.col("line").startswith("%") & (F.col("line") != ""))
+    size = body.first()["line"]
+    # the size line comes once before the entries; where an entry reads the same, one of the two is it
+    again = body.filter(F.col("line") == size).limit(1) if body.filter(F.col("line") == size).count() > 1 else body.limit(0)
+    parts = F.split("line", r"\s+")
+    value = F.lit(1.0) if banner[3] == "pattern" else parts[2].cast("double")
+    entries = body.filter(F.col("line") != size).unionByName(again).select(parts[0].cast("long").alias("g"), parts[1].cast("long").alias("s"), value.alias("value"))
+    if banner[4] == "symmetric":
+        entries = entries.unionByName(entries.filter("g <> s").select(F.col("s").alias("g"), F.col("g").alias("s"), "value"))
+    return entries
 
 
 def write_genes(genes: DataFrame, path: str, column: str = "gene") -> None:
@@ -73,5 +156,21 @@ def read_coordinates(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema="gid long, x double, y double")
 
 
-def read_results(spark: SparkSession, path: str, schema: str = "gene string, combinedPval double, adjustedPval double") -> DataFrame:
-    return spark.read.csv(path, header=True, schema=schema)
+def read_results(spark: SparkSession, path: str, schema: str = "gene string, combinedPval double, adjustedPval double", genes: DataFrame | None = None) -> DataFrame:
+    """A table of test results; with genes, one row for each of them is demanded.
+
+    A ValueError where the header lacks a column of the schema, and where rows are
+    missing, repeated or of genes that were not tested.
+    """
+    header = spark.read.csv(path, header=True).columns
+    names = [f.split()[0] for f in schema.split(", ")]
+    if lost := [c for c in names if c not in header]:
+        raise ValueError(f"{path} lacks the columns {lost}")
+    rows = spark.read.csv(path, header=True, enforceSchema=False, schema=", ".join(f"`{c}` {dict(f.split() for f in schema.split(', ')).get(c, 'string')}" for c in header)).select(*names)
+    if genes is not None:
+        key = names[0]
+        met = rows.groupBy(key).count().join(genes.select(F.col(genes.columns[0]).alias(key)).withColumn("known", F.lit(True)), key, "full")
+        bad = met.filter("count is null or known is null or count > 1").limit(5).collect()
+        if bad:
+            raise ValueError(f"{path} and the genes tested differ, among others in {[r[key] for r in bad]}")
+    return rows

@@ -91,7 +91,9 @@ def test_known_rigid_transform_is_recovered(spark, how):
     assert np.abs(got - xy).max() < 1e-2
 
 
-def test_neighbours_match_brute_force(spark):
+@pytest.mark.parametrize("small", [16_384, 0])
+def test_neighbours_match_brute_force(spark, monkeypatch, small):
+    monkeypatch.setattr(neighbors, "SMALL", small)
     rng = np.random.default_rng(3)
     pts = np.concatenate([rng.integers(0, 12, size=(150, 2)).astype(float), rng.normal(size=(50, 2)) * 0.01, [[500.0, 500.0]], [[3.0, 3.0]] * 3])
     df = spark.createDataFrame([(i, 0, *map(float, p)) for i, p in enumerate(pts)], "gid long, slice_idx int, x double, y double")
@@ -103,7 +105,9 @@ def test_neighbours_match_brute_force(spark):
     assert {(r.src, r.dst) for r in neighbors.radius_within(df, 2.0).collect()} == set(zip(i.tolist(), j.tolist()))
 
 
-def test_fewer_points_than_neighbours(spark):
+@pytest.mark.parametrize("small", [16_384, 0])
+def test_fewer_points_than_neighbours(spark, monkeypatch, small):
+    monkeypatch.setattr(neighbors, "SMALL", small)
     df = spark.createDataFrame([(0, 0, 0.0, 0.0), (1, 0, 1.0, 0.0), (2, 1, 0.0, 0.0)], "gid long, slice_idx int, x double, y double")
     assert {(r.src, r.dst) for r in neighbors.knn_within(df, 5).collect()} == {(0, 1), (1, 0)}
     assert {(r.src, r.dst) for r in neighbors.knn_across(df, 5).collect()} == {(0, 2), (1, 2), (2, 0), (2, 1)}
@@ -260,3 +264,121 @@ def test_the_order_is_of_all_slices(spark):
 
     data, found = "/root/testdata/sf0.001", load_catalog().QUERIES
     assert sorted(r.slice_idx for r in found["infer_order"](spark, data).collect()) == list(range(10))
+
+
+@pytest.mark.parametrize("small", [16_384, 0])
+def test_neighbours_of_uneven_slices(spark, monkeypatch, small):
+    """By blocks and by cells: one outlier, a dense cluster within a sparse field, a thousand spots at one place: exact, and no cell of all spots."""
+    monkeypatch.setattr(neighbors, "SMALL", small)
+    rng = np.random.default_rng(9)
+    pts = np.concatenate([rng.normal(size=(1500, 2)) * 0.01, rng.random((300, 2)) * 100, np.full((400, 2), 7.0), [[1e6, 1e6]]])
+    df = spark.createDataFrame([(i, i % 2, *map(float, p)) for i, p in enumerate(pts)], "gid long, slice_idx int, x double, y double")
+    got = {}
+    for r in neighbors.knn_within(df, 6).collect():
+        got.setdefault(r.src, {})[r["rank"]] = r.dst
+    across = {}
+    for r in neighbors.knn_across(df, 6).collect():
+        across.setdefault(r.src, {})[r["rank"]] = r.dst
+    ids = np.arange(len(pts))
+    for i in range(len(pts)):
+        d = ((pts - pts[i]) ** 2).sum(1)
+        for found, own in ((got, (ids % 2 == i % 2) & (ids != i)), (across, ids % 2 != i % 2)):
+            want = ids[own][np.lexsort((ids[own], d[own]))[:6]].tolist()
+            assert [found[i][k] for k in range(1, 7)] == want
+
+
+def test_sparse_and_wide_features_embed_like_dense_ones(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    x = np.where(rng.random((60, 90)) < 0.1, rng.integers(1, 9, (60, 90)), 0).astype(float)
+    x[:, 5:] *= 0.05
+    entries = spark.createDataFrame([(int(i), int(j), float(x[i, j])) for i, j in zip(*x.nonzero())], "gid long, gene_idx long, value double")
+    spots = spark.createDataFrame([(i, i % 2) for i in range(62)], "gid long, slice_idx int")
+    _, s, vt = np.linalg.svd(x, full_matrices=False)
+    want = x @ vt[:4].T
+    got = {r.gid: r.vec for r in linalg.sparse_embedding(spots, entries, 4).collect()}
+    assert len(got) == 62 and got[61] == [0.0] * 4
+    sparse = np.array([got[i] for i in range(60)])
+    assert np.abs(sparse @ sparse.T - want @ want.T).max() < 1e-3 * s[0] ** 2
+    monkeypatch.setattr(linalg, "MOST_GRAM", 10)
+    dense = spark.createDataFrame([(i, i % 2, x[i].tolist()) for i in range(60)], "gid long, slice_idx int, vec array<double>")
+    wide = np.array([r.vec for r in linalg.svd_embedding(dense, 4).orderBy("gid").collect()])
+    assert np.abs(wide @ wide.T - want @ want.T).max() < 1e-3 * s[0] ** 2
+
+
+def test_long_vectors_are_added_up_in_pieces(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(30, 150))
+    df = spark.createDataFrame([(i % 4, float(i), x[i].tolist()) for i in range(30)], "g int, w double, vec array<double>")
+    for weight, scale in (("w", np.arange(30.0)), (None, np.ones(30))):
+        for r in linalg.mean_vector(df, ["g"], weight=weight).collect():
+            own = np.arange(30) % 4 == r.g
+            want = (x[own] * scale[own, None]).sum(0) / (1 if weight else own.sum())
+            assert np.allclose(r.vec, want)
+
+
+def test_quantiles_are_exact(spark):
+    rng = np.random.default_rng(13)
+    v = rng.integers(0, 50, 500).astype(float)
+    df = spark.createDataFrame([(i % 3, float(v[i])) for i in range(500)] + [(1, None)], "g int, v double")
+    from slabwise.operators.ranking import quantiles
+
+    for r in quantiles(df, ["g"], "v", [0.0, 0.3, 0.5, 1.0]).collect():
+        assert abs(r["quantile"] - np.quantile(v[np.arange(500) % 3 == r.g], r.share)) < 1e-9
+
+
+def test_matrix_market_files(spark, tmp_path):
+    """One standard file is written; comments, integer, pattern and symmetric files are read, and an entry that reads like the size line."""
+    rows = [(5, 10, 2.5), (5, 30, 1.0), (9, 10, 3.0), (7, 20, 4.0)]
+    files.write_matrix(spark.createDataFrame(rows, "gid long, gene_idx long, value double"), str(tmp_path / "m.mtx"))
+    lines = (tmp_path / "m.mtx").read_text().splitlines()
+    assert lines[:2] == ["%%MatrixMarket matrix coordinate real general", "3 3 4"] and len(lines) == 6
+    got = {tuple(r) for r in files.read_matrix(spark, str(tmp_path / "m.mtx")).collect()}
+    assert got == {(1, 1, 2.5), (3, 1, 1.0), (1, 3, 3.0), (2, 2, 4.0)}
+    (tmp_path / "i.mtx").write_text("%%MatrixMarket matrix coordinate integer general\n% a remark\n2 2 2\n1 1 7\n2 2 2\n")
+    assert {tuple(r) for r in files.read_matrix(spark, str(tmp_path / "i.mtx")).collect()} == {(1, 1, 7.0), (2, 2, 2.0)}
+    (tmp_path / "p.mtx").write_text("%%MatrixMarket matrix coordinate pattern symmetric\n3 3 2\n2 1\n3 3\n")
+    assert {tuple(r) for r in files.read_matrix(spark, str(tmp_path / "p.mtx")).collect()} == {(2, 1, 1.0), (1, 2, 1.0), (3, 3, 1.0)}
+    (tmp_path / "a.mtx").write_text("%%MatrixMarket matrix array real general\n1 1\n2\n")
+    with pytest.raises(ValueError):
+        files.read_matrix(spark, str(tmp_path / "a.mtx"))
+
+
+def test_result_tables_are_checked(spark, tmp_path):
+    (tmp_path / "r.csv").write_text("gene,adjustedPval,combinedPval\na,0.5,0.25\nb,0.1,0.05\n")
+    genes = spark.createDataFrame([("a",), ("b",)], "gene string")
+    got = {r.gene: (r.combinedPval, r.adjustedPval) for r in files.read_results(spark, str(tmp_path / "r.csv"), genes=genes).collect()}
+    assert got == {"a": (0.25, 0.5), "b": (0.05, 0.1)}
+    with pytest.raises(ValueError):
+        files.read_results(spark, str(tmp_path / "r.csv"), genes=genes.union(spark.createDataFrame([("c",)], "gene string")))
+    with pytest.raises(ValueError):
+        files.read_results(spark, str(tmp_path / "r.csv"), "gene string, other double")
+
+
+def test_communities_are_connected_and_no_single_move_gains():
+    """On random graphs: every cluster is connected, and moving one node elsewhere never raises modularity."""
+    import random
+
+    for seed in range(6):
+        rnd = random.Random(seed)
+        n = 60
+        pairs = {(a, b): rnd.choice([1.0, 2.0]) for a in range(n) for b in range(a) if rnd.random() < (0.4 if a // 12 == b // 12 else 0.03)}
+        edges = [(a, b, x) for (a, b), x in pairs.items()] + [(b, a, x) for (a, b), x in pairs.items()]
+        found = graph.leiden_local(*zip(*edges))
+        w = np.zeros((n, n))
+        for a, b, x in edges:
+            w[a, b] = x
+        k, twice = w.sum(1), w.sum()
+        score = lambda c: sum(w[i, j] - k[i] * k[j] / twice for i in c for j in c if c[i] == c[j])
+        q = score(found)
+        for v in found:
+            for c in set(found.values()):
+                assert score({**found, v: c}) <= q + 1e-9
+        for c in set(found.values()):
+            own = [v for v in found if found[v] == c]
+            seen, stack = {own[0]}, [own[0]]
+            while stack:
+                x = stack.pop()
+                more = [u for u in own if w[x, u] and u not in seen]
+                seen.update(more)
+                stack += more
+            assert seen == set(own)

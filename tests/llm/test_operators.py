@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from slabwise.llm import decontam, langid, linededup, ngramjoin, packing, pii, quality, topk, toxicity, urlfilter, words
-from slabwise.llm.common import connected_components
+from slabwise.llm.common import connected_components, rows_with_keys
 from slabwise.session import ship
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -514,7 +514,8 @@ def test_bands_reach_the_recall():
         assert 1 - (1 - t**ngramjoin.ROWS) ** b >= recall > 1 - (1 - t**ngramjoin.ROWS) ** (b - 1)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [400_000, 3, 0])
+def test_components(spark, most):
     rnd = random.Random(11)
     for edges in ([(i, i + 1) for i in range(40)], [(0, i) for i in range(1, 30)], [(rnd.randrange(30), rnd.randrange(30)) for _ in range(20)], [(3, 3)]):
         part = {}
@@ -523,11 +524,28 @@ def test_components(spark):
                 merged = part.get(a, {a}) | part.get(b, {b})
                 part.update(dict.fromkeys(merged, merged))
         got = defaultdict(set)
-        for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect():
+        for r in connected_components(spark.createDataFrame(edges, "u long, v long"), most).collect():
             got[r.label].add(r.node)
         assert sorted(map(sorted, got.values())) == sorted(map(list, {tuple(sorted(s)) for s in part.values()}))
 
 
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_rows_by_key_are_the_same_sent_or_joined(spark, most):
+    """Copies of a row, nulls, keys of equal halves and columns named like the key's."""
+    digest = lambda i: hashlib.md5(str(i).encode()).digest()
+    special = [digest(1)[:8] + x for x in (b"\0" * 8, b"\0" * 7 + b"\1", b"\xff" * 8)]
+    known = [digest(i) for i in range(0, 60, 2)] + special[:2]
+    rows = [(i, k, None if i % 5 else "t") for i, k in enumerate([digest(i) for i in range(60)] * 2 + special)]
+    df = spark.createDataFrame(rows, "i int, k binary, key string").withColumn("KEY_", F.lit(1))
+    keys = spark.createDataFrame([(k,) for k in known], "some binary")
+    for keep in (True, False):
+        got = rows_with_keys(df, F.col("k"), keys, keep, most)
+        assert got.columns == df.columns
+        assert Counter(r.i for r in got.collect()) == Counter(i for i, k, _ in rows if (bytes(k) in known) == keep)
+    assert rows_with_keys(df, F.col("k"), keys.limit(0), False, most).count() == len(rows)
+    assert rows_with_keys(df.limit(0), F.col("k"), keys, True, most).count() == 0
+
+
 # ---- search --------------------------------------------------------------------------------------
 def test_top_k_equals_all_scores(spark):
     rng = np.random.default_rng(12)

@@ -13,7 +13,7 @@ from slabwise.functions.blocks import rows_of
 from slabwise.session import cut
 
 #: Targets of a part up to which its sources are held against all of them, block by block; beyond, cells are made. The result is the same.
-SMALL = 16_384
+SMALL = 4096
 
 #: Rows of a block: two of them meet in a task.
 BLOCK = 2048

@@ -26,7 +26,7 @@ def quantiles(rows: DataFrame, by: list[str], value: str, shares: list[float]) -
     """Exact quantiles of a column by group, interpolated between neighbours: (by, share, quantile). Nulls don't count.
 
     Values are ordered over ranges of the whole table; the wanted places of each group
-    are then looked up, so that no task holds a group.
+    are then looked up, so that no task holds a group. Groups are slices and the like: few.
     """
     placed = numbered(rows.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__v")), [*by, "__v"], "__i")
     groups = placed.groupBy(*by).agg(F.min("__i").alias("start"), F.count("*").alias("n"))
@@ -35,5 +35,5 @@ def quantiles(rows: DataFrame, by: list[str], value: str, shares: list[float]) -
     part = at - F.floor(at)
     ends = F.array(F.struct((F.col("start") + F.floor(at)).alias("__i"), (1 - part).alias("w")), F.struct((F.col("start") + F.ceil(at)).alias("__i"), part.alias("w")))
     wanted = asked.withColumn("e", F.explode(ends)).select(*by, "share", "e.__i", "e.w")
-    found = placed.select("__i", "__v").join(wanted, "__i")
+    found = placed.select("__i", "__v").join(F.broadcast(wanted), "__i")  # two rows for each group and share
     return found.groupBy(*by, "share").agg(F.sum(F.col("w") * F.col("__v")).alias("quantile"))

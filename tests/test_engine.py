@@ -91,7 +91,7 @@ def test_known_rigid_transform_is_recovered(spark, how):
     assert np.abs(got - xy).max() < 1e-2
 
 
-@pytest.mark.parametrize("small", [16_384, 0])
+@pytest.mark.parametrize("small", [4096, 0])
 def test_neighbours_match_brute_force(spark, monkeypatch, small):
     monkeypatch.setattr(neighbors, "SMALL", small)
     rng = np.random.default_rng(3)
@@ -105,7 +105,7 @@ def test_neighbours_match_brute_force(spark, monkeypatch, small):
     assert {(r.src, r.dst) for r in neighbors.radius_within(df, 2.0).collect()} == set(zip(i.tolist(), j.tolist()))
 
 
-@pytest.mark.parametrize("small", [16_384, 0])
+@pytest.mark.parametrize("small", [4096, 0])
 def test_fewer_points_than_neighbours(spark, monkeypatch, small):
     monkeypatch.setattr(neighbors, "SMALL", small)
     df = spark.createDataFrame([(0, 0, 0.0, 0.0), (1, 0, 1.0, 0.0), (2, 1, 0.0, 0.0)], "gid long, slice_idx int, x double, y double")
@@ -266,7 +266,7 @@ def test_the_order_is_of_all_slices(spark):
     assert sorted(r.slice_idx for r in found["infer_order"](spark, data).collect()) == list(range(10))
 
 
-@pytest.mark.parametrize("small", [16_384, 0])
+@pytest.mark.parametrize("small", [4096, 0])
 def test_neighbours_of_uneven_slices(spark, monkeypatch, small):
     """By blocks and by cells: one outlier, a dense cluster within a sparse field, a thousand spots at one place: exact, and no cell of all spots."""
     monkeypatch.setattr(neighbors, "SMALL", small)

@@ -46,15 +46,6 @@ def argmax(a: str | Column) -> Column:
     return (F.array_position(_col(a), F.array_max(_col(a))) - 1).cast("int")
 
 
-def log_gaussian(x: str | Column, mean: Column, var: Column, eps: float) -> Column:
-    """Log density of a diagonal Gaussian; variances are floored at eps."""
-    import math
-
-    floored = F.transform(var, lambda v: F.greatest(v, F.lit(eps)))
-    terms = F.zip_with(F.zip_with(_col(x), mean, lambda a, m: (a - m) * (a - m)), floored, lambda d, v: d / v + F.log(v) + math.log(2 * math.pi))
-    return -0.5 * total(terms)
-
-
 def element_sums(a: str | Column, width: int, weight: Column | None = None) -> list[Column]:
     """One sum for each place of an array column, of its product with the weight if given; a group by then combines partial sums before the shuffle."""
     times = (lambda x: x) if weight is None else (lambda x: weight * x)

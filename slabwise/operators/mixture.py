@@ -49,6 +49,12 @@ def maximise(s: dict[str, np.ndarray], cov_eps: float) -> tuple[np.ndarray, np.n
     return nk / s["n"], mean, var
 
 
+def log_density(x: np.ndarray, mean: np.ndarray, var: np.ndarray) -> np.ndarray:
+    """Log densities of rows under diagonal Gaussians, a column for each."""
+    far = np.stack([((x - m) ** 2 / v).sum(axis=1) for m, v in zip(mean, var)], axis=1)
+    return -0.5 * (np.log(2 * np.pi * var).sum(axis=1) + far)
+
+
 def scores(rows: DataFrame, share, mean, var, lam: float, cov_eps: float) -> DataFrame:
     """E-step: (gid, vec, q) of rows (gid, vec, message), message being the neighbours' mean q or null; parameters are broadcast."""
     shared = rows.sparkSession.sparkContext.broadcast((np.log(share), np.asarray(mean), np.maximum(var, cov_eps)))
@@ -59,7 +65,7 @@ def scores(rows: DataFrame, share, mean, var, lam: float, cov_eps: float) -> Dat
         for batch in batches:
             n = batch.num_rows
             x = rows_of(batch.column("vec")) if n else np.zeros((0, mean.shape[1]))
-            logits = log_share - 0.5 * (np.log(2 * np.pi * var).sum(axis=1) + np.stack([((x - m) ** 2 / v).sum(axis=1) for m, v in zip(mean, var)], axis=1))
+            logits = log_share + log_density(x, mean, var)
             logits += lam * np.array([m or [0.0] * k for m in batch.column("message").to_pylist()]).reshape(n, k)
             e = np.exp(logits - logits.max(axis=1, keepdims=True))
             q = e / (e.sum(axis=1, keepdims=True) + 1e-12)

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections import deque
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slabwise.session import cut
 
 from . import neighbors
-from .ranking import quantiles
+from .ranking import numbered, quantiles
 
 
 def gaussian(d2, sigma, alpha: float = 1.0, eps: float = 1e-12):
@@ -169,7 +169,7 @@ def leiden(edges: DataFrame, resolution: float = 1.0, seed: int = 0, levels: int
         if not graph.limit(1).count():
             break
     sizes = member.groupBy("node").agg(F.count("*").alias("n"), F.min("gid").alias("least"))
-    numbers = sizes.withColumn("cluster", F.row_number().over(Window.orderBy(F.desc("n"), "least")) - 1)  # a row for each community
+    numbers = numbered(sizes.withColumn("less", -F.col("n")), ["less", "least"], "cluster").select("node", F.col("cluster").cast("int").alias("cluster"))
     return member.join(numbers, "node").select("gid", "cluster")
 
 

@@ -61,10 +61,12 @@ def drop_boilerplate(
         found = F.broadcast(found)
     joined = rows.withColumn("at", F.coalesce(host.cast("string"), F.lit(""))).join(found.withColumnRenamed("host", "at"), "at", "left")
     split = _lines(text)
-    kept = F.when(F.col("lines").isNull(), split).otherwise(
-        F.filter(split, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("lines"), _key(x)))
+    # by a hash set: a page's lines are held against its own boilerplate alone, not against all of the host's
+    out = joined.withColumn("bad", F.array_intersect(F.transform(split, _key), F.col("lines")))
+    kept = F.when(F.coalesce(F.size("bad"), F.lit(0)) <= 0, split).otherwise(
+        F.filter(split, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("bad"), _key(x)))
     )
-    out = joined.withColumn("kept", kept)
+    out = out.withColumn("kept", kept)
     new_text = F.when(text.isNotNull(), F.when(F.col("lines").isNull(), text).otherwise(F.array_join("kept", "\n")))
     dropped = [(F.size(split) - F.size("kept")).alias(fresh(names, "lines_dropped"))] if counted else []
     return out.select(*((new_text if c == text_col else F.col("row").getField(c)).alias(c) for c in names), *dropped)

@@ -4,8 +4,9 @@
 2. Classes meet in buckets of equal bands; a bucket ties its classes to its least one,
    so the ties are linear in the bucket's size, and tied classes form candidate groups.
 3. Each candidate group is verified on full shingle sets, in blocks of bounded size:
-   every pair of classes in a group is compared by set intersection within some task,
-   and a task returns counts of links and a spanning forest, never the pairs.
+   every pair of classes in a group, but those whose sizes alone rule similarity out, is
+   compared by set intersection within some task, and a task returns counts of links and
+   a spanning forest, never the pairs.
 4. Verified ties form the classes of near duplicates.
 """
 
@@ -36,6 +37,11 @@ def bands_for(threshold: float = SIMILAR, recall: float = RECALL, rows: int = RO
     return 1 if hit >= 1 else max(1, math.ceil(math.log(1 - recall) / math.log(1 - hit)))
 
 
+def _size_step(threshold: float) -> float:
+    """The ratio that spans a band of set sizes: similar sets lie in one band or in neighbouring ones, a hair of slack included."""
+    return (1 / threshold if threshold < 1 else 2.0) * (1 + 1e-9)
+
+
 class Signer:
     """MinHash bands of a shingle set."""
 
@@ -164,16 +170,27 @@ def _classes(docs: DataFrame, text_col: str, id_col: str, threshold: float, shin
     buckets = placed.groupBy("bucket").agg(F.min("node").alias("v"), F.max("node").alias("w")).filter("v < w").select("bucket", "v")
     ties = placed.join(buckets, "bucket").filter(F.col("node") != F.col("v")).select(F.col("node").alias("u"), "v").distinct()
     comps = connected_components(ties).join(nodes.select("node", F.col("head.tkey").alias("tkey"), "n_docs", "size"), "node")
-    # as many blocks as keep to both bounds on average; classes are dealt to them by hash
-    wanted = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") * 8 / BLOCK_BYTES)).cast("int").alias("blocks")
-    cand = cut(salted_join(comps, comps.groupBy("label").agg(wanted), "label").select("node", "tkey", "n_docs", F.col("label").alias("comp"), "blocks"))
+    # as many blocks as keep to both bounds on average; classes are dealt to them by hash, and in groups of several blocks by
+    # bands of set sizes first: sizes whose bands are no neighbours differ by more than similar sets can
+    band = F.floor(F.log(F.col("size")) / math.log(_size_step(threshold))).cast("long")
+    comps = comps.withColumn("band", band)
+    wanted = lambda n, size: F.ceil(F.greatest(n / BLOCK, size * 8 / BLOCK_BYTES)).cast("long")
+    by_band = comps.groupBy("label", "band").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+    by_group = by_band.groupBy("label").agg(
+        wanted(F.sum("n"), F.sum("s")).alias("all"), F.map_from_entries(F.collect_list(F.struct("band", wanted(F.col("n"), F.col("s"))))).alias("blocks")
+    )
+    blocks = lambda step: F.coalesce(F.try_element_at("blocks", F.col("band") + step), F.lit(0))
+    one = F.col("all") <= 1
+    dealt_to = [F.when(one, 0).otherwise(blocks(-1)).alias("below"), F.when(one, 1).otherwise(blocks(0)).alias("own"), F.when(one, 0).otherwise(blocks(1)).alias("above")]
+    cand = cut(salted_join(comps, by_group, "label").select("node", "tkey", "n_docs", F.col("label").alias("comp"), F.when(one, 0).otherwise(F.col("band")).alias("band"), *dealt_to))
+    places = ("comp", "band", "below", "own", "above")
 
     def gather(batches):
         shingler = Shingler(shingle)
         for batch in slices(batches):
             sets = [shingler.shingles(x.as_py()).tobytes() for x in batch.column("text")]
-            cols = [batch.column(c) for c in ("node", "n_docs", "comp", "blocks")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(sets, pa.binary())], names=["node", "n_docs", "comp", "blocks", "shingles"])
+            cols = [batch.column(c) for c in ("node", "n_docs", *places)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(sets, pa.binary())], names=["node", "n_docs", *places, "shingles"])
 
     # a class has one text of its own: only those of candidates are shuffled
     text = F.col(f"`{text_col}`")
@@ -182,13 +199,17 @@ def _classes(docs: DataFrame, text_col: str, id_col: str, threshold: float, shin
         held.select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("tkey"), "text")
         .dropDuplicates(["tkey"])
         .join(cand, "tkey")
-        .select("node", "n_docs", "comp", "blocks", "text")
-        .mapInArrow(gather, "node binary, n_docs long, comp binary, blocks int, shingles binary")
+        .select("node", "n_docs", *places, "text")
+        .mapInArrow(gather, "node binary, n_docs long, comp binary, band long, below long, own long, above long, shingles binary")
     )
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    place = lambda band, i: band * F.lit(2**32) + i  # noqa: E731  a block is numbered by its band and its place there
+    met = [
+        F.when(F.col(n) > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col(n) - 1), lambda i, step=step: place(F.col("band") + step, i))).otherwise(F.array().cast("array<long>"))
+        for step, n in ((-1, "below"), (0, "own"), (1, "above"))
+    ]
     dealt = (
-        held.withColumn("blk", block)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        held.withColumn("blk", place(F.col("band"), F.pmod(F.xxhash64("node"), F.col("own"))))
+        .withColumn("other", F.explode(F.concat(*met)))
         .select("comp", F.least("blk", "other").alias("low"), F.greatest("blk", "other").alias("high"), "blk", "node", "n_docs", "shingles")
     )
     checked = cut(

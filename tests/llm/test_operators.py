@@ -479,7 +479,7 @@ def near_texts():
     rnd = random.Random(10)
     base = prose(rnd, 120, 3000).split()
     texts = [prose(rnd, rnd.randint(3, 150), 3000) for _ in range(40)]
-    for _ in range(90):  # more different near copies than a verification block holds
+    for _ in range(90):
         w = list(base)
         for _ in range(rnd.randint(0, 2)):
             w[rnd.randrange(len(w))] = rnd.choice(["xx", "yy", "zz", "vv", "uu"])
@@ -496,6 +496,18 @@ def test_links_and_classes_equal_brute_force(spark):
     assert all(got[i].class_size == label.count(label[i]) for i in range(len(texts)))
 
 
+def test_groups_of_many_blocks_and_sizes_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(ngramjoin, "BLOCK", 8)
+    rnd = random.Random(4)
+    long = prose(rnd, 400, 5000).split()
+    # prefixes of one text tie sizes together that are far apart; near_texts adds a group of equal sizes
+    texts = [*(" ".join(long[: 30 + 5 * i]) for i in range(70)), *(" ".join(long[: 30 + 5 * i] + ["end"]) for i in range(70)), *near_texts()]
+    links, label = brute_links(texts)
+    assert label.count(label[0]) == 140
+    got = {r.doc_id: r for r in ngramjoin.near_duplicates(docs_of(spark, texts)).collect()}
+    assert [(got[i].class_id, got[i].n_links) for i in range(len(texts))] == [(label[i], links[i]) for i in range(len(texts))]
+
+
 def test_one_of_each_class_stays(spark):
     texts = near_texts()
     _, label = brute_links(texts)

@@ -203,10 +203,13 @@ def _classes(docs: DataFrame, text_col: str, id_col: str, threshold: float, shin
         .mapInArrow(gather, "node binary, n_docs long, comp binary, band long, below long, own long, above long, shingles binary")
     )
     place = lambda band, i: band * F.lit(2**32) + i  # noqa: E731  a block is numbered by its band and its place there
-    met = [
-        F.when(F.col(n) > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col(n) - 1), lambda i, step=step: place(F.col("band") + step, i))).otherwise(F.array().cast("array<long>"))
-        for step, n in ((-1, "below"), (0, "own"), (1, "above"))
-    ]
+
+    def met_in(step: int, n: str):
+        # the step is bound here: a second parameter of the lambda would be the element's index
+        each = F.transform(F.sequence(F.lit(0).cast("long"), F.col(n) - 1), lambda i: place(F.col("band") + step, i))
+        return F.when(F.col(n) > 0, each).otherwise(F.array().cast("array<long>"))
+
+    met = [met_in(-1, "below"), met_in(0, "own"), met_in(1, "above")]
     dealt = (
         held.withColumn("blk", place(F.col("band"), F.pmod(F.xxhash64("node"), F.col("own"))))
         .withColumn("other", F.explode(F.concat(*met)))

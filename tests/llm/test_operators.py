@@ -471,7 +471,8 @@ def brute_links(texts, threshold=0.8):
             links[i] += 1
             links[j] += 1
             a, b = label[i], label[j]
-            label = [min(a, b) if x in (a, b) else x for x in label]
+            if a != b:
+                label = [min(a, b) if x in (a, b) else x for x in label]
     return links, label
 
 
@@ -508,6 +509,22 @@ def test_groups_of_many_blocks_and_sizes_equal_brute_force(spark, monkeypatch):
     assert [(got[i].class_id, got[i].n_links) for i in range(len(texts))] == [(label[i], links[i]) for i in range(len(texts))]
 
 
+def test_a_group_of_several_blocks_at_the_shipped_sizes(spark):
+    rnd = random.Random(6)
+    base = prose(rnd, 110, 3000).split()
+    texts = []
+    for i in range(700):
+        w = list(base)
+        for _ in range(rnd.randint(0, 2)):
+            w[rnd.randrange(len(w))] = rnd.choice(["xx", "yy", "zz", "vv", "uu"])
+        texts.append(" ".join([*w, f"end{i}"]))
+    links, label = brute_links(texts)
+    assert len(set(texts)) == 700 > 2 * ngramjoin.BLOCK and set(label) == {0} and len(set(links.values())) > 50
+    got = {r.doc_id: r for r in ngramjoin.near_duplicates(docs_of(spark, texts)).collect()}
+    assert [(got[i].class_id, got[i].n_links, got[i].class_size) for i in range(700)] == [(0, links[i], 700) for i in range(700)]
+    assert [r.doc_id for r in ngramjoin.keep_one(docs_of(spark, texts)).collect()] == [0]
+
+
 def test_one_of_each_class_stays(spark):
     texts = near_texts()
     _, label = brute_links(texts)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, langid, linededup, ngramjoin, packing, pii, quality, topk, toxicity, urlfilter
+from . import ann, decontam, langid, linededup, ngramjoin, packing, pii, quality, resample, topk, toxicity, urlfilter
 from .common import held_out, table
 
 QUERIES, ORACLES = {}, {}
@@ -111,3 +111,47 @@ def op9(spark, sf_dir):
 def op10(spark, sf_dir):
     found = langid.identify(table(spark, sf_dir, "documents"))
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+#: Words of a text in DuckDB.
+_WORDS = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+# crc32 of the distinct words goes through its table of 256 remainders; floors of means are taken on integers
+_RESAMPLE_SQL = f"""
+with recursive crc(i, step, c) as (
+  select i, 0, i from range(256) r(i)
+  union all
+  select i, step + 1, case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end from crc where step < 8),
+crc_table as (select list(c order by i) as t from crc where step = 8),
+d as (select row_number() over () as doc, doc_id, {_WORDS.format("text")} as words from documents),
+dw as (select doc, unnest(words) as word from d),
+bw as (select unnest({_WORDS.format("text")}) as word from benchmark),
+vocabulary as (select distinct word from (select word from dw union all select word from bw)),
+bytes as (select word, list_transform(range(octet_length(encode(word))), lambda i: cast('0x' || hex(encode(word))[2 * i + 1 : 2 * i + 2] as bigint)) as b from vocabulary),
+hashed as (select word, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 10000 as bucket from bytes, crc_table),
+db as (select doc, bucket from dw join hashed using (word)),
+s as (select bucket, count(*) as s from db group by bucket),
+t as (select bucket, count(*) as t from bw join hashed using (word) group by bucket),
+sums as (select (select count(*) from dw)::double as s_all, (select count(*) from bw)::double as t_all),
+gain as (select bucket, cast(floor(1000 * ln((coalesce(t, 0)::double + 1) * (s_all + 10000) / ((s::double + 1) * (t_all + 10000)))) as bigint) as gain from s left join t using (bucket), sums),
+total as (select doc, count(*) as n, cast(sum(gain) as bigint) as g from db join gain using (bucket) group by doc),
+w as (select doc, doc_id, coalesce(n, 0) as n, coalesce((g - ((g % n) + n) % n) // n, 0) as weight,
+             cast('0x' || substr(sha256('2024:' || coalesce(cast(doc_id as varchar), '')), 1, 8) as bigint) as h
+      from d left join total using (doc)),
+scored as (select *, weight + cast(floor(-1000 * ln(-ln((h::double + 0.5) / 4294967296))) as bigint) as score from w),
+ranked as (select doc, row_number() over (order by score desc, doc_id) as rank, count(*) over () as n_long from scored where n >= 20)
+select doc_id, cast(n as bigint) as n_features, cast(weight as bigint) as weight, cast(score as bigint) as score,
+       case when rank <= 10 * n_long // 100 then rank end as rank
+from scored left join ranked using (doc)
+"""
+
+
+@_query("op11_importance_resampling", _RESAMPLE_SQL)
+def op11(spark, sf_dir):
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@_query("op12_adaptive_dimension_scan")
+def op12(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.filter(F.col("vec_id") % 100 == 0))

@@ -59,8 +59,8 @@ def test_oracles(spark, name):
     assert key(df.select(*names).collect()) == key(cur.fetchall())
 
 
-def test_eleven_queries():
-    assert {f"op{n}_" for n in range(1, 11)} == {f"{q.split('_')[0]}_" for q in QUERIES}
+def test_thirteen_queries():
+    assert {f"op{n}_" for n in range(1, 13)} == {f"{q.split('_')[0]}_" for q in QUERIES}
     assert "pipeline" in entry.queries()
 
 

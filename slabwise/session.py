@@ -27,6 +27,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(named)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir, or the session's checkpoint folder where none is named."""
+    ensure_checkpoint_dir(spark)
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    return (named or spark.sparkContext.getCheckpointDir()).rstrip("/")
+
+
 #: Rows and bytes of an Arrow batch, where the session has Spark's defaults: beside each batch its task holds two or three copies.
 ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 

@@ -143,12 +143,12 @@ def rows_with_keys(docs: DataFrame, key: Column, keys: DataFrame, keep: bool = T
     return keyed.mapInArrow(run, schema)
 
 
-def salted_join(rows: DataFrame, few: DataFrame, on: str) -> DataFrame:
-    """An inner join on a key of which one may hold a third of rows; few has one row for each key and is repeated for each salt."""
+def salted_join(rows: DataFrame, few: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """A join (inner or left) on a key of which one may hold a third of rows; few has one row for each key and is repeated for each salt."""
     salt = fresh([*rows.columns, *few.columns], "salt")
     dealt = rows.withColumn(salt, F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in rows.columns)), F.lit(SALTS)).cast("int"))
     each = few.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return dealt.join(each, [on, salt]).drop(salt)
+    return dealt.join(each, [on, salt], how).drop(salt)
 
 
 def _components(batches):

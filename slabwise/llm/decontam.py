@@ -11,8 +11,9 @@ Anchors are the item's rarest words, several to an item, and every hash function
 samples the walk's first place, which is the anchor itself; so a document's window is
 dismissed, exactly, as soon as it doesn't stand on an anchor word, and the other places
 are only written for the rest. Functions are added until edited copies of the items
-themselves are found at the target recall. Items too short for a walk are cut into one
-stretch more than edits are allowed, one of which every near copy holds unchanged.
+themselves are found at the target recall. Items too short for a walk, and all where
+functions don't get there, are cut into one stretch more than edits are allowed, one of
+which every near copy holds unchanged.
 Windows that collide with an item are verified by the edit distance of the whole item
 to the document around the anchor.
 """
@@ -39,7 +40,7 @@ SAMPLED, ANCHORS, RECALL = 2, 6, 0.999
 #: Steps of the walk that may be sampled, and the words from which an item is walked.
 REACH, SHORT = 12, 10
 
-#: Edited copies on which recall is measured, and the most hash functions.
+#: Edited copies on which recall is measured, and the most hash functions; where these don't reach it, exact stretches are added.
 TRIALS, FUNCTIONS = 1000, 64
 
 #: Items that are searched for in one pass over the documents.
@@ -49,7 +50,7 @@ ITEMS_PER_PASS = 20_000
 class Index:
     """The items' anchors and stretches, in the order of their hash functions."""
 
-    def __init__(self, items: list[tuple[object, str]], edits: float = EDITS, recall: float = RECALL, sampled: int = SAMPLED, seed: int = 5):
+    def __init__(self, items: list[tuple[object, str]], edits: float = EDITS, recall: float = RECALL, sampled: int = SAMPLED, seed: int = 5, functions: int = FUNCTIONS):
         self.edits, self.sampled, self.seed = edits, sampled, seed
         texts = [(i, words(t)) for i, t in items]
         texts = [(i, w) for i, w in texts if w]
@@ -65,14 +66,19 @@ class Index:
         #: (direction, farthest step) -> [(number, place among the items' words)], and length -> [(number, item, offset)]
         self.anchors: dict[tuple[int, int], list[tuple[int, int]]] = {}
         stretches: dict[int, list[tuple[int, int, int]]] = {}
+
+        def cut_up(k: int) -> None:
+            n = len(self.items[k])
+            ends = np.linspace(0, n, self.limit[k] + 2).round().astype(int).tolist()
+            for a, b in zip(ends, ends[1:]):
+                stretches.setdefault(b - a, []).append((len(places), k, a))
+                places.append((k, a))
+
         begin = np.cumsum([0, *map(len, self.items)])
         for k, w in enumerate(self.items):
             n = len(w)
             if n < SHORT:
-                ends = np.linspace(0, n, self.limit[k] + 2).round().astype(int).tolist()
-                for a, b in zip(ends, ends[1:]):
-                    stretches.setdefault(b - a, []).append((len(places), k, a))
-                    places.append((k, a))
+                cut_up(k)
                 continue
             order = sorted(range(n), key=lambda p: (common[int(w[p])], -len(vocabulary[int(w[p]) - 1]), p))
             # an anchor for each stretch of the item first, then the rarest of the rest
@@ -91,14 +97,20 @@ class Index:
         self.places = np.array(places, dtype=np.int64).reshape(-1, 2)
         self.all_words = np.concatenate([np.zeros(0, np.int32), *self.items])
         self.is_anchor = {c: self._mask(self.all_words[[p for _, p in own]]) for c, own in self.anchors.items()}
-        self.stretches = {}
+        self.stretches: dict = {}
+        self.functions: list[dict] = []  # of each: the bits, and by class the sampled places, the sorted keys and the table
+        self._grow_to(recall, functions)
+        if self.measured < recall:
+            # hash functions alone don't get there: walked items are cut into stretches too, which is exact
+            for k, w in enumerate(self.items):
+                if len(w) >= SHORT:
+                    cut_up(k)
+            self.places = np.array(places, dtype=np.int64).reshape(-1, 2)
         for length, own in stretches.items():
             table: dict[int, list[int]] = {}
             for number, k, a in own:
                 table.setdefault(int(self._runs(self.items[k], np.array([a]), length)[0]), []).append(number)
             self.stretches[length] = (self._mask([self.items[k][a] for _, k, a in own]), np.array(sorted(table), dtype=np.int64), table)
-        self.functions: list[dict] = []  # of each: the bits, and by class the sampled places, the sorted keys and the table
-        self._grow_to(recall)
 
     def _mask(self, codes) -> np.ndarray:
         out = np.zeros(self.n_codes, dtype=bool)
@@ -127,8 +139,8 @@ class Index:
             function["classes"][c] = (sampled, np.array(sorted(table), dtype=np.int64), table)
         self.functions.append(function)
 
-    def _grow_to(self, recall: float) -> None:
-        """Add functions until edited copies of walked items, at the limit of their edits, collide with them at the recall."""
+    def _grow_to(self, recall: float, most: int) -> None:
+        """Add functions until edited copies of walked items, at the limit of their edits, collide with them at the recall; `measured` is what they reach."""
         self.measured = 1.0
         long = [k for k, w in enumerate(self.items) if len(w) >= SHORT]
         if not long:
@@ -140,7 +152,7 @@ class Index:
             trials.append(self._edited(k, rng))
             wanted.append(k)
         missed = np.arange(TRIALS)
-        while len(missed) > (1 - recall) * TRIALS and len(self.functions) < FUNCTIONS:
+        while len(missed) > (1 - recall) * TRIALS and len(self.functions) < most:
             self._add_function()
             found = self.candidates([trials[i] for i in missed], self.functions[-1:])
             hit = {(t, k) for t, k, _ in found.tolist()}

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh
+from .common import cut, fresh, salted_join
 
 #: A line is boilerplate if more than RATIO of its host's pages, and at least LEAST_PAGES of them, hold it.
 RATIO, LEAST_PAGES = 0.01, 4
 
-#: The table of boilerplate is broadcast up to this many lines (about 16 bytes each), else joined by host.
+#: The table of boilerplate is broadcast up to this many lines (about 16 bytes each), else joined by parts of a host.
 BROADCAST_LINES = 200_000
 
 
@@ -57,9 +57,8 @@ def drop_boilerplate(
     text, host = F.col("row").getField(text_col), F.col("row").getField(host_col)
     found = cut(boilerplate(rows, host, text, ratio, least_pages))
     size = found.agg(F.sum(F.size("lines") + 1)).first()[0] or 0
-    if size <= BROADCAST_LINES:
-        found = F.broadcast(found)
-    joined = rows.withColumn("at", F.coalesce(host.cast("string"), F.lit(""))).join(found.withColumnRenamed("host", "at"), "at", "left")
+    at, found = rows.withColumn("at", F.coalesce(host.cast("string"), F.lit(""))), found.withColumnRenamed("host", "at")
+    joined = at.join(F.broadcast(found), "at", "left") if size <= BROADCAST_LINES else salted_join(at, found, "at", "left")
     split = _lines(text)
     # by a hash set: a page's lines are held against its own boilerplate alone, not against all of the host's
     out = joined.withColumn("bad", F.array_intersect(F.transform(split, _key), F.col("lines")))

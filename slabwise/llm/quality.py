@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, hashed_share, held_out, sigmoid
+from .common import cut, hashed_share, held_out, salted_join, sigmoid
 
 #: Labelled rows that the text classifier is fitted on, about and at most, of each label.
 SAMPLE_PER_LABEL = 10_000
@@ -144,9 +144,13 @@ def score_quality(
     by_path = nested.select(F.col("gh").alias("ph"), F.col("path").alias("pp"), "n", ((F.col("k") + F.lit(path_m) * F.col("hp")) / (F.col("n") + F.lit(path_m))).alias("path_p"))
     by_host = nested.groupBy("gh").agg(F.max("hn").alias("hn"), F.max("hp").alias("hp"))
 
-    joined = judged.join(by_host, F.col("host").eqNullSafe(F.col("gh")), "left").join(
-        by_path, F.col("host").eqNullSafe(F.col("ph")) & F.col("path").eqNullSafe(F.col("pp")), "left"
-    )
+    # keys that nulls have too; a host may hold a third of all rows, so it is joined by parts
+    host_key = lambda h: F.coalesce(F.concat(F.lit("="), h), F.lit(""))
+    path_key = lambda h, p: F.concat(F.length(host_key(h)), F.lit(":"), host_key(h), host_key(p))
+    keyed = judged.withColumns({"host_key": host_key(F.col("host")), "path_key": path_key(F.col("host"), F.col("path"))})
+    of_host = by_host.select(host_key(F.col("gh")).alias("host_key"), "hn", "hp")
+    of_path = by_path.select(path_key(F.col("ph"), F.col("pp")).alias("path_key"), "n", "path_p")
+    joined = salted_join(salted_join(keyed, of_host, "host_key", "left"), of_path, "path_key", "left")
     host_p = F.coalesce("hp", F.lit(float(prior)))
     path_p = F.coalesce("path_p", host_p)
     logit = lambda c: F.log(c / (1 - c))

@@ -14,14 +14,14 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Memo, filter_rows, hashed_share, held_out, mix64, sigmoid, slices, texts
 from .words import WORD, words
 
-#: Bounds of the labelled sample: texts of either label, and characters of a text.
-MOST_TOXIC, MOST_CLEAN, MOST_CHARS = 1500, 3000, 20_000
+#: Bounds of the labelled sample: texts of either label, and characters of all of a label's texts together.
+MOST_TOXIC, MOST_CLEAN, TOXIC_CHARS, CLEAN_CHARS = 1500, 3000, 5_000_000, 10_000_000
 
 #: Words in a segment of the chain: texts are laid out, and fitted, in segments of this many words; what is before and after a
 #: segment of a text is handed on when it is scored.
@@ -322,9 +322,10 @@ def train(rows: list[tuple[str, int]]) -> Model:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, text_col: str, id_col: str, label_col: str) -> list[tuple[str, int]]:
-    """At most MOST_TOXIC and MOST_CLEAN texts (those of least id hash), none held out and none over MOST_CHARS characters.
+    """At most MOST_TOXIC and MOST_CLEAN texts (those of least id hash), none held out.
 
-    Repeated labels of a document count as toxic if any does; null labels and ids count as none.
+    They are whole texts of any length, the shortest of each label until TOXIC_CHARS and
+    CLEAN_CHARS characters are together, one at least; the rest is only scored. Repeated labels of a document count as toxic if any does; null labels and ids count as none.
     Of different texts that share an id the least one is taken.
     """
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max((F.col(label_col) > 0).cast("int")).alias("y"))
@@ -335,9 +336,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, text_col: str, id_col: s
     # its rows are bounded above: a broadcast of some ten thousand ids
     ids = short.select(F.col(id_col).alias("__id"), F.col("y").alias("__y"))
     text = F.col(f"`{text_col}`")
-    rows = docs.select(F.col(f"`{id_col}`").alias("__doc"), text.alias("__text")).filter(F.length("__text") <= MOST_CHARS)
+    rows = docs.select(F.col(f"`{id_col}`").alias("__doc"), text.alias("__text")).filter("__text is not null")
     # a text counts once, however many rows repeat its id: what is read stays bounded by the sample
-    found = rows.join(F.broadcast(ids), F.col("__doc") == F.col("__id")).groupBy("__doc", "__y").agg(F.min("__text").alias("__text")).select("__text", "__y").toArrow()
+    found = rows.join(F.broadcast(ids), F.col("__doc") == F.col("__id")).groupBy("__doc", "__y").agg(F.min("__text").alias("__text"))
+    shorter = Window.partitionBy("__y").orderBy(F.length("__text"), "__doc").rowsBetween(Window.unboundedPreceding, -1)  # over the sample's rows alone
+    room = F.when(F.col("__y") == 1, TOXIC_CHARS).otherwise(CLEAN_CHARS)
+    found = found.withColumn("__before", F.coalesce(F.sum(F.length("__text")).over(shorter), F.lit(0))).filter(F.col("__before") < room).select("__text", "__y").toArrow()
     return list(zip(found.column(0).to_pylist(), found.column(1).to_pylist()))
 
 

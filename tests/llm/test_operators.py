@@ -314,7 +314,7 @@ def test_scores_equal_a_plain_rerun(spark):
     labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
     text = {r.doc_id: r.text for r in docs.collect()}
     known = {r.doc_id: int(r.toxic > 0) for r in labels.collect() if r.doc_id is not None and r.toxic is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2}
-    model = toxicity.train([(text[i], y) for i, y in known.items() if i in text and len(text[i] or "") <= toxicity.MOST_CHARS])
+    model = toxicity.train([(text[i], y) for i, y in known.items() if text.get(i) is not None])
     got = {r.doc_id: (r.score, r.spans) for r in toxicity.score_toxicity(docs, labels).collect()}
     for i, t in text.items():
         e = np.array([model.emission(w) for w in words.words(t)])
@@ -323,6 +323,22 @@ def test_scores_equal_a_plain_rerun(spark):
         assert abs(got[i][0] - score) < 1e-9 and len(got[i][1]) == (p >= 0.5).sum()
 
 
+def test_long_toxic_texts_alone_are_learned_from(spark, monkeypatch):
+    rnd = random.Random(22)
+    long = lambda y: " ".join(f"{prose(rnd, 60, 500)} {'scumbly' if y else 'kindly'}" for _ in range(85))
+    texts = [long(i % 2) for i in range(60)]
+    assert min(map(len, texts)) > 25_000
+    df = docs_of(spark, texts)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(df, labels).collect()}
+    assert all((got[i] >= 0.3) == (i % 2 == 1) for i in range(60))
+    monkeypatch.setattr(toxicity, "TOXIC_CHARS", 70_000)
+    monkeypatch.setattr(toxicity, "CLEAN_CHARS", 1)
+    sample = toxicity.labelled_sample(df, labels, "text", "doc_id", "toxic")
+    known = sorted(len(texts[i]) for i in range(1, 60, 2) if zlib.crc32(str(i).encode()) % 4 != 2)
+    assert sorted(len(t) for t, y in sample if y) == known[: len([1 for k in range(len(known)) if sum(known[:k]) < 70_000])] and sum(1 - y for _, y in sample) == 1
+
+
 def test_every_segment_of_the_sample_is_fitted(monkeypatch):
     rnd = random.Random(21)
     # 4,200 toxic segments; a word that only the text which sorts last shows
@@ -424,6 +440,17 @@ def test_recall_by_length_against_an_exhaustive_scan(share):
         assert n <= 4 or all(k in (i, (i + 1) % 120) or decontam.nearest(index.items[k], code[i])[0] <= index.limit[k] for i, k in found)
 
 
+def test_an_index_that_falls_short_of_its_recall_is_exact():
+    rnd = random.Random(31)
+    items = [[f"w{rnd.randrange(60)}" for _ in range(rnd.randint(10, 40))] for _ in range(30)]
+    short = decontam.Index([(k, " ".join(w)) for k, w in enumerate(items)], functions=0)
+    assert short.measured == 0 and decontam.Index([(k, " ".join(w)) for k, w in enumerate(items)]).measured >= decontam.RECALL
+    rng = np.random.default_rng(4)
+    copies = [short._edited(k, rng) for k in range(30) for _ in range(20)]
+    found = {(t, k) for t, k, _, _ in short.matches(copies)}
+    assert all((t, t // 20) in found for t in range(600))
+
+
 def test_leaks_in_several_passes(spark, monkeypatch):
     rnd = random.Random(8)
     items = [prose(rnd, 20, 5000) for _ in range(9)]
@@ -458,6 +485,14 @@ def test_boilerplate_by_site(spark):
     assert linededup.drop_boilerplate(df.limit(0)).count() == 0
 
 
+def test_boilerplate_joined_by_parts_of_a_host(spark, monkeypatch):
+    rows = [(i, f"line {i}\nFollow us\n{'x' * (i % 3)}", "en", "hot" if i % 3 else None, 0) for i in range(120)] + [(200, None, "en", None, 0), (201, "Follow us", "en", "other", 0)] * 2
+    df = spark.createDataFrame(rows, DOC).withColumn("salt", F.lit("s"))
+    want = sorted(map(tuple, linededup.drop_boilerplate(df).collect()), key=repr)
+    monkeypatch.setattr(linededup, "BROADCAST_LINES", -1)
+    assert sorted(map(tuple, linededup.drop_boilerplate(df).collect()), key=repr) == want and sum(r[-1] for r in want) > 100
+
+
 # ---- near duplicates -----------------------------------------------------------------------------
 def brute_links(texts, threshold=0.8):
     sets = []

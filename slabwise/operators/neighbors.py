@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from slabwise.functions.blocks import rows_of
 from slabwise.session import cut
 
+from . import metric
+
 #: Targets of a part up to which its sources are held against all of them, block by block; beyond, cells are made. The result is the same.
 SMALL = 4096
 
@@ -75,7 +77,7 @@ def _nearest(sources: DataFrame, targets: DataFrame, k: int) -> DataFrame:
     if any(small) or not small:
         few = F.broadcast(sizes.filter(F.col("n") <= SMALL).select("part"))
         sides = (x.join(few, "part", "left_semi").select("part", F.col("id").alias("gid"), F.array("x", "y").alias("vec")) for x in (sources, targets))
-        found.append(vector_knn(*sides, k).select("src", "dst", "d2", "rank"))
+        found.append(vector_knn(*sides, k, SMALL).select("src", "dst", "d2", "rank"))
     if not all(small):
         found.append(_nearest_by_cells(sources, targets, sizes.filter(F.col("n") > SMALL), k))
     return found[0] if len(found) == 1 else found[0].unionByName(found[1])
@@ -186,19 +188,22 @@ def feature_knn(features: DataFrame, k: int, step: int = -1, part: str = "slice_
     return vector_knn(rows, rows.withColumn("part", F.col("part") - step), k).drop("part")
 
 
-def vector_knn(sources: DataFrame, targets: DataFrame, k: int) -> DataFrame:
+def vector_knn(sources: DataFrame, targets: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """The k targets nearest to each source of their part: (part, src, dst, d2, rank). Both have (part, gid, vec).
 
-    Parts are searched in blocks: every block of a part's sources meets every block of
-    its targets in some task by a matrix product; distances of all that may be among
-    the k, ties included, are then summed up exactly. Ties go to the lesser id, and no row
-    is its own neighbour.
+    Parts of no more targets than a block are searched block against block by matrix
+    products; where a part has more, targets are grouped around pivots and a source meets
+    only groups that can hold one of its k. Distances of all that may be among the k,
+    ties included, are summed up exactly. Ties go to the lesser id, and no row is its own
+    neighbour.
     """
     kind = sources.schema["part"].dataType.simpleString()
     sides = [cut(x.select("part", "gid", F.col("vec").cast("array<double>").alias("vec"))) for x in (sources, targets)]
     # a row for each part
-    blocks = [F.broadcast(x.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(n))) for x, n in zip(sides, ("ns", "nt"))]
-    whole = [x.join(blocks[0], "part").join(blocks[1], "part") for x in sides]
+    blocks = [x.groupBy("part").agg(F.ceil(F.count("*") / block).cast("int").alias(n)) for x, n in zip(sides, ("ns", "nt"))]
+    if (blocks[1].agg(F.max("nt")).first()[0] or 0) > 1:
+        return metric.nearest(*sides, k, block)[0]
+    whole = [x.join(F.broadcast(blocks[0]), "part").join(F.broadcast(blocks[1]), "part") for x in sides]
     own = lambda n: F.pmod(F.xxhash64("gid"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     src = whole[0].withColumn("sb", own("ns")).withColumn("tb", every("nt")).select("part", "sb", "tb", F.lit(0).alias("side"), "gid", "vec")

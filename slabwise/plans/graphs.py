@@ -201,6 +201,13 @@ def mutual_knn(spark, sf_dir):
     return mutual_similarity(fixtures.spots(spark, sf_dir), 10).select("i", "j", "mutual", _R("similarity"))
 
 
+@query("expr_knn_pruned", sql("spots", then=f"""select * from (select a.gid as src, b.gid as dst, round({VEC_D2}, 6) as d2, row_number() over (partition by a.gid order by {VEC_D2}, b.gid) as rank
+  from spots a join spots b on a.gid <> b.gid) where rank <= {K_MAP}"""))
+def expr_knn_pruned(spark, sf_dir):
+    rows = fixtures.spots(spark, sf_dir).select(F.lit(0).alias("part"), "gid", "vec")
+    return neighbors.vector_knn(rows, rows, K_MAP, block=128).select("src", "dst", _R("d2"), "rank")
+
+
 @query("subsample", sql("spots", then="select gid from (select gid, row_number() over (partition by slice_idx order by md5('0:' || cast(gid as varchar)), gid) as n from spots) where n <= 10"))
 def subsample(spark, sf_dir):
     return neighbors.subsample(fixtures.spots(spark, sf_dir), 10).select("gid")

@@ -13,7 +13,7 @@ from slabwise.functions.arrays import dot, element_sums
 from slabwise.functions.blocks import rows_of
 from slabwise.session import cut
 
-from . import graph, neighbors
+from . import blocked, graph, neighbors
 
 #: Dimensions up to which X^T X is made (8 bytes for each pair of them on the driver); beyond, subspace iteration on X itself.
 MOST_GRAM = 1024
@@ -170,49 +170,45 @@ def mean_vector(rows: DataFrame, by: list[str], vec: str = "vec", weight: str |
 
 def smooth(features: DataFrame, spots: DataFrame, k: int = 15, alpha: float = 0.7, steps: int = 2) -> DataFrame:
     """E <- (1 - alpha) E0 + alpha * (mean of the spatial neighbours' E), `steps` times: (gid, slice_idx, vec)."""
-    near = cut(neighbors.knn_within(spots, max(3, k)).select("src", "dst"))
+    near = cut(neighbors.knn_within(spots, max(3, k)).select("src", "dst", F.lit(1.0).alias("w")))
     first = cut(features.select("gid", "slice_idx", "vec"))
-    now = first
-    width = _width(first)
+    matrix = blocked.BlockedMatrix(near, blocked.places_of_spots(spots))
+    fixed, now = matrix.fixed(first), matrix.vectors(first)
     for _ in range(max(1, steps)):
-        means = mean_vector(near.join(now.select(F.col("gid").alias("dst"), "vec"), "dst"), ["src"], width=width).withColumnRenamed("vec", "m")
-        mixed = F.when(F.col("m").isNull(), F.col("vec")).otherwise(F.zip_with("vec", "m", lambda a, b: (1 - alpha) * a + alpha * b))
-        now = cut(first.join(means, first.gid == means.src, "left").select("gid", "slice_idx", mixed.alias("vec")))
-    return now
+        now = cut(matrix.times(now, fixed, (1 - alpha, alpha, 1.0), mean=True))
+    return first.select("gid", "slice_idx").join(now.select("gid", "vec"), "gid")
 
 
-def _width(rows: DataFrame) -> int:
-    first = rows.select(F.size("vec").alias("d")).first()
-    return first["d"] if first else 0
+def sparse_product(edges: DataFrame, vectors: DataFrame, places: DataFrame | None = None) -> DataFrame:
+    """A·Z for edges (src, dst, w) and rows (gid, vec): (gid, vec). places (gid, block) says which nodes stand together."""
+    edges = cut(edges.select("src", "dst", "w"))
+    return blocked.BlockedMatrix(edges, places_of(edges, vectors) if places is None else places).product(vectors)
 
 
-def sparse_product(edges: DataFrame, vectors: DataFrame, width: int | None = None) -> DataFrame:
-    """A·Z for edges (src, dst, w) and rows (gid, vec) of `width` places: (gid, vec)."""
-    width = _width(vectors) if width is None else width
-    joined = edges.join(vectors.select(F.col("gid").alias("dst"), "vec"), "dst")
-    return mean_vector(joined, ["src"], weight="w", width=width).withColumnRenamed("src", "gid")
+def places_of(edges: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(gid, block) of all nodes, by their ids: for graphs without coordinates."""
+    return blocked.places_of_ids(edges.select(F.col("src").alias("gid")).union(edges.select("dst")).union(vectors.select("gid")))
 
 
 def frobenius(rows: DataFrame) -> DataFrame:
     return rows.agg(F.sqrt(F.sum(dot("vec", "vec"))).alias("norm"))
 
 
-def diffuse(edges: DataFrame, features: DataFrame, eta: float = 0.5, steps: int = 50, tol: float = 1e-6, eps: float = 1e-12) -> DataFrame:
+def diffuse(
+    edges: DataFrame, features: DataFrame, eta: float = 0.5, steps: int = 50, tol: float = 1e-6, eps: float = 1e-12, places: DataFrame | None = None
+) -> DataFrame:
     """Personalised diffusion Z <- (1 - eta) X + eta A Z of rows (gid, vec), A row-normalised, until Z changes by less than tol."""
     if not 0 < eta < 1:
         raise ValueError("eta must lie between 0 and 1")
     a = cut(graph.row_normalised(edges, eps))
     x = cut(features.select("gid", "vec"))
-    z, width = x, _width(x)
+    matrix = blocked.BlockedMatrix(a, places_of(a, x) if places is None else places)
+    fixed, z = matrix.fixed(x), matrix.vectors(x)
     for _ in range(steps):
-        az = sparse_product(a, z, width).withColumnRenamed("vec", "az")
-        mixed = F.when(F.col("az").isNull(), F.transform("vec", lambda v: (1 - eta) * v)).otherwise(F.zip_with("vec", "az", lambda v, m: (1 - eta) * v + eta * m))
-        new = cut(x.join(az, "gid", "left").select("gid", mixed.alias("vec")))
-        z, old = new, z
+        z = cut(matrix.times(z, fixed, (1 - eta, eta, 1 - eta)))
         if not tol:
             continue  # all steps are wanted
-        d = F.zip_with("vec", "old", lambda p, q: p - q)
-        row = new.join(old.select("gid", F.col("vec").alias("old")), "gid").agg(F.sum(dot(d, d)).alias("d"), F.sum(dot("old", "old")).alias("n")).first()
+        row = z.agg(F.sum("change").alias("d"), F.sum("size").alias("n")).first()
         if not row["d"] or np.sqrt(row["d"]) / (np.sqrt(row["n"]) + eps) < tol:
             break
-    return z
+    return z.select("gid", "vec")

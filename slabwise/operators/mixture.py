@@ -14,7 +14,7 @@ from slabwise.functions.blocks import rows_of
 from slabwise.model import Cube
 from slabwise.session import cut
 
-from . import graph, linalg
+from . import blocked, graph, linalg
 
 
 def statistics(rows: DataFrame, k: int, dim: int) -> dict[str, np.ndarray]:
@@ -84,6 +84,7 @@ def gmm(
     seed: int = 0,
     cov_eps: float = 1e-4,
     init_labels: DataFrame | None = None,
+    places: DataFrame | None = None,
 ) -> tuple[DataFrame, np.ndarray, int]:
     """Mean-field EM of a diagonal mixture whose responsibilities follow their graph neighbours: ((gid, cluster, q), means, rounds).
 
@@ -116,10 +117,11 @@ def gmm(
         q = q.select("gid", "vec", F.array(*soft).alias("q"))
     q = cut(q)
     a = cut(graph.row_normalised(edges))
+    matrix = blocked.BlockedMatrix(a, linalg.places_of(a, x) if places is None else places)
     share, mean, var = maximise(statistics(q, n_clusters, dim), cov_eps)
     labels = None
     for turn in range(1, n_iter + 1):
-        message = linalg.sparse_product(a, q.select("gid", F.col("q").alias("vec")), n_clusters).withColumnRenamed("vec", "message")
+        message = matrix.product(q.select("gid", F.col("q").alias("vec"))).withColumnRenamed("vec", "message")
         stepped = scores(q.select("gid", "vec").join(message, "gid", "left"), share, mean, var, lam, cov_eps).select("gid", "vec", "q", argmax("q").alias("cluster"))
         q = cut(stepped)
         share, mean, var = maximise(statistics(q, n_clusters, dim), cov_eps)
@@ -153,6 +155,7 @@ def cluster_cube(
             cube.spots, n_intra, n_inter, mapping=cube.mapping, alpha_intra=alpha_intra, beta_map=beta_map, gamma_inter=gamma_inter, lambda_z=cube.lambda_z, z_spacing=cube.z_spacing
         )
     )
-    z = linalg.diffuse(edges, embedding, eta, diffusion_steps, diffusion_tol)
-    found, _, _ = gmm(z, edges, n_clusters, lam, em_iters, init, seed)
+    places = cut(blocked.places_of_spots(cube.spots))
+    z = linalg.diffuse(edges, embedding, eta, diffusion_steps, diffusion_tol, places=places)
+    found, _, _ = gmm(z, edges, n_clusters, lam, em_iters, init, seed, places=places)
     return replace(cube, spots=cube.spots.drop("cluster").join(found.select("gid", "cluster"), "gid")), found

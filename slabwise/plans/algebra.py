@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from slabwise.functions.arrays import argmax, softmax
 from slabwise.model import ContrastiveConfig, Cube, OrderConfig
-from slabwise.operators import contrastive, graph, linalg, metrics, mixture, neighbors, ordering, registration, transport
+from slabwise.operators import blocked, contrastive, graph, linalg, metrics, mixture, neighbors, ordering, registration, transport
 from slabwise.sources import fixtures
 from slabwise.sources.fixtures import sql
 
@@ -63,7 +63,7 @@ def spatial_smooth(spark, sf_dir):
 @query("sparse_product", sql(*_FULL, _LONG, then="select src as gid, pos, round(sum(w * v), 6) as v from edges join x0 on x0.gid = dst group by all"))
 def sparse_product(spark, sf_dir):
     spots, x = featured(spark, sf_dir)
-    return long_rows(linalg.sparse_product(graph_of(spots), x))
+    return long_rows(linalg.sparse_product(graph_of(spots), x, blocked.places_of_spots(spots)))
 
 
 def _diffuse_step(i: int) -> str:
@@ -74,7 +74,7 @@ def _diffuse_step(i: int) -> str:
 @query("ppr_steps", sql(*_FULL, _LONG, "aw as (select src, dst, w / (sum(w) over (partition by src) + 1e-12::double) as w from edges)", _diffuse_step(1), _diffuse_step(2), _diffuse_step(3), then="select gid, pos, round(v, 6) as v from x3"))
 def ppr_steps(spark, sf_dir):
     spots, x = featured(spark, sf_dir)
-    return long_rows(linalg.diffuse(graph_of(spots), x, 0.5, 3, 0.0))
+    return long_rows(linalg.diffuse(graph_of(spots), x, 0.5, 3, 0.0, places=blocked.places_of_spots(spots)))
 
 
 @query("softmax", sql("spots", then="select gid, round(exp(vec[1] - m) / s, 6) as q1, round(exp(vec[2] - m) / s, 6) as q2 from (select *, list_max(vec) as m, list_sum(list_transform(vec, lambda v: exp(v - list_max(vec)))) + 1e-12::double as s from spots)"))

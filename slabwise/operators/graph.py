@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections import deque
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slabwise.session import cut
 
+from . import leiden as communities
 from . import neighbors
 from .ranking import numbered, quantiles
 
@@ -104,208 +103,27 @@ def row_normalised(edges: DataFrame, eps: float = 1e-12) -> DataFrame:
     return edges.join(degree(edges), "src").select("src", "dst", (F.col("w") / (F.col("degree") + F.lit(eps))).alias("w"))
 
 
-#: Edges up to which a graph is clustered in the driver's memory (about 100 bytes each), a node at a time.
-LOCAL_EDGES = 1_000_000
-
-
-def leiden(edges: DataFrame, resolution: float = 1.0, seed: int = 0, levels: int = 10, moves: int = 12, local_edges: int = LOCAL_EDGES) -> DataFrame:
+def leiden(
+    edges: DataFrame,
+    resolution: float = 1.0,
+    seed: int = 0,
+    levels: int = 10,
+    passes: int = 10,
+    start: DataFrame | None = None,
+    task_edges: int = communities.EDGES_OF_A_TASK,
+) -> DataFrame:
     """Communities (gid, cluster) of a symmetric weighted graph by modularity, resolution as in the RB configuration model.
 
-    A graph of up to local_edges edges is clustered by leiden_local. Beyond, by joins and
-    grouped sums. Local moving: in turn, nodes whose hash is of one parity go to the neighbouring
-    community of greatest gain, so that two neighbours seldom swap places. Refinement: a
-    community that has fallen apart is split into its connected parts, so that each
-    community is connected. Then communities become nodes, until none moves. All steps
-    are joins and grouped sums. Clusters are numbered by falling size, then least member.
+    Local moving, refinement to well-connected communities, and coarsening, repeated from
+    what was found until nothing changes; each community is connected. Graphs of more than
+    task_edges edges go through joins and grouped sums, level by level, until one task can
+    finish them; the rule is one for both. start (gid, cluster) may say where to begin. Clusters
+    are numbered by falling size, then least member.
     """
-    graph = cut(edges.filter("src <> dst").select("src", "dst", "w"))
-    if graph.count() <= local_edges:
-        rows = graph.toPandas()
-        found = leiden_local(rows["src"].tolist(), rows["dst"].tolist(), rows["w"].tolist(), resolution, seed)
-        return edges.sparkSession.createDataFrame(sorted(found.items()), "gid long, cluster int")
-    twice = graph.agg(F.sum("w")).first()[0]
-    nodes = graph.select(F.col("src").alias("gid")).distinct()
-    if not twice:
-        return nodes.select("gid", F.lit(0).alias("cluster"))
-    member = cut(nodes.select("gid", F.col("gid").alias("node")))
-    loops = None  # weight inside the nodes of a coarser graph counts to their degree
-    for level in range(levels):
-        strength = graph.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k"))
-        if loops is not None:
-            strength = loops.join(strength, "node", "left").select("node", (F.coalesce("k", F.lit(0.0)) + F.col("inside")).alias("k"))
-        state = cut(strength.withColumn("c", F.col("node")))
-        start = state
-        for turn in range(moves):
-            mass = state.groupBy("c").agg(F.sum("k").alias("mass"))
-            ties = graph.join(state.select(F.col("node").alias("dst"), "c"), "dst").groupBy(F.col("src").alias("node"), "c").agg(F.sum("w").alias("tie"))
-            own = state.select("node", "c", F.lit(0.0).alias("tie"))
-            options = ties.unionByName(own).groupBy("node", "c").agg(F.sum("tie").alias("tie"))
-            options = options.join(mass, "c").join(state.select("node", "k", F.col("c").alias("at")), "node")
-            others = F.col("mass") - F.when(F.col("c") == F.col("at"), F.col("k")).otherwise(0.0)
-            options = options.withColumn("gain", F.col("tie") - F.lit(resolution / twice) * F.col("k") * others)
-            # staying wins ties; then the lesser community
-            best = options.groupBy("node").agg(F.max(F.struct(F.round("gain", 12).alias("gain"), (F.col("c") == F.col("at")).alias("stay"), (-F.col("c")).alias("less"))).alias("b"))
-            mine = F.pmod(F.xxhash64("node", F.lit(seed), F.lit(turn // 2)), F.lit(2)) == turn % 2
-            stepped = state.join(best, "node").select("node", "k", F.when(mine, -F.col("b.less")).otherwise(F.col("c")).alias("c"), F.col("c").alias("was"))
-            stepped = cut(stepped)
-            moved = stepped.filter("c <> was").count()
-            state = stepped.select("node", "k", "c")
-            if not moved and turn % 2:
-                break
-        inside = graph.join(state.select(F.col("node").alias("src"), F.col("c").alias("cs")), "src").join(state.select(F.col("node").alias("dst"), F.col("c").alias("cd")), "dst")
-        parts = _connected(inside.filter("cs = cd").select("src", "dst"), state.select("node"))
-        if not parts.filter("node <> part").limit(1).count():
-            break
-        member = cut(member.join(parts, "node").select("gid", F.col("part").alias("node")))
-        renamed = graph.join(parts.select(F.col("node").alias("src"), F.col("part").alias("s")), "src").join(parts.select(F.col("node").alias("dst"), F.col("part").alias("d")), "dst")
-        merged = cut(renamed.groupBy(F.col("s").alias("src"), F.col("d").alias("dst")).agg(F.sum("w").alias("w")))
-        held = merged.filter("src = dst").select(F.col("src").alias("node"), F.col("w").alias("inside"))
-        if loops is not None:
-            before = loops.join(parts, "node").groupBy(F.col("part").alias("node")).agg(F.sum("inside").alias("more"))
-            held = held.join(before, "node", "full").select("node", (F.coalesce("inside", F.lit(0.0)) + F.coalesce("more", F.lit(0.0))).alias("inside"))
-        all_parts = parts.select(F.col("part").alias("node")).distinct()
-        loops = cut(all_parts.join(held, "node", "left").select("node", F.coalesce("inside", F.lit(0.0)).alias("inside")))
-        graph = cut(merged.filter("src <> dst"))
-        if not graph.limit(1).count():
-            break
-    sizes = member.groupBy("node").agg(F.count("*").alias("n"), F.min("gid").alias("least"))
-    numbers = numbered(sizes.withColumn("less", -F.col("n")), ["less", "least"], "cluster").select("node", F.col("cluster").cast("int").alias("cluster"))
-    return member.join(numbers, "node").select("gid", "cluster")
-
-
-def leiden_local(src: list, dst: list, w: list, resolution: float = 1.0, seed: int = 0, levels: int = 20, passes: int = 10) -> dict:
-    """Node -> cluster of a symmetric edge list in memory by Leiden's three steps, again from what was found until no node moves.
-
-    Nodes move by a queue to the neighbouring community of greatest gain. Each community
-    is then refined: its nodes start alone and join refined communities within it where
-    that gains and both are well connected to the rest of it. Refined communities become
-    the next graph's nodes, which start in the communities that were found.
-    """
-    import random
-
-    near: dict = {}
-    for a, b, x in zip(src, dst, w):
-        near.setdefault(a, {})
-        near[a][b] = near[a].get(b, 0.0) + x
-        near.setdefault(b, {})
-    rng = random.Random(seed)
-    found = {v: v for v in near}
-    for _ in range(passes):
-        before, found = found, _leiden_pass(near, found, resolution, rng, levels)
-        if len({(before[v], found[v]) for v in near}) == len(set(found.values())) == len(set(before.values())):
-            break
-    groups: dict = {}
-    for v, c in found.items():
-        groups.setdefault(c, []).append(v)
-    ranked = sorted(groups.values(), key=lambda g: (-len(g), min(g)))
-    return {o: i for i, g in enumerate(ranked) for o in g}
-
-
-def _leiden_pass(near: dict, of: dict, resolution: float, rng, levels: int) -> dict:
-    """Node -> community after one descent through coarser and coarser graphs, from the communities in `of`; communities are connected."""
-    member = {v: v for v in near}  # original node -> node of the current graph
-    loop, whole = dict.fromkeys(near, 0.0), near
-    of = dict(of)
-    twice = sum(sum(n.values()) for n in near.values())
-    for _ in range(levels if twice else 0):
-        k = {v: sum(n.values()) + loop[v] for v, n in near.items()}
-        mass: dict = {}
-        for v, c in of.items():
-            mass[c] = mass.get(c, 0.0) + k[v]
-        order = sorted(near)
-        rng.shuffle(order)
-        queue, waiting = deque(order), set(order)
-        while queue:
-            v = queue.popleft()
-            waiting.discard(v)
-            own = of[v]
-            mass[own] -= k[v]
-            ties: dict = {own: 0.0}
-            for u, x in near[v].items():
-                ties[of[u]] = ties.get(of[u], 0.0) + x
-            gain = lambda c: ties[c] - resolution * k[v] * mass[c] / twice  # noqa: B023, E731
-            best = max(sorted(ties), key=lambda c: (round(gain(c), 12), c == own))
-            mass[best] += k[v]
-            if best != own:
-                of[v] = best
-                for u in near[v]:
-                    if of[u] != best and u not in waiting:
-                        waiting.add(u)
-                        queue.append(u)
-        if len(set(of.values())) == len(near):
-            break
-        fine = _refined(near, k, of, mass, order, resolution / twice)
-        if len(set(fine.values())) == len(near):
-            break
-        coarse: dict = {p: {} for p in fine.values()}
-        inside = dict.fromkeys(coarse, 0.0)
-        for v, n in near.items():
-            inside[fine[v]] += loop[v]
-            for u, x in n.items():
-                if fine[u] == fine[v]:
-                    inside[fine[v]] += x
-                else:
-                    coarse[fine[v]][fine[u]] = coarse[fine[v]].get(fine[u], 0.0) + x
-        first: dict = {}  # a community is named by one of its new nodes
-        for v in sorted(near):
-            first.setdefault(of[v], fine[v])
-        member = {o: fine[v] for o, v in member.items()}
-        of = {fine[v]: first[of[v]] for v in near}
-        near, loop = coarse, inside
-    return _parts(whole, {o: of[v] for o, v in member.items()})
-
-
-def _refined(near: dict, k: dict, of: dict, mass: dict, order: list, rate: float) -> dict:
-    """Node -> refined community within its community; rate is the resolution over twice the graph's weight."""
-    to = {v: v for v in near}
-    size, weight = dict.fromkeys(near, 1), dict(k)
-    # ties of each refined community to the rest of its community
-    out = {v: sum(x for u, x in n.items() if of[u] == of[v]) for v, n in near.items()}
-    firm = lambda c, s: out[c] >= rate * weight[c] * (mass[s] - weight[c]) - 1e-12
-    for v in order:
-        s = of[v]
-        if size[to[v]] > 1 or not firm(v, s):
-            continue
-        ties: dict = {}
-        for u, x in near[v].items():
-            if of[u] == s:
-                ties[to[u]] = ties.get(to[u], 0.0) + x
-        gain = {c: x - rate * k[v] * weight[c] for c, x in ties.items() if firm(c, s)}
-        best = max(sorted(gain), key=lambda c: round(gain[c], 12), default=None)
-        if best is None or gain[best] <= 1e-12:
-            continue
-        to[v] = best
-        size[best] += 1
-        weight[best] += k[v]
-        out[best] += out[v] - 2 * ties[best]
-    return to
-
-
-def _parts(near: dict, of: dict) -> dict:
-    """Node -> the least node it is joined to within its community."""
-    part: dict = {}
-    for v in sorted(near):
-        if v not in part:
-            part[v], stack = v, [v]
-            while stack:
-                x = stack.pop()
-                for u in near[x]:
-                    if u not in part and of[u] == of[v]:
-                        part[u] = v
-                        stack.append(u)
-    return part
-
-
-def _connected(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, part): the least node of each node's connected component."""
-    labels = cut(nodes.select("node", F.col("node").alias("part")))
-    while True:
-        heard = edges.join(labels.select(F.col("node").alias("dst"), "part"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("part").alias("m"))
-        stepped = cut(labels.join(heard, "node", "left").select("node", F.col("part").alias("was"), F.least("part", F.coalesce("m", "part")).alias("part")))
-        moved = stepped.filter("part <> was").limit(1).count()
-        labels = stepped.select("node", "part")
-        if not moved:
-            return labels
+    member = communities.communities(edges, resolution, seed, levels, passes, start, task_edges)
+    sizes = member.groupBy("c").agg(F.count("*").alias("n"), F.min("node").alias("least"))
+    numbers = numbered(sizes.withColumn("less", -F.col("n")), ["less", "least"], "cluster").select("c", F.col("cluster").cast("int").alias("cluster"))
+    return member.join(numbers, "c").select(F.col("node").alias("gid"), "cluster")
 
 
 def modularity(edges: DataFrame, clusters: DataFrame, resolution: float = 1.0) -> DataFrame:

@@ -157,12 +157,7 @@ def ring(spark):
 
 @pytest.mark.parametrize("limit", [1_000_000, 0])
 def test_leiden_finds_the_parts(spark, limit):
-    if not limit:
-        edges = spark.createDataFrame([(a, b, 1.0) for c in (0, 10) for a in range(c, c + 4) for b in range(c, c + 4) if a != b] + [(0, 10, 0.1), (10, 0, 0.1)], "src long, dst long, w double")
-        found = {r.gid: r.cluster for r in graph.leiden(edges, levels=2, moves=4, local_edges=0).collect()}
-        assert len({found[i] for i in range(4)}) == 1 and found[0] != found[10]
-        return
-    found = {r.gid: r.cluster for r in graph.leiden(ring(spark), resolution=0.2).collect()}
+    found = {r.gid: r.cluster for r in graph.leiden(ring(spark), resolution=0.2, task_edges=limit).collect()}
     assert len({found[i] for i in range(6)}) == 1 and len({found[i] for i in range(10, 16)}) == 1 and found[0] != found[10]
 
 
@@ -352,33 +347,3 @@ def test_result_tables_are_checked(spark, tmp_path):
         files.read_results(spark, str(tmp_path / "r.csv"), genes=genes.union(spark.createDataFrame([("c",)], "gene string")))
     with pytest.raises(ValueError):
         files.read_results(spark, str(tmp_path / "r.csv"), "gene string, other double")
-
-
-def test_communities_are_connected_and_no_single_move_gains():
-    """On random graphs: every cluster is connected, and moving one node elsewhere never raises modularity."""
-    import random
-
-    for seed in range(6):
-        rnd = random.Random(seed)
-        n = 60
-        pairs = {(a, b): rnd.choice([1.0, 2.0]) for a in range(n) for b in range(a) if rnd.random() < (0.4 if a // 12 == b // 12 else 0.03)}
-        edges = [(a, b, x) for (a, b), x in pairs.items()] + [(b, a, x) for (a, b), x in pairs.items()]
-        found = graph.leiden_local(*zip(*edges))
-        w = np.zeros((n, n))
-        for a, b, x in edges:
-            w[a, b] = x
-        k, twice = w.sum(1), w.sum()
-        score = lambda c: sum(w[i, j] - k[i] * k[j] / twice for i in c for j in c if c[i] == c[j])
-        q = score(found)
-        for v in found:
-            for c in set(found.values()):
-                assert score({**found, v: c}) <= q + 1e-9
-        for c in set(found.values()):
-            own = [v for v in found if found[v] == c]
-            seen, stack = {own[0]}, [own[0]]
-            while stack:
-                x = stack.pop()
-                more = [u for u in own if w[x, u] and u not in seen]
-                seen.update(more)
-                stack += more
-            assert seen == set(own)

@@ -98,15 +98,25 @@ def _named(labels, label="cluster"):
     return labels.join(labels.groupBy(label).agg(F.min("gid").alias("least")), label).select("gid", "least")
 
 
-@query("planted_communities", sql("spots", then=_GROUPED))
-def planted_communities(spark, sf_dir):
+def _cliques(spark, sf_dir):
     """Complete graphs of the spots with equal gid mod 20, joined to a ring by weak edges."""
     s = fixtures.spots(spark, sf_dir).select("gid", (F.col("gid") % GROUPS).alias("g"))
     inside = s.select(F.col("gid").alias("src"), "g").join(s.select(F.col("gid").alias("dst"), "g"), "g").filter("src <> dst").select("src", "dst", F.lit(1.0).alias("w"))
     first = s.groupBy("g").agg(F.min("gid").alias("least"))
     ring = first.join(first.select(((F.col("g") + GROUPS - 1) % GROUPS).alias("g"), F.col("least").alias("next")), "g")
     weak = ring.select(F.col("least").alias("src"), F.col("next").alias("dst"), F.lit(0.01).alias("w"))
-    return _named(graph.leiden(inside.unionByName(weak).unionByName(weak.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))))
+    return inside.unionByName(weak).unionByName(weak.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
+
+
+@query("planted_communities", sql("spots", then=_GROUPED))
+def planted_communities(spark, sf_dir):
+    return _named(graph.leiden(_cliques(spark, sf_dir)))
+
+
+@query("planted_communities_joined", sql("spots", then=_GROUPED))
+def planted_communities_joined(spark, sf_dir):
+    """The same through joins: only the graph of the cliques themselves is left to a task."""
+    return _named(graph.leiden(_cliques(spark, sf_dir), passes=1, task_edges=1000))
 
 
 @query("planted_mixture", sql("spots", then="select gid, min(gid) over (partition by gid % 3) as least from spots"))

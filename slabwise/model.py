@@ -40,6 +40,8 @@ class ContrastiveConfig:
     epochs: int = 50
     batch_size: int = 4096
     random_state: int = 0
+    #: Batches of an epoch, a task for each; their gradients' mean makes one step.
+    parallel: int = 1
 
 
 @dataclass(frozen=True)

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from slabwise.functions.blocks import rows_of
 from slabwise.model import ContrastiveConfig
-from slabwise.session import cut
+from slabwise.session import cut, kept
 
-#: Epochs whose batches are drawn, and held by the driver, at a time.
+#: Epochs whose batches are drawn and written with one job; the driver holds none of them.
 EPOCHS = 16
+#: Anchors whose logits against a whole batch are held at a time.
+ANCHORS = 512
 
 
 def positives(nodes: DataFrame, edges: DataFrame, seed: int = 0) -> DataFrame:
@@ -33,68 +35,135 @@ def forward(x: np.ndarray, w: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
 def loss_and_gradient(x: np.ndarray, y: np.ndarray, w: dict[str, np.ndarray], temperature: float) -> tuple[float, dict[str, np.ndarray]]:
     """InfoNCE of anchors x against their positives y, the other positives being negatives."""
     fx, fy = forward(x, w), forward(y, w)
-    logits = fx[4] @ fy[4].T / temperature
-    logits -= logits.max(1, keepdims=True)
-    p = np.exp(logits)
-    p /= p.sum(1, keepdims=True)
-    loss = float(-np.log(np.maximum(np.diag(p), 1e-300)).mean())
-    g = (p - np.eye(len(x))) / (len(x) * temperature)
+    loss, n = 0.0, len(x)
+    dx, dy = np.zeros_like(fx[4]), np.zeros_like(fy[4])
+    for low in range(0, n, ANCHORS):
+        z = fx[4][low : low + ANCHORS]
+        p = z @ fy[4].T / temperature
+        p -= p.max(1, keepdims=True)
+        np.exp(p, out=p)
+        p /= p.sum(1, keepdims=True)
+        own = (np.arange(len(z)), np.arange(low, low + len(z)))
+        loss -= float(np.log(np.maximum(p[own], 1e-300)).sum())
+        p[own] -= 1.0
+        p /= n * temperature
+        dx[low : low + ANCHORS] = p @ fy[4]
+        dy += p.T @ z
     out = {k: np.zeros_like(v) for k, v in w.items()}
-    for (h, r, o, n, z), inp, dz in ((fx, x, g @ fy[4]), (fy, y, g.T @ fx[4])):
-        do = (dz - z * (dz * z).sum(1, keepdims=True)) / n
+    for (h, r, o, norm, z), inp, dz in ((fx, x, dx), (fy, y, dy)):
+        do = (dz - z * (dz * z).sum(1, keepdims=True)) / norm
         dh = (do @ w["c"].T) * (h > 0)
         out["c"] += r.T @ do
         out["d"] += do.sum(0)
         out["a"] += inp.T @ dh
         out["b"] += dh.sum(0)
-    return loss, out
+    return loss / max(1, n), out
 
 
-def train(batches: list[tuple[np.ndarray, np.ndarray]], c: ContrastiveConfig) -> tuple[dict[str, np.ndarray], list[float]]:
-    rng = np.random.default_rng(c.random_state)
-    d = batches[0][0].shape[1]
-    w = {
-        "a": rng.normal(0, np.sqrt(2 / d), (d, c.hidden_dim)), "b": np.zeros(c.hidden_dim),
-        "c": rng.normal(0, np.sqrt(1 / c.hidden_dim), (c.hidden_dim, c.embed_dim)), "d": np.zeros(c.embed_dim),
-    }
-    m, v = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
-    losses = []
-    for t, (x, y) in enumerate(batches, 1):
-        loss, g = loss_and_gradient(x, y, w, c.temperature)
-        losses.append(loss)
-        for k in w:
-            m[k] = 0.9 * m[k] + 0.1 * g[k]
-            v[k] = 0.999 * v[k] + 0.001 * g[k] ** 2
-            w[k] = w[k] * (1 - c.lr * c.weight_decay) - c.lr * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
-    return w, losses
+class Weights:
+    """The perceptron's weights and the moments of their gradients: two small matrices and two vectors of each."""
+
+    def __init__(self, d: int, c: ContrastiveConfig):
+        rng = np.random.default_rng(c.random_state)
+        self.c, self.t = c, 0
+        self.w = {
+            "a": rng.normal(0, np.sqrt(2 / d), (d, c.hidden_dim)), "b": np.zeros(c.hidden_dim),
+            "c": rng.normal(0, np.sqrt(1 / c.hidden_dim), (c.hidden_dim, c.embed_dim)), "d": np.zeros(c.embed_dim),
+        }
+        self.m, self.v = ({k: np.zeros_like(x) for k, x in self.w.items()} for _ in range(2))
 
+    def step(self, g: dict[str, np.ndarray]) -> None:
+        c, self.t = self.c, self.t + 1
+        for k in self.w:
+            self.m[k] = 0.9 * self.m[k] + 0.1 * g[k]
+            self.v[k] = 0.999 * self.v[k] + 0.001 * g[k] ** 2
+            self.w[k] = self.w[k] * (1 - c.lr * c.weight_decay) - c.lr * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.999**self.t)) + 1e-8)
 
-def _batches(x: DataFrame, edges: DataFrame, config: ContrastiveConfig, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each epoch a batch of at most batch_size nodes, chosen by hash, and their positives; EPOCHS of them with one job."""
-    out, seed = [], F.lit(config.random_state)
-    share = min(1.0, (1.2 * config.batch_size + 100) / max(1, n))
+
+def train(batches: list[tuple[np.ndarray, np.ndarray]], c: ContrastiveConfig) -> tuple[dict[str, np.ndarray], list[float]]:
+    """Training in one process on batches in memory, a step for each."""
+    weights, losses = Weights(batches[0][0].shape[1], c), []
+    for x, y in batches:
+        loss, g = loss_and_gradient(x, y, weights.w, c.temperature)
+        losses.append(loss)
+        weights.step(g)
+    return weights.w, losses
+
+
+def drawn(x: DataFrame, edges: DataFrame, config: ContrastiveConfig, n: int, epochs: range) -> DataFrame:
+    """(epoch, batch, rows): config.parallel batches for each epoch, of at most batch_size nodes each, with their positives.
+
+    A node's place in an epoch comes from a hash; rows is an array of (gid, vec, pvec)
+    in the order of gid. n is the number of nodes. Batches are disjoint.
+    """
+    seed, wanted = F.lit(config.random_state), config.batch_size * config.parallel
+    share = min(1.0, (1.2 * wanted + 100) / max(1, n))
+    rank = F.xxhash64("gid", seed, F.col("epoch"))
+    turns = F.explode(F.sequence(F.lit(epochs.start), F.lit(epochs.stop - 1)))
+    ids = x.select("gid", turns.alias("epoch")).filter(F.pmod(rank, F.lit(1_000_000)) < int(np.ceil(share * 1_000_000)))
+    # a bounded number of ids for each epoch
+    place = F.row_number().over(Window.partitionBy("epoch").orderBy(rank, "gid"))
+    ids = cut(ids.withColumn("n", place).filter(F.col("n") <= wanted).select("epoch", "gid", ((F.col("n") - 1) % config.parallel).alias("batch")))
+    key = F.md5(F.concat_ws(":", (seed + F.col("epoch")).cast("string"), F.col("gid").cast("string"), F.col("dst").cast("string")))
+    near = ids.join(edges.select(F.col("src").alias("gid"), "dst"), "gid")
+    first = near.groupBy("epoch", "gid").agg(F.min(F.struct(key.alias("k"), "dst")).alias("p")).select("epoch", "gid", F.col("p.dst").alias("positive"))
+    both = ids.join(first, ["epoch", "gid"], "left").withColumn("positive", F.coalesce("positive", "gid")).join(x.select("gid", "vec"), "gid")
+    both = both.join(x.select(F.col("gid").alias("positive"), F.col("vec").alias("pvec")), "positive")
+    return both.groupBy("epoch", "batch").agg(F.sort_array(F.collect_list(F.struct("gid", "vec", "pvec"))).alias("rows"))
+
+
+def gradient_of(batches: DataFrame, weights: dict[str, np.ndarray], config: ContrastiveConfig) -> tuple[float, dict[str, np.ndarray]]:
+    """(loss, gradient), the mean over batches (batch, rows): each task adds up its batches' and sends one flat sum."""
+    shared = batches.sparkSession.sparkContext.broadcast(weights)
+
+    def one(it):
+        loss, n, total = 0.0, 0, None
+        for arrow in it:
+            for rows in arrow.column("rows"):
+                x, y = (rows_of(rows.values.field(c)) for c in ("vec", "pvec"))
+                one_loss, g = loss_and_gradient(x, y, shared.value, config.temperature)
+                flat = np.concatenate([g[k].ravel() for k in sorted(g)])
+                total = flat if total is None else total + flat
+                loss, n = loss + one_loss, n + 1
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([n], pa.int64()), pa.array([total], pa.list_(pa.float64()))], names=["loss", "n", "g"])
+
+    sums = batches.select("rows").mapInArrow(one, "loss double, n long, g array<double>").collect()  # a row for each task
+    shared.destroy()
+    n = sum(r["n"] for r in sums)
+    flat, out = np.sum([r["g"] for r in sorted(sums)], axis=0) / n, {}
+    for k in sorted(weights):
+        out[k], flat = flat[: weights[k].size].reshape(weights[k].shape), flat[weights[k].size :]
+    return sum(r["loss"] for r in sums) / n, out
+
+
+def fit(x: DataFrame, edges: DataFrame, config: ContrastiveConfig = ContrastiveConfig()) -> tuple[dict[str, np.ndarray] | None, list[float]]:
+    """(weights, losses) of training on (gid, vec) and its graph, the gradient of each epoch summed from tasks.
+
+    Batches are written to the shared folder for EPOCHS epochs at a time and an epoch
+    reads its own; only weights and sums of gradients meet the driver. Without rows there are no weights.
+    """
+    size = x.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("d")).first()
+    if not size["n"]:
+        return None, []
+    weights, losses = Weights(size["d"], config), []
     for low in range(0, config.epochs, EPOCHS):
-        turns = F.explode(F.sequence(F.lit(low), F.lit(min(low + EPOCHS, config.epochs) - 1)))
-        rank = F.xxhash64("gid", seed, F.col("epoch"))
-        drawn = x.withColumn("epoch", turns).filter(F.pmod(rank, F.lit(1_000_000)) < int(np.ceil(share * 1_000_000)))
-        # a bounded number of rows for each epoch
-        drawn = drawn.withColumn("n", F.row_number().over(Window.partitionBy("epoch").orderBy(rank, "gid"))).filter(F.col("n") <= config.batch_size).drop("n")
-        drawn = cut(drawn)
-        key = F.md5(F.concat_ws(":", (seed + F.col("epoch")).cast("string"), F.col("gid").cast("string"), F.col("dst").cast("string")))
-        near = drawn.select("epoch", "gid").join(edges.select(F.col("src").alias("gid"), "dst"), "gid")
-        first = near.groupBy("epoch", "gid").agg(F.min(F.struct(key.alias("k"), "dst")).alias("p")).select("epoch", "gid", F.col("p.dst").alias("positive"))
-        both = drawn.join(first, ["epoch", "gid"], "left").withColumn("positive", F.coalesce("positive", "gid"))
-        rows = both.join(x.select(F.col("gid").alias("positive"), F.col("vec").alias("pvec")), "positive").select("epoch", "gid", "vec", "pvec").orderBy("epoch", "gid").toArrow()
-        epoch, a, b = rows.column("epoch").to_numpy(), rows_of(rows.column("vec").combine_chunks()), rows_of(rows.column("pvec").combine_chunks())
-        out += [(a[epoch == e], b[epoch == e]) for e in np.unique(epoch)]
-    return out
+        epochs = range(low, min(low + EPOCHS, config.epochs))
+        batches = kept(drawn(x, edges, config, size["n"], epochs), "epoch")
+        for e in epochs:
+            own = batches.filter(F.col("epoch") == e)
+            loss, g = gradient_of(own if config.parallel == 1 else own.repartition(config.parallel, "batch"), weights.w, config)
+            losses.append(loss)
+            weights.step(g)
+    return weights.w, losses
 
 
 def embed(features: DataFrame, edges: DataFrame, config: ContrastiveConfig = ContrastiveConfig()) -> tuple[DataFrame, list[float]]:
-    """((gid, vec of unit length), losses): train on a bounded batch of nodes and their positives in each epoch, apply to all."""
+    """((gid, vec of unit length), losses): train on bounded batches of nodes and their positives in each epoch, apply to all."""
     x = cut(features.select("gid", F.col("vec").cast("array<double>").alias("vec")))
-    batches = _batches(x, edges, config, x.count())
-    w, losses = train(batches, config)
+    w, losses = fit(x, edges, config)
+    if w is None:
+        return x.select("gid", F.col("vec").cast("array<float>").alias("vec")), losses
     shared = features.sparkSession.sparkContext.broadcast(w)  # two small matrices
 
     def apply(it):

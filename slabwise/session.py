@@ -77,14 +77,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder, for joins that are repeated many times on their own results.
+def kept(df: DataFrame, *by: str) -> DataFrame:
+    """df as a table in the shared folder, for joins that are repeated many times on their own results; by: its partitions.
 
     A checkpoint keeps the size that was estimated for its plan, and estimates of joins
     multiply: after some rounds the estimate alone takes the driver seconds. A table has its files' size.
     """
     path = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from slabwise.model import AlignResult, Cube
 from slabwise.session import cut
 
-from . import linalg, neighbors, transport
+from . import linalg, neighbors, posegraph, transport
 
 
 # ---- poses ---------------------------------------------------------------------------------------
@@ -273,9 +273,10 @@ def align_to_anchor(cube: Cube, options: Options = Options(), anchor: int | None
 def align_global(cube: Cube, options: Options = Options(), anchor: int = 0, lam_smooth: float = 0.0, max_nfev: int = 50) -> tuple[Cube, dict]:
     """Pose graph over neighbouring slices: correspondences are found once, then all poses are solved together.
 
-    Every pair enters through its moments alone. Without smoothing the graph is a chain
-    and the optimum is each pair's own fit, composed outward from the anchor; with it,
-    Gauss-Newton steps start from there. Returns (cube, {status, success, cost, nfev, poses}).
+    Every pair enters through its moments alone (posegraph.py), eleven numbers from a grouped sum.
+    Without smoothing the graph is a chain and the optimum is each pair's own fit, composed
+    outward from the anchor; with it, damped Gauss-Newton steps start from there, each a
+    block-tridiagonal solve. Returns (cube, {status, success, cost, nfev, poses}).
     """
     keys = [r["slice_idx"] for r in cube.spots.select("slice_idx").distinct().orderBy("slice_idx").collect()]
     if len(keys) < 2:
@@ -293,68 +294,14 @@ def align_global(cube: Cube, options: Options = Options(), anchor: int = 0, lam_
         w, mean = transport.barycentres(pi, low.xy)
         return [(pair, *map(float, (*p, *q, x))) for p, q, x in zip(high.xy, mean, w) if x > 0]
 
-    # five numbers for each sampled spot
-    found = by_neighbours(sampled(cube, embedding, options), correspond, "pair int, px double, py double, qx double, qy double, w double", keys).toPandas()
-    pairs = [(int(i) + 1, int(i), g[["px", "py"]].to_numpy(), g[["qx", "qy"]].to_numpy(), g["w"].to_numpy()) for i, g in found.groupby("pair")]
-    if not pairs:
+    found = by_neighbours(sampled(cube, embedding, options), correspond, "pair int, px double, py double, qx double, qy double, w double", keys)
+    found = cut(found)  # plans are solved once, their moments take two passes
+    links = {r["pair"]: posegraph.Moments.of(r) for r in posegraph.moments(found, ["pair"]).collect()}  # a row for each pair of slices
+    if not links:
         return cube, {"status": "failed", "success": False, "cost": float("nan"), "nfev": 0, "poses": {}}
-    pose = {anchor: (np.eye(2), np.zeros(2))}
-    links = {(h, l): (p, q, w) for h, l, p, q, w in pairs}
-    for i in range(anchor + 1, len(keys)):
-        if (i, i - 1) in links and i - 1 in pose:
-            p, q, w = links[i, i - 1]
-            _, r, t = fit_pose(p, q, w)
-            pr, pt = pose[i - 1]
-            pose[i] = (pr @ r, pr @ t + pt)
-        else:
-            pose[i] = (np.eye(2), np.zeros(2))
-    for i in range(anchor - 1, -1, -1):
-        if (i + 1, i) in links and i + 1 in pose:
-            p, q, w = links[i + 1, i]
-            _, r, t = fit_pose(q, p, w)
-            pr, pt = pose[i + 1]
-            pose[i] = (pr @ r, pr @ t + pt)
-        else:
-            pose[i] = (np.eye(2), np.zeros(2))
-    free = [i for i in range(len(keys)) if i != anchor]
-    x = np.array([v for i in free for v in (math.atan2(pose[i][0][1, 0], pose[i][0][0, 0]), *pose[i][1])])
-
-    def unpack(x):
-        out = {anchor: (0.0, np.zeros(2))}
-        out.update({i: (x[3 * k], x[3 * k + 1 : 3 * k + 3]) for k, i in enumerate(free)})
-        return out
-
-    def residuals(x):
-        at = unpack(x)
-        parts = []
-        for h, l, p, q, w in pairs:
-            d = p @ rotation(at[h][0]).T + at[h][1] - q @ rotation(at[l][0]).T - at[l][1]
-            parts.append((np.sqrt(w)[:, None] * d).ravel())
-        if lam_smooth > 0:
-            for a, b in zip(free, free[1:]):
-                if b == a + 1:
-                    parts.append(math.sqrt(lam_smooth) * np.array([at[b][0] - at[a][0], *(at[b][1] - at[a][1])]))
-        return np.concatenate(parts)
-
-    e = residuals(x)
-    nfev, damp = 1, 1e-3
-    while lam_smooth > 0 and nfev < max_nfev:
-        jac = np.stack([(residuals(x + 1e-6 * np.eye(len(x))[k]) - e) / 1e-6 for k in range(len(x))], axis=1)
-        step = np.linalg.solve(jac.T @ jac + damp * np.eye(len(x)), -jac.T @ e)
-        new = residuals(x + step)
-        nfev += 1
-        if new @ new < e @ e:
-            small = e @ e - new @ new < 1e-12 * (e @ e + 1e-12)
-            x, e, damp = x + step, new, damp / 3
-            if small:
-                break
-        else:
-            damp *= 4
-            if damp > 1e8:
-                break
-    at = unpack(x)
-    poses = {keys[i]: (1.0, rotation(at[i][0]), np.asarray(at[i][1])) for i in free}
-    report = {"status": "ok", "success": True, "cost": float(0.5 * e @ e), "nfev": nfev, "poses": {k: (math.atan2(r[1, 0], r[0, 0]), *t) for k, (_, r, t) in poses.items()}}
+    x, cost, nfev = posegraph.solve(links, len(keys), anchor, lam_smooth, max_nfev)
+    poses = {keys[i]: (1.0, rotation(x[i, 0]), x[i, 1:]) for i in range(len(keys)) if i != anchor}
+    report = {"status": "ok", "success": True, "cost": cost, "nfev": nfev, "poses": {k: (math.atan2(r[1, 0], r[0, 0]), *t) for k, (_, r, t) in poses.items()}}
     return _moved(cube, poses), report
 
 

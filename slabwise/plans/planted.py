@@ -58,6 +58,13 @@ def planted_global(spark, sf_dir):
     return _of(spark.createDataFrame([(k, *map(float, v)) for k, v in report["poses"].items()], "slice_idx int, theta double, dx double, dy double"))
 
 
+@query("planted_smooth", f"""select j as slice_idx, theta, dx, dy from (select cast(j as int) as j from range(1, {COPIES}) t(j)), ({_pose_sql(0)}) p where p.slice_idx = 1""")
+def planted_smooth(spark, sf_dir):
+    """A smoothness prior beyond all data: slices other than the anchor share one pose, the one that fits the slice beside the anchor, the only pair that it moves."""
+    report = registration.align_global(turned_copies(spark, sf_dir), _OPTIONS, lam_smooth=1e9)[1]
+    return _of(spark.createDataFrame([(k, *map(float, v)) for k, v in report["poses"].items()], "slice_idx int, theta double, dx double, dy double"))
+
+
 @query("planted_roundtrip", _pose_sql(0, 2))
 def planted_roundtrip(spark, sf_dir):
     """Entropic plans blur a little: errors stay below a hundredth."""
@@ -151,6 +158,36 @@ def contrastive_norms(spark, sf_dir):
     return found.select("gid", F.round(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))), 4).alias("norm"))
 
 
+BLOBS = 5
+
+
+def blobs(spark, sf_dir):
+    """(features, edges): five groups told apart by five weak components beside the 64 of the spots; edges stay within a group."""
+    s = fixtures.spots(spark, sf_dir).withColumn("g", F.col("gid") % BLOBS)
+    x = s.select("gid", F.concat("vec", F.array(*(F.when(F.col("g") == b, 0.5).otherwise(0.0) for b in range(BLOBS)))).alias("vec"))
+    step = s.select(F.col("gid").alias("src"), F.explode(F.array(*(F.lit(BLOBS * k) for k in range(1, 9)))).alias("far")).select("src", (F.col("src") + F.col("far")).alias("dst"))
+    edges = step.join(s.select(F.col("gid").alias("dst")), "dst").select("src", "dst")
+    return x, edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+
+
+def nearest_blob(found):
+    """(gid, nearest): the group whose members' mean is nearest to each unit vector."""
+    parts = found.select("gid", (F.col("gid") % BLOBS).alias("g"), F.posexplode("vec").alias("at", "v"))
+    mean = parts.groupBy("g", "at").agg(F.avg("v").alias("m"))
+    lengths = mean.groupBy("g").agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("long"))
+    dots = parts.drop("g").join(F.broadcast(mean), "at").groupBy("gid", "g").agg(F.sum(F.col("v") * F.col("m")).alias("dot"))  # five rows for each component
+    scored = dots.join(F.broadcast(lengths), "g").groupBy("gid").agg(F.max_by("g", F.col("dot") / F.col("long")).alias("nearest"))
+    return scored.select("gid", F.col("nearest").cast("long").alias("nearest"))
+
+
+@query("planted_contrastive", sql("spots", then=f"select gid, cast(gid % {BLOBS} as bigint) as nearest from spots"))
+def planted_contrastive(spark, sf_dir):
+    """After training every spot lies nearest to its own group, which an untrained perceptron doesn't reach (a test)."""
+    x, edges = blobs(spark, sf_dir)
+    config = ContrastiveConfig(epochs=40, embed_dim=16, hidden_dim=64, lr=1e-2, batch_size=256, parallel=2)
+    return nearest_blob(contrastive.embed(x, edges, config)[0])
+
+
 @query("poses_of_all_slices", sql("spots", then="select slice_idx, count(*) as n from spots where slice_idx > 0 group by slice_idx"))
 def poses_of_all_slices(spark, sf_dir):
     """Adjacent alignment of the fixture itself gives every slice but the first a pose and keeps all spots."""

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slabwise.model import OrderConfig
-from slabwise.session import cut
+from slabwise.session import cut, kept
 
 from . import linalg, neighbors, transport
 
@@ -53,8 +53,49 @@ def ot_distances(samples: DataFrame, reg: float = 0.05, rounds: int = 2000, tol:
     return samples.select("slice_idx", "gid", "vec").join(F.broadcast(table), "slice_idx").groupBy("i", "j").applyInPandas(one, "i int, j int, distance double")
 
 
+#: Relative difference up to which two sums count as equal: those of the two directions may differ in their last bits.
+EQUAL = 1e-12
+
+
+def shortest_path(distances: DataFrame, canonical: bool = False) -> list[int]:
+    """The shortest path through all nodes 0 to n - 1 of (i, j, d), exactly, by levels of grouped minima.
+
+    A state is the set of nodes behind (bits of a long) and the last of them; a level joins the states of
+    k nodes with the distances from their last ones and keeps the least cost of each new state, ties to the lesser node before. Each level
+    is a table in the shared folder, its rows the back pointers: the driver reads one of each. Of both directions the path takes the
+    one that ends at the lesser end; canonical: that starts there. A pair without a distance isn't walked. At most 62 nodes.
+    """
+    steps = distances.filter("i <> j").select(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), F.col("d").cast("double").alias("d"))
+    nodes = steps.select("i").union(steps.select("j")).distinct().count()
+    if nodes <= 2:
+        return list(range(nodes))
+    if nodes > 62:
+        raise ValueError("at most 62 nodes")
+    steps = F.broadcast(cut(steps))  # n (n - 1) rows
+    bit = lambda c: F.expr(f"shiftleft(1L, {c})")
+    spark = distances.sparkSession
+    level = spark.range(nodes).select(F.col("id").cast("int").alias("last")).select(bit("last").alias("mask"), "last", F.lit(0.0).alias("cost"), F.lit(-1).alias("before"))
+    levels = [level]
+    for _ in range(nodes - 1):
+        longer = levels[-1].join(steps, F.col("last") == F.col("i")).filter(F.col("mask").bitwiseAND(bit("j")) == 0)
+        best = longer.groupBy(F.col("mask").bitwiseOR(bit("j")).alias("mask"), F.col("j").alias("last"))
+        least = best.agg(F.min(F.struct((F.col("cost") + F.col("d")).alias("cost"), F.col("last").alias("before"))).alias("s"))
+        levels.append(kept(least.select("mask", "last", "s.cost", "s.before")))
+    ends = sorted((r["last"], r["cost"], r["before"]) for r in levels[-1].collect())  # a row for each node
+    if not ends:
+        raise ValueError("no path meets all nodes")
+    low = min(cost for _, cost, _ in ends)
+    last, _, before = next(e for e in ends if e[1] <= low + EQUAL * max(1.0, abs(low)))
+    path, mask = [last], (1 << nodes) - 1
+    for level in levels[-2::-1]:
+        mask, last = mask ^ (1 << last), before
+        path.append(last)
+        before = level.filter((F.col("mask") == mask) & (F.col("last") == last)).first()["before"]
+    return path if canonical else path[::-1]
+
+
 def held_karp(d: np.ndarray, canonical: bool = False) -> list[int]:
-    """The shortest path through all nodes, exactly. Of its two directions the one that ends at the lesser end; canonical: that starts there."""
+    """shortest_path of a small matrix, in memory."""
     n = len(d)
     if n <= 2:
         return list(range(n))
@@ -68,8 +109,7 @@ def held_karp(d: np.ndarray, canonical: bool = False) -> list[int]:
                 costs = best[mask ^ (1 << j)] + d[:, j]
                 k = int(np.argmin(costs))
                 best[mask, j], before[mask, j] = costs[k], k
-    # equal sums in either direction may differ in their last bits
-    ends = np.flatnonzero(best[-1] <= best[-1].min() + 1e-12 * max(1.0, abs(best[-1].min())))
+    ends = np.flatnonzero(best[-1] <= best[-1].min() + EQUAL * max(1.0, abs(best[-1].min())))
     j, mask, path = int(ends[0]), (1 << n) - 1, []
     while j >= 0:
         path.append(j)
@@ -88,14 +128,14 @@ def infer_order(features: DataFrame, config: OrderConfig = OrderConfig()) -> lis
         return keys
     samples = cut(neighbors.subsample(features.select("gid", "slice_idx", "vec"), config.subsample_n, config.random_state))
     samples = cut(linalg.svd_embedding(samples, config.svd_dim))
-    d = np.zeros((len(keys), len(keys)))
-    at = {k: i for i, k in enumerate(keys)}
+    at = samples.sparkSession.createDataFrame(list(enumerate(keys)), "place int, slice_idx int")  # a row for each slice
+    place = lambda c: F.broadcast(at.select(F.col("slice_idx").alias(c), F.col("place").alias(f"p{c}")))
     if config.use_ot:
-        for r in ot_distances(samples, config.ot_reg).collect():
-            d[at[r["i"]], at[r["j"]]] = d[at[r["j"]], at[r["i"]]] = r["distance"]
+        half = cut(ot_distances(samples, config.ot_reg).select("i", "j", F.col("distance").alias("d")))
     else:
-        d[:] = 1.0
-        np.fill_diagonal(d, 0.0)
-        for r in mutual_similarity(samples, config.knn).collect():
-            d[at[r["i"]], at[r["j"]]] = 1 - r["similarity"]
-    return [keys[i] for i in held_karp(d, config.canonical_direction)]
+        pairs = samples.sparkSession.createDataFrame(list(itertools.combinations(keys, 2)), "i int, j int")
+        near = mutual_similarity(samples, config.knn).select("i", "j", "similarity")  # of both directions the lesser slice's
+        half = cut(pairs.join(near, ["i", "j"], "left").select("i", "j", (1 - F.coalesce("similarity", F.lit(0.0))).alias("d")))
+    d = half.unionByName(half.select(F.col("j").alias("i"), F.col("i").alias("j"), "d"))
+    path = shortest_path(d.join(place("i"), "i").join(place("j"), "j").select(F.col("pi").alias("i"), F.col("pj").alias("j"), "d"), config.canonical_direction)
+    return [keys[i] for i in path]

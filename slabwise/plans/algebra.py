@@ -365,7 +365,8 @@ def held_karp(spark, sf_dir):
     c = fixtures.spots(spark, sf_dir).groupBy("slice_idx").agg(F.avg("x").alias("x"), F.avg("y").alias("y")).orderBy("slice_idx").toPandas()
     xy = c[["x", "y"]].to_numpy()
     d = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(2))
-    path = ordering.held_karp(d)
+    steps = [(i, j, float(d[i, j])) for i in range(len(d)) for j in range(len(d)) if i != j]
+    path = ordering.shortest_path(spark.createDataFrame(steps, "i int, j int, d double"))
     return spark.createDataFrame([(",".join(str(int(c["slice_idx"][i])) for i in path), round(ordering.path_cost(d, path), 6))], "path string, cost double")
 
 

@@ -90,8 +90,11 @@ def chamfer_of(a: np.ndarray, b: np.ndarray) -> float:
         raise ValueError("both sets need the same dimension")
     if not len(a) or not len(b):
         return float("nan")
-    d = transport.squared_distances(a, b)
-    return float(d.min(1).mean() + d.min(0).mean())
+    total, back = 0.0, np.full(len(b), np.inf)
+    for low, high in transport.row_blocks(len(a), len(b)):
+        d = transport.squared_distances(a[low:high], b)
+        total, back = total + d.min(1).sum(), np.minimum(back, d.min(0))
+    return float(total / len(a) + back.mean())
 
 
 # ---- blocks --------------------------------------------------------------------------------------
@@ -134,8 +137,8 @@ class Block:
 def target_spacing(xy: np.ndarray, k: int = 10) -> float:
     """The median distance of a point to its k nearest, itself included."""
     k = min(k, len(xy))
-    d = np.sqrt(np.sort(transport.squared_distances(xy, xy), axis=1)[:, :k])
-    return float(max(np.median(d), 1e-6))
+    d = [np.partition(transport.squared_distances(xy[low:high], xy), k - 1, axis=1)[:, :k] for low, high in transport.row_blocks(len(xy), len(xy))]
+    return float(max(np.median(np.sqrt(np.concatenate(d))), 1e-6))
 
 
 def register(src: Block, tgt: Block, o: Options) -> tuple[float, np.ndarray, np.ndarray, float, str]:
@@ -144,16 +147,15 @@ def register(src: Block, tgt: Block, o: Options) -> tuple[float, np.ndarray, np.
     The feature cost is gated by the distance of the moving source to the target, so
     each round's plan depends on the pose before.
     """
-    cost = transport.cleaned(transport.candidates_only(transport.squared_distances(src.vec, tgt.vec), o.expr_knn), o.clip_quantile)
+    cost = transport.Costs.of(src.vec, tgt.vec, o.expr_knn).cleaned(o.clip_quantile)
     exact = o.transport in transport.ASSIGNMENT and len(src.gid) == len(tgt.gid) <= o.emd_max_n
     if exact:
-        cost = transport.tie_broken(cost)
+        cost = cost.tie_broken()
     sigma = target_spacing(tgt.xy)
     s, r, t = 1.0, np.eye(2), np.zeros(2)
     now, method = src.xy, o.transport
     for _ in range(o.n_iter):
-        pi, method = transport.plan(transport.gated(cost, now, tgt.xy, sigma, o.spatial_weight), o.transport, o.ot_reg, o.emd_max_n, o.unbalanced_reg_m, o.ot_num_iter_max, o.ot_stop_thr)
-        w, mean = transport.barycentres(pi, tgt.xy)
+        w, mean, method = transport.barycentric_move(cost.gated(now, tgt.xy, sigma, o.spatial_weight), tgt.xy, o.transport, o.ot_reg, o.emd_max_n, o.unbalanced_reg_m, o.ot_num_iter_max, o.ot_stop_thr)
         ds, dr, dt = fit_pose(now, mean, w, o.allow_scale, (o.scale_min, o.scale_max))
         s, r, t = ds * s, dr @ r, ds * (dr @ t) + dt
         now = s * src.xy @ r.T + t
@@ -233,7 +235,7 @@ def align_adjacent(cube: Cube, options: Options = Options(), strategy: str = "se
     for i, j in alignment_pairs(len(keys), strategy, anchor):
         src, tgt = blocks[keys[i]], blocks[keys[j]]
         if options.paired_subsample and len(src.gid) != len(tgt.gid):
-            near = np.unique(transport.squared_distances(src.vec, tgt.vec).argmin(1))
+            near = np.unique(transport.nearest(src.vec, tgt.vec))
             if len(near) >= min(len(tgt.gid), options.subsample_n) / 2:
                 tgt = Block(tgt.gid[near], tgt.xy[near], tgt.vec[near])
         s, r, t, far, name = register(src, tgt, options)
@@ -287,11 +289,10 @@ def align_global(cube: Cube, options: Options = Options(), anchor: int = 0, lam_
 
     def correspond(pair, low, high):
         try:
-            cost = transport.cleaned(transport.candidates_only(transport.squared_distances(high.vec, low.vec), options.expr_knn), options.clip_quantile, pairwise=False)
+            cost = transport.Costs.of(high.vec, low.vec, options.expr_knn).cleaned(options.clip_quantile, pairwise=False)
         except RuntimeError:
             return []
-        pi, _ = transport.plan(cost, options.transport, options.ot_reg, options.emd_max_n, None, options.ot_num_iter_max, options.ot_stop_thr)
-        w, mean = transport.barycentres(pi, low.xy)
+        w, mean, _ = transport.barycentric_move(cost, low.xy, options.transport, options.ot_reg, options.emd_max_n, None, options.ot_num_iter_max, options.ot_stop_thr)
         return [(pair, *map(float, (*p, *q, x))) for p, q, x in zip(high.xy, mean, w) if x > 0]
 
     found = by_neighbours(sampled(cube, embedding, options), correspond, "pair int, px double, py double, qx double, qy double, w double", keys)

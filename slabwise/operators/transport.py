@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import warnings
+from dataclasses import dataclass, replace
 
 import numpy as np
 
@@ -17,7 +18,8 @@ def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
     top = np.max(x, axis=axis, keepdims=True)
     top = np.where(np.isfinite(top), top, 0.0)
-    return np.log(np.exp(x - top).sum(axis=axis)) + np.squeeze(top, axis)
+    with np.errstate(divide="ignore"):
+        return np.log(np.exp(x - top).sum(axis=axis)) + np.squeeze(top, axis)
 
 
 def sinkhorn(a, b, cost, reg, reg_m: float | None = None, rounds: int = 20_000, tol: float = 1e-9) -> np.ndarray:
@@ -38,8 +40,11 @@ def sinkhorn(a, b, cost, reg, reg_m: float | None = None, rounds: int = 20_000,
     return np.exp(k + (f + la)[:, None] + (g + lb)[None, :])
 
 
-def assignment(cost: np.ndarray) -> np.ndarray:
-    """The column of each row in a least-cost perfect assignment of a square matrix: shortest augmenting paths, a vector step for each row visited."""
+def assignment(cost: np.ndarray | Costs) -> np.ndarray:
+    """The column of each row in a least-cost perfect assignment of a square matrix: shortest augmenting paths, a vector step for each row visited.
+
+    Rows are asked for one at a time, so `Costs` serve as well as an array.
+    """
     n = len(cost)
     u, v = np.zeros(n + 1), np.zeros(n + 1)
     row_of = np.full(n + 1, -1)
@@ -87,61 +92,195 @@ def assigned_pair(rows):
     return pd.DataFrame(out, columns=["src", "dst"])
 
 
-def candidates_only(cost: np.ndarray, k: int | None) -> np.ndarray:
-    """Each row's k least costs; the others are not finite. All of them where k is None, not positive or not less than the width."""
-    if k is None or k <= 0 or k >= cost.shape[1]:
-        return cost
-    out = np.full_like(cost, np.inf)
-    near = np.argsort(cost, axis=1, kind="stable")[:, :k]
-    np.put_along_axis(out, near, np.take_along_axis(cost, near, 1), 1)
-    return out
+#: Entries of a cost that are made at a time: 32 MB of doubles.
+ENTRIES = 1 << 22
+
+
+def row_blocks(n: int, m: int):
+    """Ranges of rows that cut an n x m matrix into parts of at most ENTRIES entries (a row at least)."""
+    step = max(1, ENTRIES // max(m, 1))
+    return [(low, min(low + step, n)) for low in range(0, n, step)]
 
 
-def cleaned(cost: np.ndarray, clip_quantile: float | None = None, pairwise: bool = True) -> np.ndarray:
-    """Clip each row at a quantile, fill what is not finite with ten times the row's maximum (1 at least), subtract the row's minimum.
+def nearest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The place of each row's nearest row of b, the first of equals."""
+    return np.concatenate([squared_distances(a[low:high], b).argmin(1) for low, high in row_blocks(len(a), len(b))] or [np.empty(0, int)])
 
-    A RuntimeError where no entry is finite. pairwise: a row whose maximum is not positive is filled with 10.
+
+@dataclass(frozen=True)
+class Costs:
+    """An n x m cost of which each row's k candidates alone are kept: (n, k) columns and values, and one value for all others in a row.
+
+    Two terms that every entry has are kept as rules: `ties` * (row - column)^2, and a gate
+    weight * |p - q|^2 of the rows' and columns' places. Nothing of size n x m is held:
+    what has to be seen entry by entry is made for a block of rows and let go.
     """
-    c = np.array(cost, dtype=float)
-    finite = np.isfinite(c)
-    if not finite.any():
-        raise RuntimeError("the cost has no finite entry")
-    if clip_quantile is not None:
-        for i in range(len(c)):
-            if finite[i].any():
-                c[i, c[i] > np.quantile(c[i, finite[i]], clip_quantile)] = np.inf
-        finite = np.isfinite(c)
-    top = np.where(finite, c, -np.inf).max(axis=1)
-    top = np.where(np.isfinite(top), top, 0.0)
-    if pairwise:
-        top = np.where(top > 0, top, 1.0)
-    c = np.where(finite, c, np.maximum(10 * top, 1.0)[:, None])
-    return c - c.min(axis=1, keepdims=True)
 
+    col: np.ndarray
+    val: np.ndarray
+    fill: np.ndarray
+    width: int
+    ties: float = 0.0
+    gate: tuple | None = None
+
+    @classmethod
+    def of(cls, a: np.ndarray, b: np.ndarray, k: int | None = None) -> Costs:
+        """Squared distances to the k nearest, ties to the lesser column; others are not finite. All are candidates where k is None, not positive or not less than the width."""
+        n, m = len(a), len(b)
+        whole = k is None or k <= 0 or k >= m
+        col, val = np.empty((n, m if whole else k), dtype=np.int32), np.empty((n, m if whole else k))
+        for low, high in row_blocks(n, m):
+            d = squared_distances(a[low:high], b)
+            if whole:
+                col[low:high], val[low:high] = np.arange(m), d
+                continue
+            d[np.isnan(d)] = np.inf
+            last = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+            below, even = d < last, d == last
+            taken = below | (even & (np.cumsum(even, axis=1) <= k - below.sum(axis=1, keepdims=True)))
+            col[low:high] = np.nonzero(taken)[1].reshape(-1, k)
+            val[low:high] = np.take_along_axis(d, col[low:high].astype(int), 1)
+        return cls(col, val, np.full(n, np.inf), m)
 
-def tie_broken(cost: np.ndarray) -> np.ndarray:
-    """cost + 1e-6 * max(the greatest cost, 1) * (i - j)^2, so that equal assignments have an order."""
-    i, j = np.indices(cost.shape)
-    return cost + 1e-6 * max(cost.max(initial=0.0), 1.0) * (i - j) ** 2
+    def __len__(self) -> int:
+        return len(self.val)
 
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.rows(i, i + 1)[0]
 
-def gated(cost: np.ndarray, a: np.ndarray, b: np.ndarray, sigma: float, weight: float = 0.2) -> np.ndarray:
-    """cost + weight * squared distance of a and b / sigma^2."""
-    return cost + weight * squared_distances(a, b) / sigma**2 if weight else cost
+    def rows(self, low: int, high: int) -> np.ndarray:
+        out = np.repeat(self.fill[low:high, None], self.width, axis=1)
+        np.put_along_axis(out, self.col[low:high].astype(int), self.val[low:high], 1)
+        if self.ties:
+            out += self.ties * (np.arange(low, high)[:, None] - np.arange(self.width)) ** 2
+        if self.gate is not None:
+            p, q, weight = self.gate
+            out += weight * squared_distances(p[low:high], q)
+        return out
+
+    def cleaned(self, clip_quantile: float | None = None, pairwise: bool = True) -> Costs:
+        """Clip each row's candidates at a quantile, fill what is not finite with ten times the row's maximum (1 at least), subtract the row's minimum.
+
+        A RuntimeError where no entry is finite. pairwise: a row whose maximum is not positive is filled with 10.
+        """
+        c = np.where(np.isfinite(self.val), self.val, np.nan)
+        some = ~np.isnan(c).all(axis=1)
+        if not some.any():
+            raise RuntimeError("the cost has no finite entry")
+        if clip_quantile is not None:
+            c[some] = np.where(c[some] > np.nanquantile(c[some], clip_quantile, axis=1, keepdims=True), np.nan, c[some])
+        top = np.where(some, np.where(np.isnan(c), -np.inf, c).max(axis=1), 0.0)
+        if pairwise:
+            top = np.where(top > 0, top, 1.0)
+        fill = np.maximum(10 * top, 1.0)
+        least = np.where(some, np.where(np.isnan(c), np.inf, c).min(axis=1), fill)
+        return replace(self, val=np.where(np.isnan(c), fill[:, None], c) - least[:, None], fill=fill - least)
+
+    def tie_broken(self) -> Costs:
+        """With 1e-6 * max(the greatest cost, 1) * (i - j)^2, so that equal assignments have an order."""
+        top = max(self.val.max(initial=0.0), self.fill.max(initial=0.0) if self.val.shape[1] < self.width else 0.0)
+        return replace(self, ties=1e-6 * max(top, 1.0))
+
+    def gated(self, a: np.ndarray, b: np.ndarray, sigma: float, weight: float = 0.2) -> Costs:
+        """With weight * squared distance of a and b / sigma^2; a gate from before is replaced."""
+        return replace(self, gate=(a, b, weight / sigma**2) if weight else None)
+
+
+class _Support:
+    """Sums over exp(f + g - cost / reg) where others than candidates cost one value in each row: time and memory of n x k.
+
+    exp(-cost / reg) is a constant in each row plus what candidates have above it; as no
+    candidate costs more than the others do, all terms are positive and nothing cancels.
+    """
+
+    def __init__(self, c: Costs, reg: float):
+        fill = np.full(len(c), np.inf) if c.val.shape[1] == c.width else c.fill
+        self.rest = -fill / reg
+        with np.errstate(divide="ignore", invalid="ignore"):
+            self.gain = np.where(np.isinf(c.val), -np.inf, -c.val / reg + np.log(-np.expm1(-(fill[:, None] - c.val) / reg)))
+        self.col, self.width = c.col, c.width
+        self.order = np.argsort(c.col.ravel(), kind="stable")
+        by_col = c.col.ravel()[self.order]
+        self.starts = np.flatnonzero(np.diff(by_col, prepend=-1))
+        self.met, self.sizes = by_col[self.starts], np.diff(np.append(self.starts, len(by_col)))
+        self.by_col = self.gain.ravel()[self.order]
+        self.row_of = self.order // max(1, c.val.shape[1])
+
+    def step(self, h: np.ndarray, turn) -> tuple[np.ndarray, np.ndarray]:
+        """Log sums of the rows under h, and of the columns under turn(those)."""
+        r = np.logaddexp(self.rest + logsumexp(h[None, :], 1), logsumexp(self.gain + h[self.col], 1))
+        e = turn(r, 0, len(r))
+        others = logsumexp((self.rest + e)[None, :], 1)
+        out = np.repeat(others, self.width)
+        t = self.by_col + e[self.row_of]
+        top = np.maximum.reduceat(t, self.starts)
+        top = np.where(np.isfinite(top), top, 0.0)
+        with np.errstate(divide="ignore"):
+            out[self.met] = np.logaddexp(out[self.met], top + np.log(np.add.reduceat(np.exp(t - np.repeat(top, self.sizes)), self.starts)))
+        return r, out
+
+    def moved(self, e: np.ndarray, h: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row masses of the plan and its rows' sums of targets."""
+        high = h.max()
+        all_of, rest = np.exp(h - high), np.exp(self.rest + e + high)
+        p = np.exp(self.gain + h[self.col] + e[:, None])
+        return rest * all_of.sum() + p.sum(axis=1), rest[:, None] * (all_of @ targets) + np.stack([(p * targets[self.col, d]).sum(axis=1) for d in range(targets.shape[1])], axis=1)
+
+
+class _Blocks:
+    """The same sums where every entry has a cost of its own: made a block of rows at a time, held where one block is all."""
+
+    def __init__(self, c: Costs, reg: float):
+        self.c, self.reg, self.parts = c, reg, row_blocks(len(c), c.width)
+        self.held = c.rows(0, len(c)) / -reg if len(self.parts) == 1 else None
+
+    def kernel(self, low: int, high: int) -> np.ndarray:
+        return self.c.rows(low, high) / -self.reg if self.held is None else self.held
+
+    def step(self, h: np.ndarray, turn) -> tuple[np.ndarray, np.ndarray]:
+        r, out = np.empty(len(self.c)), np.full(len(h), -np.inf)
+        for low, high in self.parts:
+            k = self.kernel(low, high)
+            r[low:high] = logsumexp(k + h, 1)
+            out = np.logaddexp(out, logsumexp(k + turn(r[low:high], low, high)[:, None], 0))
+        return r, out
+
+    def moved(self, e: np.ndarray, h: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w, sums = np.empty(len(e)), np.empty((len(e), targets.shape[1]))
+        for low, high in self.parts:
+            p = np.exp(self.kernel(low, high) + e[low:high, None] + h)
+            w[low:high], sums[low:high] = p.sum(axis=1), p @ targets
+        return w, sums
+
+
+def entropic_move(costs: Costs, targets: np.ndarray, reg: float, reg_m: float | None = None, rounds: int = 20_000, tol: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
+    """Row masses and row sums of targets under the entropic plan of uniform weights; the plan is that of `sinkhorn` and never held."""
+    n, m = len(costs), costs.width
+    over = (_Support if not costs.ties and costs.gate is None else _Blocks)(costs, reg)
+    power = 1.0 if reg_m is None else reg_m / (reg_m + reg)
+    la, lb = -np.log(n), -np.log(m)
+    f, g = np.zeros(n), np.zeros(m)
+    for _ in range(rounds):
+        old = f
+        r, c = over.step(g + lb, lambda r, low, high: la - power * r)
+        f, g = -power * r, -power * c
+        if np.abs(f - old).max() < tol:
+            break
+    return over.moved(f + la, g + lb, targets)
 
 
-def plan(cost: np.ndarray, transport: str, reg: float, emd_max_n: int = 2000, reg_m: float | None = None, rounds: int = 20_000, tol: float = 1e-9) -> tuple[np.ndarray, str]:
-    """A transport plan for uniform weights and the method that made it."""
-    n, m = cost.shape
+def barycentric_move(costs: Costs, targets: np.ndarray, transport: str, reg: float, emd_max_n: int = 2000, reg_m: float | None = None, rounds: int = 20_000, tol: float = 1e-9) -> tuple[np.ndarray, np.ndarray, str]:
+    """Each row's mass and mean target under a plan of uniform weights, and the method that made it."""
+    n, m = len(costs), costs.width
     if transport in ASSIGNMENT:
         if n == m and n <= emd_max_n:
-            out = np.zeros((n, m))
-            out[np.arange(n), assignment(cost)] = 1.0 / n
-            return out, "emd"
+            w = np.full(n, 1.0 / n)
+            return w, targets[assignment(costs)] * (w / (w + 1e-12))[:, None], "emd"
         warnings.warn("an exact assignment needs equal sides of bounded size; Sinkhorn is used", stacklevel=2)
     elif transport != "sinkhorn":
         raise ValueError(f"unknown transport: {transport}")
-    return sinkhorn(np.full(n, 1 / n), np.full(m, 1 / m), cost, reg, reg_m, rounds, tol), "sinkhorn"
+    w, sums = entropic_move(costs, targets, reg, reg_m, rounds, tol)
+    return w, sums / (w + 1e-12)[:, None], "sinkhorn"
 
 
 def barycentres(pi: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

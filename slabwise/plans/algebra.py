@@ -142,18 +142,36 @@ _PAIR = f"pr as (select a.slice_idx as pair, a.gid as src, b.gid as dst, {VEC_D2
 
 
 def of_pairs(spark, sf_dir, fn, column="c"):
-    """(src, dst, value) of fn(cost, low, high), a matrix, for every slice and the next."""
+    """(src, dst, value) of fn(costs, low, high), a matrix or costs to be written out, for every slice and the next."""
 
     def entries(pair, low, high):
-        m = fn(transport.squared_distances(low.vec, high.vec), low, high)
+        m = fn(transport.Costs.of(low.vec, high.vec), low, high)
+        m = m.rows(0, len(m)) if isinstance(m, transport.Costs) else m
         return {"src": np.repeat(low.gid, len(high.gid)), "dst": np.tile(high.gid, len(low.gid)), column: m.ravel()}
 
     return registration.by_neighbours(fixtures.spots(spark, sf_dir), entries, f"src long, dst long, {column} double")
 
 
-def plan_of(cost, reg, rounds, reg_m=None):
-    n, m = cost.shape
-    return transport.sinkhorn(np.full(n, 1 / n), np.full(m, 1 / m), cost, reg, reg_m, rounds, 0.0)
+def plan_of(costs, reg, rounds, reg_m=None):
+    """The plan's entries: a target's share of a row is its row sum where the targets are unit vectors."""
+    return transport.entropic_move(costs, np.eye(costs.width), reg, reg_m, rounds, 0.0)[1]
+
+
+def candidate_entries(pair, low, high):
+    c = transport.Costs.of(low.vec, high.vec, 12)
+    return {"src": np.repeat(low.gid, c.val.shape[1]), "dst": high.gid[c.col.ravel()], "c": c.val.ravel()}
+
+
+def of_moves(spark, sf_dir, costs, reg_m=None):
+    """(src, w, bx, by): mass and mean target place of every spot under three rounds of transport to the next slice by costs(candidates, low, high)."""
+
+    def moves(pair, low, high):
+        c = costs(transport.Costs.of(low.vec, high.vec, 12).cleaned(), low, high)
+        w, sums = transport.entropic_move(c, high.xy, 0.5, reg_m, 3, 0.0)
+        mean = sums / (w + 1e-12)[:, None]
+        return {"src": low.gid, "w": 1000 * w, "bx": mean[:, 0], "by": mean[:, 1]}
+
+    return registration.by_neighbours(fixtures.spots(spark, sf_dir), moves, "src long, w double, bx double, by double").select("src", _R("w"), _R("bx"), _R("by"))
 
 
 @query("cost_matrix", sql("spots", _PAIR, then="select src, dst, round(c, 6) as c from pr"))
@@ -168,12 +186,12 @@ cm as (select src, dst, c - min(c) over (partition by src) as c from cl)"""
 
 @query("cost_clip_cap", sql("spots", _PAIR, _CLEAN, then="select src, dst, round(c, 6) as c from cm"))
 def cost_clip_cap(spark, sf_dir):
-    return of_pairs(spark, sf_dir, lambda c, *_: transport.cleaned(c, 0.5)).select("src", "dst", _R("c"))
+    return of_pairs(spark, sf_dir, lambda c, *_: c.cleaned(0.5)).select("src", "dst", _R("c"))
 
 
 @query("cost_candidates", sql("spots", _PAIR, then="select src, dst, round(c, 6) as c from (select *, row_number() over (partition by src order by c, dst) as n from pr) where n <= 12"))
 def cost_candidates(spark, sf_dir):
-    return of_pairs(spark, sf_dir, lambda c, *_: transport.candidates_only(c, 12)).filter("c < double('infinity')").select("src", "dst", _R("c"))
+    return registration.by_neighbours(fixtures.spots(spark, sf_dir), candidate_entries, "src long, dst long, c double").select("src", "dst", _R("c"))
 
 
 @query("row_stats", sql("spots", _PAIR, then="select src, round(quantile_cont(c, 0.9), 6) as q90, round(max(c), 6) as top, round(min(c), 6) as low from pr group by src"))
@@ -185,12 +203,12 @@ def row_stats(spark, sf_dir):
 @query("cost_tiebreak", sql("spots", _PAIR, then="""select src, dst, round(c + 1e-6::double * greatest(max(c) over (partition by pair), 1) * (i - j) * (i - j), 6) as c
   from (select *, dense_rank() over (partition by pair order by src) as i, dense_rank() over (partition by pair order by dst) as j from pr)"""))
 def cost_tiebreak(spark, sf_dir):
-    return of_pairs(spark, sf_dir, lambda c, *_: transport.tie_broken(c)).select("src", "dst", _R("c"))
+    return of_pairs(spark, sf_dir, lambda c, *_: c.tie_broken()).select("src", "dst", _R("c"))
 
 
 @query("spatial_gate", sql("spots", _PAIR, then="select src, dst, round(c + 0.2 * xy / 4.0, 6) as c from pr"))
 def spatial_gate(spark, sf_dir):
-    return of_pairs(spark, sf_dir, lambda c, low, high: transport.gated(c, low.xy, high.xy, 2.0)).select("src", "dst", _R("c"))
+    return of_pairs(spark, sf_dir, lambda c, low, high: c.gated(low.xy, high.xy, 2.0)).select("src", "dst", _R("c"))
 
 
 def _sinkhorn_sql(steps: int, power: str = "1.0") -> list[str]:
@@ -202,6 +220,16 @@ def _sinkhorn_sql(steps: int, power: str = "1.0") -> list[str]:
     return out
 
 
+_NEAR = """nr as (select *, row_number() over (partition by src order by c, dst) as n from pr),
+fl as (select *, case when n <= 12 then c else greatest(10 * max(case when n <= 12 then c end) over (partition by src), 1) end as k from nr)"""
+_MOVES = "select src, round(1000 * sum(p), 6) as w, round(sum(p * tx) / (sum(p) + 1e-12::double), 6) as bx, round(sum(p * ty) / (sum(p) + 1e-12::double), 6) as \"by\" from pl group by src"
+
+
+def _near_sql(gate: str, power: str = "1.0") -> str:
+    filled = f"cp as (select pair, src, dst, xy, tx, ty, k - min(k) over (partition by src) + {gate} as c from fl)"
+    return sql("spots", _PAIR, _NEAR, filled, *(t.replace("from pr", "from cp") for t in _sinkhorn_sql(3, power)), then=_MOVES)
+
+
 @query("sinkhorn_steps", sql("spots", _PAIR, *_sinkhorn_sql(2), then="select src, dst, round(p * 1000, 6) as p from pl"))
 def sinkhorn_steps(spark, sf_dir):
     return of_pairs(spark, sf_dir, lambda c, *_: 1000 * plan_of(c, 0.5, 2), "p").select("src", "dst", _R("p"))
@@ -212,6 +240,16 @@ def sinkhorn_unbalanced_steps(spark, sf_dir):
     return of_pairs(spark, sf_dir, lambda c, *_: 1000 * plan_of(c, 0.5, 2, 10.0), "p").select("src", "dst", _R("p"))
 
 
+@query("candidate_transport", _near_sql("0"))
+def candidate_transport(spark, sf_dir):
+    return of_moves(spark, sf_dir, lambda c, *_: c)
+
+
+@query("candidate_transport_gated", _near_sql("0.2 * xy / 4.0", "10.0 / 10.5"))
+def candidate_transport_gated(spark, sf_dir):
+    return of_moves(spark, sf_dir, lambda c, low, high: c.gated(low.xy, high.xy, 2.0), 10.0)
+
+
 @query("ot_distance", sql("spots", _PAIR, *_sinkhorn_sql(3), then="select cast(pair as int) as i, cast(pair + 1 as int) as j, round(sum(p * c), 6) as distance from pl group by pair"))
 def ot_distance(spark, sf_dir):
     every = ordering.ot_distances(fixtures.spots(spark, sf_dir), 0.5, 3, 0.0)
@@ -229,7 +267,7 @@ def barycentre(spark, sf_dir):
 
 @query("positive_mass", sql("spots", _PAIR, then="select src, dst from pr where c - 1.9 > 0"))
 def positive_mass(spark, sf_dir):
-    return of_pairs(spark, sf_dir, lambda c, *_: c - 1.9, "w").filter("w > 0").select("src", "dst")
+    return of_pairs(spark, sf_dir, lambda c, *_: c.rows(0, len(c)) - 1.9, "w").filter("w > 0").select("src", "dst")
 
 
 @query("lap_assign")

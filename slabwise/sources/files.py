@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +11,8 @@ from pyspark.sql import functions as F
 
 from slabwise.model import SpatialKeys, require_columns
 from slabwise.operators.ranking import numbered
-from slabwise.session import cut
+from slabwise.session import ship
+from slabwise.sources import formats
 
 
 def read_merged(spark: SparkSession, path: str | None = None, env_key: str = "SLABWISE_DATA", keys: SpatialKeys = SpatialKeys(), ensure_spatial: bool = True) -> DataFrame:
@@ -32,21 +32,8 @@ def derive_xy(df: DataFrame, keys: SpatialKeys = SpatialKeys(), overwrite: bool
 
 
 def read_h5ad(spark: SparkSession, path: str) -> DataFrame:
-    """Spot attributes (obs) of an annotated-matrix file that the driver can open, with x and y from obsm/spatial; h5py is optional."""
-    import pandas as pd
-
-    cols = {}
-    with _h5(path) as f:
-        for name, node in f["obs"].items():
-            if "categories" in node if hasattr(node, "items") else False:
-                cats = _strings(node["categories"])
-                cols[name] = [cats[c] if c >= 0 else None for c in node["codes"][:]]
-            elif not hasattr(node, "items"):
-                cols[name] = _strings(node)
-        if "obsm" in f and "spatial" in f["obsm"]:
-            xy = f["obsm"]["spatial"][:]
-            cols |= {"x": xy[:, 0].astype(float), "y": xy[:, 1].astype(float)}
-    return spark.createDataFrame(pd.DataFrame(cols))
+    """Spot attributes (obs) of an annotated-matrix file that all executors can open, with x and y from obsm/spatial, read by ranges of rows; h5py is optional."""
+    return _known(spark).read.format("h5ad").load(path)
 
 
 def read_h5ad_matrix(spark: SparkSession, path: str, rows: int = 10_000) -> DataFrame:
@@ -54,17 +41,17 @@ def read_h5ad_matrix(spark: SparkSession, path: str, rows: int = 10_000) -> Data
 
     Tasks read `rows` rows each, so the path must be one that all executors can open.
     """
-    with _h5(path) as f:
+    with formats.h5(path) as f:
         x = f["X"]
         n = (len(x["indptr"]) - 1) if hasattr(x, "items") else x.shape[0]
         index = f["var"].attrs.get("_index", "_index")
-        genes = [str(g) for g in _strings(f["var"][index])]
+        genes = [str(g) for g in formats.strings(f["var"][index])]
         if hasattr(x, "items") and "csc" in str(x.attrs.get("encoding-type", "csr_matrix")):
             raise ValueError("X is compressed by columns: store it by rows")
     shared = spark.sparkContext.broadcast(genes)  # a name for each gene
 
     def entries(batches):
-        with _h5(path) as f:
+        with formats.h5(path) as f:
             x = f["X"]
             for batch in batches:
                 for low in batch.column(0).to_pylist():
@@ -83,65 +70,24 @@ def read_h5ad_matrix(spark: SparkSession, path: str, rows: int = 10_000) -> Data
     return starts.mapInArrow(entries, "gid long, gene_idx long, gene string, value double").filter("value <> 0")
 
 
-def _h5(path: str):
-    try:
-        import h5py
-    except ImportError as e:
-        raise ImportError("h5py is needed to read .h5ad files: pip install h5py") from e
-    return h5py.File(path)
-
-
-def _strings(node):
-    return node.asstr()[:] if node.dtype.kind == "O" else node[:]
-
-
-_BANNER = "%%MatrixMarket matrix coordinate real general"
+def _known(spark: SparkSession) -> SparkSession:
+    ship(spark)
+    formats.register(spark)
+    return spark
 
 
 def write_matrix(counts: DataFrame, path: str) -> None:
-    """(gid, gene_idx, value) as one Matrix Market file of rows `gene spot value` with dense numbers from 1.
-
-    Entries are written by the tasks, side by side in a folder of the same file system;
-    then the file is put together from these, a buffer at a time, as the format is one file.
-    """
-    spark = counts.sparkSession
+    """(gid, gene_idx, value) as one Matrix Market file of rows `gene spot value` with dense numbers from 1, by the format `mtx`."""
     genes, spots = numbered(counts.select("gene_idx").distinct(), ["gene_idx"], "g", 1), numbered(counts.select("gid").distinct(), ["gid"], "s", 1)
-    rows = cut(counts.join(genes, "gene_idx").join(spots, "gid").select("g", "s", F.col("value").cast("double").alias("value")))
-    size = rows.agg(F.coalesce(F.max("g"), F.lit(0)).alias("g"), F.coalesce(F.max("s"), F.lit(0)).alias("s"), F.count("*").alias("n")).first()
-    parts = f"{path}.parts-{uuid.uuid4().hex}"
-    rows.select(F.concat_ws(" ", "g", "s", F.col("value").cast("string"))).write.text(parts)
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    folder, target = jvm.org.apache.hadoop.fs.Path(parts), jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(conf)
-    out = fs.create(target, True)
-    try:
-        out.write(bytearray(f"{_BANNER}\n{size['g']} {size['s']} {size['n']}\n".encode()))
-        for status in sorted(fs.listStatus(folder), key=lambda x: x.getPath().getName()):
-            if status.getPath().getName().startswith("part-"):
-                part = fs.open(status.getPath())
-                jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, 1 << 16, False)
-                part.close()
-    finally:
-        out.close()
-    fs.delete(folder, True)
+    rows = counts.join(genes, "gene_idx").join(spots, "gid").select("g", "s", F.col("value").cast("double").alias("value"))
+    _known(counts.sparkSession)
+    rows.write.format("mtx").mode("overwrite").save(path)
 
 
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
-    """(g, s, value) of a Matrix Market coordinate file: real, integer or pattern (value 1), general or symmetric (both halves are returned)."""
-    lines = spark.read.text(path).select(F.trim("value").alias("line"))
-    banner = (lines.first() or {"line": ""})["line"].lower().split()
-    if banner[:3] != ["%%matrixmarket", "matrix", "coordinate"] or len(banner) < 5 or banner[3] not in ("real", "integer", "pattern") or banner[4] not in ("general", "symmetric"):
-        raise ValueError(f"not a Matrix Market file of coordinates: {' '.join(banner) or path}")
-    body = lines.filter(~F.col("line").startswith("%") & (F.col("line") != ""))
-    size = body.first()["line"]
-    # the size line comes once before the entries; where an entry reads the same, one of the two is it
-    again = body.filter(F.col("line") == size).limit(1) if body.filter(F.col("line") == size).count() > 1 else body.limit(0)
-    parts = F.split("line", r"\s+")
-    value = F.lit(1.0) if banner[3] == "pattern" else parts[2].cast("double")
-    entries = body.filter(F.col("line") != size).unionByName(again).select(parts[0].cast("long").alias("g"), parts[1].cast("long").alias("s"), value.alias("value"))
-    if banner[4] == "symmetric":
-        entries = entries.unionByName(entries.filter("g <> s").select(F.col("s").alias("g"), F.col("g").alias("s"), "value"))
-    return entries
+    """(g, s, value) of a Matrix Market coordinate file: real, integer or pattern (value 1), general or symmetric (both halves are returned). A ValueError for files of another kind."""
+    formats.checked(path)
+    return _known(spark).read.format("mtx").load(path)
 
 
 def write_genes(genes: DataFrame, path: str, column: str = "gene") -> None:

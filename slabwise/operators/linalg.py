@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slabwise.functions.arrays import dot, element_sums
-from slabwise.functions.blocks import rows_of
+from slabwise.functions.blocks import list_array, rows_of
 from slabwise.session import cut
 
 from . import blocked, graph, neighbors
@@ -32,14 +32,13 @@ def gram_matrix(features: DataFrame) -> np.ndarray:
                 x = rows_of(batch.column(0))
                 total = x.T @ x if total is None else total + x.T @ x
         if total is not None:
-            i, j = np.indices(total.shape)
-            yield pa.RecordBatch.from_arrays([pa.array(i.ravel(), pa.int32()), pa.array(j.ravel(), pa.int32()), pa.array(total.ravel())], names=["i", "j", "v"])
-
-    sums = features.select("vec").mapInArrow(multiply, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
-    d = 1 + max((r["i"] for r in sums), default=-1)
-    out = np.zeros((d, d))
-    for r in sums:
-        out[r["i"], r["j"]] = r["v"]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), list_array(total)], names=["i", "row"])
+
+    products = features.select("vec").mapInArrow(multiply, "i int, row array<double>")
+    sums = products.select("i", F.posexplode("row").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v")).toArrow()
+    i, j = sums.column("i").to_numpy(), sums.column("j").to_numpy()
+    out = np.zeros((1 + i.max(initial=-1),) * 2)
+    out[i, j] = sums.column("v").to_numpy()
     return out
 
 

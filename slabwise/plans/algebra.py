@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from slabwise.functions.arrays import argmax, softmax
@@ -36,7 +37,8 @@ def long_rows(rows):
 @query("svd_gram", sql("spots", "e as (select gid, unnest(range(1, 65)) as i, vec from spots)", then="select cast(a.i - 1 as int) as i, cast(b.i - 1 as int) as j, round(sum(a.vec[a.i] * b.vec[b.i]), 6) as value from e a join e b on a.gid = b.gid and a.i <= b.i group by a.i, b.i"))
 def svd_gram(spark, sf_dir):
     g = linalg.gram_matrix(fixtures.spots(spark, sf_dir))
-    return spark.createDataFrame([(i, j, round(float(g[i, j]), 6)) for i in range(len(g)) for j in range(i, len(g))], "i int, j int, value double")
+    i, j = np.triu_indices(len(g))
+    return spark.createDataFrame(pa.table({"i": i.astype(np.int32), "j": j.astype(np.int32), "value": g[i, j]})).select("i", "j", _R("value"))
 
 
 @query("svd_embed")
@@ -77,9 +79,10 @@ def ppr_steps(spark, sf_dir):
     return long_rows(linalg.diffuse(graph_of(spots), x, 0.5, 3, 0.0, places=blocked.places_of_spots(spots)))
 
 
-@query("softmax", sql("spots", then="select gid, round(exp(vec[1] - m) / s, 6) as q1, round(exp(vec[2] - m) / s, 6) as q2 from (select *, list_max(vec) as m, list_sum(list_transform(vec, lambda v: exp(v - list_max(vec)))) + 1e-12::double as s from spots)"))
+@query("softmax", sql("spots", then="select gid, pos, round(exp(vec[pos] - m) / s, 6) as q from (select *, unnest(range(1, 65)) as pos, list_max(vec) as m, list_sum(list_transform(vec, lambda v: exp(v - list_max(vec)))) + 1e-12::double as s from spots)"))
 def softmax_query(spark, sf_dir):
-    return fixtures.spots(spark, sf_dir).withColumn("q", softmax("vec")).select("gid", F.round(F.element_at("q", 1), 6).alias("q1"), F.round(F.element_at("q", 2), 6).alias("q2"))
+    q = fixtures.spots(spark, sf_dir).select("gid", F.posexplode(softmax("vec")).alias("pos", "q"))
+    return q.select("gid", (F.col("pos") + 1).cast("long").alias("pos"), _R("q"))
 
 
 @query("argmax_label", sql("spots", then="select gid, cast(list_position(vec, list_max(vec)) - 1 as int) as cluster from spots"))
@@ -313,10 +316,17 @@ def apply_pose(spark, sf_dir):
     return registration.apply_poses(s, poses, "x", "y").select("gid", _R("x"), _R("y"))
 
 
-@query("rotation", f"select round(cos({_THETA}), 6) as r00, round(-sin({_THETA}), 6) as r01, round(sin({_THETA}), 6) as r10, round(cos({_THETA}), 6) as r11")
+@query("rotation", sql("spots", then="select gid, round(cos(0.3 * slice_idx) * x - sin(0.3 * slice_idx) * y, 6) as x, round(sin(0.3 * slice_idx) * x + cos(0.3 * slice_idx) * y, 6) as \"y\" from spots"))
 def rotation(spark, sf_dir):
-    r = registration.rotation(_THETA)
-    return spark.createDataFrame([tuple(round(float(v), 6) for v in r.ravel())], "r00 double, r01 double, r10 double, r11 double")
+    """Every slice's spots by a rotation of its own."""
+
+    def turn(batches):
+        for pdf in batches:
+            for k, g in pdf.groupby("slice_idx"):
+                xy = g[["x", "y"]].to_numpy() @ registration.rotation(0.3 * k).T
+                yield g.assign(x=xy[:, 0], y=xy[:, 1])[["gid", "x", "y"]]
+
+    return fixtures.spots(spark, sf_dir).select("gid", "slice_idx", "x", "y").mapInPandas(turn, "gid long, x double, y double").select("gid", _R("x"), _R("y"))
 
 
 @query("chamfer", sql("spots", then="""select slice_idx, round(a + b, 6) as chamfer from (select slice_idx, avg(m) as a from (select a.slice_idx, a.gid, min((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) as m from spots a join spots b on b.slice_idx = a.slice_idx + 1 group by all) group by 1)
@@ -348,11 +358,18 @@ def fit_pose_similarity(spark, sf_dir):
     return _fitted(spark, sf_dir, True)
 
 
-@query("alignment_pairs", """select n, strategy, src, tgt from (values (2, 'sequential', 1, 0), (2, 'middle_out', 1, 0), (3, 'middle_out', 0, 1), (3, 'middle_out', 2, 1),
-  (4, 'middle_out', 0, 1), (4, 'middle_out', 2, 1), (4, 'middle_out', 3, 2)) t(n, strategy, src, tgt)""")
+@query("alignment_pairs", sql("spots", """sl as (select slice_idx, row_number() over (order by slice_idx) - 1 as i, count(*) over () as k, count(*) as n from spots group by slice_idx),
+nx as (select lo.slice_idx as lo, hi.slice_idx as hi, lo.n as nlo, hi.n as nhi, lo.i < (lo.k - 1) // 2 as down from sl lo join sl hi on hi.i = lo.i + 1)""",
+  then="""select 'sequential' as strategy, hi as src, lo as tgt, nhi as n_src, nlo as n_tgt from nx
+  union all select 'middle_out', case when down then lo else hi end, case when down then hi else lo end, case when down then nlo else nhi end, case when down then nhi else nlo end from nx"""))
 def alignment_pairs(spark, sf_dir):
-    rows = [(n, s, a, b) for n, s in ((2, "sequential"), (2, "middle_out"), (3, "middle_out"), (4, "middle_out")) for a, b in registration.alignment_pairs(n, s)]
-    return spark.createDataFrame(rows, "n int, strategy string, src int, tgt int")
+    """Both schedules over the slices of the table, with their sizes."""
+    sizes = fixtures.spots(spark, sf_dir).groupBy("slice_idx").agg(F.count("*").alias("n"))
+    keys = [r["slice_idx"] for r in sizes.select("slice_idx").orderBy("slice_idx").collect()]  # a row for each slice
+    pairs = [(s, keys[a], keys[b]) for s in ("sequential", "middle_out") for a, b in registration.alignment_pairs(len(keys), s)]
+    table = spark.createDataFrame(pairs, "strategy string, src int, tgt int")
+    of = lambda c: sizes.select(F.col("slice_idx").alias(c), F.col("n").alias(f"n_{c}"))
+    return table.join(of("src"), "src").join(of("tgt"), "tgt").select("strategy", "src", "tgt", "n_src", "n_tgt")
 
 
 def cube_of(spark, sf_dir):
@@ -423,11 +440,11 @@ def contrastive_query(spark, sf_dir):
 
 
 # ---- scores of clusterings -----------------------------------------------------------------------
-_LABELS = "lb as (select gid, slice_idx as t, cast(list_position(vec[1:5], list_max(vec[1:5])) - 1 as int) as p from spots), ct as (select t, p, count(*) as n from lb group by all)"
+_LABELS = "lb as (select gid, slice_idx as t, cast(list_position(vec, list_max(vec)) - 1 as int) as p from spots), ct as (select t, p, count(*) as n from lb group by all)"
 
 
 def labelled(spark, sf_dir):
-    return fixtures.spots(spark, sf_dir).select("gid", F.col("slice_idx").alias("true"), argmax(F.slice("vec", 1, 5)).alias("pred"))
+    return fixtures.spots(spark, sf_dir).select("gid", F.col("slice_idx").alias("true"), argmax("vec").alias("pred"))
 
 
 @query("ari", sql("spots", _LABELS, then="""select round((a - r * c / m) / ((r + c) / 2 - r * c / m), 6) as ari from (select sum(n*(n-1)/2) as a, sum(n)*(sum(n)-1)/2 as m from ct),

@@ -163,10 +163,10 @@ def label_codes(spark, sf_dir):
     return viz.label_codes(fixtures.spots(spark, sf_dir), "slice_id").select("gid", "code")
 
 
-@query("scatter_table", sql("spots", then="select gid, round(x, 6) as x, round(vec[3], 6) as value from spots"))
+@query("scatter_table", sql("spots", then="select gid, round(x, 6) as x, round(list_sum(vec), 6) as value from spots"))
 def scatter_table(spark, sf_dir):
-    points = fixtures.spots(spark, sf_dir).withColumns({"z": F.lit(0.0), "third": F.element_at("vec", 3)})
-    return viz.scatter_table(points, "third").select("gid", _R("x"), _R("value"))
+    points = fixtures.spots(spark, sf_dir).withColumns({"z": F.lit(0.0), "total": F.aggregate("vec", F.lit(0.0), lambda s, v: s + v)})
+    return viz.scatter_table(points, "total").select("gid", _R("x"), _R("value"))
 
 
 # ---- files ---------------------------------------------------------------------------------------

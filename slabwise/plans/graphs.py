@@ -119,11 +119,12 @@ def bounding_box(spark, sf_dir):
     return fixtures.count_spots(spark, sf_dir).groupBy("slice_idx").agg(*ends, F.count("*").alias("n"))
 
 
-@query("union_slices", sql("spots", then="select gid, slice_idx from spots where slice_idx in (0, 1)"))
+@query("union_slices", sql("spots", then="select gid, cast(dense_rank() over (order by slice_idx) - 1 as int) as slice_idx from spots"))
 def union_slices(spark, sf_dir):
     s = fixtures.spots(spark, sf_dir)
-    parts = [s.filter(F.col("slice_idx") == i).drop("slice_idx") for i in (0, 1)]
-    return model.cube_from_list(parts, [0.0, 1.0]).spots.select("gid", "slice_idx")
+    keys = [r["slice_idx"] for r in s.select("slice_idx").distinct().orderBy("slice_idx").collect()]  # a row for each slice
+    parts = [s.filter(F.col("slice_idx") == k).drop("slice_idx") for k in keys]
+    return model.cube_from_list(parts, [float(i) for i in range(len(keys))]).spots.select("gid", "slice_idx")
 
 
 @query("distinct_labels", sql("spots", then="select slice_idx, count(distinct slice_id) as n_ids from spots group by 1"))
@@ -182,9 +183,11 @@ def expr_knn_map(spark, sf_dir):
     return mapping_of(fixtures.spots(spark, sf_dir)).select("gid_hi", "gid_lo", "slice_hi", F.col("rank").cast("long").alias("rank"), _R("d2"))
 
 
-@query("mapping_edges", sql("spots", mapping_sql(), then="select gid_hi as src, gid_lo as dst, 2.0::double as w from mapping where rank <= 3"))
+@query("mapping_edges", sql("spots", mapping_sql(), then="select src, dst, 2.0::double as w from (select gid_hi as src, gid_lo as dst from mapping where rank <= 3 union all select gid_lo, gid_hi from mapping where rank <= 3)"))
 def mapping_edges(spark, sf_dir):
-    return mapping_of(fixtures.spots(spark, sf_dir)).filter("rank <= 3").select(F.col("gid_hi").alias("src"), F.col("gid_lo").alias("dst"), F.lit(2.0).alias("w"))
+    """The weighted graph's mapped pairs: all other edges weigh nothing and go."""
+    s = fixtures.spots(spark, sf_dir)
+    return graph.weighted_graph(s, K_INTRA, 3, mapping=mapping_of(s), alpha_intra=0.0, gamma_inter=0.0, lambda_z=LAMBDA_Z)
 
 
 MUTUAL_SQL = f"""near as (select * from (select a.slice_idx as i, b.slice_idx as j, a.gid as u, b.gid as v,
@@ -234,14 +237,13 @@ def weighted_graph(spark, sf_dir):
     return graph_of(fixtures.spots(spark, sf_dir)).select("src", "dst", _R("w"))
 
 
-@query("weighted_graph_radius", sql("spots", then=f"""select src, dst, round(sum(w), 6) as w from (
-  select a.gid as src, b.gid as dst, 2 * exp(-({D2}) / greatest(s * s, 1e-12)) as w from spots a join spots b on a.slice_idx = b.slice_idx and a.gid <> b.gid join
-  (select a.slice_idx, median(sqrt({D2})) as s from spots a join spots b on a.slice_idx = b.slice_idx and a.gid <> b.gid where {D2} <= 0.36 group by 1) g on g.slice_idx = a.slice_idx where {D2} <= 0.36) group by all"""))
+@query("weighted_graph_radius", sql("spots", f"""rin as (select a.slice_idx as part, a.gid as src, b.gid as dst, {D2} as d2 from spots a join spots b on a.slice_idx = b.slice_idx and a.gid <> b.gid where {D2} <= 0.36),
+rout as (select a.slice_idx as part, a.gid as src, b.gid as dst, {D2} + 0.01::double as d2 from spots a join spots b on b.slice_idx = a.slice_idx + 1 where {D2} <= {RADIUS}::double * {RADIUS}::double - 0.01::double),
+wd as (select src, dst, exp(-d2 / greatest(s * s, 1e-12)) as w from rin join (select part, median(sqrt(d2)) as s from rin group by 1) using (part)
+  union all select src, dst, exp(-d2 / greatest(s * s, 1e-12)) from rout join (select part, median(sqrt(d2)) as s from rout group by 1) using (part))""",
+  then="select src, dst, round(sum(w), 6) as w from (select * from wd union all select dst, src, w from wd) group by src, dst having sum(w) <> 0"))
 def weighted_graph_radius(spark, sf_dir):
-    s = fixtures.spots(spark, sf_dir)
-    intra = neighbors.radius_within(s, 0.6)
-    joined = intra.join(graph.median_distance(intra, ["slice_idx"]), "slice_idx").select("src", "dst", graph.gaussian(F.col("d2"), F.col("sigma")).alias("w"))
-    return graph.symmetrised(joined).select("src", "dst", _R("w"))
+    return graph.weighted_graph(fixtures.spots(spark, sf_dir), radius_intra=0.6, radius_inter=RADIUS, lambda_z=LAMBDA_Z).select("src", "dst", _R("w"))
 
 
 @query("adjacency", sql("spots", intra_sql(), inter_sql(), then="select distinct src, dst, 1.0::double as w from (select src, dst from intra union all select dst, src from intra union all select src, dst from inter union all select dst, src from inter)"))

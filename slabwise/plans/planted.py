@@ -130,7 +130,7 @@ def planted_communities_joined(spark, sf_dir):
 def planted_mixture(spark, sf_dir):
     """Three far apart blobs whose graph stays within them."""
     s = fixtures.spots(spark, sf_dir)
-    blob = F.transform(F.slice("vec", 1, 3), lambda v, i: v + F.when(i == F.col("gid") % 3, 20.0).otherwise(0.0))
+    blob = F.transform("vec", lambda v, i: v + F.when(i == F.col("gid") % 3, 20.0).otherwise(0.0))
     edges = s.select(F.col("gid").alias("src"), (F.col("gid") + 3).alias("dst")).join(s.select(F.col("gid").alias("dst")), "dst").select("src", "dst", F.lit(1.0).alias("w"))
     both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
     return _named(mixture.gmm(s.select("gid", blob.alias("vec")), both, 3, n_iter=8)[0].select("gid", "cluster"))

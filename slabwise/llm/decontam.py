@@ -5,12 +5,13 @@ words, at step j writes the word it stands on and moves on or stays by a random
 (j, word). Two strings that differ by a few edits soon walk in step again, so they
 agree at most of the written places. A hash function samples some of those places.
 
-A window of an item's size is embedded from an anchor within it, towards the item's
-farther end, and only places at which the walk can't have left the item are sampled.
+A window of an item's size is embedded from an anchor within it to the item's farther
+end, and sampled over that whole way: at all places at which the walk can't have left the
+item (the way's length is rounded down to one of a few, at most a fifth shorter).
 Anchors are the item's rarest words, several to an item, and every hash function
 samples the walk's first place, which is the anchor itself; so a document's window is
-dismissed, exactly, as soon as it doesn't stand on an anchor word, and the other places
-are only written for the rest. Functions are added until edited copies of the items
+dismissed, exactly, as soon as it doesn't stand on an anchor word, or differs from all
+items at the places sampled so far, and walked on only for the rest. Functions are added until edited copies of the items
 themselves are found at the target recall. Items too short for a walk, and all where
 functions don't get there, are cut into one stretch more than edits are allowed, one of
 which every near copy holds unchanged.
@@ -37,8 +38,8 @@ EDITS = 0.2
 #: Places of the walk that a hash function samples besides the first, anchors of an item, and the share of leaks to find.
 SAMPLED, ANCHORS, RECALL = 2, 6, 0.999
 
-#: Steps of the walk that may be sampled, and the words from which an item is walked.
-REACH, SHORT = 12, 10
+#: Words from which an item is walked, and the bits of a function's walk: step and word choose one.
+SHORT, POOL = 10, 1 << 18
 
 #: Edited copies on which recall is measured, and the most hash functions; where these don't reach it, exact stretches are added.
 TRIALS, FUNCTIONS = 1000, 64
@@ -47,6 +48,14 @@ TRIALS, FUNCTIONS = 1000, 64
 ITEMS_PER_PASS = 20_000
 
 
+def _rounded(steps: int) -> int:
+    """The greatest of 1, 2, ..., 9 and then lengths a fifth apart that is not above steps."""
+    out = min(steps, 9)
+    while (longer := out + max(1, out // 4)) <= steps and steps > 9:
+        out = longer
+    return out
+
+
 class Index:
     """The items' anchors and stretches, in the order of their hash functions."""
 
@@ -91,12 +100,13 @@ class Index:
             chosen += [p for p in order if p not in chosen]
             for p in chosen[:ANCHORS]:
                 d = 1 if p < n / 2 else -1
-                steps = min(REACH, n - p if d > 0 else p + 1) - 1  # a step moves on by a word at most
+                steps = _rounded((n - p if d > 0 else p + 1) - 1)  # a step moves on by a word at most
                 self.anchors.setdefault((d, steps), []).append((len(places), int(begin[k]) + p))
                 places.append((k, p))
         self.places = np.array(places, dtype=np.int64).reshape(-1, 2)
         self.all_words = np.concatenate([np.zeros(0, np.int32), *self.items])
-        self.is_anchor = {c: self._mask(self.all_words[[p for _, p in own]]) for c, own in self.anchors.items()}
+        self.is_anchor = {c: self._mask(self.all_words[[p for _, p in own]]) for c, own in sorted(self.anchors.items())}
+        self.any_anchor = np.logical_or.reduce([np.zeros(self.n_codes, dtype=bool), *self.is_anchor.values()])
         self.stretches: dict = {}
         self.functions: list[dict] = []  # of each: the bits, and by class the sampled places, the sorted keys and the table
         self._grow_to(recall, functions)
@@ -128,15 +138,18 @@ class Index:
     def _add_function(self) -> None:
         r = len(self.functions)
         rng = np.random.default_rng((self.seed, r))
-        bits = mix64(np.arange(REACH * self.n_codes, dtype=np.uint64) + np.uint64((self.seed * FUNCTIONS + r) << 36))
-        function = {"bits": (bits >> np.uint64(63)).astype(np.int8).reshape(REACH, self.n_codes), "classes": {}}
+        longest = max((steps for _, steps in self.anchors), default=0)
+        bits = mix64(np.arange(POOL, dtype=np.uint64) + np.uint64((self.seed * FUNCTIONS + r) << 36)) >> np.uint64(63)
+        function = {"bits": (bits.astype(np.int8), rng.integers(0, POOL, longest + 1)), "classes": {}}
         for c, own in sorted(self.anchors.items()):
             sampled = np.sort(rng.choice(np.arange(1, c[1] + 1), min(self.sampled, c[1]), replace=False))
-            keys = self.walk(self.all_words, np.array([p for _, p in own]), c[0], function["bits"], sampled)
+            where = np.array([p for _, p in own])
+            known = [np.unique(self.walk(self.all_words, where, c[0], function["bits"], sampled[: i + 1])[1]) for i in range(len(sampled) - 1)]
+            keys = self.walk(self.all_words, where, c[0], function["bits"], sampled)[1]
             table: dict[int, list[int]] = {}
             for (number, _), key in zip(own, keys.tolist()):
                 table.setdefault(key, []).append(number)
-            function["classes"][c] = (sampled, np.array(sorted(table), dtype=np.int64), table)
+            function["classes"][c] = (sampled, [*known, np.array(sorted(table), dtype=np.int64)], table)
         self.functions.append(function)
 
     def _grow_to(self, recall: float, most: int) -> None:
@@ -169,21 +182,34 @@ class Index:
         return np.array([*word(15), *w, *word(15)], dtype=np.int32)
 
     @staticmethod
-    def walk(codes: np.ndarray, where: np.ndarray, direction: int, bits: np.ndarray, sampled: np.ndarray) -> np.ndarray:
-        """The hash of the walk from each place: the anchor and what is written at the sampled steps."""
-        at, key, last = where.copy(), codes[where].astype(np.int64), len(codes) - 1
+    def walk(codes: np.ndarray, where: np.ndarray, direction: int, bits: tuple, sampled: np.ndarray, known: list | None = None, bounds: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(number among where, hash) of the walk from each place: the anchor and what is written at the sampled steps.
+
+        known: for each sampled step the sorted hashes up to it; places with another one are left out from there on.
+        bounds: first and last place of each walk, which it doesn't pass.
+        """
+        pool, offset = bits
+        at, key, left = where.copy(), codes[where].astype(np.int64), np.arange(len(where))
+        low, high = bounds if bounds is not None else (np.zeros(len(where), np.int64), np.full(len(where), len(codes) - 1))
+        written = {int(j): i for i, j in enumerate(sampled)}
         for j in range(int(sampled[-1]) + 1 if len(sampled) else 0):
             here = codes[at]
-            if j in sampled:
+            if j in written:
                 key = key * 1_000_003 + here
-            at = np.clip(at + direction * bits[j, here], 0, last)
-        return key
+                if known is not None:
+                    of = known[written[j]]
+                    keep = np.flatnonzero(of[np.minimum(np.searchsorted(of, key), len(of) - 1)] == key)
+                    at, key, left, here, low, high = at[keep], key[keep], left[keep], here[keep], low[keep], high[keep]
+                if not len(left):
+                    break
+            at = np.clip(at + direction * pool[(here.astype(np.int64) * 0x9E37 + offset[j]) & (POOL - 1)], low, high)
+        return left, key
 
     def candidates(self, texts: list[np.ndarray], functions: list[dict] | None = None) -> np.ndarray:
         """Distinct rows (text, item, start) wherever a window of a text collides with an item; start is where the item would begin."""
-        gap = np.zeros(REACH, np.int32)  # no walk gets from one text into the next
+        gap = np.zeros(1, np.int32)  # a word of no item on both sides of a text, at which walks stay
         codes = np.concatenate([gap, *(x for t in texts for x in (t, gap))])
-        begin = np.cumsum([REACH, *(len(t) + REACH for t in texts)])
+        begin = np.cumsum([1, *(len(t) + 1 for t in texts)])
         found = []
 
         def collide(where, keys, table, numbers):
@@ -194,11 +220,15 @@ class Index:
                 for number in numbers[int(keys[h])]:
                     found.append((int(where[h]), number))
 
+        every = np.flatnonzero(self.any_anchor[codes])
+        text_of = np.searchsorted(begin, every, side="right") - 1
+        first, last, at_anchor = begin[text_of] - 1, begin[text_of + 1] - 1, codes[every]
         for c, mask in self.is_anchor.items():
-            where = np.flatnonzero(mask[codes])
-            for f in (self.functions if functions is None else functions) if len(where) else ():
-                sampled, table, numbers = f["classes"][c]
-                collide(where, self.walk(codes, where, c[0], f["bits"], sampled), table, numbers)
+            own = np.flatnonzero(mask[at_anchor])
+            for f in (self.functions if functions is None else functions) if len(own) else ():
+                sampled, known, numbers = f["classes"][c]
+                left, keys = self.walk(codes, every[own], c[0], f["bits"], sampled, known, (first[own], last[own]))
+                collide(every[own][left], keys, known[-1], numbers)
         for length, (mask, table, numbers) in self.stretches.items():
             where = np.flatnonzero(mask[codes[: len(codes) - length]])
             collide(where, self._runs(codes, where, length), table, numbers)

@@ -451,6 +451,40 @@ def test_an_index_that_falls_short_of_its_recall_is_exact():
     assert all((t, t // 20) in found for t in range(600))
 
 
+def test_walks_are_sampled_over_the_whole_window_and_stay_in_their_text():
+    """Sampled places come from all of the way to the item's end; a text has the same candidates alone and beside others; known hashes drop nothing that collides."""
+    rnd = random.Random(12)
+    items = [[f"w{rnd.randrange(300)}" for _ in range(n)] for n in (12, 40, 80, 200) * 10]
+    index = decontam.Index([(k, " ".join(w)) for k, w in enumerate(items)], recall=1.1, functions=40)
+    for n in (40, 200):
+        ways = [steps for _, steps in index.anchors if steps <= n]
+        assert max(ways) >= 0.8 * (n / 2 - 1)
+    for c in index.anchors:
+        taken = {int(j) for f in index.functions for j in f["classes"][c][0]}
+        assert max(taken) > 0.8 * c[1] and min(taken) <= max(1, 0.3 * c[1])
+    rng = np.random.default_rng(1)
+    copies = [index._edited(k, rng)[10:-14] for k in range(len(items))]
+    beside = {tuple(r) for r in index.candidates(copies).tolist()}
+    alone = {(t, *r[1:]) for t, x in enumerate(copies) for r in index.candidates([x]).tolist()}
+    assert beside == alone
+    codes, f, c = np.concatenate(copies), index.functions[0], next(iter(index.anchors))
+    sampled, known, _ = f["classes"][c]
+    where = np.flatnonzero(index.is_anchor[c][codes])
+    left, keys = index.walk(codes, where, c[0], f["bits"], sampled, known)
+    every = index.walk(codes, where, c[0], f["bits"], sampled)[1]
+    assert left.tolist() == np.flatnonzero(np.isin(every, known[-1])).tolist() and keys.tolist() == every[left].tolist()
+
+
+def test_leaks_of_repeated_documents_and_items(spark):
+    rnd = random.Random(18)
+    item = prose(rnd, 20, 5000)
+    bench = spark.createDataFrame([(1, item), (1, item), (None, item), (2, None), (3, "")], "item_id long, text string")
+    df = spark.createDataFrame([(5, f"so {item}"), (5, f"so {item}"), (None, item), (6, None), (7, "")], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.item_id) for r in decontam.find_leaks(df, bench).collect()), key=repr)
+    assert got == sorted([(d, i) for d in (5, 5, None) for i in (1, 1, None)], key=repr)
+    assert sorted(r.doc_id for r in decontam.drop_leaks(df, bench).collect()) == [6, 7]
+
+
 def test_leaks_in_several_passes(spark, monkeypatch):
     rnd = random.Random(8)
     items = [prose(rnd, 20, 5000) for _ in range(9)]

@@ -93,3 +93,32 @@ def test_memory_of_twenty_thousand_spots():
     tracemalloc.stop()
     assert w.shape == (20_000,) and np.isfinite(sums).all()
     assert peak < 400e6
+
+
+@pytest.mark.parametrize("reg_m", [None, 10.0])
+def test_rounds_of_a_held_cost_are_products_with_vectors(monkeypatch, reg_m):
+    """Two exponentials of every entry a round took align_adjacent over a thousand seconds; the plan is that of the log domain."""
+    rng = np.random.default_rng(7)
+    a, b, q = rng.normal(size=(60, 4)), rng.normal(size=(47, 4)), rng.normal(size=(47, 2))
+    c = transport.Costs.of(a, b, 12).cleaned().gated(rng.normal(size=(60, 2)), q, 1.0)
+    k, f, g, la, lb = c.rows(0, 60) / -0.05, np.zeros(60), np.zeros(47), -np.log(60), -np.log(47)
+    power = 1.0 if reg_m is None else reg_m / (reg_m + 0.05)
+    for _ in range(500):
+        f = -power * transport.logsumexp(k + g + lb, 1)
+        g = -power * transport.logsumexp(k + (f + la)[:, None], 0)
+    plan = np.exp(k + (f + la)[:, None] + g + lb)
+    calls, log = [], transport.logsumexp
+    monkeypatch.setattr(transport, "logsumexp", lambda x, axis: calls.append(1) or log(x, axis))
+    w, sums = transport.entropic_move(c, q, 0.05, reg_m, 500, 0.0)
+    assert np.allclose(w, plan.sum(1), rtol=1e-8, atol=1e-13) and np.allclose(sums, plan @ q, rtol=1e-8, atol=1e-13)
+    assert len(calls) < 100
+
+
+def test_assignment_makes_rows_once_and_searches_for_few(monkeypatch):
+    rng = np.random.default_rng(8)
+    a, q = rng.normal(size=(80, 4)), rng.normal(size=(80, 2))
+    c = transport.Costs.of(a, a[rng.permutation(80)] + 0.01 * rng.normal(size=a.shape), 9).cleaned().gated(q, q, 1.5)
+    asked, rows = [], transport.Costs.rows
+    monkeypatch.setattr(transport.Costs, "rows", lambda self, low, high: asked.append(high - low) or rows(self, low, high))
+    to = transport.assignment(c)
+    assert sorted(to) == list(range(80)) and sum(asked) <= 160

@@ -122,3 +122,19 @@ def test_assignment_makes_rows_once_and_searches_for_few(monkeypatch):
     monkeypatch.setattr(transport.Costs, "rows", lambda self, low, high: asked.append(high - low) or rows(self, low, high))
     to = transport.assignment(c)
     assert sorted(to) == list(range(80)) and sum(asked) <= 160
+
+
+def test_assigned_pair_never_holds_the_square():
+    """The square of 6,000 rows took 288 MB, and its distances as much again."""
+    import pandas as pd
+
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(6000, 4))
+    gid = np.arange(6000)
+    rows = pd.concat([pd.DataFrame({"side": 0, "gid": gid, "vec": list(v)}), pd.DataFrame({"side": 1, "gid": 10_000 - gid, "vec": list(v)}).iloc[:-7]])
+    tracemalloc.start()
+    found = transport.assigned_pair(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 5993 and (found["dst"] == 10_000 - found["src"]).all()
+    assert peak < 250e6

@@ -75,3 +75,16 @@ def test_far_and_near_distances_lose_no_digits(spark):
     rows = [(0, i, np.array([1e7, -1e7]) * (i % 3) + rng.standard_normal(2) * 1e-3) for i in range(600)]
     got = neighbors.vector_knn(frame(spark, rows), frame(spark, rows), 5, block=40).collect()
     assert {(r.part, r.src, r.dst, r.d2, r["rank"]) for r in got} == brute(rows, rows, 5)
+
+
+def test_copies_of_a_source_grow_less_than_the_targets(spark):
+    """Groups of one block each: a source was sent to 802 of them at 102,564 targets of block 128."""
+    assert metric.group_size(2_000, 128) == 128
+    for n in (102_564, 615_384):
+        assert n / metric.group_size(n, 128) <= 65
+    assert 50_000_000 / metric.group_size(50_000_000, 128) < 600
+    rng = np.random.default_rng(5)
+    rows = [(0, i, rng.standard_normal(8)) for i in range(1500)]
+    found, _, _, held = metric.nearest(frame(spark, rows), frame(spark, rows), 4, 8)
+    assert held.groups[0] <= 2 * metric.MOST_GROUPS
+    assert {(r.part, r.src, r.dst, r.d2, r["rank"]) for r in found.collect()} == brute(rows, rows, 4)

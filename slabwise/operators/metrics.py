@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slabwise.functions.blocks import rows_of
 from slabwise.session import cut, shuffle_width
 
-#: Rows of a block whose distances to another block one task sums up.
-BLOCK = 2048
+#: Rows of a block whose distances to another block one task sums up; where rows need more than SIDES of them, blocks grow up to MOST.
+BLOCK, SIDES, MOST = 2048, 12, 16_384
+
+#: A squared distance below this share of both squared lengths is summed from its differences: the product has lost digits there.
+CLOSE = 1e-4
 
 
 def _one(df: DataFrame) -> DataFrame:
@@ -68,20 +73,33 @@ def mapping_consistency(mapping: DataFrame, clusters: DataFrame) -> DataFrame:
     return mapping.join(hi, "gid_hi").join(lo, "gid_lo").agg(F.avg((F.col("a") == F.col("b")).cast("double")).alias("consistency"))
 
 
+def sides(n: int) -> int:
+    """Blocks that n rows are dealt into, which is how often each row is sent."""
+    return max(1, math.ceil(n / MOST), min(SIDES, math.ceil(n / BLOCK)))
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances by a matrix product, those of close rows from their differences."""
+    p, q = (a**2).sum(1)[:, None], (b**2).sum(1)[None, :]
+    d = p + q - 2 * a @ b.T
+    i, j = np.nonzero(~(d > CLOSE * (p + q)))
+    for s in range(0, len(i), 65_536):
+        own = slice(s, s + 65_536)
+        d[i[own], j[own]] = ((a[i[own]] - b[j[own]]) ** 2).sum(1)
+    return np.sqrt(d, out=d)
+
+
 def silhouette(rows: DataFrame, label: str = "label", vec: str = "vec") -> DataFrame:
     """One row (silhouette) of (gid, label, vec): Euclidean, exact. NaN for fewer than 3 rows or 2 labels.
 
-    Every row meets every block of BLOCK rows of one label in some task, which hands on one
-    sum of distances for a row and a block; pairs are never rows.
+    Every row meets every block of rows in some task, which hands on one sum of distances for
+    a row, a block and a label; pairs are never rows.
     """
-    import numpy as np
-    import pyarrow as pa
-
     width = shuffle_width(rows.sparkSession)
     held = cut(rows.select("gid", F.col(label).cast("string").alias("label"), F.col(vec).cast("array<double>").alias("vec")))
     counts = held.groupBy("label").agg(F.count("*").alias("n"))
     n, k = (lambda r: (r["n"] or 0, r["k"]))(counts.agg(F.sum("n").alias("n"), F.count("*").alias("k")).first())
-    side = max(1, math.ceil(n / BLOCK))
+    side = sides(n)
     block = F.pmod(F.xxhash64("gid"), F.lit(side)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
     a = held.withColumn("a", block).withColumn("b", every).withColumn("side", F.lit(0))
@@ -95,10 +113,9 @@ def silhouette(rows: DataFrame, label: str = "label", vec: str = "vec") -> DataF
         member = np.zeros((len(t), len(names)))
         member[np.arange(len(t)), code] = 1
         sums = np.zeros((len(s), len(names)))
+        targets = x[t]
         for low in range(0, len(s), 64):
-            gap = x[s[low : low + 64], None, :] - x[t][None, :, :] if x.shape[1] * len(t) <= 2_000_000 else None
-            d = np.sqrt((gap**2).sum(2)) if gap is not None else np.stack([np.sqrt(((x[i] - x[t]) ** 2).sum(1)) for i in s[low : low + 64]])
-            sums[low : low + 64] = d @ member
+            sums[low : low + 64] = distances(x[s[low : low + 64]], targets) @ member
         at, to = np.indices(sums.shape)
         return pa.table({"gid": gid[s][at.ravel()], "own": pa.array(labels[s][at.ravel()], pa.string()), "other": pa.array(names[to.ravel()], pa.string()), "d": sums.ravel()})
 

@@ -342,3 +342,22 @@ def test_result_tables_are_checked(spark, tmp_path):
         files.read_results(spark, str(tmp_path / "r.csv"), genes=genes.union(spark.createDataFrame([("c",)], "gene string")))
     with pytest.raises(ValueError):
         files.read_results(spark, str(tmp_path / "r.csv"), "gene string, other double")
+
+
+def test_tiles_find_what_cells_find(spark, monkeypatch):
+    """A tile is searched in one task without a row for a pair; tiles of too many rows go by a join of cells, with the same result."""
+    rng = np.random.default_rng(21)
+    pts = np.concatenate([rng.integers(0, 40, size=(1500, 2)).astype(float), rng.normal(size=(300, 2))])
+    df = spark.createDataFrame([(i, 0, *map(float, p)) for i, p in enumerate(pts)], "gid long, slice_idx int, x double, y double")
+    monkeypatch.setattr(neighbors, "SMALL", 0)
+    calls, real = [], neighbors._looked_up_by_cells
+    monkeypatch.setattr(neighbors, "_looked_up_by_cells", lambda *a: calls.append(1) or real(*a))
+    found = []
+    for most in (400_000, 300):
+        monkeypatch.setattr(neighbors, "TILE_ROWS", most)
+        found.append(sorted(map(tuple, neighbors.knn_within(df, 6).collect())))
+        assert bool(calls) == (most == 300)
+    assert found[0] == found[1]
+    d = ((pts[:, None] - pts[None]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    assert {(r[1], r[2]) for r in found[0]} == {(i, int(j)) for i in range(len(pts)) for j in np.lexsort((np.arange(len(pts)), d[i]))[:6]}

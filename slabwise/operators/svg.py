@@ -38,7 +38,11 @@ def without_prefixes(genes: DataFrame, prefixes: tuple[str, ...] = MT_PREFIXES)
 
 def filter_genes(counts: DataFrame, least_spots: int = 5, least_total: float = 10, exclude: tuple[str, ...] = MT_PREFIXES, most: int | None = None) -> DataFrame:
     """Genes that pass, from counts of the spots that passed before; of more than `most` those of greatest total, ties to the lesser index."""
-    genes = without_prefixes(gene_totals(counts).filter((F.col("nonzero") >= least_spots) & (F.col("total") >= least_total)), exclude)
+    return _passing(gene_totals(counts), least_spots, least_total, exclude, most)
+
+
+def _passing(totals: DataFrame, least_spots: int, least_total: float, exclude: tuple[str, ...], most: int | None) -> DataFrame:
+    genes = without_prefixes(totals.filter((F.col("nonzero") >= least_spots) & (F.col("total") >= least_total)), exclude)
     return genes.orderBy(F.desc("total"), "gene_idx").limit(most) if most is not None else genes
 
 
@@ -47,27 +51,27 @@ def presence(kept: DataFrame, least: int = 2) -> DataFrame:
     return kept.groupBy("gene").agg(F.count_distinct("slice_idx").alias("slices")).filter(F.col("slices") >= least)
 
 
-def kernels(spots: DataFrame) -> DataFrame:
-    """(gid, s array): eleven pairs of transformed, centred coordinates.
+def kernels(spots: DataFrame) -> tuple[int, list[Column]]:
+    """The number of spots, and eleven pairs of transformed, centred coordinates as expressions of x and y: they are made where they are summed up, and never written.
 
     The coordinates themselves; Gaussian exp(-c^2 / 2 l^2) and cosine cos(2 pi c / l) of each,
-    l being the 20, 40, 60, 80 and 100 % quantiles of its absolute value.
+    l being the 20, 40, 60, 80 and 100 % quantiles of its absolute value. spots has been written, as it is read several times.
     """
-    middle = spots.agg(F.avg("x").alias("mx"), F.avg("y").alias("my")).first()
-    flat = spots.select("gid", (F.col("x") - middle["mx"]).alias("x"), (F.col("y") - middle["my"]).alias("y"))
+    middle = spots.agg(F.count("*").alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my")).first()
+    if not middle["n"]:
+        return 0, [F.lit(0.0)] * 22
+    at = {c: F.col(c) - F.lit(middle[f"m{c}"]) for c in ("x", "y")}
     shares = [0.2, 0.4, 0.6, 0.8, 1.0]
-    both = flat.select(F.explode(F.array(*(F.struct(F.lit(c).alias("c"), F.abs(F.col(c)).alias("a")) for c in ("x", "y")))).alias("e")).select("e.c", "e.a")
+    both = spots.select(F.explode(F.array(*(F.struct(F.lit(c).alias("c"), F.abs(at[c]).alias("a")) for c in ("x", "y")))).alias("e")).select("e.c", "e.a")
     row: dict[str, list[float]] = {"x": [], "y": []}
-    for r in quantiles(both, ["c"], "a", shares).orderBy("share").collect():
+    for r in quantiles(both, ["c"], "a", shares, written=True).orderBy("share").collect():
         row[r["c"]].append(r["quantile"])
-    s: list[Column] = [F.col("x"), F.col("y")]
+    s: list[Column] = [at["x"], at["y"]]
     for make in (lambda c, q: F.exp(-c * c / (2 * q * q)), lambda c, q: F.cos(2 * math.pi * c / q)):
         for i in range(len(shares)):
-            s += [make(F.col(c), max(row[c][i], 1e-12)) for c in ("x", "y")]
-    raw = cut(flat.select("gid", F.array(*s).alias("s")))
-    means = raw.agg(F.array(*(F.avg(F.element_at("s", i + 1)) for i in range(len(s)))).alias("m"))
-    m = F.array(*(F.lit(float(v)) for v in means.first()["m"]))
-    return raw.select("gid", F.zip_with("s", m, lambda a, b: a - b).alias("s"))
+            s += [make(at[c], max(row[c][i], 1e-12)) for c in ("x", "y")]
+    means = spots.agg(*(F.avg(c).alias(f"m{i}") for i, c in enumerate(s))).first()
+    return middle["n"], [c - F.lit(float(means[f"m{i}"])) for i, c in enumerate(s)]
 
 
 def projection_test(spots: DataFrame, counts: DataFrame) -> DataFrame:
@@ -77,14 +81,24 @@ def projection_test(spots: DataFrame, counts: DataFrame) -> DataFrame:
     two degrees of freedom when the gene ignores them: p = exp(-n R^2 / 2). Needed of a
     gene are its sums of y, y^2, y s1 and y s2 over non-zeros alone. The p-values are
     combined by the Cauchy rule. A gene without variance has p = 1.
+
+    Counts go to their gene with the spot's two coordinates: partial sums of the
+    22 transformed ones would be wider than the few counts of a gene that a task holds.
     """
-    placed = cut(kernels(spots))
-    n = placed.count()
+    return _projected(cut(spots.select("gid", "x", "y")), counts).drop("total", "nonzero")
+
+
+def _projected(placed: DataFrame, counts: DataFrame) -> DataFrame:
+    """projection_test of spots (gid, x, y) that have been written, with each gene's total and number of non-zeros."""
+    n, s = kernels(placed)
     pairs = 11
-    e = lambda i: F.element_at("s", i + 1)
-    moments = placed.agg(*(F.sum(e(2 * k + a) * e(2 * k + b)).alias(f"m{k}{a}{b}") for k in range(pairs) for a, b in ((0, 0), (0, 1), (1, 1)))).first()
-    sums = counts.join(placed, "gid").groupBy("gene_idx").agg(
-        F.first("gene").alias("gene"), F.sum("value").alias("y"), F.sum(F.col("value") * F.col("value")).alias("yy"), *(F.sum(F.col("value") * e(i)).alias(f"c{i}") for i in range(2 * pairs))
+    held = placed.select(*(c.alias(f"s{i}") for i, c in enumerate(s)))
+    e = lambda i: F.col(f"s{i}")
+    moments = held.agg(*(F.sum(e(2 * k + a) * e(2 * k + b)).alias(f"m{k}{a}{b}") for k in range(pairs) for a, b in ((0, 0), (0, 1), (1, 1)))).first()
+    moments = {k: v or 0.0 for k, v in moments.asDict().items()}
+    met = counts.select("gid", "gene_idx", "gene", "value").join(placed, "gid").select("gene_idx", "gene", "value", "x", "y").repartition("gene_idx")
+    sums = met.groupBy("gene_idx").agg(
+        F.first("gene").alias("gene"), F.count_if(F.col("value") > 0).alias("nonzero"), F.sum("value").alias("y"), F.sum(F.col("value") * F.col("value")).alias("yy"), *(F.sum(F.col("value") * c).alias(f"c{i}") for i, c in enumerate(s))
     )
     spread = F.col("yy") - F.col("y") * F.col("y") / F.lit(float(n))
     ps = []
@@ -97,7 +111,7 @@ def projection_test(spots: DataFrame, counts: DataFrame) -> DataFrame:
         else:
             explained = u * u / max(a, 1e-300)
         ps.append(F.when(spread > 1e-12, F.exp(-float(n) / 2 * F.least(explained / spread, F.lit(1.0)))).otherwise(1.0).alias(f"p{k + 1}"))
-    tested = sums.select("gene_idx", "gene", *ps)
+    tested = sums.select("gene_idx", "gene", F.col("y").alias("total"), "nonzero", *ps)
     return tested.withColumn("combined", cauchy([F.col(f"p{k + 1}") for k in range(pairs)]))
 
 
@@ -147,10 +161,11 @@ def spatially_variable(
     max_genes: int | None = None,
 ) -> DataFrame:
     """Filter spots, then genes on what is left, test them, adjust: (gene_idx, gene, p1..p11, combined, adjusted)."""
-    kept = cut(filter_spots(spots, counts, min_spot_total_counts))
-    mine, rows = spots.join(kept, "gid", "left_semi"), counts.join(kept, "gid", "left_semi")
-    genes = filter_genes(rows, min_gene_nonzero_spots, min_gene_total_counts, exclude, max_genes).select("gene_idx")
-    return bh_adjust(projection_test(mine, rows.join(genes, "gene_idx", "left_semi")), "combined")
+    kept = filter_spots(spots, counts, min_spot_total_counts)
+    mine = cut(spots.select("gid", "x", "y").join(kept, "gid", "left_semi"))
+    # the sums of the test hold what the filter asks, so counts are met once
+    tested = _passing(_projected(mine, counts), min_gene_nonzero_spots, min_gene_total_counts, exclude, max_genes)
+    return bh_adjust(tested.drop("total", "nonzero"), "combined")
 
 
 def looks_integer(counts: DataFrame, first: int = 100) -> DataFrame:

@@ -361,3 +361,17 @@ def test_tiles_find_what_cells_find(spark, monkeypatch):
     d = ((pts[:, None] - pts[None]) ** 2).sum(2)
     np.fill_diagonal(d, np.inf)
     assert {(r[1], r[2]) for r in found[0]} == {(i, int(j)) for i in range(len(pts)) for j in np.lexsort((np.arange(len(pts)), d[i]))[:6]}
+
+
+def test_the_feature_test_writes_no_kernels(spark, monkeypatch):
+    """Spots are written with their coordinates alone, and the transformed ones are neither written nor shuffled."""
+    rng = np.random.default_rng(8)
+    spots = spark.createDataFrame([(i, 0, *map(float, p)) for i, p in enumerate(rng.random((60, 2)))], "gid long, slice_idx int, x double, y double")
+    counts = spark.createDataFrame([(i, g, f"g{g}", float(1 + (i * g) % 5)) for i in range(60) for g in range(1, 5)], "gid long, gene_idx long, gene string, value double")
+    written, real = [], svg.cut
+    monkeypatch.setattr(svg, "cut", lambda df: written.append(df.columns) or real(df))
+    found = svg.projection_test(spots, counts)
+    assert written == [["gid", "x", "y"]]
+    wide = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning(gene_idx" in line]
+    assert len(wide) == 1 and "REPARTITION_BY_COL" in wide[0]
+    assert found.count() == 4 and found.columns[:3] == ["gene_idx", "gene", "p1"]

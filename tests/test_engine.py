@@ -375,3 +375,20 @@ def test_the_feature_test_writes_no_kernels(spark, monkeypatch):
     wide = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning(gene_idx" in line]
     assert len(wide) == 1 and "REPARTITION_BY_COL" in wide[0]
     assert found.count() == 4 and found.columns[:3] == ["gene_idx", "gene", "p1"]
+
+
+def test_sparse_rows_give_what_joins_give(spark, monkeypatch):
+    """Few columns are multiplied by whole rows, without a written vector for each row and round; many by joins."""
+    rng = np.random.default_rng(14)
+    x = np.where(rng.random((80, 12)) < 0.4, rng.integers(1, 9, (80, 12)), 0).astype(float)
+    entries = spark.createDataFrame([(int(i), int(j), float(x[i, j])) for i, j in zip(*x.nonzero())] + [(3, 5, None)], "gid long, gene_idx long, value double")
+    written, real = [], linalg.cut
+    monkeypatch.setattr(linalg, "cut", lambda df: written.append(df.columns) or real(df))
+    found = {r.gid: r.vec for r in linalg.sparse_svd(entries, 4).collect()}
+    assert written == [["gene_idx"], ["gid", "at", "v"]]
+    monkeypatch.setattr(linalg, "MOST_COLUMNS", 3)
+    joined = {r.gid: r.vec for r in linalg.sparse_svd(entries, 4).collect()}
+    assert found.keys() == joined.keys()
+    a, b = (np.array([f[g] for g in sorted(f)]) for f in (found, joined))
+    assert np.abs(a @ a.T - b @ b.T).max() < 1e-4 * np.abs(a @ a.T).max()
+    assert np.allclose(np.linalg.norm(a, axis=0), np.linalg.svd(x, compute_uv=False)[:4], rtol=1e-4)

@@ -126,3 +126,26 @@ def test_graphs_without_edges_or_weight(spark):
     assert graph.leiden(none).count() == 0
     zero = spark.createDataFrame([(1, 2, 0.0), (2, 1, 0.0), (3, 3, 1.0)], "src long, dst long, w double")
     assert {r.gid for r in graph.leiden(zero).collect()} == {1, 2}
+
+
+def shuffled_rows(spark, work):
+    """What work returns, and the rows that its stages shuffled."""
+    store = lambda: spark.sparkContext._jsc.sc().statusStore()
+    gateway = spark.sparkContext._gateway
+
+    def rows():
+        stages = store().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.length())}
+
+    before = rows()
+    out = work()
+    return out, sum(n for stage, n in rows().items() if stage not in before)
+
+
+def test_rounds_by_joins_do_not_shuffle_the_graph(spark):
+    """Complete groups of 120: edges are shuffled to their nodes once, the rounds shuffle sums."""
+    edges = both_ways({(a, b): 1.0 for low in (0, 200) for a in range(low, low + 120) for b in range(low, a)} | {(200, 0): 0.01})
+    df = spark.createDataFrame(edges, "src long, dst long, w double")
+    found, rows = shuffled_rows(spark, lambda: {r.gid: r.cluster for r in graph.leiden(df, passes=1, task_edges=1000).collect()})
+    assert partition(found) == {frozenset(range(low, low + 120)) for low in (0, 200)}
+    assert rows < 3 * len(edges)

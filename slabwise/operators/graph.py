@@ -9,7 +9,7 @@ from slabwise.session import cut
 
 from . import leiden as communities
 from . import neighbors
-from .ranking import numbered, quantiles
+from .ranking import medians_of_made, numbered, quantiles
 
 
 def gaussian(d2, sigma, alpha: float = 1.0, eps: float = 1e-12):
@@ -77,8 +77,11 @@ def weighted_graph(
     """Weighted graph (src, dst, w): Gaussian edges within slices and between neighbouring ones, plus beta_map for each mapped pair.
 
     The bandwidth is the median distance of a slice's edges, and of a pair's forward
-    edges, which the backward ones share. Edges to itself are never made.
+    edges, which the backward ones share. Edges to itself are never made. A graph by radii
+    alone, of ids that stand once, is made without writing or shuffling an edge.
     """
+    if radius_intra is not None and radius_inter is not None and mapping is None and not spots.groupBy("gid").count().filter("count > 1").limit(1).count():
+        return _radius_graph(spots, radius_intra, radius_inter, alpha_intra, gamma_inter, sigma_intra, sigma_inter, lambda_z, z_spacing, eps)
     intra = (neighbors.radius_within(spots, radius_intra) if radius_intra is not None else neighbors.knn_within(spots, n_intra)).select("slice_idx", "src", "dst", "d2")
     intra = cut(intra)
     sigma = median_distance(intra, ["slice_idx"]) if sigma_intra is None else intra.select("slice_idx").distinct().withColumn("sigma", F.lit(float(sigma_intra)))
@@ -94,6 +97,29 @@ def weighted_graph(
     return symmetrised(parts.filter("src <> dst"))
 
 
+def _radius_graph(spots, radius_intra, radius_inter, alpha, gamma, sigma_intra, sigma_inter, lambda_z, z_spacing, eps) -> DataFrame:
+    """weighted_graph by radii: its edges grow with the square of the spots, so they are made again for each pass, from cells, where they are used.
+
+    A pair within a slice is mutual and weighs twice; one between slices is made forward only. As ids stand once, no pair comes twice and nothing is added up.
+    """
+    points = cut(spots.select("gid", "slice_idx", "x", "y"))
+    intra = neighbors.radius_pairs(points, radius_intra)
+    inter = neighbors.radius_across(points, radius_inter, lambda_z, z_spacing).withColumnRenamed("src_slice", "slice_idx")
+    ways = F.explode(F.array(*(F.struct(F.col(a).alias("src"), F.col(b).alias("dst")) for a, b in (("src", "dst"), ("dst", "src")))))
+
+    def weighed(pairs, radius, times, weight, sigma):
+        if sigma is None:
+            # the pairs of a slice, each once, have the median of their edges; a row for each slice
+            middle = medians_of_made(pairs.select("slice_idx", F.sqrt("d2").alias("d")), "slice_idx", "d", radius)
+            pairs = pairs.join(F.broadcast(cut(middle.withColumnRenamed("quantile", "sigma"))), "slice_idx")
+        else:
+            pairs = pairs.withColumn("sigma", F.lit(float(sigma)))
+        w = F.lit(times) * gaussian(F.col("d2"), F.col("sigma"), weight, eps)
+        return pairs.select("src", "dst", w.alias("w")).filter("w <> 0").select(ways.alias("way"), "w").select("way.src", "way.dst", "w")
+
+    return weighed(intra, radius_intra, 2.0, alpha, sigma_intra).unionByName(weighed(inter, radius_inter, 1.0, gamma, sigma_inter))
+
+
 def degree(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.sum("w").alias("degree"))
 

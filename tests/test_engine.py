@@ -392,3 +392,37 @@ def test_sparse_rows_give_what_joins_give(spark, monkeypatch):
     a, b = (np.array([f[g] for g in sorted(f)]) for f in (found, joined))
     assert np.abs(a @ a.T - b @ b.T).max() < 1e-4 * np.abs(a @ a.T).max()
     assert np.allclose(np.linalg.norm(a, axis=0), np.linalg.svd(x, compute_uv=False)[:4], rtol=1e-4)
+
+
+def test_radius_graph_shuffles_no_edges(spark):
+    """Graphs by radii are quadratic: edges are neither shuffled nor written, and equal those that are added up (ids that stand twice go that way)."""
+    from slabwise.operators import graph
+
+    from .test_leiden import shuffled_rows
+
+    rng = np.random.default_rng(5)
+    rows = [(i, i % 3, float(x), float(y)) for i, (x, y) in enumerate(rng.normal(0, 1, (900, 2)))] + [(900, 3, 50.0, 50.0), (901, 3, 50.0, 50.0)]
+    df = spark.createDataFrame(rows, "gid long, slice_idx int, x double, y double")
+    edges, moved = shuffled_rows(spark, lambda: graph.weighted_graph(df, radius_intra=1.5, radius_inter=1.5).collect())
+    found = {(r.src, r.dst): r.w for r in edges}
+    assert len(edges) == len(found) > 250_000
+    twice = df.unionByName(spark.createDataFrame([(5000, 9, 0.0, 0.0), (5000, 9, 0.0, 0.0)], df.schema))
+    want = {(r.src, r.dst): r.w for r in graph.weighted_graph(twice, radius_intra=1.5, radius_inter=1.5).collect()}
+    assert found.keys() == want.keys() and all(abs(found[p] - want[p]) < 1e-12 for p in want)
+    assert moved < len(edges) / 2
+
+
+def test_medians_of_rows_made_anew(spark):
+    from slabwise.operators import ranking
+
+    rng = np.random.default_rng(6)
+    groups = {0: rng.random(1001), 1: rng.random(1000), 2: np.array([0.25]), 3: np.array([0.1, 0.9]), 4: np.full(50, 0.5), 5: 0.7 + rng.random(3000) * 1e-9}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs], "g int, v double")
+    few = ranking._FEW
+    try:
+        for ranking._FEW in (few, 10):
+            found = {r.g: r.quantile for r in ranking.medians_of_made(df, "g", "v", 1.0).collect()}
+            assert found == {g: float(np.median(vs)) for g, vs in groups.items()}
+    finally:
+        ranking._FEW = few
+    assert ranking.medians_of_made(df.filter("false"), "g", "v", 1.0).count() == 0

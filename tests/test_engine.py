@@ -426,3 +426,18 @@ def test_medians_of_rows_made_anew(spark):
     finally:
         ranking._FEW = few
     assert ranking.medians_of_made(df.filter("false"), "g", "v", 1.0).count() == 0
+
+
+def test_poses_do_not_wait_for_the_mapping(spark, monkeypatch):
+    """Alignment makes the mapping when it is asked for, and once."""
+    made = []
+    monkeypatch.setattr(registration, "mapping_to_previous", lambda e, k=5: made.append(k) or e.select("gid"))
+    rng = np.random.default_rng(8)
+    rows = [(i, i // 30, "S", float(x), float(y), [float(v) for v in (x, y, 1.0)]) for i, (x, y) in enumerate(rng.normal(0, 1, (60, 2)))]
+    df = spark.createDataFrame(rows, "gid long, slice_idx int, slice_id string, x double, y double, vec array<double>")
+    cube = model.Cube(df.drop("vec"), embedding=df.select("gid", "slice_idx", "vec"))
+    options = registration.Options(svd_dim=2, feature_mode="svd", expr_knn=None, n_iter=1)
+    for moved, poses in (registration.align_adjacent(cube, options)[::2], registration.align_to_anchor(cube, options, anchor=0)):
+        made.clear()
+        assert poses.count() == 1 and made == []
+        assert moved.mapping.count() == moved.mapping.count() == 60 and made == [5]

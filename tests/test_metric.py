@@ -1,6 +1,7 @@
 """Exact neighbours by metric pruning: equal to brute force, and most groups never met where features are clustered."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from slabwise.operators import metric, neighbors
@@ -88,3 +89,20 @@ def test_copies_of_a_source_grow_less_than_the_targets(spark):
     found, _, _, held = metric.nearest(frame(spark, rows), frame(spark, rows), 4, 8)
     assert held.groups[0] <= 2 * metric.MOST_GROUPS
     assert {(r.part, r.src, r.dst, r.d2, r["rank"]) for r in found.collect()} == brute(rows, rows, 4)
+
+
+def test_a_known_kth_distance_selects_by_itself(monkeypatch):
+    """Where a source's k-th distance is known, a group is compared with it and nothing is selected or sorted but what lies within."""
+    rng = np.random.default_rng(12)
+    rows, vec, k = rng.normal(0, 30, (500, 16)), rng.normal(0, 30, (40, 16)), 5
+    d = ((vec[:, None, :] - rows[None, :, :]) ** 2).sum(axis=2)
+    near = np.argsort(d, axis=1)[:, :k]
+    kth = np.sqrt(np.take_along_axis(d, near, axis=1)[:, -1])
+
+    def never(*_, **__):
+        raise AssertionError("selected")
+
+    monkeypatch.setattr(np, "partition", never)
+    found = metric._nearest(pa.int32(), 0, np.arange(40) + 1000, vec, kth, np.arange(500), rows, k)
+    assert found.column("src").to_pylist() == np.repeat(np.arange(40) + 1000, k).tolist()
+    assert found.column("dst").to_pylist() == near.ravel().tolist()

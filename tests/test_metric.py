@@ -1,8 +1,12 @@
 """Exact neighbours by metric pruning: equal to brute force, and most groups never met where features are clustered."""
 
+import math
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from slabwise.operators import metric, neighbors
 from slabwise.session import ship
@@ -106,3 +110,44 @@ def test_a_known_kth_distance_selects_by_itself(monkeypatch):
     found = metric._nearest(pa.int32(), 0, np.arange(40) + 1000, vec, kth, np.arange(500), rows, k)
     assert found.column("src").to_pylist() == np.repeat(np.arange(40) + 1000, k).tolist()
     assert found.column("dst").to_pylist() == near.ravel().tolist()
+
+
+def test_a_source_is_sent_to_a_bundle_of_groups_once(spark):
+    """Features that spare no group: each source went once to every group, each time with its vector, and came back with k rows of each."""
+    rng = np.random.default_rng(6)
+    rows, k = [(p, p * 5000 + i, rng.standard_normal(24)) for p in range(2) for i in range(900)], 5
+    found, home, others, held = metric.nearest(frame(spark, rows), frame(spark, rows), k, 20)
+    assert {(r.part, r.src, r.dst, r.d2, r["rank"]) for r in found.collect()} == brute(rows, rows, k)
+    groups = sum(held.groups.values())
+    bundles = sum(math.ceil(n / held.fan) for n in held.groups.values())
+    assert groups >= 80 and held.fan >= 5
+    # each bundle at most once in each round; each group at most once in both, as before
+    assert home.count() <= 900 * bundles and others.count() <= 900 * bundles
+    assert home.count() + others.count() < 900 * groups / 2
+    assert 900 * groups * 0.8 < sum(x.agg(F.sum(F.bit_count("bits"))).first()[0] for x in (home, others)) <= 900 * groups
+    assert held.met(others, k).count() <= 900 * bundles * k
+
+
+def test_bits_still_spare_groups_of_a_bundle(spark):
+    t, s = clustered(3000), clustered(600, seed=1, first=10_000)
+    _, home, others, held = metric.nearest(frame(spark, s), frame(spark, t), 5, 32)
+    met = sum(x.agg(F.sum(F.bit_count("bits"))).first()[0] for x in (home, others))
+    assert held.fan > 1 and met < 0.3 * sum(held.groups[p] for p, _, _ in s)
+
+
+def test_bundles_stay_small_for_few_groups_and_bounded_for_many():
+    assert metric.bundle_size(2048, 64, 540, 12) * 2048 * 64 <= metric.HELD
+    assert metric.bundle_size(2048, 64, 20, 12) == 1 == metric.bundle_size(1 << 24, 64, 10**6, 12)
+    assert metric.bundle_size(1, 2, 10**6, 12) == metric.MOST_BITS
+
+
+def test_equal_vectors_take_no_matrix_of_their_differences():
+    """All pairs of 256 sources and a block tie: their differences together took 268 MB, several times over."""
+    n = neighbors.BLOCK
+    table = pa.table({"part": pa.array([0] * 2 * n, pa.int32()), "side": pa.array([0] * n + [1] * n, pa.int32()), "gid": np.arange(2 * n), "vec": pa.array([[0.0] * 64] * (2 * n))})
+    tracemalloc.start()
+    got = neighbors._scored(table, 3)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.column("dst").to_pylist() == [n, n + 1, n + 2] * n
+    assert most < 120e6

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from slabwise.operators import graph, leiden
 from slabwise.session import ship
@@ -149,3 +150,39 @@ def test_rounds_by_joins_do_not_shuffle_the_graph(spark):
     found, rows = shuffled_rows(spark, lambda: {r.gid: r.cluster for r in graph.leiden(df, passes=1, task_edges=1000).collect()})
     assert partition(found) == {frozenset(range(low, low + 120)) for low in (0, 200)}
     assert rows < 3 * len(edges)
+
+
+def test_half_a_million_edges_stay_in_one_task(spark, monkeypatch):
+    """The neighbour graph of 10,000 spots has about 400,000 edges; just above that it went through joins, minutes instead of seconds."""
+    monkeypatch.setattr(leiden, "_in_task", lambda graph, nodes, fn: nodes.select("node", "c"))
+    monkeypatch.setattr(leiden, "_moved_by_joins", lambda *a: pytest.fail("moved by joins"))
+    half = spark.range(12_500).select("id", F.explode(F.sequence(F.lit(1), F.lit(20))).alias("by")).select(F.col("id").alias("src"), ((F.col("id") + F.col("by")) % 12_500).alias("dst"), F.lit(1.0).alias("w"))
+    edges = half.unionByName(half.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
+    assert graph.leiden(edges).count() == 12_500
+
+
+def test_moving_is_the_rule_spelled_out():
+    """Greatest gain, staying before going, then the lesser community; a node on its own gains nothing."""
+    rnd = np.random.default_rng(5)
+    for seed in range(20):
+        n = 12
+        a = np.triu(rnd.integers(0, 3, (n, n)) * (rnd.random((n, n)) < 0.4), 1).astype(float)
+        a += a.T
+        s, d = np.nonzero(a)
+        w, k, c, rate = a[s, d], a.sum(1), np.zeros(n, dtype=int) + np.arange(n) % 3, 1.0 / max(a.sum(), 1)
+        ids, want = np.arange(n), c
+        for turn in range(leiden.TURNS):
+            want = np.array([np.flatnonzero(want == x).min() for x in want])
+            to = []
+            for v in range(n):
+                options = [(0.0, want[v] == v, -v)] if want[v] != v else []
+                for x in {want[v], *want[np.flatnonzero(a[v])]}:
+                    others = k[want == x].sum() - (k[v] if want[v] == x else 0)
+                    options.append((round(a[v, want == x].sum() - rate * k[v] * others, 12), x == want[v], -x))
+                to.append(-max(options)[2])
+            to = np.array(to)
+            if (to == want).all():
+                break
+            want = np.where((to != want) & leiden._coin(ids, *leiden._line(seed, 0, turn, "move"), leiden._share(turn)), to, want)
+        want = np.array([np.flatnonzero(want == x).min() for x in want])
+        assert (leiden._moved(ids, s, d, w, k, c, rate, 0, seed) == want).all()
